@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import warc
+from . import license_scan, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_warc": warc.op2_warc}
+    return {
+        "op2_warc": warc.op2_warc,
+        "op8_url_filter": url_filter.op8_url_filter,
+        "op10_license_scan": license_scan.op10_license_scan,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.ORACLE_SQL}
+    return {"op2_warc": warc.ORACLE_SQL, "op8_url_filter": url_filter.oracle_sql()}
