@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, url_filter, warc, winnow
+from . import license_scan, mixing, url_filter, warc, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_warc": warc.op2_warc,
+        "op6_mixing": mixing.op6_mixing,
         "op7_fingerprints": winnow.op7_fingerprints,
         "op8_url_filter": url_filter.op8_url_filter,
         "op10_license_scan": license_scan.op10_license_scan,
