@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing, secrets, url_filter, warc, winnow
+from . import license_scan, mixing, secrets, url_filter, va_topk, warc, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_warc": warc.op2_warc,
         "op3_secret_scan": secrets.op3_secret_scan,
+        "op4_va_topk": va_topk.op4_va_topk,
         "op6_mixing": mixing.op6_mixing,
         "op7_fingerprints": winnow.op7_fingerprints,
         "op8_url_filter": url_filter.op8_url_filter,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.ORACLE_SQL, "op3_secret_scan": secrets.oracle_sql(), "op8_url_filter": url_filter.oracle_sql()}
+    return {"op2_warc": warc.ORACLE_SQL, "op3_secret_scan": secrets.oracle_sql(), "op4_va_topk": va_topk.ORACLE_SQL, "op8_url_filter": url_filter.oracle_sql()}
