@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing, secrets, url_filter, va_topk, warc, winnow
+from . import license_scan, mixing, ngram_join, secrets, url_filter, va_topk, warc, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op2_warc": warc.op2_warc,
         "op3_secret_scan": secrets.op3_secret_scan,
         "op4_va_topk": va_topk.op4_va_topk,
+        "op5_ngram_join": ngram_join.op5_ngram_join,
         "op6_mixing": mixing.op6_mixing,
         "op7_fingerprints": winnow.op7_fingerprints,
         "op8_url_filter": url_filter.op8_url_filter,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.ORACLE_SQL, "op3_secret_scan": secrets.oracle_sql(), "op4_va_topk": va_topk.ORACLE_SQL, "op8_url_filter": url_filter.oracle_sql()}
+    return {"op2_warc": warc.ORACLE_SQL, "op3_secret_scan": secrets.oracle_sql(), "op4_va_topk": va_topk.ORACLE_SQL, "op5_ngram_join": ngram_join.ORACLE_SQL, "op8_url_filter": url_filter.oracle_sql()}
