@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing, ngram_join, secrets, url_filter, va_topk, warc, winnow
+from . import license_scan, mixing, ngram_join, secrets, sentencepieces, url_filter, va_topk, warc, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_sentencepiece": sentencepieces.op1_sentencepiece,
         "op2_warc": warc.op2_warc,
         "op3_secret_scan": secrets.op3_secret_scan,
         "op4_va_topk": va_topk.op4_va_topk,
