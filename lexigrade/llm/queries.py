@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing, ngram_join, secrets, sentencepieces, url_filter, va_topk, warc, winnow
+from . import license_scan, mixing, ngram_join, quality, secrets, sentencepieces, url_filter, va_topk, warc, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op6_mixing": mixing.op6_mixing,
         "op7_fingerprints": winnow.op7_fingerprints,
         "op8_url_filter": url_filter.op8_url_filter,
+        "op9_quality": quality.op9_quality,
         "op10_license_scan": license_scan.op10_license_scan,
     }
 
