@@ -210,12 +210,15 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     # The hash and size alone would do for the join; the null-safe rest tells rows with one text apart.
     on = (F.col("__mark") == F.col("r__mark")) & (F.col("__size") == F.col("r__size")) & F.col("__id").eqNullSafe(F.col("r__id")) & F.col("__source").eqNullSafe(F.col("r__source"))
     both = rows.join(drawn, on)
-    # Among k alike rows with c copies in all, each is taken c // k times and the rest falls to some, by a hash of nothing but chance.
+    # Among k alike rows with c copies in all, each is taken c // k times and the rest falls to the first of them.
     each = F.floor(F.col("__copies") / F.col("__rows"))
-    rest = F.col("__copies") - each * F.col("__rows")
-    nth = F.when(F.col("__rows") == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy("__id", "__source", "__size", "__mark").orderBy(F.lit(0))))
-    taken = both.withColumn("__n", (each + F.when(nth <= rest, 1).otherwise(0)).cast("int"))
-    return taken.where("__n > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    if drawn.where("__rows > 1").isEmpty():
+        times = F.col("__copies")
+    else:
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+        times = each + F.when(nth <= F.col("__copies") - each * F.col("__rows"), 1).otherwise(0)
+    taken = both.withColumn("__n", times.cast("int")).where("__n > 0")
+    return taken.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,7 +125,7 @@ def frequency_table(docs: DataFrame) -> np.ndarray:
 
 
 def _prepared(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """nid, id, n, sid and, for the first row of a set within its task, the keys and their salts' numbers."""
+    """nid, id, mark (a hash of the text), n, sid and, for the first row of a set within its task, the keys and their salts' numbers."""
     kind = dict(docs.dtypes)["id"]
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     usual = int(sketch.mean())
@@ -152,11 +152,11 @@ def _prepared(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
             extra = counts[(flat_keys.view(np.uint64) >> np.uint64(64 - SKETCH)).astype(np.int64)] - 2 * usual
             salts = (1 + np.maximum(extra, 0) // SALT).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(sids, pa.binary()), ragged(flat_keys, first, pa.int64()), ragged(salts, first, pa.int32())],
-                ["id", "n", "sid", "keys", "salts"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array(sids, pa.binary()), ragged(flat_keys, first, pa.int64()), ragged(salts, first, pa.int32())],
+                ["id", "mark", "n", "sid", "keys", "salts"],
             )
 
-    out = docs.select("id", "text").mapInArrow(run, f"id {kind}, n int, sid binary, keys array<long>, salts array<int>")
+    out = docs.select("id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, f"id {kind}, mark long, n int, sid binary, keys array<long>, salts array<int>")
     return written(out.withColumn("nid", F.monotonically_increasing_id()), "sets")
 
 
@@ -311,7 +311,7 @@ def _rest(key_rows: DataFrame, swept: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """nid, id, n_shingles, component (least id; the row's own id if alone) and keeper of every row.
+    """nid, id, mark, n_shingles, component (least id; the row's own id if alone) and keeper of every row.
 
     ``keeper`` marks one row per component: of its rows the one of least id, and of
     those the first; every row with an empty set is its own.
@@ -338,12 +338,27 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             links = written(links.unionByName(_settled(units, arrays)), "links")
             comps = components(links)
     groups = first.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("sid", F.coalesce("comp", "rep").alias("comp"))
-    rows = sets.select("nid", "id", "n", "sid").join(written(groups, "groups"), "sid", "left")
-    rows = written(rows.select("nid", "id", "n", F.coalesce("comp", "nid").alias("comp")), "rows")
+    rows = sets.select("nid", "id", "mark", "n", "sid").join(written(groups, "groups"), "sid", "left")
+    rows = written(rows.select("nid", "id", "mark", "n", F.coalesce("comp", "nid").alias("comp")), "rows")
     names = rows.groupBy("comp").agg(F.min("id").alias("name"), F.min(F.struct(F.col("id").isNull(), "id", "nid")).alias("k"), F.count(F.lit(1)).alias("size"))
     names = written(names.select("comp", "name", F.col("k.nid").alias("keep"), "size").where("size > 1"), "names")
     out = rows.join(names, "comp", "left")
-    return out.select("nid", "id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("name", "id").alias("component"), (F.coalesce("keep", "nid") == F.col("nid")).alias("keeper"), F.coalesce("size", F.lit(1)).alias("group_size"))
+    return out.select("nid", "id", "mark", F.col("n").cast("long").alias("n_shingles"), F.coalesce("name", "id").alias("component"), (F.coalesce("keep", "nid") == F.col("nid")).alias("keeper"), F.coalesce("size", F.lit(1)).alias("group_size"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: that of the least id. Their columns are their own."""
+    keepers = join(docs, id_col, text_col).where("keeper").groupBy("id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    keepers = written(keepers.select(F.col("id").alias("__keep"), F.col("mark").alias("__keep_mark"), "n"), "keepers")
+    rows = docs.withColumn("__mark", F.xxhash64(text_col))
+    stay = rows.join(keepers, (F.col("__mark") == F.col("__keep_mark")) & F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    again = rows.groupBy(id_col, "__mark").count().where("count > 1")
+    if not again.isEmpty():  # repeated rows: of those alike in id and text, as many stay as are keepers, one or all without words
+        alone = keepers.where("n > 1").select(F.col("__keep").alias("__k"), F.col("__keep_mark").alias("__m"))
+        many = stay.join(alone, (F.col("__mark") == F.col("__m")) & F.col(id_col).eqNullSafe(F.col("__k")), "left_semi")
+        few = stay.join(alone, (F.col("__mark") == F.col("__m")) & F.col(id_col).eqNullSafe(F.col("__k")), "left_anti")
+        stay = few.dropDuplicates([id_col, "__mark"]).unionByName(many)
+    return stay.select(*docs.columns)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

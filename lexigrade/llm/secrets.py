@@ -199,20 +199,28 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     return F.aggregate(both, zero, step, lambda acc: acc["out"])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """id, and the array ``found`` of (start, kind, end) over all rules, by start and then by the rules' order."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    joined = rows.join(candidates(rows, rules), F.col("id").eqNullSafe(F.col("cand_id")), "left")
+def with_found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """docs with __text, its text or an empty one, and __found: an array of (start, kind, end), by start and then by the rules' order."""
+    rows = docs.withColumns({"__id": F.col(id_col), "__text": F.coalesce(F.col(text_col), F.lit(""))})
+    keys = candidates(rows.select(F.col("__id").alias("id"), F.col("__text").alias("text")), rules)
+    keys = keys.select(F.col("cand_id").alias("__cand"), F.col("kinds").alias("__kinds"))
+    joined = rows.join(keys, F.col("__id").eqNullSafe(F.col("__cand")), "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     parts = []
     for k, rule in enumerate(rules):
         if trigram_query(rule.regex):
-            gate = F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False))
+            gate = F.coalesce(F.array_contains("__kinds", rule.kind), F.lit(False))
         else:
-            gate = F.col("text").rlike(rule.regex)
-        parts.append(F.when(gate, _spans(F.col("text"), rule, k)).otherwise(none).alias(f"p{k}"))
-    found = joined.select("id", "text", *parts)
-    return found.select("id", "text", F.array_sort(F.concat(*[F.col(f"p{k}") for k in range(len(rules))])).alias("found"))
+            gate = F.col("__text").rlike(rule.regex)
+        parts.append(F.when(gate, _spans(F.col("__text"), rule, k)).otherwise(none).alias(f"__p{k}"))
+    found = joined.select(*docs.columns, "__text", *parts)
+    return found.select(*docs.columns, "__text", F.array_sort(F.concat(*[F.col(f"__p{k}") for k in range(len(rules))])).alias("__found"))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """id, text and the spans found in every row."""
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    return with_found(narrow, "id", "t", rules).select("id", F.col("__text").alias("text"), F.col("__found").alias("found"))
 
 
 def _joined(found: Column, rules: Sequence[Rule]) -> Column:
@@ -221,27 +229,19 @@ def _joined(found: Column, rules: Sequence[Rule]) -> Column:
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES, mask: str = "[SECRET]") -> DataFrame:
-    """docs with every secret of a text replaced by a mask; rows without one are unchanged.
-
-    Rules are applied in order, so an overlap is masked by the first.
-    """
-    inner = docs.withColumns({"__id": F.col(id_col), "__text": F.col(text_col)})
-    keys = candidates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), rules)
-    joined = inner.join(keys, F.col("__id").eqNullSafe(F.col("cand_id")), "left")
+    """docs with every secret of a text replaced by a mask, overlapping ones by one; rows without any are unchanged."""
+    rows = with_found(docs, id_col, text_col, rules)
     text = F.col("__text")
-    for rule in rules:
-        gate = F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False)) if trigram_query(rule.regex) else text.rlike(rule.regex)
-        text = F.when(gate, _masked(text, rule, mask)).otherwise(text)
-    return joined.withColumn(text_col, text).select(*docs.columns)
-
-
-def _masked(text: Column, rule: Rule, mask: str) -> Column:
-    """text with the matches that stay replaced."""
-    if not rule.keep:
-        return F.regexp_replace(text, F.lit(rule.regex), F.lit(mask.replace("$", "\\$")))
-    matches = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
-    shown = F.transform(matches, lambda m: F.when(m.rlike(rule.keep), F.lit(mask)).otherwise(m))
-    return F.array_join(F.flatten(F.transform(F.arrays_zip(F.split(text, rule.regex, -1).alias("g"), shown.alias("m")), lambda x: F.array(x["g"], F.coalesce(x["m"], F.lit(""))))), "")
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        apart = s["start"] >= acc["at"]
+        piece = F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+
+    whole = F.aggregate("__found", zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
+    new = F.when(F.size("__found") > 0, whole).otherwise(F.col(text_col))
+    return rows.withColumn(text_col, new).select(*docs.columns)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
