@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import text_queries
+from . import retrieval_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES}
-ORACLES = {**text_queries.ORACLES}
+_PARTS = (retrieval_queries, text_queries)
+QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLES = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
