@@ -9,16 +9,18 @@ Two documents link when 100 * intersection >= 80 * union. The join is exact:
    their first ``n - ceil(0.8 n) + 1`` shingles, which become join keys.
 3. The rows of a key are swept by size. Those within reach of each other's size
    form a band; in a narrow band all pairs are candidates, in a wide one each
-   row meets its predecessors and its block's leader. Expected-frequent keys are
+   row meets its latest predecessors and its block's leader. Expected-frequent keys are
    split by salts, which bridge rows tie together.
-4. Candidates meet in tiles. Hashed bitmaps bound the overlap from above, by
-   ``(|A| + |B| - popcount(A xor B)) / 2``; pairs that may link are settled by
-   intersecting the sorted arrays.
+4. Candidates meet in tiles, as hashed bitmaps of two to four bits per shingle.
+   They bound the overlap from above, by ``(|A| + |B| - popcount(A xor B)) / 2``.
+   Only rows with a pair that may link meet again as sorted arrays, whose
+   intersection settles it.
 5. Links give components. Keys whose band was wide and whose rows are not all in
    one component get the rest: size-banded tiles of bounded row count, each
    against itself and those within reach, where rows of one component need no
    further comparison. Then components are drawn again.
 
+Tables that grow with the data are joined by merging, at every size.
 Hence no link between different texts is lost, and a group of near copies costs
 about its size, not its square.
 
@@ -46,8 +48,7 @@ NUM, DEN = 80, 100
 #: log2 of the counters of the frequency table.
 SKETCH = 18
 #: Rows of a band up to which all pairs are candidates, rows under one leader, rows of a key's salt, rows of a tile's side.
-NARROW, LEADER, SALT, TILE = 4, 64, 8192, 256
-BITS = 1024
+NARROW, LEADER, SALT, TILE = 6, 64, 8192, 256
 
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -93,10 +94,16 @@ def prefix_length(n: int) -> int:
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """A bitmap of BITS bits with a bit for each shingle."""
-    out = np.zeros(BITS, bool)
-    out[(shingles & np.uint64(BITS - 1)).astype(np.int64)] = True
-    return np.packbits(out).view(np.uint64)
+    """A bitmap with a bit for each shingle: bytes of a power of two of bits, two to four per shingle, 64 at least."""
+    width = max(64, 1 << (2 * len(shingles) - 1).bit_length()) if len(shingles) else 64
+    out = np.zeros(width, bool)
+    out[(shingles & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(out)
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap of ``size`` bytes from a longer one: places are hashes modulo a power of two, so parts lie on top of each other."""
+    return bits if len(bits) == size else np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -110,10 +117,8 @@ def frequency_table(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH, np.int64)
         for batch in batches:
-            for s in shingle_sets(batch.column(0)):
-                total += np.bincount((s >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH) if len(s) > 1 << 15 else 0
-                if len(s) <= 1 << 15:
-                    np.add.at(total, (s >> np.uint64(64 - SKETCH)).astype(np.int64), 1)
+            slots = [(s >> np.uint64(64 - SKETCH)).astype(np.int64) for s in shingle_sets(batch.column(0))]
+            total += np.bincount(np.concatenate([*slots, np.zeros(0, np.int64)]), minlength=1 << SKETCH)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
 
@@ -125,15 +130,14 @@ def frequency_table(docs: DataFrame) -> np.ndarray:
 
 
 def _prepared(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """nid, id, mark (a hash of the text), n, sid and, for the first row of a set within its task, the keys and their salts' numbers."""
+    """nid, id, mark (a hash of the text), n, sid, bits and, for the first row of a set within its task, the keys in order."""
     kind = dict(docs.dtypes)["id"]
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    usual = int(sketch.mean())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
         for batch in batches:
-            sizes, sids, keys = [], [], []
+            sizes, sids, keys, bits = [], [], [], []
             for s in shingle_sets(batch.column(1)):
                 n = len(s)
                 sizes.append(n)
@@ -141,173 +145,325 @@ def _prepared(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 sids.append(sid)
                 if sid is None or sid in seen:
                     keys.append(np.zeros(0, np.int64))
+                    bits.append(None)
                     continue
                 if len(seen) >= 1 << 19:
                     seen.clear()
                 seen.add(sid)
                 order = np.lexsort((s, counts[(s >> np.uint64(64 - SKETCH)).astype(np.int64)]))
                 keys.append(s[order[: prefix_length(n)]].view(np.int64))
+                bits.append(bitmap(s).tobytes())
             first = np.cumsum([0, *map(len, keys)])
             flat_keys = np.concatenate([*keys, np.zeros(0, np.int64)])
-            extra = counts[(flat_keys.view(np.uint64) >> np.uint64(64 - SKETCH)).astype(np.int64)] - 2 * usual
-            salts = (1 + np.maximum(extra, 0) // SALT).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array(sids, pa.binary()), ragged(flat_keys, first, pa.int64()), ragged(salts, first, pa.int32())],
-                ["id", "mark", "n", "sid", "keys", "salts"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array(sids, pa.binary()), pa.array(bits, pa.binary()), ragged(flat_keys, first, pa.int64())],
+                ["id", "mark", "n", "sid", "bits", "keys"],
             )
 
-    out = docs.select("id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, f"id {kind}, mark long, n int, sid binary, keys array<long>, salts array<int>")
+    out = docs.select("id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, f"id {kind}, mark long, n int, sid binary, bits binary, keys array<long>")
     return written(out.withColumn("nid", F.monotonically_increasing_id()), "sets")
 
 
-def _key_rows(reps: DataFrame) -> DataFrame:
-    """(key, salt, pos, n, nid): a row per key of each set; salted keys also send bridge rows to salt -1."""
-    rows = reps.select("nid", "n", F.posexplode(F.arrays_zip("keys", "salts"))).select("nid", "n", F.col("pos"), F.col("col.keys").alias("key"), F.col("col.salts").alias("parts"))
-    salt = F.when(F.col("parts") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
+def _key_rows(reps: DataFrame, sketch: np.ndarray) -> DataFrame:
+    """(key, salt, pos, n, nid): a row per key of each set.
+
+    Keys of slots far above the mean are salted, by a table of at most as many
+    rows as the sketch; their rows also go to salt -1 now and then, as bridges.
+    """
+    rows = reps.select("nid", "n", F.posexplode("keys").alias("pos", "key"))
+    parts = 1 + np.maximum(sketch - 2 * int(sketch.mean()), 0) // SALT
+    hot = np.flatnonzero(parts > 1)
+    if not len(hot):
+        return rows.select("key", F.lit(0).alias("salt"), "pos", "n", "nid")
+    known = reps.sparkSession.createDataFrame([(int(h), int(parts[h])) for h in hot], "slot long, parts int")
+    rows = rows.join(F.broadcast(known), F.shiftrightunsigned("key", 64 - SKETCH) == F.col("slot"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    salt = F.when(F.col("parts") == 1, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
     bridge = (F.col("parts") > 1) & (F.pmod(F.xxhash64("nid", F.lit(7)), F.col("parts")) == 0)
-    return rows.withColumn("salt", F.explode(F.when(bridge, F.array(salt, F.lit(-1))).otherwise(F.array(salt)))).select("key", "salt", "parts", "pos", "n", "nid")
+    return rows.withColumn("salt", F.explode(F.when(bridge, F.array(salt, F.lit(-1))).otherwise(F.array(salt)))).select("key", "salt", "pos", "n", "nid")
 
 
 def _candidates(key_rows: DataFrame) -> DataFrame:
-    """(a, b, key): candidate pairs, key null; and with a = b = null the keys that were swept in part only."""
+    """(a, b, key, n, pos): candidate pairs (a, b), and the rows (a = nid, key, n, pos) of keys that were swept in part only."""
     dealt = key_rows.repartition(shuffle_partitions(key_rows.sparkSession), "key", "salt").sortWithinPartitions("key", "salt", "n", "nid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, wide = None, False
-        band: list[tuple[int, int, int]] = []  # (n, nid, pos): the latest rows within reach, a few of them, and the leader
+        band: list[tuple[int, int, int]] = []  # (n, nid, pos): the latest rows, of those within reach
+        early: list[tuple[int, int, int]] = []  # a key's rows as long as nothing was left out
         leader, since = None, 0
         for batch in batches:
-            key, salt, parts, pos, n, nid = (batch.column(i).to_numpy() for i in range(6))
+            key, salt, pos, n, nid = (batch.column(i).to_numpy() for i in range(5))
             # Most keys have one row: they need no loop.
             same = np.zeros(len(key), bool)
             same[1:] = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1])
-            joins = last is not None and len(key) and (key[0], salt[0]) == last
             lively = same.copy()
             lively[:-1] |= same[1:]
+            lively |= salt != 0
             if len(key):
-                lively[0] |= joins
+                lively[0] |= last == (int(key[0]), int(salt[0]))
                 lively[-1] = True  # the next batch may go on with it
-            pairs, swept = [], []
+            pairs: dict[tuple[int, int], None] = {}
+            members: list[tuple[int, int, int, int]] = []  # nid, key, n, pos
             for i in np.flatnonzero(lively).tolist():
                 now = (int(key[i]), int(salt[i]))
                 if now != last:
-                    last, wide, band, leader, since = now, False, [], None, 0
-                m, me, p = int(n[i]), int(nid[i]), int(pos[i])
-                kept = [x for x in band if DEN * x[0] >= NUM * m]
-                if (parts[i] > 1 or since >= NARROW) and not wide:
-                    wide = True
-                    swept.append(now[0])
-                partners = kept[-NARROW:] if since < NARROW else kept[-2:]
-                if leader is not None and since >= NARROW and DEN * leader[0] >= NUM * m and leader not in partners:
-                    partners.append(leader)
+                    last, wide, band, early, leader, since = now, now[1] > 0, [], [], None, 0
+                me = (int(n[i]), int(nid[i]), int(pos[i]))
+                kept = [x for x in band if DEN * x[0] >= NUM * me[0]]
+                partners = kept
+                if len(kept) > NARROW:  # more rows are in reach than are paired
+                    partners = kept[-2:]
+                    if not wide and now[1] >= 0:
+                        wide = True
+                        members += [(y, now[0], x, z) for x, y, z in early]
+                    if leader is not None and DEN * leader[0] >= NUM * me[0] and leader not in partners:
+                        partners = [*partners, leader]
+                if wide and now[1] >= 0:
+                    members.append((me[1], now[0], me[0], me[2]))
+                else:
+                    early.append(me)
                 for size, other, q in partners:
-                    if min(size - q, m - p) >= least_overlap(size, m):
-                        pairs.append((min(other, me), max(other, me)))
+                    if min(size - q, me[0] - me[2]) >= least_overlap(size, me[0]):
+                        pairs[min(other, me[1]), max(other, me[1])] = None
                 if leader is None or since % LEADER == 0:
-                    leader = (m, me, p)
-                band = [*kept[-NARROW:], (m, me, p)]
+                    leader = me
+                band = [*kept[-NARROW:], me]
                 since += 1
-            done = dict.fromkeys(pairs)
-            a = [x for x, _ in done] + [None] * len(swept)
-            b = [y for _, y in done] + [None] * len(swept)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([None] * len(done) + swept, pa.int64())], ["a", "b", "key"])
+            none, nones = [None] * len(members), [None] * len(pairs)
+            columns = ([x for x, _ in pairs] + [x[0] for x in members], [y for _, y in pairs] + none, *(nones + [x[k] for x in members] for k in (1, 2, 3)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "key", "n", "pos"])
+
+    key_rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    return dealt.mapInArrow(run, "a long, b long, key long, n long, pos long")
+
+
+class _Forest:
+    """Components of a tile, joined as links are found."""
+
+    def __init__(self) -> None:
+        self.top: dict[int, int] = {}
 
-    key_rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    return dealt.mapInArrow(run, "a long, b long, key long")
+    def root(self, x: int) -> int:
+        while (y := self.top.get(x, x)) != x:
+            self.top[x] = self.top.get(y, y)
+            x = y
+        return x
 
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        self.top[max(a, b)] = min(a, b)
 
-def _arrays(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(nid, shingles) of the wanted sets (nid), from their texts. Rows that repeat an id are told apart by their digest."""
-    keys = sets.join(wanted, "nid", "left_semi").select("nid", F.col("id").alias("own"), "sid")
-    joined = docs.select("id", "text").join(keys, F.col("id").eqNullSafe(F.col("own"))).select("nid", "sid", "text")
+
+def _reach(side: list[int], n: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of a tile with those it has to meet and whose size is within reach: side 0 meets 1, side 2 meets itself."""
+    right = np.array([k for k, x in enumerate(side) if x in (1, 2)], np.int64)
+    for i in (k for k, x in enumerate(side) if x in (0, 2)):
+        js = right[right > i] if side[i] == 2 else right
+        js = js[DEN * np.minimum(n[js], n[i]) >= NUM * np.maximum(n[js], n[i])]
+        if len(js):
+            yield i, js
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each unit, from batches in which units lie together; a unit's rows that repeat a nid and side count once."""
+    now, held = None, {}
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[0] != now:
+                if len(held) > 1:
+                    yield list(held.values())
+                now, held = row[0], {}
+            held[row[1], row[3]] = row
+    if len(held) > 1:
+        yield list(held.values())
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    small_batches(rows)
+    return rows.repartition(shuffle_partitions(rows.sparkSession), "unit").sortWithinPartitions("unit")
+
+
+def _alive(units: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows (unit, side, comp, nid, id, sid) of units that have a partner in another component whose bitmap does not rule it out."""
+    rows = units.join(sets.select("nid", "id", "sid", "n", "bits").hint("merge"), "nid").select("unit", "side", "comp", "nid", "n", "bits", "id", "sid")
+    kind = dict(sets.dtypes)["id"]
+    fields = f"unit long, side int, comp long, nid long, id {kind}, sid binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = iter(batches)
+        head = next(batches, None)
+        if head is None:
+            return
+        id_type = head.schema.field("id").type
+        out: list[tuple] = []
+
+        def packed() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), id_type, pa.binary())
+            columns = [pa.array([x[i] for x in out], k) for i, k in zip((0, 1, 2, 3, 6, 7), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, ["unit", "side", "comp", "nid", "id", "sid"])
+
+        def again() -> Iterator[pa.RecordBatch]:
+            yield head
+            yield from batches
+
+        for tile in _tiles(again()):
+            n = np.array([x[4] for x in tile])
+            comp = np.array([x[2] for x in tile])
+            raw = [np.frombuffer(x[5], np.uint8) for x in tile]
+            least = min(map(len, raw))
+            grids = {}
+            while least <= max(map(len, raw)):  # all bitmaps at the lengths that occur, as far as they reach
+                if any(len(r) == least for r in raw):
+                    fits = np.array([k for k, r in enumerate(raw) if len(r) >= least])
+                    place = np.full(len(raw), -1)
+                    place[fits] = np.arange(len(fits))
+                    grids[least] = (np.array([folded(raw[k], least) for k in fits]).view(np.uint64), place)
+                least *= 2
+            live = np.zeros(len(tile), bool)
+            sizes = np.array([len(r) for r in raw])
+            for i, js in _reach([x[1] for x in tile], n):
+                js = js[comp[js] != comp[i]]
+                common = np.minimum(sizes[js], sizes[i])
+                for size in np.unique(common).tolist():
+                    part = js[common == size]
+                    grid, place = grids[size]
+                    apart = np.bitwise_count(grid[place[part]] ^ grid[place[i]]).sum(axis=1, dtype=np.int64)
+                    ok = (n[part] + n[i] - apart) // 2 >= -(-NUM * (n[part] + n[i]) // (NUM + DEN))
+                    live[part[ok]] = True
+                    live[i] |= ok.any()
+            out += [tile[k] for k in np.flatnonzero(live)]
+            if len(out) > 5000:
+                yield packed()
+                out = []
+        yield packed()
+
+    return _dealt(rows).mapInArrow(run, fields)
+
+
+def _with_arrays(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows (unit, side, comp, nid, shingles) of rows (unit, side, comp, nid, id, sid).
+
+    Texts whose id is wanted by no row are left out by a bitmap of fixed size
+    over hashes of the ids, so their sets are not shuffled. Rows that repeat an
+    id are told apart by their digest.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 20)).cast("int")
+    got = rows.select(slot("id").alias("slot")).distinct().toArrow()  # bounded by the bitmap's size
+    wanted = np.zeros(1 << 20, bool)
+    wanted[got["slot"].to_numpy()] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+    kind = dict(docs.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            rows = [(k, s.tobytes()) for k, sid, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2)), strict=True) if set_digest(s) == sid]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], ["nid", "shingles"])
+            batch = batch.filter(pa.array(bits[batch.column(2).to_numpy()]))
+            if batch.num_rows:
+                sets = list(shingle_sets(batch.column(1)))
+                columns = [batch.column(0), pa.array([set_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["own", "own_sid", "shingles"])
 
     small_batches(docs)
-    return joined.mapInArrow(run, "nid long, shingles binary")
+    made = docs.select("id", "text", slot("id").alias("slot")).mapInArrow(run, f"own {kind}, own_sid binary, shingles binary")
+    both = made.join(rows.hint("merge"), F.col("id").eqNullSafe(F.col("own")) & (F.col("sid") == F.col("own_sid")))
+    return both.select("unit", "side", "comp", "nid", "shingles")
 
 
-def _settled(units: DataFrame, arrays: DataFrame) -> DataFrame:
-    """Links (a, b) of the units (unit, side, comp, nid), each of which fits in memory.
+def _settled(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of rows (unit, side, comp, nid, shingles), by the sorted arrays.
 
-    A unit's rows of side 0 meet those of side 1; side 2 is both. Rows of one
-    component are not compared, and links found join components at once.
+    Rows of one component are not compared, and links found join components at once.
     """
-    rows = units.join(arrays.dropDuplicates(["nid"]), "nid").select("unit", "side", "comp", "nid", "shingles")
-    dealt = rows.repartition(shuffle_partitions(units.sparkSession), "unit").sortWithinPartitions("unit")
-
-    def settle(side: list[int], comp: list[int], nid: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        top: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (y := top.get(x, x)) != x:
-                top[x] = top.get(y, y)
-                x = y
-            return x
-
-        n = np.array([len(s) for s in sets])
-        maps = np.array([bitmap(s) for s in sets])
-        right = np.array([k for k, x in enumerate(side) if x in (1, 2)], np.int64)
-        out = []
-        for i in (k for k, x in enumerate(side) if x in (0, 2)):
-            js = right[right > i] if side[i] == 2 else right
-            js = js[(DEN * np.minimum(n[js], n[i]) >= NUM * np.maximum(n[js], n[i]))]
-            if not len(js):
-                continue
-            apart = np.bitwise_count(maps[js] ^ maps[i]).sum(axis=1)
-            most = (n[js] + n[i] - apart) // 2
-            for j in js[most >= -(-NUM * (n[js] + n[i]) // (NUM + DEN))].tolist():
-                a, b = root(comp[i]), root(comp[j])
-                if a != b and linked(sets[i], sets[j]):
-                    top[max(a, b)] = min(a, b)
-                    out.append((min(nid[i], nid[j]), max(nid[i], nid[j])))
-        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, ([], [], [], [])
-        for batch in batches:
-            links = []
-            for unit, side, comp, nid, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if unit != now:
-                    links += settle(*held) if len(held[0]) > 1 else []
-                    now, held = unit, ([], [], [], [])
-                for to, x in zip(held, (side, comp, nid, np.frombuffer(raw, np.uint64)), strict=True):
-                    to.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
-        links = settle(*held) if len(held[0]) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
-
-    small_batches(units)
-    return dealt.mapInArrow(run, "a long, b long")
-
-
-def _rest(key_rows: DataFrame, swept: DataFrame, comps: DataFrame) -> DataFrame:
-    """Units of the keys that were swept in part and still join several components."""
-    rows = key_rows.where("salt >= 0").join(swept, "key", "left_semi").select("key", "nid", "n")
-    rows = rows.join(comps.select(F.col("node").alias("nid"), "comp"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+        links: list[tuple[int, int]] = []
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+        for tile in _tiles(batches):
+            sets = [np.frombuffer(x[4], np.uint64) for x in tile]
+            forest = _Forest()
+            for i, js in _reach([x[1] for x in tile], np.array([len(s) for s in sets])):
+                for j in js.tolist():
+                    a, b = tile[i][2], tile[j][2]
+                    if forest.root(a) != forest.root(b) and linked(sets[i], sets[j]):
+                        forest.join(a, b)
+                        links.append((min(tile[i][3], tile[j][3]), max(tile[i][3], tile[j][3])))
+            if len(links) > 5000:
+                yield packed()
+                links = []
+        yield packed()
+
+    return _dealt(rows).mapInArrow(run, "a long, b long")
+
+
+def _links(docs: DataFrame, sets: DataFrame, units: DataFrame) -> DataFrame:
+    """The links that units (unit, side, comp, nid) hold."""
+    return written(_settled(_with_arrays(docs, written(_alive(units, sets), "alive"))), "links")
+
+
+def _rest(swept: DataFrame, comps: DataFrame) -> DataFrame:
+    """Units (unit, side, comp, nid, n, pos) of the rows (key, nid, n, pos) of keys that were swept in part and still join several components.
+
+    A key of few rows is a unit. The rows of others form bands of sizes, a band
+    tiles of some TILE rows; a tile meets the tiles of its band and of the next.
+    Rows are narrow: sizes and places alone.
+    """
+    rows = swept.join(comps.select(F.col("node").alias("nid"), "comp"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     rows = written(rows, "rest")
-    # Keys with the same rows need one pass: count and two sums of hashes stand for the rows.
-    marks = rows.groupBy("key").agg(
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"),
-        F.bit_xor(F.xxhash64("nid")).alias("x"), F.sum(F.xxhash64("nid").bitwiseAND(F.lit((1 << 40) - 1))).alias("s"),
-    ).where("lo <> hi")
-    chosen = marks.groupBy("c", "x", "s").agg(F.min("key").alias("key")).select("key")
-    rows = rows.join(written(chosen, "keys"), "key", "left_semi")
+    keys = written(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi").select("key", "rows"), "keys")
+    small = rows.join(keys.where("rows <= 512").select("key"), "key", "left_semi").select(F.col("key").alias("unit"), F.lit(2).alias("side"), "comp", "nid", "n", "pos")
+    rows = rows.join(keys.where("rows > 512").select("key"), "key", "left_semi")
     rows = rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(DEN / NUM)) + F.lit(1e-9)).cast("int"))
     sizes = written(rows.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")), "bands")
     around = sizes.select("key", "tiles", F.explode(F.array(*[(F.col("band") + d).alias("d") for d in (-1, 0, 1)])).alias("of"), F.col("band").alias("other"))
     rows = rows.join(sizes, ["key", "band"]).withColumn("tile", F.pmod(F.xxhash64("nid"), F.col("tiles")).cast("int")).drop("tiles")
-    met = rows.join(around, (rows["key"] == around["key"]) & (rows["band"] == around["of"])).select(rows["key"], "band", "tile", "other", "tiles", "nid", "comp")
+    met = rows.join(around, (rows["key"] == around["key"]) & (rows["band"] == around["of"])).select(rows["key"], "band", "tile", "other", "tiles", "nid", "comp", "n", "pos")
     met = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     mine, theirs = F.struct("band", "tile"), F.struct(F.col("other").alias("band"), F.col("j").alias("tile"))
-    unit = F.concat_ws("/", "key", F.least(mine, theirs).cast("string"), F.greatest(mine, theirs).cast("string"))
+    # A hash names the pair of tiles; should two pairs fall together, their rows meet too, which does no harm.
+    unit = F.xxhash64("key", F.least(mine, theirs), F.greatest(mine, theirs))
     side = F.when(mine == theirs, 2).when(mine < theirs, 0).otherwise(1)
-    units = written(met.select(unit.alias("unit"), side.alias("side"), "comp", "nid"), "tiles")
-    live = units.groupBy("unit").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("side").alias("s0"), F.max("side").alias("s1")).where("lo <> hi AND (s1 = 2 OR s0 <> s1)")
-    return units.join(written(live.select("unit"), "live"), "unit", "left_semi")
+    return small.unionByName(met.select(unit.alias("unit"), side.alias("side"), "comp", "nid", "n", "pos"))
+
+
+def _sifted(units: DataFrame) -> DataFrame:
+    """Units (unit, side, comp, nid) of the rows whose sizes and places leave a link open.
+
+    Where few pairs of a tile remain, each pair's rows meet under the pair's
+    first; where many do, the tile stays as it is. Of all keys that a pair
+    shares, the bound by places holds at the first, so no link is lost.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[tuple, None] = {}
+
+        def packed() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["unit", "side", "comp", "nid"])
+
+        for tile in _tiles(batches):
+            n, pos, comp = (np.array([x[i] for x in tile]) for i in (4, 5, 2))
+            found: list[tuple[int, int]] = []
+            for i, js in _reach([x[1] for x in tile], n):
+                js = js[comp[js] != comp[i]]
+                open_ = np.minimum(n[js] - pos[js], n[i] - pos[i]) >= -(-NUM * (n[js] + n[i]) // (NUM + DEN))
+                found += [(i, j) for j in js[open_].tolist()]
+            if len(found) <= 4 * len(tile):
+                for i, j in found:
+                    a, b = (tile[i], tile[j]) if tile[i][3] < tile[j][3] else (tile[j], tile[i])
+                    out[a[3], 0, a[2], a[3]] = None
+                    out[a[3], 1, b[2], b[3]] = None
+            else:
+                for k in {x for p in found for x in p}:
+                    out[tile[k][:4]] = None
+            if len(out) > 20000:
+                yield packed()
+                out = {}
+        yield packed()
+
+    return _dealt(units).mapInArrow(run, "unit long, side int, comp long, nid long").distinct()
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,27 +474,22 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     small_batches(docs)
-    sets = _prepared(docs, frequency_table(docs))
+    sketch = frequency_table(docs)
+    sets = _prepared(docs, sketch)
     first = written(sets.where("n > 0").groupBy("sid").agg(F.min("nid").alias("rep")), "reps")
-    reps = sets.join(first.select(F.col("rep").alias("nid")), "nid", "left_semi")
-    key_rows = _key_rows(reps)
-    found = written(_candidates(key_rows), "pairs")
-    pairs = written(found.where("a IS NOT NULL").select("a", "b").distinct(), "pairs")
-    both = pairs.select(F.col("a").cast("string").alias("unit"), F.lit(1).alias("side"), F.col("b").alias("nid"))
-    lead = pairs.select(F.col("a").cast("string").alias("unit"), F.lit(0).alias("side"), F.col("a").alias("nid")).distinct()
-    units = both.unionByName(lead).withColumn("comp", F.col("nid"))
-    arrays = _arrays(docs, sets, units.select("nid").distinct())
-    links = written(_settled(units, arrays), "links")
+    reps = sets.join(first.select(F.col("rep").alias("nid")).hint("merge"), "nid", "left_semi")
+    found = written(_candidates(_key_rows(reps, sketch)), "found")
+    pairs = written(found.where("b IS NOT NULL").select("a", "b").distinct(), "pairs")
+    both = pairs.select(F.col("a").alias("unit"), F.lit(1).alias("side"), F.col("b").alias("nid"))
+    lead = pairs.select(F.col("a").alias("unit"), F.lit(0).alias("side"), F.col("a").alias("nid")).distinct()
+    links = _links(docs, sets, both.unionByName(lead).select("unit", "side", F.col("nid").alias("comp"), "nid"))
     comps = components(links)
-    swept = found.where("key IS NOT NULL").select("key").distinct()
-    if not swept.isEmpty():
-        units = _rest(key_rows, written(swept, "swept"), comps)
-        if not units.isEmpty():
-            arrays = _arrays(docs, sets, units.select("nid").distinct())
-            links = written(links.unionByName(_settled(units, arrays)), "links")
-            comps = components(links)
+    units = _rest(found.where("key IS NOT NULL").select("key", F.col("a").alias("nid"), "n", "pos"), comps)
+    more = _links(docs, sets, written(_sifted(units), "sifted"))
+    if not more.isEmpty():
+        comps = components(links.unionByName(more))
     groups = first.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("sid", F.coalesce("comp", "rep").alias("comp"))
-    rows = sets.select("nid", "id", "mark", "n", "sid").join(written(groups, "groups"), "sid", "left")
+    rows = sets.select("nid", "id", "mark", "n", "sid").join(written(groups, "groups").hint("merge"), "sid", "left")
     rows = written(rows.select("nid", "id", "mark", "n", F.coalesce("comp", "nid").alias("comp")), "rows")
     names = rows.groupBy("comp").agg(F.min("id").alias("name"), F.min(F.struct(F.col("id").isNull(), "id", "nid")).alias("k"), F.count(F.lit(1)).alias("size"))
     names = written(names.select("comp", "name", F.col("k.nid").alias("keep"), "size").where("size > 1"), "names")
