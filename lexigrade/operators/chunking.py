@@ -88,14 +88,8 @@ def repaired(rows: DataFrame, lines_col: str, words: DataFrame | None) -> DataFr
     tagged = rows.withColumn("__lines", lines).withColumn("__row", F.monotonically_increasing_id())
     if words is None:
         return tagged.withColumn("repaired", F.array_join("__lines", " ")).drop("__lines", "__row")
-    # Tails may grow by whole one-word lines: candidates are all runs of such lines.
-    heads = F.transform(F.col("__lines"), lambda x: F.regexp_extract(x, _HEAD, 1))
-    tails = F.transform(F.col("__lines"), lambda x: F.regexp_extract(x, _TAIL, 1))
-    pairs = F.flatten(F.transform(tails, lambda t: F.transform(heads, lambda h: F.concat(t, h))))
-    near = F.zip_with(F.slice(tails, F.lit(1), F.greatest(F.size(tails) - 1, F.lit(0))), F.slice(heads, F.lit(2), F.greatest(F.size(heads) - 1, F.lit(0))), lambda t, h: F.concat(t, h))
-    single = F.exists(F.col("__lines"), lambda x: x.rlike("^[0-9A-Za-z가-힣]+$"))
-    runs = F.when(single, F.array_distinct(F.concat(pairs, _runs(F.col("__lines"))))).otherwise(F.array_distinct(near))
-    asked = tagged.select("__row", F.explode(runs).alias("word"))
+    asked = F.array_distinct(_joined_words(F.col("__lines")))
+    asked = tagged.select("__row", F.explode(asked).alias("word"))
     known = asked.join(words.select("word").distinct(), "word").groupBy("__row").agg(F.collect_set("word").alias("__known"))
     both = tagged.join(known, "__row", "left")
 
@@ -107,14 +101,14 @@ def repaired(rows: DataFrame, lines_col: str, words: DataFrame | None) -> DataFr
     return both.withColumn("repaired", F.aggregate("__lines", F.lit(""), step)).drop("__lines", "__row", "__known")
 
 
-def _runs(lines: Column) -> Column:
-    """Words that arise where one-word lines are joined to those before them and to the next line's head."""
-    zero = F.struct(F.lit("").alias("tail"), F.array().cast("array<string>").alias("out"))
+def _joined_words(lines: Column) -> Column:
+    """Every word that may arise at a break: a tail may be the last word of the line before, or that line whole with what precedes it."""
+    zero = F.struct(F.array().cast("array<string>").alias("tails"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, line: Column) -> Column:
-        word = F.concat(acc["tail"], F.regexp_extract(line, _HEAD, 1))
-        tail = F.when(line.rlike("^[0-9A-Za-z가-힣]+$"), word).otherwise(F.regexp_extract(line, _TAIL, 1))
-        return F.struct(tail.alias("tail"), F.concat(acc["out"], F.array(word)).alias("out"))
+        head, whole = F.regexp_extract(line, _HEAD, 1), line.rlike("^[0-9A-Za-z가-힣]+$")
+        tails = F.when(whole, F.concat(F.transform(acc["tails"], lambda t: F.concat(t, line)), F.array(line))).otherwise(F.array(F.regexp_extract(line, _TAIL, 1)))
+        return F.struct(tails.alias("tails"), F.concat(acc["out"], F.transform(acc["tails"], lambda t: F.concat(t, head))).alias("out"))
 
     return F.aggregate(lines, zero, step)["out"]
 

@@ -268,8 +268,8 @@ _add("h30_objective_points", h30_objective_points, f"WITH {_SQL_ROWS} SELECT bli
 
 
 def h31_answer_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Hard, soft and retrieval recall of answered questions only: documents of odd id."""
-    rows = facts(spark, sf).where("doc_id % 2 = 1")
+    """Hard and soft recall of answered questions only; labelled documents stand for them."""
+    rows = facts(spark, sf).join(table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
     per = rows.groupBy("doc_id").agg(F.avg(metrics.hard_covered("answer", "fact").cast("double")).alias("hard"), F.avg(metrics.soft_recall("answer", "fact")).alias("soft"), F.first(F.char_length("answer")).alias("chars"))
     return per.select("doc_id", F.round("hard", 6).alias("hard"), F.round("soft", 6).alias("soft"), "chars")
 
@@ -277,7 +277,7 @@ def h31_answer_report(spark: SparkSession, sf: str) -> DataFrame:
 _add(
     "h31_answer_report",
     h31_answer_report,
-    f"""WITH {_SQL_FACTS}, w AS (SELECT doc_id, length(answer) AS chars, {sql_no_space('fact')} AS f, {sql_no_space('answer')} AS a FROM fa WHERE doc_id % 2 = 1), gr AS (SELECT *, list_distinct({sql_grams('f', 3)}) AS gf, list_distinct({sql_grams('a', 3)}) AS ga FROM w)
+    f"""WITH {_SQL_FACTS}, w AS (SELECT doc_id, length(answer) AS chars, {sql_no_space('fact')} AS f, {sql_no_space('answer')} AS a FROM fa WHERE doc_id IN (SELECT doc_id FROM labels)), gr AS (SELECT *, list_distinct({sql_grams('f', 3)}) AS gf, list_distinct({sql_grams('a', 3)}) AS ga FROM w)
     SELECT doc_id, round(avg(({_sql_window('f', 'a', 8)})::INT::DOUBLE), 6) AS hard, round(avg(CASE WHEN len(gf) > 0 THEN len(list_intersect(gf, ga))::DOUBLE / len(gf) ELSE 0 END), 6) AS soft, CAST(max(chars) AS INT) AS chars FROM gr GROUP BY doc_id""",
 )
 _add(

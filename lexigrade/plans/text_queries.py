@@ -114,7 +114,7 @@ _add(
 def b10_repair_wraps(spark: SparkSession, sf: str) -> DataFrame:
     """Lines broken after every twelfth character, joined again by the vocabulary of all documents."""
     docs = table(spark, sf, _DOCS)
-    rows = docs.select("doc_id", F.transform(F.split(F.regexp_replace(F.substring("text", 1, 600), "(?s)(.{12})", "$1\x03"), "[\x03\n]"), lambda x: F.trim(x)).alias("lines"))
+    rows = docs.select("doc_id", F.transform(F.split(F.regexp_replace("text", "(?s)(.{12})", "$1\x03"), "[\x03\n]"), lambda x: F.trim(x)).alias("lines"))
     out = chunking.repaired(rows, "lines", chunking.vocabulary(docs, "text"))
     return out.select("doc_id", F.char_length("repaired").alias("n"), F.md5(F.col("repaired").cast("binary")).alias("digest"))
 
@@ -124,7 +124,7 @@ _add(
     b10_repair_wraps,
     """WITH v AS (SELECT map_from_entries(list(DISTINCT {'k': w, 'v': true})) AS m FROM (SELECT unnest(regexp_extract_all(text, '[0-9A-Za-z가-힣]+')) AS w FROM documents)),
     l AS (
-      SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(substr(text, 1, 600), '(.{12})', '\\1' || chr(3), 'gs'), '[\\x03\\n]'), lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents
+      SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '(.{12})', '\\1' || chr(3), 'gs'), '[\\x03\\n]'), lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents
     ), r AS (
       SELECT doc_id, list_reduce(ls, lambda a, x: CASE
         WHEN regexp_matches(a, '[0-9A-Za-z가-힣]$') AND regexp_matches(x, '^[0-9A-Za-z가-힣]')
