@@ -93,12 +93,17 @@ def repaired(rows: DataFrame, lines_col: str, words: DataFrame | None) -> DataFr
     known = asked.join(words.select("word").distinct(), "word").groupBy("__row").agg(F.collect_set("word").alias("__known"))
     both = tagged.join(known, "__row", "left")
 
-    def step(out: Column, line: Column) -> Column:
-        tail, head = F.regexp_extract(out, _TAIL, 1), F.regexp_extract(line, _HEAD, 1)
-        joins = (tail != "") & (head != "") & F.coalesce(F.array_contains("__known", F.concat(tail, head)), F.lit(False))
-        return F.when(out == "", line).when(joins, F.concat(out, line)).otherwise(F.concat(out, F.lit(" "), line))
+    zero = F.struct(F.lit("").alias("tail"), F.lit("").alias("out"))
 
-    return both.withColumn("repaired", F.aggregate("__lines", F.lit(""), step)).drop("__lines", "__row", "__known")
+    def step(acc: Column, line: Column) -> Column:
+        head = F.regexp_extract(line, _HEAD, 1)
+        joins = (acc["tail"] != "") & (head != "") & F.coalesce(F.array_contains("__known", F.concat(acc["tail"], head)), F.lit(False))
+        # The tail of what is built: a line that is one word carries on the word that it was joined to.
+        tail = F.when(line.rlike("^[0-9A-Za-z가-힣]+$"), F.concat(F.when(joins, acc["tail"]).otherwise(F.lit("")), line)).otherwise(F.regexp_extract(line, _TAIL, 1))
+        gap = F.when((acc["out"] == "") | joins, F.lit("")).otherwise(F.lit(" "))
+        return F.struct(tail.alias("tail"), F.concat(acc["out"], gap, line).alias("out"))
+
+    return both.withColumn("repaired", F.aggregate("__lines", zero, step)["out"]).drop("__lines", "__row", "__known")
 
 
 def _joined_words(lines: Column) -> Column:
