@@ -51,11 +51,13 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str, scale: float = SCALE)
 
 
 def fit_marks(rows: DataFrame, cells: int = CELLS, sample: int = SAMPLE) -> dict[int, np.ndarray]:
-    """Marks between the cells, per length of vector, from the sample of least id hashes. Marks affect speed only."""
-    some = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
+    """Marks between the cells, per length of vector, from about ``sample`` vectors that a hash of the id picks. Marks affect speed only."""
+    every = max(1, -(-rows.count() // sample))
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).toPandas()
     out: dict[int, np.ndarray] = {}
     for size in {len(v) for v in some["v"]}:
-        block = np.array([v for v in some["v"] if len(v) == size], np.int64).reshape(-1, size)
+        own = [v for v in some["v"] if len(v) == size]
+        block = np.array(own, np.int64).reshape(len(own), size)
         out[size] = np.quantile(block, np.arange(1, cells) / cells, axis=0, method="nearest").astype(np.int64)  # (cells - 1, size)
     return out
 
