@@ -110,13 +110,20 @@ def words(c: Text, pattern: str) -> Column:
 
 
 def grams(c: Text, n: int) -> Column:
-    """All runs of n characters, in order. Shifted copies of the characters are zipped, so the cost is linear."""
-    chars, size = F.split(col(c), ""), F.char_length(col(c))
-    some = F.greatest(size - n + 1, F.lit(0))
-    out = F.slice(chars, F.lit(1), some)
+    """All runs of n characters, in order, in linear time.
+
+    An empty match that looks ahead yields the run at every place. Places are
+    UTF-16 units, so texts with characters beyond the first plane go by zipping
+    shifted copies of their characters.
+    """
+    text = col(c)
+    fast = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    chars, some = F.split(text, ""), F.greatest(F.char_length(text) - n + 1, F.lit(0))
+    slow = F.slice(chars, F.lit(1), some)
     for k in range(1, n):
-        out = F.zip_with(out, F.slice(chars, F.lit(k + 1), some), lambda x, y: F.concat(x, y))
-    return F.when(size >= n, out).otherwise(F.array().cast(NONE))
+        slow = F.zip_with(slow, F.slice(chars, F.lit(k + 1), some), lambda x, y: F.concat(x, y))
+    slow = F.when(F.char_length(text) >= n, slow).otherwise(F.array().cast(NONE))
+    return F.when(text.rlike(r"[\x{10000}-\x{10FFFF}]"), slow).otherwise(fast)
 
 
 def word_tokens(c: Text) -> Column:

@@ -28,6 +28,12 @@ def test_particle_tokens(spark, text, tokens):
     assert one(spark, T.particle_tokens("t"), t=text) == tokens.split()
 
 
+@pytest.mark.parametrize("text", ["", "a", "ab", "가나다라", "a😀b漢😀", "x\ny z"])
+def test_grams(spark, text):
+    for n in (2, 3, 5):
+        assert one(spark, T.grams("t", n), t=text) == [text[i : i + n] for i in range(len(text) - n + 1)]
+
+
 def test_token_sets(spark):
     assert set(one(spark, T.set_tokens("t"), t="제10조 [1] 2시간")) == {"제10조", "2시간"}
     assert one(spark, T.content_tokens("t"), t="담당자 1인만 이용할 수 있으며") == ["담당자", "인만", "이용할", "있으며"]
