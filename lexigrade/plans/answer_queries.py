@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from ..operators import answers, fitting, index, metrics, quality, retrieval
-from .base import WS, sql_grams, sql_no_space, sql_trim, sql_words, table
-from .metric_queries import _SQL_FACTS, _SQL_SETS, SQL_PAIRS, _SQL_AXES, facts, pairs, set_pairs, axes
+from ..operators import answers, fitting, metrics, quality, retrieval
+from .base import WS, sql_grams, sql_no_space, sql_trim, table
+from .metric_queries import _SQL_AXES, _SQL_SETS, SQL_PAIRS, axes, pairs, set_pairs
 from .retrieval_queries import SQL_GOLD, _SQL_TOP4, gold, hits4, questions
 
 QUERIES, ORACLES = {}, {}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.fixed import SUFFIXES
 from ..operators import metrics
-from .base import hangul, sql_grams, sql_hangul, sql_no_space, sql_stem, sql_words, table
+from .base import hangul, sql_grams, sql_hangul, sql_no_space, sql_stem, table
 from .text_queries import _STOPS
 
 QUERIES, ORACLES = {}, {}
