@@ -18,7 +18,8 @@ Two documents link when 100 * intersection >= 80 * union. The join is exact:
 5. Links give components. Keys whose band was wide and whose rows are not all in
    one component get the rest: size-banded tiles of bounded row count, each
    against itself and those within reach, where rows of one component need no
-   further comparison. Then components are drawn again.
+   further comparison: first a few pairs of each two components, then all that
+   are still apart. Then components are drawn again.
 
 Tables that grow with the data are joined by merging, at every size.
 Hence no link between different texts is lost, and a group of near copies costs
@@ -428,9 +429,13 @@ def _rest(swept: DataFrame, comps: DataFrame) -> DataFrame:
     return small.unionByName(met.select(unit.alias("unit"), side.alias("side"), "comp", "nid", "n", "pos"))
 
 
-def _sifted(units: DataFrame) -> DataFrame:
+def _sifted(units: DataFrame, most: int | None) -> DataFrame:
     """Units (unit, side, comp, nid) of the rows whose sizes and places leave a link open.
 
+    With ``most``, only so many pairs of each two components of a tile, those of
+    the closest sizes first: they join most components that can be joined, and
+    the round without ``most`` settles what is left.
+
     Where few pairs of a tile remain, each pair's rows meet under the pair's
     first; where many do, the tile stays as it is. Of all keys that a pair
     shares, the bound by places holds at the first, so no link is lost.
@@ -450,7 +455,17 @@ def _sifted(units: DataFrame) -> DataFrame:
                 js = js[comp[js] != comp[i]]
                 open_ = np.minimum(n[js] - pos[js], n[i] - pos[i]) >= -(-NUM * (n[js] + n[i]) // (NUM + DEN))
                 found += [(i, j) for j in js[open_].tolist()]
-            if len(found) <= 4 * len(tile):
+            if most is not None:
+                found.sort(key=lambda p: (abs(int(n[p[0]]) - int(n[p[1]])), *sorted((tile[p[0]][3], tile[p[1]][3]))))
+                taken: dict[tuple[int, int], int] = {}
+                few = []
+                for i, j in found:
+                    two = (min(comp[i], comp[j]), max(comp[i], comp[j]))
+                    taken[two] = taken.get(two, 0) + 1
+                    if taken[two] <= most:
+                        few.append((i, j))
+                found = few
+            if len(found) <= 64 * len(tile):
                 for i, j in found:
                     a, b = (tile[i], tile[j]) if tile[i][3] < tile[j][3] else (tile[j], tile[i])
                     out[a[3], 0, a[2], a[3]] = None
@@ -484,10 +499,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     lead = pairs.select(F.col("a").alias("unit"), F.lit(0).alias("side"), F.col("a").alias("nid")).distinct()
     links = _links(docs, sets, both.unionByName(lead).select("unit", "side", F.col("nid").alias("comp"), "nid"))
     comps = components(links)
-    units = _rest(found.where("key IS NOT NULL").select("key", F.col("a").alias("nid"), "n", "pos"), comps)
-    more = _links(docs, sets, written(_sifted(units), "sifted"))
-    if not more.isEmpty():
-        comps = components(links.unionByName(more))
+    swept = found.where("key IS NOT NULL").select("key", F.col("a").alias("nid"), "n", "pos")
+    for most in (3, None):
+        more = _links(docs, sets, written(_sifted(_rest(swept, comps), most), "sifted"))
+        if not more.isEmpty():
+            links = written(links.unionByName(more), "links")
+            comps = components(links)
     groups = first.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("sid", F.coalesce("comp", "rep").alias("comp"))
     rows = sets.select("nid", "id", "mark", "n", "sid").join(written(groups, "groups").hint("merge"), "sid", "left")
     rows = written(rows.select("nid", "id", "mark", "n", F.coalesce("comp", "nid").alias("comp")), "rows")
