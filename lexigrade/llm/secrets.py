@@ -21,7 +21,6 @@ gives no rows; other columns play no part.
 
 from __future__ import annotations
 
-import re
 import re._constants as sre
 import re._parser as sre_parser
 from collections.abc import Sequence

@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from compare import check
-from pyspark.sql import functions as F
 
 from lexigrade.llm import common, license_scan, mixing, quality, queries, secrets, sentencepieces, url_filter, winnow
 
