@@ -14,9 +14,12 @@ stripe past one block with the running results as thresholds. Each stripe's k
 best per query meet in one window at the end. Memory holds one block of queries
 and one batch of vectors.
 
+Scores are exact: products are summed in 64 bits where they provably fit, and
+in Python's integers where they might not. A score among the results that is
+beyond a long is an error, as it is in SQL.
+
 Defined cases: vectors that are null, hold nulls or non-finite components, or
-components beyond ``LIMIT`` (whose products would not fit a long) take no part;
-vectors of other lengths than the query's are no candidates; equal scores go
+components whose integer is beyond a long take no part; vectors of other lengths than the query's are no candidates; equal scores go
 to the smaller id; a row is never its own candidate, nor are rows that repeat
 its id; null ids take no part; fewer candidates give fewer rows; an empty table
 gives none; other columns play no part.
@@ -35,25 +38,30 @@ from .common import shuffle_partitions, table
 
 SCALE = 64.0
 CELLS = 32
-#: Components whose integer is larger in size take no part.
+#: Vectors with a component whose integer is this or larger in size travel as longs and form batches of their own.
 LIMIT = 1 << 28
+LONG = 1 << 63
+#: Sums of products below this, in doubles, fit a long.
+SAFE = float(1 << 62)
 #: Vectors that the marks are fitted on.
 SAMPLE = 4096
 QUERY_BLOCK = 1024
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, scale: float = SCALE) -> DataFrame:
-    """(id, v): ids and integer vectors of the rows that take part."""
+    """(id, v, w): ids and integer vectors of the rows that take part; those with a component beyond ``LIMIT`` are in w, the others in v."""
     x = F.col(vec_col).cast("array<double>")
     ok = F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()
-    good = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e * scale) < LIMIT))
-    return vectors.where(ok).where(F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e * scale).cast("int")).alias("v"))
+    good = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (e * scale >= float(-LONG)) & (e * scale < float(LONG)))
+    small, ints = F.forall(x, lambda e: F.abs(e * scale) < LIMIT), F.transform(x, lambda e: F.floor(e * scale).cast("long"))
+    v, w = F.when(small, ints.cast("array<int>")), F.when(~small, ints)
+    return vectors.where(ok).where(F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), w.alias("w"))
 
 
 def fit_marks(rows: DataFrame, cells: int = CELLS, sample: int = SAMPLE) -> dict[int, np.ndarray]:
     """Marks between the cells, per length of vector, from about ``sample`` vectors that a hash of the id picks. Marks affect speed only."""
     every = max(1, -(-rows.count() // sample))
-    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).toPandas()
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).where("v IS NOT NULL").select("v").toPandas()
     out: dict[int, np.ndarray] = {}
     for size in {len(v) for v in some["v"]}:
         own = [v for v in some["v"] if len(v) == size]
@@ -79,6 +87,7 @@ class Best:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.vectors, self.k = ids, vectors, k
         self.plus, self.minus = np.maximum(vectors, 0).astype(np.float64), np.minimum(vectors, 0).astype(np.float64)
+        self.sums = np.abs(vectors.astype(np.float64)).sum(axis=1)
         self.scores: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, id), ascending
         self.read = 0
 
@@ -90,7 +99,7 @@ class Best:
         upper = self.plus @ hi.T + self.minus @ lo.T
         lower = self.plus @ lo.T + self.minus @ hi.T
         # Sums of products beyond 2**53 are rounded: widen the bounds by more than that.
-        slack = (np.abs(self.vectors).sum(axis=1).astype(np.float64) * max(1.0, float(np.abs(block).max(initial=0)))) * 1e-12
+        slack = self.sums * max(1.0, np.abs(block.astype(np.float64)).max(initial=0)) * max(1e-12, 4e-16 * block.shape[1])
         own = self.ids[:, None] == ids[None, :]
         lower[own] = -np.inf
         upper[own] = -np.inf
@@ -118,9 +127,13 @@ class Best:
                 if bound[0] < worst:
                     return
                 part = part[(bound > worst) | ((bound == worst) & (ids[part] < worst_id))]
-            exact = block[part] @ self.vectors[q]
             self.read += len(part)
-            if len(part) > k:  # of this part only the k best can stay
+            near = block[part]
+            if self.sums[q] * np.abs(near.astype(np.float64)).max(initial=0) < SAFE:
+                exact = near @ self.vectors[q]
+            else:  # products might not fit a long
+                exact = near.astype(object) @ self.vectors[q].astype(object)
+            if len(part) > k and exact.dtype != object:  # of this part only the k best can stay
                 keep = np.lexsort((ids[part], -exact))[:k]
                 part, exact = part[keep], exact[keep]
             have += [(-int(s), int(i)) for s, i in zip(exact, ids[part], strict=True)]
@@ -128,7 +141,8 @@ class Best:
             del have[k:]
 
 
-_OUT = "query_id long, score long, vec_id long"
+#: over says that a score is beyond a long, and on which side.
+_OUT = "query_id long, score long, over int, vec_id long"
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = SCALE, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -140,8 +154,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     blocks = max(1, -(-n_queries // query_block))
     stripes = max(1, -(-2 * shuffle_partitions(spark) // blocks))
     # A task is (block, stripe): its queries, then its vectors by id. Queries go to all stripes and vectors to all blocks.
-    a = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).select("block", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), F.lit(0).alias("side"), "id", "v")
-    b = rows.withColumn("stripe", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(stripes)).cast("int")).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "stripe", F.lit(1).alias("side"), "id", "v")
+    a = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).select("block", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), F.lit(0).alias("side"), "id", "v", "w")
+    b = rows.withColumn("stripe", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(stripes)).cast("int")).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "stripe", F.lit(1).alias("side"), "id", "v", "w")
     both = a.unionByName(b).withColumn("task", (F.col("block") * stripes + F.col("stripe")))
     dealt = both.repartitionById(blocks * stripes, F.col("task").cast("int")).sortWithinPartitions("block", "stripe", "side", "id")
 
@@ -149,33 +163,38 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
         wide: dict[int, tuple[list, list]] = {}
         best: dict[int, Best] = {}
         for batch in batches:
-            sides, ids = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            column = batch.column(3)
-            sizes = np.diff(column.offsets.to_numpy())
-            values, starts = column.values.to_numpy().astype(np.int64), column.offsets.to_numpy()
-            for size in np.unique(sizes).tolist():
-                at = np.flatnonzero(sizes == size)
-                block = values[starts[at][:, None] + np.arange(size)]
-                asks = sides[at] == 0
+            parts = []
+            for column in (batch.column(3), batch.column(4)):  # vectors of small and of large components
+                own = column.is_valid()
+                sides, ids, column = batch.column(1).filter(own).to_numpy(), batch.column(2).filter(own).to_numpy(), column.filter(own)
+                starts, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                sizes = np.diff(starts)
+                for size in np.unique(sizes).tolist():
+                    at = np.flatnonzero(sizes == size)
+                    parts.append((size, sides[at] == 0, ids[at], values[starts[at][:, None] + np.arange(size)]))
+            for size, asks, ids, block in parts:
                 if asks.any():
                     got = wide.setdefault(size, ([], []))
-                    got[0].append(ids[at][asks])
+                    got[0].append(ids[asks])
                     got[1].append(block[asks])
+            for size, asks, ids, block in parts:
                 if not asks.all() and size in wide:
                     if size not in best:
                         best[size] = Best(np.concatenate(wide[size][0]), np.concatenate(wide[size][1]), k)
                     known = np.array(marks[size], np.int64) if size in marks else np.zeros((0, size), np.int64)
-                    for s in range(0, len(at), 4096):
+                    for s in range(0, len(ids), 4096):
                         part = slice(s, s + 4096)
-                        best[size].meet(ids[at][part][~asks[part]], block[part][~asks[part]], known)
+                        best[size].meet(ids[part][~asks[part]], block[part][~asks[part]], known)
         for found in best.values():
-            flat = [(int(q), -s, i) for q, have in zip(found.ids, found.scores, strict=True) for s, i in have]
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in flat], pa.int64()) for c in range(3)], ["query_id", "score", "vec_id"])
+            flat = [(int(q), min(max(-s, -LONG), LONG - 1), (-s >= LONG) - (-s < -LONG), i) for q, have in zip(found.ids, found.scores, strict=True) for s, i in have]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in flat], kind) for c, kind in enumerate(kinds)], ["query_id", "score", "over", "vec_id"])
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    found = dealt.select("block", "side", "id", "v").mapInArrow(run, _OUT)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = dealt.select("block", "side", "id", "v", "w").mapInArrow(run, _OUT)
+    order = Window.partitionBy("query_id").orderBy(F.desc("over"), F.desc("score"), "vec_id")
+    score = F.when(F.col("over") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score is beyond a long")).cast("long"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))
 
 
 def op4_va_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

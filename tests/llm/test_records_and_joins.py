@@ -82,6 +82,31 @@ def test_top_k(spark):
     assert va_topk.top_k(table.where("false"), asked.where("false")).count() == 0
 
 
+def test_top_k_of_large_vectors(spark):
+    """Finite vectors of any size take part, exactly; a result beyond a long is an error."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(120, 4))
+    base[:60] *= 10.0 ** rng.integers(0, 7, (60, 1))
+    base[40:50] = base[40]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)] + [(200, [5e6, 0.0, 0.0, 0.0]), (201, [1e8, 1e8, 0.0, 0.0]), (202, [1.0, -1.0, 0.0, 0.0]), (203, [-1e17, 0.0, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows}
+    asked = [0, 20, 40, 60, 80, 100, 200, 201, 202]
+    for block in (1024, 3):
+        got: dict = {}
+        for r in va_topk.top_k(table.where("vec_id <> 203"), table.where(f"vec_id IN ({', '.join(map(str, asked))})"), k=10, query_block=block).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+        for q in asked:
+            best = sorted((-sum(a * b for a, b in zip(exact[q], exact[j], strict=True)), j) for j in exact if j not in (q, 203))[:10]
+            assert sorted(got[q]) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    far = table.where("vec_id IN (200, 202, 203)")
+    one = far.where("vec_id = 200")
+    assert [tuple(r) for r in va_topk.top_k(far, one, k=1).collect()] == [(200, 1, 202, 5 * 64**2 * 10**6)]
+    with pytest.raises(Exception, match="beyond a long"):
+        va_topk.top_k(far, one, k=2).collect()
+
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(3)
     block, queries = rng.integers(-60, 60, (500, 16)), rng.integers(-60, 60, (20, 16))
