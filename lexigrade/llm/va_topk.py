@@ -20,7 +20,8 @@ beyond a long is an error, as it is in SQL.
 
 Defined cases: vectors that are null, hold nulls or non-finite components, or
 components whose integer is beyond a long take no part; vectors of other lengths than the query's are no candidates; equal scores go
-to the smaller id; a row is never its own candidate, nor are rows that repeat
+to the smaller id; query rows that repeat an id are ranked each by its own
+vector, so an id given n times has n results of each rank; a row is never its own candidate, nor are rows that repeat
 its id; null ids take no part; fewer candidates give fewer rows; an empty table
 gives none; other columns play no part.
 """
@@ -84,8 +85,8 @@ def approximate(block: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.nd
 class Best:
     """The k best of a block of queries so far: scores, ids, and the thresholds that follow."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.ids, self.vectors, self.k = ids, vectors, k
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, keys: np.ndarray | None = None):
+        self.ids, self.vectors, self.k, self.keys = ids, vectors, k, keys
         self.plus, self.minus = np.maximum(vectors, 0).astype(np.float64), np.minimum(vectors, 0).astype(np.float64)
         self.sums = np.abs(vectors.astype(np.float64)).sum(axis=1)
         self.scores: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, id), ascending
@@ -142,7 +143,13 @@ class Best:
 
 
 #: over says that a score is beyond a long, and on which side.
-_OUT = "query_id long, score long, over int, vec_id long"
+_OUT = "query_id long, copy int, n long, score long, over int, vec_id long"
+
+
+def distinct_queries(asked: DataFrame) -> DataFrame:
+    """(id, v, w, copy, n): every different query once, n times asked for; copy numbers those of one id."""
+    once = asked.groupBy("id", "v", "w").agg(F.count(F.lit(1)).alias("n"))
+    return once.withColumn("copy", F.row_number().over(Window.partitionBy("id").orderBy("v", "w")))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = SCALE, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -154,47 +161,52 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     blocks = max(1, -(-n_queries // query_block))
     stripes = max(1, -(-2 * shuffle_partitions(spark) // blocks))
     # A task is (block, stripe): its queries, then its vectors by id. Queries go to all stripes and vectors to all blocks.
-    a = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).select("block", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), F.lit(0).alias("side"), "id", "v", "w")
-    b = rows.withColumn("stripe", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(stripes)).cast("int")).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "stripe", F.lit(1).alias("side"), "id", "v", "w")
+    a = distinct_queries(asked).withColumn("block", F.pmod(F.xxhash64("id", "copy"), F.lit(blocks)).cast("int")).select("block", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), F.lit(0).alias("side"), "id", "v", "w", "copy", "n")
+    b = rows.withColumn("stripe", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(stripes)).cast("int")).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "stripe", F.lit(1).alias("side"), "id", "v", "w", F.lit(0).alias("copy"), F.lit(0).cast("long").alias("n"))
     both = a.unionByName(b).withColumn("task", (F.col("block") * stripes + F.col("stripe")))
-    dealt = both.repartitionById(blocks * stripes, F.col("task").cast("int")).sortWithinPartitions("block", "stripe", "side", "id")
+    dealt = both.repartitionById(blocks * stripes, F.col("task").cast("int")).sortWithinPartitions("block", "stripe", "side", "id", "copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide: dict[int, tuple[list, list]] = {}
+        wide: dict[int, tuple[list, list, list]] = {}
         best: dict[int, Best] = {}
         for batch in batches:
             parts = []
             for column in (batch.column(3), batch.column(4)):  # vectors of small and of large components
                 own = column.is_valid()
-                sides, ids, column = batch.column(1).filter(own).to_numpy(), batch.column(2).filter(own).to_numpy(), column.filter(own)
+                sides, ids, copies, n = (batch.column(c).filter(own).to_numpy() for c in (1, 2, 5, 6))
+                column = column.filter(own)
                 starts, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(np.int64)
                 sizes = np.diff(starts)
                 for size in np.unique(sizes).tolist():
                     at = np.flatnonzero(sizes == size)
-                    parts.append((size, sides[at] == 0, ids[at], values[starts[at][:, None] + np.arange(size)]))
-            for size, asks, ids, block in parts:
+                    parts.append((size, sides[at] == 0, ids[at], values[starts[at][:, None] + np.arange(size)], np.stack([copies[at], n[at]], axis=1)))
+            for size, asks, ids, block, keys in parts:
                 if asks.any():
-                    got = wide.setdefault(size, ([], []))
+                    got = wide.setdefault(size, ([], [], []))
                     got[0].append(ids[asks])
                     got[1].append(block[asks])
-            for size, asks, ids, block in parts:
+                    got[2].append(keys[asks])
+            for size, asks, ids, block, _ in parts:
                 if not asks.all() and size in wide:
                     if size not in best:
-                        best[size] = Best(np.concatenate(wide[size][0]), np.concatenate(wide[size][1]), k)
+                        ids_of, vectors_of, keys_of = map(np.concatenate, wide[size])
+                        best[size] = Best(ids_of, vectors_of, k, keys_of)
                     known = np.array(marks[size], np.int64) if size in marks else np.zeros((0, size), np.int64)
                     for s in range(0, len(ids), 4096):
                         part = slice(s, s + 4096)
                         best[size].meet(ids[part][~asks[part]], block[part][~asks[part]], known)
         for found in best.values():
-            flat = [(int(q), min(max(-s, -LONG), LONG - 1), (-s >= LONG) - (-s < -LONG), i) for q, have in zip(found.ids, found.scores, strict=True) for s, i in have]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in flat], kind) for c, kind in enumerate(kinds)], ["query_id", "score", "over", "vec_id"])
+            flat = [(int(q), *key, min(max(-s, -LONG), LONG - 1), (-s >= LONG) - (-s < -LONG), i) for q, key, have in zip(found.ids, found.keys.tolist(), found.scores, strict=True) for s, i in have]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in flat], kind) for c, kind in enumerate(kinds)], ["query_id", "copy", "n", "score", "over", "vec_id"])
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    found = dealt.select("block", "side", "id", "v", "w").mapInArrow(run, _OUT)
-    order = Window.partitionBy("query_id").orderBy(F.desc("over"), F.desc("score"), "vec_id")
+    found = dealt.select("block", "side", "id", "v", "w", "copy", "n").mapInArrow(run, _OUT)
+    order = Window.partitionBy("query_id", "copy").orderBy(F.desc("over"), F.desc("score"), "vec_id")
     score = F.when(F.col("over") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score is beyond a long")).cast("long"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    again = best.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    return again.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))
 
 
 def op4_va_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,24 @@ def test_top_k_of_large_vectors(spark):
 
 
 
+def test_top_k_of_repeated_queries(spark):
+    """Every query row has its own ranking, equal copies and other vectors of one id alike."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(60, 4))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)] + [(20, rows_of.tolist()) for rows_of in (base[20], base[20], -base[20], 1e7 * base[20])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = [(i, np.floor(64 * np.array(v)).astype(np.int64)) for i, v in rows]
+    want = []
+    for q, v in ints:
+        if q % 20 == 0:
+            best = sorted((-int(v @ w), j) for j, w in ints if j != q)[:5]
+            want += [(q, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    for block in (1024, 2):
+        got = va_topk.top_k(table, table.where("vec_id % 20 = 0"), k=5, query_block=block).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+    assert len(want) == 7 * 5
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(3)
     block, queries = rng.integers(-60, 60, (500, 16)), rng.integers(-60, 60, (20, 16))
