@@ -160,10 +160,10 @@ _add(
 
 
 def both_rankings(spark: SparkSession, sf: str, k: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rankings of the documents that have a vector, by BM25 and by dot product, over all of them or the first k."""
+    """Rankings of all documents by BM25, and of those that have a vector by dot product, whole or the first k."""
     e = table(spark, sf, "embeddings")
     vectors = e.select(F.col("vec_id").alias("unit"), F.col("embedding").alias("v"))
-    own = table(spark, sf, "documents").join(e.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    own = table(spark, sf, "documents")
     toks = index.tokenised(own, "doc_id", "text")
     q = questions(spark, sf)
     lexical = retrieval.completed(retrieval.bm25(toks, retrieval.question_terms(q, "qid", "question")), q, toks)
@@ -191,7 +191,7 @@ def f10_confidence(spark: SparkSession, sf: str) -> DataFrame:
     lexical, dense = both_rankings(spark, sf, 11)
     a, b = retrieval.confidence(lexical), retrieval.confidence(dense)
     w = lambda x, n: x.select("qid", F.round("confidence", 6).alias(f"c_{n}"), F.round(1 + 0.6 * F.col("confidence"), 6).alias(f"w_{n}"))
-    return w(a, "lexical").join(w(b, "dense"), "qid").withColumnRenamed("qid", "item_id")
+    return w(a, "lexical").join(w(b, "dense"), "qid", "left").withColumnRenamed("qid", "item_id")
 
 
 _add(
@@ -239,10 +239,9 @@ _add(
 
 
 def f18_hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The facade: a corpus of the documents that have a vector, searched in hybrid mode."""
+    """The facade: all documents, searched in hybrid mode."""
     e = table(spark, sf, "embeddings")
-    corpus = table(spark, sf, "documents").join(e.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    corpus = corpus.select(F.col("doc_id").alias("ord"), F.col("source").alias("doc"), F.col("doc_id").alias("article_no"), F.lit("").alias("title"), "text")
+    corpus = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.col("source").alias("doc"), F.col("doc_id").alias("article_no"), F.lit("").alias("title"), "text")
     q = questions(spark, sf)
     asked = e.join(q.select(F.col("qid").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
     own = e.join(corpus.select(F.col("ord").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("unit"), F.col("embedding").alias("v"))
