@@ -3,9 +3,12 @@
 ``write_archives`` turns pages into gzip-per-record WARC/1.1 files. Pages of
 equal payload are written once, as a response; the others become revisit
 records that refer to it. ``read_archives`` checks every record (gzip CRC,
-version line, content length, block and payload digest). Where a check fails it
-searches for the next gzip member or version line, goes on from there and
-logs the bytes that it passed over as a quarantined gap.
+version line, content length, block and payload digest, by the algorithm that a
+digest names). Where a check fails it searches for the next gzip member or
+version line, goes on from there and logs the bytes that it passed over as a
+quarantined gap. A gzip member may hold many records; of a damaged one those
+are kept that inflate and that a digest proves. An HTTP length unlike the
+payload's is a note in ``reason``.
 
 Both sides go through Spark's own readers and writers, so archives may lie in
 any store that Spark reaches and a lost executor costs a task's retry.
@@ -149,6 +152,17 @@ def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str
 # ---------------------------------------------------------------- salvaging
 
 
+def digest_holds(told: str, data: bytes) -> bool | None:
+    """Whether a labelled digest (``sha1:...``, in base 32, 64 or 16) is that of data; None if its algorithm is not known here."""
+    name, colon, value = told.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if not colon or name not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return None
+    raw, value = hashlib.new(name, data).digest(), value.strip()
+    bare = value.rstrip("=")
+    return bare.upper() == base64.b32encode(raw).decode().rstrip("=") or value.lower() == raw.hex() or bare in (base64.b64encode(raw).decode().rstrip("="), base64.urlsafe_b64encode(raw).decode().rstrip("="))
+
+
 def _headers(head: bytes) -> dict[str, str]:
     out: dict[str, str] = {}
     for line in head.split(b"\r\n")[1:]:
@@ -159,7 +173,10 @@ def _headers(head: bytes) -> dict[str, str]:
 
 
 def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
-    """The record that starts at data[at:], and where it ends. ValueError says what is wrong."""
+    """The record that starts at data[at:], and where it ends. ValueError says what is wrong.
+
+    proven: whether a digest of the block or the payload was compared.
+    """
     found = VERSION.match(data, at)
     if not found:
         raise ValueError("no version line")
@@ -174,9 +191,10 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     stop = end + 4 + int(length)
     if len(block) < int(length) or data[stop : stop + 4] != b"\r\n\r\n":
         raise ValueError("block is cut short")
-    if (want := head.get("warc-block-digest", "")).startswith("sha1:") and want[5:] != base32_sha1(block):
+    proven = digest_holds(head.get("warc-block-digest", ""), block)
+    if proven is False:
         raise ValueError("block digest differs")
-    kind, http, payload, size = head.get("warc-type"), b"", None, None
+    kind, http, payload, size, note = head.get("warc-type"), b"", None, None, None
     digest = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
     if head.get("content-type", "").startswith("application/http"):
         http, _, payload = block.partition(b"\r\n\r\n")
@@ -186,14 +204,17 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
         payload, size = block, len(block)
     if kind == "revisit":
         payload = None
-    elif digest and digest != base32_sha1(payload):
-        raise ValueError("payload digest differs")
-    elif size != len(payload):
-        raise ValueError("payload length differs")
+    else:
+        same = digest_holds(head.get("warc-payload-digest", ""), payload)
+        if same is False:
+            raise ValueError("payload digest differs")
+        proven = proven or same
+        if size != len(payload):
+            note, size = f"HTTP content length is {size}", len(payload)
     page = re.fullmatch(r"<urn:page:(-?\d+)>", head.get("warc-record-id", ""))
     return {
         "record_type": kind, "record_id": head.get("warc-record-id"), "page_id": int(page[1]) if page else None, "target_uri": head.get("warc-target-uri"),
-        "refers_to_id": head.get("warc-refers-to"), "payload_digest": digest, "payload_bytes": size, "payload": payload,
+        "refers_to_id": head.get("warc-refers-to"), "payload_digest": digest, "payload_bytes": size, "payload": payload, "reason": note, "proven": bool(proven),
     }, stop + 4
 
 
@@ -210,13 +231,61 @@ def _member(data: bytes, at: int, window: int) -> tuple[bytes, int]:
     return out, len(part) - len(unpack.unused_data)
 
 
+def _inflated(data: bytes, at: int, window: int) -> tuple[bytes, bool]:
+    """What can be inflated of a damaged gzip member at data[at:at + window], and whether its stream breaks off there."""
+    unpack, out, to = zlib.decompressobj(31), [], min(at + window, len(data))
+    step = 1 << 12
+    while at < to and not unpack.eof:
+        before = unpack.copy()
+        try:
+            out.append(unpack.decompress(data[at : min(at + step, to)]))
+            at += step
+        except zlib.error as e:
+            if step == 1:
+                return b"".join(out), "incorrect" not in str(e)  # data check or length check
+            unpack, step = before, 1  # up to the byte at fault
+    return b"".join(out), True
+
+
+def _records(text: bytes, damaged: bool = False, torn: bool = False) -> list[dict]:
+    """Records and gaps of an inflated member, with the reason of each gap.
+
+    Of a damaged member only proven records count, and only such as another one
+    follows or, if the stream is not torn, its end: else the damage hits them.
+    """
+    out, at, gap = [], 0, ""
+    while at < len(text):
+        if text[at] in b"\r\n":
+            at += 1
+            continue
+        try:
+            record, stop = parse_record(text, at)
+            whole = VERSION.match(text, stop) or not torn and stop == len(text)
+            if damaged and not (record["proven"] and whole):
+                raise ValueError("damaged member")
+            at = stop
+            if gap:
+                out.append({"kind": "gap", "reason": gap})
+                gap = ""
+            out.append({"kind": "record"} | record)
+        except ValueError as e:
+            gap = gap or f"in a member: {e}"
+            found = VERSION.search(text, at + 1)
+            at = found.start() if found else len(text)
+    return out + ([{"kind": "gap", "reason": gap}] if gap else [])
+
+
 def salvage(data: bytes) -> Iterator[dict]:
-    """Records and gaps of an archive, plain or gzip by member, in order.
+    """Records and gaps of an archive, plain or gzip, in order.
 
     Every byte belongs to a record, to a gap or to zero padding after a member.
+    What comes from one gzip member has the member's offset; its length is with
+    the first of these rows, the others have 0, as have all that come from a
+    damaged member, whose bytes are a gap.
     """
     at, gap, why, n = 0, None, "", len(data)
     while at < n:
+        saved: list[dict] = []
         try:
             if data.startswith(MAGIC, at):
                 # Inflating works on windows, so a damaged start costs no copy of the rest of the file.
@@ -227,15 +296,23 @@ def salvage(data: bytes) -> Iterator[dict]:
                         break
                     except ValueError as e:
                         if "cut short" not in str(e) or at + window >= n:
+                            text, torn = _inflated(data, at, window)
+                            saved = [r for r in _records(text, True, torn) if r["kind"] == "record"]
                             raise
                         window *= 8
-                record, stop = parse_record(text)
-                if text[stop:].strip(b"\r\n"):
-                    raise ValueError("more than one record in a member")
+                rows = _records(text)
+                if all(r["kind"] == "gap" for r in rows):
+                    raise ValueError(rows[0]["reason"].removeprefix("in a member: ") if rows else "no version line")
                 stop = at + used
             else:
                 record, stop = parse_record(data, at)
+                rows = [{"kind": "record"} | record]
         except ValueError as e:
+            if saved:
+                if gap is not None and gap < at:
+                    yield {"kind": "gap", "offset": gap, "length": at - gap, "reason": why}
+                yield from ({"offset": at, "length": 0} | r for r in saved)
+                gap, why = at, str(e)
             if gap is None:
                 gap, why = at, str(e)
             found = VERSION.search(data, at + 1)
@@ -245,7 +322,8 @@ def salvage(data: bytes) -> Iterator[dict]:
         if gap is not None:
             yield {"kind": "gap", "offset": gap, "length": at - gap, "reason": why}
             gap = None
-        yield {"kind": "record", "offset": at, "length": stop - at} | record
+        for k, row in enumerate(rows):
+            yield {"offset": at, "length": 0 if k else stop - at} | row
         at = stop
         while at < n and data[at] == 0:  # padding
             at += 1

@@ -59,6 +59,34 @@ def test_salvage(packed):
     assert rows[0]["length"] == 4 and list(warc.salvage(b"")) == [] and [r["kind"] for r in warc.salvage(b"xyz")] == ["gap"]
 
 
+def test_salvage_of_other_archives():
+    """Whole-file gzip, damage within it, other digests, and HTTP lengths that are not the payload's."""
+    plain = [warc.record_bytes(i, f"http://x/{i}", random.Random(i).randbytes(3000), None, "2024-01-01T00:00:00Z") for i in range(8)]
+    whole = gzip.compress(b"".join(plain), mtime=0)
+    rows = list(warc.salvage(whole + warc.gzip_member(plain[0])))
+    assert [(r["kind"], r["page_id"]) for r in rows] == [("record", i) for i in [*range(8), 0]]
+    assert sum(r["length"] for r in rows) == len(whole) + len(warc.gzip_member(plain[0]))
+    torn = gzip.compress(plain[0] + plain[1][:-500] + b"".join(plain[2:]), mtime=0)
+    assert [(r["kind"], r.get("page_id")) for r in warc.salvage(torn)] == [("record", 0), ("gap", None), *(("record", i) for i in range(2, 8))]
+    for bad in (whole[: len(whole) // 2], whole[:-8] + b"\0" * 8):
+        rows = list(warc.salvage(bad))
+        assert [r["page_id"] for r in rows if r["kind"] == "record"] == list(range(3 if len(bad) < len(whole) else 8))
+        assert rows[-1]["kind"] == "gap" and sum(r["length"] for r in rows) == len(bad)
+
+    def record(digest, told, body=b"<p>x</p>"):
+        block = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % told + body
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Payload-Digest: {digest}\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    md5 = __import__("hashlib").md5(b"<p>x</p>").hexdigest()
+    for digest in (f"md5:{md5}", f"sha1:{warc.base32_sha1(b'<p>x</p>')}", "blake3:abc"):
+        (row,) = warc.salvage(record(digest, 8))
+        assert (row["kind"], row["payload"], row["reason"]) == ("record", b"<p>x</p>", None)
+    (row,) = warc.salvage(record(f"md5:{md5}", 500))
+    assert (row["kind"], row["payload_bytes"]) == ("record", 8) and "500" in row["reason"]
+    assert [r["kind"] for r in warc.salvage(record("md5:" + "0" * 32, 8))] == ["gap"]
+
+
 # ---------------------------------------------------------------- 4
 
 
