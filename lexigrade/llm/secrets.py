@@ -60,6 +60,17 @@ RULES = (
     Rule("npm", "npm_[A-Za-z0-9]{36}", ""),
 )
 
+_KEY = r"(?:[A-Z0-9]+\x20){0,3}PRIVATE\x20KEY(?:\x20BLOCK)?-----"
+_RUN = "[A-Za-z0-9+/]"
+#: From BEGIN to END, or without one as far as header lines and base64 go; line ends may be escaped. One character a step, as Java's loops of longer ones use the stack.
+_KEY_BLOCK = (
+    "-----BEGIN " + _KEY + r"(?:(?:(?!-----)[\s\S])*+-----END\x20" + _KEY + r"|(?:\s{0,9}(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset):\x20[^\r\n]*+){0,9}"
+    + rf"(?:(?={_RUN}|=|[\s\\nr]{{1,40}}(?:{_RUN}{{16}}|{_RUN}*+=))[A-Za-z0-9+/=\s\\])*+)"
+)
+
+#: What ``redacted`` masks: whole private keys, of any label.
+MASK_RULES = tuple(Rule(r.kind, _KEY_BLOCK, r.keep, r.base) if r.kind == "private_key" else r for r in RULES)
+
 # ---------------------------------------------------------------- trigram queries
 
 #: Longest set of exact strings that is followed through an expression.
@@ -227,7 +238,7 @@ def _joined(found: Column, rules: Sequence[Rule]) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES, mask: str = "[SECRET]") -> DataFrame:
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = MASK_RULES, mask: str = "[SECRET]") -> DataFrame:
     """docs with every secret of a text replaced by a mask, overlapping ones by one; rows without any are unchanged."""
     rows = with_found(docs, id_col, text_col, rules)
     text = F.col("__text")

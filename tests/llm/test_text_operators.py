@@ -143,6 +143,21 @@ def test_redaction(spark):
     assert (got[1].text, got[2].text, got[3].text, got[1].kinds) == ("a [SECRET] b", None, "[SECRET]", "c")
 
 
+def test_redaction_of_private_keys(spark):
+    """Key bodies go with their header, of any label, with or without END, also on one line or escaped."""
+    body = ["MIIEowIBAAKCAQEA" + "Ab9+/" * 9, "q" * 64, "Zm9v" * 4 + "Zg=="]
+    label = lambda x, lines, join="\n", end=True: join.join([f"-----BEGIN {x}-----", *lines, *([f"-----END {x}-----"] if end else [])])
+    pem = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", "", *body]
+    keys = [label(f"{x}PRIVATE KEY", body) for x in ("", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED ")] + [
+        label("PGP PRIVATE KEY BLOCK", ["Version: GnuPG v1.4-x", "", *body, "=aB3d"]), label("RSA PRIVATE KEY", pem), label("RSA PRIVATE KEY", pem, end=False), label("RSA PRIVATE KEY", body, end=False),
+        label("PRIVATE KEY", body, " "), label("PRIVATE KEY", body, "\\n"), label("PRIVATE KEY", body, "\\n", False), label("PRIVATE KEY", ["x" * 70] * 20_000, end=False),
+    ]
+    rows = [(i, f"a {k} b.") for i, k in enumerate(keys)] + [(100, "-----BEGIN RSA PRIVATE KEY----- is the first line."), (101, "-----BEGIN CERTIFICATE-----\n" + body[0])]
+    got = {r.doc_id: r.text for r in secrets.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(keys))] == ["a [SECRET] b."] * len(keys)
+    assert got[100] == "[SECRET] is the first line." and got[101] == rows[-1][1]
+
+
 # ---------------------------------------------------------------- 6
 
 
