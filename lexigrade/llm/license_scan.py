@@ -4,7 +4,8 @@ A text is lower-cased in A-Z and reduced to its words, joined by single spaces,
 so that every rule is a regular expression over words and every match an
 interval of words. Rules are written per license as a family of spellings and
 expanded by a few sentence forms to some hundreds of expressions, each with a
-priority and a confidence. A rule runs only on texts that contain all its
+priority and a confidence; others are passages of the licenses' own texts and
+notices. A rule runs only on texts that contain all its
 keywords. Overlaps are resolved in order of priority, then length: an interval
 contained in a kept one is dropped. Base phrases are never dropped.
 
@@ -67,8 +68,32 @@ CC_WORDS = (
 )
 CC_VERSIONS = ("4 0", "3 0", "2 5", "2 0", "1 0")
 
+_BSD = "(?:all rights reserved )?redistribution and use in source and binary forms with or without modification are permitted"
+_GNU = "(?:is|are) free software you can redistribute it and or modify (?:it|them) under the terms of the gnu {n} general public licen[cs]e(?: as)? published by the free software foundation (?:either )?(?:in )?version {v}"
+#: Label, passage of the license's text or notice, keywords, priority. A longer passage of a family ranks above the shorter one that it holds.
+BODIES = (
+    ("mit", "(?:all rights reserved )?permission is hereby granted free of charge to any person obtaining a copy of this software(?: and associated documentation files)?(?: the software)?(?: to deal in the software without restriction)?", ("permission is hereby granted",), 85),
+    ("bsl-1.0", "(?:all rights reserved )?permission is hereby granted free of charge to any person or organization obtaining a copy of the software", ("permission is hereby granted",), 85),
+    ("bsd-4-clause", _BSD + "(?: [^ ]+){0,150}? all advertising materials mentioning features(?: [^ ]+){0,80}? endorse or promote", ("redistribution and use", "advertising materials"), 88),
+    ("bsd-3-clause", _BSD + "(?: [^ ]+){0,150}? neither the names?(?: [^ ]+){0,60}? endorse or promote", ("redistribution and use", "neither the name"), 87),
+    ("bsd-2-clause", _BSD, ("redistribution and use",), 85),
+    ("isc", "(?:all rights reserved )?permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that", ("is hereby granted",), 86),
+    ("0bsd", "(?:all rights reserved )?permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted(?! provided)", ("is hereby granted",), 85),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered",), 85),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("apache", "compliance"), 85),
+    ("apache-2", "apache license version 2 0 january 2004", ("apache", "january"), 85),
+    ("gpl-2", _GNU.replace("{n} ", "").replace("{v}", "2"), ("free software", "gnu"), 85), ("gpl-3", _GNU.replace("{n} ", "").replace("{v}", "3"), ("free software", "gnu"), 85),
+    ("lgpl-2", _GNU.replace("{n}", "(?:library|lesser)").replace("{v}", "2(?! 1)"), ("free software", "gnu"), 85), ("lgpl-2.1", _GNU.replace("{n}", "lesser").replace("{v}", "2 1"), ("free software", "gnu"), 85),
+    ("lgpl-3", _GNU.replace("{n}", "lesser").replace("{v}", "3"), ("free software", "gnu"), 85), ("agpl-3", _GNU.replace("{n}", "affero").replace("{v}", "3"), ("free software", "gnu"), 85),
+    ("gpl-2", "gnu general public license version 2 june 1991", ("gnu", "1991"), 85), ("gpl-3", "gnu general public license version 3 29 june 2007", ("gnu", "2007"), 85),
+    ("lgpl-2", "gnu library general public license version 2 june 1991", ("gnu", "1991"), 85), ("lgpl-2.1", "gnu lesser general public license version 2 1 february 1999", ("gnu", "1999"), 85),
+    ("lgpl-3", "gnu lesser general public license version 3 29 june 2007", ("gnu", "2007"), 85), ("agpl-3", "gnu affero general public license version 3 19 november 2007", ("gnu", "2007"), 85),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v(?:ersion)? 2 0", ("mozilla",), 85),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1", ("mozilla",), 85),
+)
+
 #: Cheap tests on the raw lower-cased text; every rule needs one of them.
-GATE = ("licen", "spdx", "creative", "all rights reserved")
+GATE = ("licen", "spdx", "creative", "hereby", "redistribution", "unencumbered", "all rights reserved")
 GATE_CC = re.compile(r"(?<![a-z0-9])cc0?[^a-z0-9]*(?:by|zero|1|license)")
 
 
@@ -82,7 +107,7 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """All rules in order: base phrases, forms of every name, Creative Commons, general notices."""
+    """All rules in order: base phrases, forms of every name, Creative Commons, texts of licenses, general notices."""
     out = [Rule(label, phrase, (phrase.split()[-2],), 1000, 1.0) for phrase, label in BASE]
     for label, names in NAMES:
         for name in re.split(r"\|(?![^(]*\))", names):  # not within parentheses
@@ -97,6 +122,7 @@ def rules() -> list[Rule]:
         for version in CC_VERSIONS:
             out.append(Rule(f"cc-{label}", f"creative commons {words} {version}", ("creative commons",), 65, 0.95))
         out.append(Rule(f"cc-{label}", f"creative commons {words}", ("creative commons",), 50, 0.9))
+    out += [Rule(label, passage, keys, priority, 0.95) for label, passage, keys, priority in BODIES]
     out.append(Rule("proprietary", "all rights reserved", ("all rights reserved",), 10, 0.5))
     return out
 

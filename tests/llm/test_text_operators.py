@@ -318,3 +318,22 @@ def test_suppression():
     assert labels("spdx license identifier bsd 3 clause") == ["bsd-3-clause"]
     assert labels("creative commons attribution noncommercial share alike 4 0") == ["cc-by-nc-sa"]
     assert len(book) > 200 and labels("plain words") == []
+
+
+def test_texts_of_licenses(spark):
+    """Pasted texts and notices have their label without the license's name; a longer form hides the shorter one and 'all rights reserved'."""
+    bsd = "(c) 2020 X. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met: 1. ... "
+    gnu = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or later."
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+    want = [
+        ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"),
+        ("bsl-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software"),
+        ("bsd-2-clause", bsd), ("bsd-3-clause", bsd + "3. Neither the name of X nor the names of its contributors may be used to endorse or promote products"),
+        ("bsd-4-clause", bsd + "3. All advertising materials mentioning features or use of this software. 4. Neither the name of X may be used to endorse or promote products"),
+        ("isc", isc + ", provided that the above copyright notice"), ("0bsd", isc + "."), ("unlicense", "This is free and unencumbered software released into the public domain."),
+        ("apache-2", "Apache License\nVersion 2.0, January 2004"), ("gpl-2", gnu.format("General Public License", 2)), ("gpl-3", gnu.format("General Public License", 3)),
+        ("lgpl-2.1", gnu.format("Lesser General Public License", "2.1")), ("agpl-3", gnu.format("Affero General Public License", 3)),
+        ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."), ("proprietary", "All rights reserved. No redistribution."), ("", "I hereby say so"),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(want)], "doc_id long, text string")
+    assert [r.labels for r in sorted(license_scan.scan(rows).collect(), key=lambda r: r.doc_id)] == [x for x, _ in want]
