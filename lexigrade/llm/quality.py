@@ -13,7 +13,8 @@ a sample of the labelled rows that ``SAMPLE`` bounds; every row is then scored
 by a map over the table, with no shuffle.
 
 Defined cases: a null or empty text has the bins alone; labels that are null or
-outside 0 and 1 are not used; a text with several labels counts for each; with
+outside 0 and 1 are not used; a text with several labels counts for each, equal
+ones as a weight; with
 no labelled rows every text has the neutral score and is kept; repeated rows
 are scored each; an empty table gives no rows; columns of the table pass through
 and must not be named as the added ones are (``prefix`` renames those).
@@ -110,17 +111,19 @@ def neutral() -> Model:
     return Model(np.zeros(1 << WIDTH, np.float32), np.arange(-GRADES + 1, 0, dtype=np.float64))
 
 
-def fit(ids: np.ndarray, first: np.ndarray, grades: np.ndarray, steps: int = 120, rate: float = 0.08, decay: float = 2e-4) -> Model:
-    """Maximum likelihood with a small L2 penalty, by Adam on all rows; the gradients are exact.
+def fit(ids: np.ndarray, first: np.ndarray, grades: np.ndarray, steps: int = 120, rate: float = 0.08, decay: float = 2e-4, counts: np.ndarray | None = None) -> Model:
+    """Maximum likelihood with a small L2 penalty, by Adam on all rows, each as often as ``counts`` says; the gradients are exact.
 
     Thresholds are a first one and positive gaps, so they stay in order.
     """
     n = len(grades)
     if not n:
         return neutral()
+    counts = np.ones(n) if counts is None else counts
+    total = counts.sum()
     used, at = np.unique(ids, return_inverse=True)
     row = np.repeat(np.arange(n), np.diff(first))
-    share = [np.clip((grades > k).mean(), 0.01, 0.99) for k in range(GRADES - 1)]
+    share = [np.clip(counts[grades > k].sum() / total, 0.01, 0.99) for k in range(GRADES - 1)]
     cuts = np.array([-np.log(s / (1 - s)) for s in share])
     gaps = np.log(np.maximum(np.diff(cuts), 0.1))
     w = np.zeros(len(used))
@@ -133,10 +136,10 @@ def fit(ids: np.ndarray, first: np.ndarray, grades: np.ndarray, steps: int = 120
         below = np.concatenate([np.zeros((n, 1)), _sigmoid(theta[None, :] - score[:, None]), np.ones((n, 1))], axis=1)
         hi, lo = below[np.arange(n), grades + 1], below[np.arange(n), grades]
         p = np.maximum(hi - lo, 1e-12)
-        dhi, dlo = hi * (1 - hi) / p, lo * (1 - lo) / p
-        dscore = (dhi - dlo) / n  # of the negative log likelihood
+        dhi, dlo = counts * hi * (1 - hi) / p, counts * lo * (1 - lo) / p
+        dscore = (dhi - dlo) / total  # of the negative log likelihood
         gw = np.bincount(at, weights=dscore[row], minlength=len(used)) + decay * w
-        dtheta = np.array([(-dhi[grades == k].sum() + dlo[grades == k + 1].sum()) / n for k in range(GRADES - 1)])
+        dtheta = np.array([(-dhi[grades == k].sum() + dlo[grades == k + 1].sum()) / total for k in range(GRADES - 1)])
         grads = [gw, np.array([dtheta.sum()]), np.exp(gap) * np.cumsum(dtheta[::-1])[::-1][1:]]
         for j, g in enumerate(grads):
             m, v = state[j]
@@ -155,27 +158,40 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.where(ok).select(F.col("doc_id").cast("long").alias("key"), (F.col("quality") + 1 - F.col("toxic")).cast("int").alias("grade"))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, offsets and grades of at most about ``sample`` labelled texts, chosen by a hash of their ids."""
+def chosen_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(key, grade, count): about ``sample`` rows at most, however often labels repeat.
+
+    Of N labels one in ``every`` = N / sample counts. Those of one id and grade
+    are one row: a hash of the id takes it with probability n / every and count
+    1, or for certain, with count n / every, where they are more than that.
+    """
     known = graded(labels)
     every = max(1, -(-known.count() // sample))
-    chosen = known.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0)
+    groups = known.groupBy("key", "grade").agg(F.count(F.lit(1)).alias("n"))
+    chosen = groups.where(F.pmod(F.xxhash64("key"), F.lit(every)) < F.col("n"))
+    return chosen.select("key", "grade", F.greatest(F.lit(1.0), F.col("n") / every).alias("count"))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features, offsets, grades and counts of at most about ``sample`` labelled texts, chosen by a hash of their ids."""
+    chosen = chosen_labels(labels, sample)
     texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "key")  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, first = features(batch.column(1))
             raw = [ids[first[i] : first[i + 1]].tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(raw, pa.binary())], ["key", "grade", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:4], pa.array(raw, pa.binary())], ["key", "grade", "count", "ids"])
 
     small_batches(texts)
-    got = texts.mapInArrow(run, "key long, grade int, ids binary").toArrow().sort_by([("key", "ascending"), ("grade", "ascending"), ("ids", "ascending")])
+    got = texts.mapInArrow(run, "key long, grade int, count double, ids binary").toArrow().sort_by([("key", "ascending"), ("grade", "ascending"), ("ids", "ascending")])
     parts = [np.frombuffer(x, np.int32) for x in got["ids"].to_pylist()]
-    return np.concatenate([*parts, np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64), got["grade"].to_numpy().astype(np.int64)
+    return np.concatenate([*parts, np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64), got["grade"].to_numpy().astype(np.int64), got["count"].to_numpy()
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    return fit(*training_rows(docs, labels, id_col, text_col, sample))
+    *rows, counts = training_rows(docs, labels, id_col, text_col, sample)
+    return fit(*rows, counts=counts)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:

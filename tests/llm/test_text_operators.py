@@ -337,3 +337,19 @@ def test_texts_of_licenses(spark):
     ]
     rows = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(want)], "doc_id long, text string")
     assert [r.labels for r in sorted(license_scan.scan(rows).collect(), key=lambda r: r.doc_id)] == [x for x, _ in want]
+
+
+def test_sample_under_repeated_labels(spark):
+    """An id with a third of all labels is one row of the sample, and counts by its share."""
+    labels = spark.range(9_000).selectExpr("CASE WHEN id % 3 = 0 THEN -1 ELSE id END AS doc_id", "int(id % 2) AS quality", "0 AS toxic")
+    docs = labels.select("doc_id").distinct().selectExpr("doc_id", "concat('text ', doc_id) AS text")
+    *_, grades, counts = quality.training_rows(docs, labels, sample=300)
+    assert 140 < len(grades) < 270 and counts.sum() == pytest.approx(300, rel=0.2)
+    assert sorted(counts)[-2:] == [50.0, 50.0] and sorted(counts)[-3] == 1.0
+    few = labels.where("doc_id < 3")
+    *rows, counts = quality.training_rows(docs, few)
+    again = np.repeat(np.arange(len(counts)), counts.astype(int))  # rows as often as they count
+    ids, first, grades = rows
+    parts = [ids[first[i] : first[i + 1]] for i in again]
+    one, other = quality.fit(*rows, counts=counts), quality.fit(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]), grades[again])
+    assert np.allclose(one.thresholds, other.thresholds) and np.allclose(one.weights, other.weights, atol=1e-4)
