@@ -8,15 +8,15 @@ and the memory a task needs does not depend on the number of rows in a batch.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; texts of some 100 kB each then stay within 50 MB.
-BATCH_ROWS = 500
+#: Bytes of an Arrow batch that goes to Python; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
 #: Bytes of text that numpy handles at a time.
 SLICE_BYTES = 2 << 20
 #: Word separators: space and \x09-\x0D.
@@ -29,9 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
+    """A new path in the folder that driver and executors share, which spark.checkpoint.dir names.
+
+    Only a session within one machine may leave that setting out.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/lexigrade-{name}-{uuid.uuid4().hex}"
@@ -44,9 +49,46 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Shelf:
+    """The tables that one run of an operator writes; ``clear`` deletes those that its result does not read."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.count = spark, scratch(spark, name), 0
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        self.count += 1
+        path = f"{self.root}/{self.count:03}-{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self, *keep: str) -> None:
+        """Deletes all tables but the latest of each name in ``keep``; a new run writes what it needs again."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        files = root.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        if not files.exists(root):
+            return
+        found = sorted(s.getPath().getName() for s in files.listStatus(root))
+        stay = {max(p for p in found if p[4:] == k) for k in keep if any(p[4:] == k for p in found)}
+        for p in found:
+            if p not in stay:
+                files.delete(jvm.org.apache.hadoop.fs.Path(root, p), True)
+
+
 def small_batches(df: DataFrame) -> None:
-    """Keeps Arrow batches small for tables of long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bounds the bytes of Arrow batches. All operators want the same bound, so it holds for plans that run later, too."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column; Spark ignores case."""
+    have, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -234,7 +234,6 @@ def _candidates(key_rows: DataFrame) -> DataFrame:
             columns = ([x for x, _ in pairs] + [x[0] for x in members], [y for _, y in pairs] + none, *(nones + [x[k] for x in members] for k in (1, 2, 3)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "key", "n", "pos"])
 
-    key_rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     return dealt.mapInArrow(run, "a long, b long, key long, n long, pos long")
 
 

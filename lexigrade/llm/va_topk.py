@@ -1,29 +1,35 @@
 """Exact top-k search with vector-approximation files.
 
-A vector is turned into integers floor(scale * x). Its approximation is the
-cell of every component, one byte each; the marks between cells are quantiles
-of a bounded sample, the outermost cells end at the least and the greatest
-component of the batch at hand. A query's product with a vector lies between bounds that follow from the cells alone:
-two matrix products give them for a block of queries and a batch of
-approximations. Vectors whose upper bound cannot reach a query's k-th best
-lower bound, or its k-th result so far, are passed over; the others are read
-exactly in the order of their bounds until the k-th result is certain.
-
-Queries form blocks and all vectors are dealt into stripes; a task streams one
-stripe past one block with the running results as thresholds. Each stripe's k
-best per query meet in one window at the end. Memory holds one block of queries
-and one batch of vectors.
+A vector is turned into integers floor(scale * x). Equal vectors fall together
+with the smallest ids that hold them, so a very common vector is searched once.
+The approximation file, written once, has a byte per component: the number of
+its cell. The marks between cells are quantiles of a bounded sample, the
+outermost cells end at the least and the greatest component of all vectors.
+
+1. A query's product with a vector lies between bounds that follow from the
+   cells alone; two matrix products give them for a block of queries and a batch
+   of cells. Queries come in blocks of bounded bytes, which are sent to every
+   task; the tasks scan the approximation file and nothing else. A vector whose
+   upper bound is below a query's k-th best lower bound is passed over.
+2. The bounds that are left meet per query, and the k-th best lower bound of all
+   tasks sifts them again.
+3. Exact vectors are fetched by id in the order of the bounds: first the k with
+   the greatest upper bounds; then those whose upper bound still reaches the
+   k-th score found, if any. So the k-th result is certain.
 
 Scores are exact: products are summed in 64 bits where they provably fit, and
 in Python's integers where they might not. A score among the results that is
 beyond a long is an error, as it is in SQL.
 
 Defined cases: vectors that are null, hold nulls or non-finite components, or
-components whose integer is beyond a long take no part; vectors of other lengths than the query's are no candidates; equal scores go
-to the smaller id; query rows that repeat an id are ranked each by its own
-vector, so an id given n times has n results of each rank; a row is never its own candidate, nor are rows that repeat
-its id; null ids take no part; fewer candidates give fewer rows; an empty table
-gives none; other columns play no part.
+components whose integer is beyond a long take no part; vectors of other
+lengths than the query's are no candidates (of very many lengths, only the most
+frequent ones have cells; vectors of others are all read exactly); equal scores
+go to the smaller id; query rows that repeat an id are ranked each by its own
+vector, so an id given n times has n results of each rank; a row is never its
+own candidate, nor are rows that repeat its id; candidates that repeat an id
+are candidates each; null ids take no part; fewer candidates give fewer rows;
+an empty table gives none; other columns play no part.
 """
 
 from __future__ import annotations
@@ -32,180 +38,273 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table
+from .common import Shelf, small_batches, table
 
 SCALE = 64.0
 CELLS = 32
-#: Vectors with a component whose integer is this or larger in size travel as longs and form batches of their own.
-LIMIT = 1 << 28
 LONG = 1 << 63
 #: Sums of products below this, in doubles, fit a long.
 SAFE = float(1 << 62)
-#: Vectors that the marks are fitted on.
-SAMPLE = 4096
-QUERY_BLOCK = 1024
+#: Vectors that the marks are fitted on, and lengths of vectors that have marks.
+SAMPLE, LENGTHS = 4096, 64
+#: Bytes of a block of queries as doubles, and queries and bounds that a task handles at a time.
+BLOCK_BYTES, CHUNK, HELD = 16 << 20, 256, 1 << 20
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, scale: float = SCALE) -> DataFrame:
-    """(id, v, w): ids and integer vectors of the rows that take part; those with a component beyond ``LIMIT`` are in w, the others in v."""
+    """(id, v): ids and integer vectors of the rows that take part."""
     x = F.col(vec_col).cast("array<double>")
     ok = F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()
     good = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (e * scale >= float(-LONG)) & (e * scale < float(LONG)))
-    small, ints = F.forall(x, lambda e: F.abs(e * scale) < LIMIT), F.transform(x, lambda e: F.floor(e * scale).cast("long"))
-    v, w = F.when(small, ints.cast("array<int>")), F.when(~small, ints)
-    return vectors.where(ok).where(F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), w.alias("w"))
-
-
-def fit_marks(rows: DataFrame, cells: int = CELLS, sample: int = SAMPLE) -> dict[int, np.ndarray]:
-    """Marks between the cells, per length of vector, from about ``sample`` vectors that a hash of the id picks. Marks affect speed only."""
-    every = max(1, -(-rows.count() // sample))
-    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).where("v IS NOT NULL").select("v").toPandas()
-    out: dict[int, np.ndarray] = {}
-    for size in {len(v) for v in some["v"]}:
-        own = [v for v in some["v"] if len(v) == size]
-        block = np.array(own, np.int64).reshape(len(own), size)
-        out[size] = np.quantile(block, np.arange(1, cells) / cells, axis=0, method="nearest").astype(np.int64)  # (cells - 1, size)
+    ints = F.transform(x, lambda e: F.floor(e * scale).cast("long"))
+    return vectors.where(ok).where(F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), ints.alias("v"))
+
+
+def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
+    """(v, ids, sole): every different vector with the k + 1 smallest ids that hold it, each with its number of rows.
+
+    More of them cannot be among the k results of a query, which leaves out its
+    own id alone. sole is the id of a vector that only one has. Rows are counted
+    per id first, and of a vector that many ids hold each task sends k + 1 on.
+    """
+    counted = rows.groupBy("id", "v").agg(F.count(F.lit(1)).alias("n"))
+    least = counted.withColumn("i", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("i") <= k + 1)
+    ids = F.array_sort(F.collect_list(F.struct("id", F.least("n", F.lit(k)).alias("n"))))
+    return least.groupBy("v").agg(ids.alias("ids")).withColumn("sole", F.when(F.size("ids") == 1, F.col("ids")[0]["id"]))
+
+
+# ---------------------------------------------------------------- cells
+
+
+def ranges(classes: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The least and greatest integers of every component, for the lengths that are most frequent."""
+    sizes = [r["size"] for r in classes.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").limit(LENGTHS).collect()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for size, _, block in by_length(batch.column(0)):
+                if size in sizes and size:
+                    both = np.stack([block.min(axis=0), block.max(axis=0)])
+                    old = seen.get(size, both)
+                    seen[size] = np.stack([np.minimum(old[0], both[0]), np.maximum(old[1], both[1])])
+        for size, (low, high) in seen.items():
+            yield pa.RecordBatch.from_arrays([pa.array([size] * size, pa.int32()), pa.array(range(size), pa.int32()), pa.array(low), pa.array(high)], ["size", "at", "low", "high"])
+
+    small_batches(classes)
+    got = classes.select("v").mapInArrow(run, "size int, at int, low long, high long").groupBy("size", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    got = got.orderBy("size", "at").toArrow()  # as many rows as these lengths have components
+    size, low, high = (got[c].to_numpy() for c in ("size", "low", "high"))
+    return {int(s): (low[size == s], high[size == s]) for s in np.unique(size)}
+
+
+def fit_edges(classes: DataFrame, cells: int = CELLS, sample: int = SAMPLE) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per length: marks (cells - 1, size), and least and greatest integers of every cell (cells, size). Marks affect speed only."""
+    limits = ranges(classes)
+    n = classes.count()
+    some = classes.sample(fraction=min(1.0, sample / max(1, n)), seed=11).select("v").limit(2 * sample).toArrow()
+    out = {}
+    blocks = {size: block for size, _, block in by_length(some["v"].combine_chunks())} if some.num_rows else {}
+    for size, (low, high) in limits.items():
+        block = blocks.get(size, np.stack([low, high]))
+        marks = np.quantile(block, np.arange(1, cells) / cells, axis=0, method="nearest").astype(np.int64)
+        out[size] = (marks, np.vstack([low[None], marks]), np.vstack([marks - 1, high[None]]))  # cells without vectors may cross; nothing reads them
+    return out
+
+
+def by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The vectors of a list column by their length: the length, the rows, a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    starts, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+    sizes = np.diff(starts)
+    for size in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == size)
+        yield size, rows, values[starts[rows][:, None] + np.arange(size)]
+
+
+def approximate(block: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The cell of every component."""
+    out = np.empty(block.shape, np.uint8)
+    for d in range(block.shape[1]):
+        out[:, d] = np.searchsorted(marks[:, d], block[:, d], side="right")
     return out
 
 
-def approximate(block: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells of a block of vectors, and the least and greatest integer of every cell."""
-    n, size = block.shape
-    cells = np.empty((n, size), np.uint8)
-    for d in range(size):
-        cells[:, d] = np.searchsorted(marks[:, d], block[:, d], side="right")
-    low = np.vstack([block.min(axis=0)[None], marks]) if n else np.zeros((len(marks) + 1, size), np.int64)
-    high = np.vstack([marks - 1, block.max(axis=0)[None]]) if n else low
-    return cells, low, high  # of cells that hold no vector the bounds may cross; nothing reads them
-
-
-class Best:
-    """The k best of a block of queries so far: scores, ids, and the thresholds that follow."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, keys: np.ndarray | None = None):
-        self.ids, self.vectors, self.k, self.keys = ids, vectors, k, keys
-        self.plus, self.minus = np.maximum(vectors, 0).astype(np.float64), np.minimum(vectors, 0).astype(np.float64)
-        self.sums = np.abs(vectors.astype(np.float64)).sum(axis=1)
-        self.scores: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, id), ascending
-        self.read = 0
-
-    def meet(self, ids: np.ndarray, block: np.ndarray, marks: np.ndarray) -> None:
-        """Takes a batch of candidates into account."""
-        cells, low, high = approximate(block, marks)
-        at = np.arange(block.shape[1])
-        lo, hi = low[cells, at].astype(np.float64), high[cells, at].astype(np.float64)
-        upper = self.plus @ hi.T + self.minus @ lo.T
-        lower = self.plus @ lo.T + self.minus @ hi.T
-        # Sums of products beyond 2**53 are rounded: widen the bounds by more than that.
-        slack = self.sums * max(1.0, np.abs(block.astype(np.float64)).max(initial=0)) * max(1e-12, 4e-16 * block.shape[1])
-        own = self.ids[:, None] == ids[None, :]
-        lower[own] = -np.inf
-        upper[own] = -np.inf
-        k = self.k
+def approximations(classes: DataFrame, edges: dict) -> DataFrame:
+    """(cid, sole, size, cells) of classes (cid, v, sole, ...); cells are null for lengths without marks."""
+    marks = {size: e[0] for size, e in edges.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, cells = np.zeros(batch.num_rows, np.int32), [None] * batch.num_rows
+            for size, rows, block in by_length(batch.column(2)):
+                sizes[rows] = size
+                if size in marks:
+                    for r, c in zip(rows.tolist(), approximate(block, marks[size]), strict=True):
+                        cells[r] = c.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(cells, pa.binary())], ["cid", "sole", "size", "cells"])
+
+    small_batches(classes)
+    return classes.select("cid", "sole", "v").mapInArrow(run, "cid long, sole long, size int, cells binary")
+
+
+# ---------------------------------------------------------------- bounds
+
+
+class Scan:
+    """A block of queries of one length, the best lower bounds so far, and the bounds that may still count."""
+
+    def __init__(self, keys: np.ndarray, ids: np.ndarray, vectors: np.ndarray, edges: tuple | None, k: int):
+        self.keys, self.ids, self.k = keys, ids, k
+        self.q = vectors.astype(np.float64)
+        self.abs = np.abs(self.q)
+        self.best = np.full((len(ids), k), -np.inf)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+        if edges is not None:
+            low, high = edges[1].astype(np.float64), edges[2].astype(np.float64)
+            self.mid, self.half = (low + high) / 2, (high - low) / 2
+            # Doubles round sums of large products: the bounds are widened by more than that.
+            top = np.maximum(np.abs(low), np.abs(high)).max(axis=0)
+            self.slack = (self.abs @ top) * max(1e-12, 4e-16 * vectors.shape[1]) + 1e-6
+
+    def meet(self, cids: np.ndarray, sole: np.ndarray, alone: np.ndarray, cells: np.ndarray) -> None:
+        """Takes a batch of approximations into account; a vector that the query's id alone has is left out."""
+        at = np.arange(cells.shape[1])
+        mid, half = self.mid[cells, at].T, self.half[cells, at].T
+        for a in range(0, len(self.ids), CHUNK):
+            part = slice(a, a + CHUNK)
+            centre, reach = self.q[part] @ mid, self.abs[part] @ half + self.slack[part, None]
+            own = (self.ids[part, None] == sole[None, :]) & alone[None, :]
+            lower, upper = centre - reach, centre + reach
+            lower[own] = upper[own] = -np.inf
+            n = lower.shape[1]
+            top = np.partition(lower, n - self.k, axis=1)[:, n - self.k :] if n > self.k else lower
+            both = np.concatenate([self.best[part], top], axis=1)
+            self.best[part] = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
+            floor = self.best[part].min(axis=1)
+            q, r = np.nonzero((upper >= floor[:, None]) & ~own)
+            self._hold(q + a, cids[r], lower[q, r], upper[q, r])
+
+    def unbounded(self, cids: np.ndarray, sole: np.ndarray, alone: np.ndarray) -> None:
+        """Vectors without cells may all count."""
         for q in range(len(self.ids)):
-            have = self.scores[q]
-            floor = -have[-1][0] if len(have) == k else -np.inf
-            if len(ids) > k:
-                floor = max(floor, np.partition(lower[q], len(ids) - k)[len(ids) - k] - slack[q])
-            left = np.flatnonzero(upper[q] + slack[q] >= floor)
-            left = left[upper[q, left] > -np.inf]
-            if not len(left):
-                continue
-            left = left[np.argsort(-upper[q, left], kind="stable")]
-            self._read(q, left, ids, block, upper[q] + slack[q])
-
-    def _read(self, q: int, left: np.ndarray, ids: np.ndarray, block: np.ndarray, upper: np.ndarray) -> None:
-        """Reads exact vectors by descending upper bound until the k-th result is certain."""
-        have, k = self.scores[q], self.k
-        for a in range(0, len(left), 256):
-            part = left[a : a + 256]
-            if len(have) == k:
-                worst, worst_id = -have[-1][0], have[-1][1]
-                bound = upper[part]
-                if bound[0] < worst:
-                    return
-                part = part[(bound > worst) | ((bound == worst) & (ids[part] < worst_id))]
-            self.read += len(part)
-            near = block[part]
-            if self.sums[q] * np.abs(near.astype(np.float64)).max(initial=0) < SAFE:
-                exact = near @ self.vectors[q]
-            else:  # products might not fit a long
-                exact = near.astype(object) @ self.vectors[q].astype(object)
-            if len(part) > k and exact.dtype != object:  # of this part only the k best can stay
-                keep = np.lexsort((ids[part], -exact))[:k]
-                part, exact = part[keep], exact[keep]
-            have += [(-int(s), int(i)) for s, i in zip(exact, ids[part], strict=True)]
-            have.sort()
-            del have[k:]
-
-
-#: over says that a score is beyond a long, and on which side.
-_OUT = "query_id long, copy int, n long, score long, over int, vec_id long"
-
-
-def distinct_queries(asked: DataFrame) -> DataFrame:
-    """(id, v, w, copy, n): every different query once, n times asked for; copy numbers those of one id."""
-    once = asked.groupBy("id", "v", "w").agg(F.count(F.lit(1)).alias("n"))
-    return once.withColumn("copy", F.row_number().over(Window.partitionBy("id").orderBy("v", "w")))
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = SCALE, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k rows of ``vectors`` with the greatest product with each query row, except rows of its own id."""
-    spark = vectors.sparkSession
-    rows, asked = usable(vectors, id_col, vec_col, scale), usable(queries, id_col, vec_col, scale)
-    marks = {size: m.tolist() for size, m in fit_marks(rows).items()}
-    n_queries = asked.count()
-    blocks = max(1, -(-n_queries // query_block))
-    stripes = max(1, -(-2 * shuffle_partitions(spark) // blocks))
-    # A task is (block, stripe): its queries, then its vectors by id. Queries go to all stripes and vectors to all blocks.
-    a = distinct_queries(asked).withColumn("block", F.pmod(F.xxhash64("id", "copy"), F.lit(blocks)).cast("int")).select("block", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), F.lit(0).alias("side"), "id", "v", "w", "copy", "n")
-    b = rows.withColumn("stripe", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(stripes)).cast("int")).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "stripe", F.lit(1).alias("side"), "id", "v", "w", F.lit(0).alias("copy"), F.lit(0).cast("long").alias("n"))
-    both = a.unionByName(b).withColumn("task", (F.col("block") * stripes + F.col("stripe")))
-    dealt = both.repartitionById(blocks * stripes, F.col("task").cast("int")).sortWithinPartitions("block", "stripe", "side", "id", "copy")
+            rows = np.flatnonzero(~((sole == self.ids[q]) & alone))
+            self._hold(np.full(len(rows), q), cids[rows], np.full(len(rows), -np.inf), np.full(len(rows), np.inf))
+
+    def _hold(self, q: np.ndarray, cids: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> None:
+        self.found.append((q, cids, lower, upper))
+        self.held += len(q)
+
+    def flush(self) -> pa.RecordBatch:
+        """The bounds that are left, as rows."""
+        q, cids, lower, upper = (np.concatenate(x) for x in zip(*self.found, (np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 2, strict=True))
+        keep = upper >= self.best.min(axis=1)[q] if len(q) else np.zeros(0, bool)
+        self.found, self.held = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(self.keys[q[keep]]), pa.array(cids[keep]), pa.array(lower[keep]), pa.array(upper[keep])], ["qkey", "cid", "lower", "upper"])
+
+
+def bounds(cells: DataFrame, block: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], edges: dict, k: int) -> DataFrame:
+    """(qkey, cid, lower, upper): what a scan of the approximations leaves to a block of queries (length, keys, ids, vectors)."""
+    sent = cells.sparkSession.sparkContext.broadcast((block, {s: edges.get(s) for s, *_ in block}))  # of bounded bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, marks = sent.value
+        scans = {size: Scan(keys, ids, vectors, marks[size], k) for size, keys, ids, vectors in queries}
+        for batch in batches:
+            alone = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            cids, sole, sizes = batch.column(0).to_numpy(), batch.column(1).fill_null(0).to_numpy(), batch.column(2).to_numpy()
+            for size, scan in scans.items():
+                rows = np.flatnonzero(sizes == size)
+                for s in range(0, len(rows), 4096):
+                    part = rows[s : s + 4096]
+                    if marks[size] is None:
+                        scan.unbounded(cids[part], sole[part], alone[part])
+                    else:
+                        raw = b"".join(batch.column(3).take(pa.array(part)).to_pylist())
+                        scan.meet(cids[part], sole[part], alone[part], np.frombuffer(raw, np.uint8).reshape(len(part), size))
+                    if scan.held > HELD:
+                        yield scan.flush()
+        for scan in scans.values():
+            yield scan.flush()
+
+    return cells.mapInArrow(run, "qkey long, cid long, lower double, upper double")
+
+
+def query_blocks(asked: DataFrame, n: int, width: int) -> Iterator[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """Blocks of the queries (qkey, id, v), each of about BLOCK_BYTES; ``width`` is the greatest length."""
+    blocks = max(1, -(-n * max(1, width) * 8 // BLOCK_BYTES))
+    for b in range(blocks):
+        got = asked.where(F.pmod(F.xxhash64("qkey"), F.lit(blocks)) == b).select("qkey", "id", "v").toArrow()
+        if got.num_rows:
+            keys, ids = got["qkey"].to_numpy(), got["id"].to_numpy()
+            yield [(size, keys[rows], ids[rows], block) for size, rows, block in by_length(got["v"])]
+
+
+# ---------------------------------------------------------------- exact scores
+
+
+def exact_scores(pairs: DataFrame, asked: DataFrame, classes: DataFrame) -> DataFrame:
+    """(qkey, cid, score, over) of pairs (qkey, cid), by the exact vectors. over says that a score is beyond a long, and on which side."""
+    both = pairs.select("qkey", "cid").join(classes.select("cid", "v"), "cid").join(asked.select("qkey", F.col("v").alias("q")), "qkey").select("qkey", "cid", "q", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide: dict[int, tuple[list, list, list]] = {}
-        best: dict[int, Best] = {}
         for batch in batches:
-            parts = []
-            for column in (batch.column(3), batch.column(4)):  # vectors of small and of large components
-                own = column.is_valid()
-                sides, ids, copies, n = (batch.column(c).filter(own).to_numpy() for c in (1, 2, 5, 6))
-                column = column.filter(own)
-                starts, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(np.int64)
-                sizes = np.diff(starts)
-                for size in np.unique(sizes).tolist():
-                    at = np.flatnonzero(sizes == size)
-                    parts.append((size, sides[at] == 0, ids[at], values[starts[at][:, None] + np.arange(size)], np.stack([copies[at], n[at]], axis=1)))
-            for size, asks, ids, block, keys in parts:
-                if asks.any():
-                    got = wide.setdefault(size, ([], [], []))
-                    got[0].append(ids[asks])
-                    got[1].append(block[asks])
-                    got[2].append(keys[asks])
-            for size, asks, ids, block, _ in parts:
-                if not asks.all() and size in wide:
-                    if size not in best:
-                        ids_of, vectors_of, keys_of = map(np.concatenate, wide[size])
-                        best[size] = Best(ids_of, vectors_of, k, keys_of)
-                    known = np.array(marks[size], np.int64) if size in marks else np.zeros((0, size), np.int64)
-                    for s in range(0, len(ids), 4096):
-                        part = slice(s, s + 4096)
-                        best[size].meet(ids[part][~asks[part]], block[part][~asks[part]], known)
-        for found in best.values():
-            flat = [(int(q), *key, min(max(-s, -LONG), LONG - 1), (-s >= LONG) - (-s < -LONG), i) for q, key, have in zip(found.ids, found.keys.tolist(), found.scores, strict=True) for s, i in have]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in flat], kind) for c, kind in enumerate(kinds)], ["query_id", "copy", "n", "score", "over", "vec_id"])
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    found = dealt.select("block", "side", "id", "v", "w", "copy", "n").mapInArrow(run, _OUT)
-    order = Window.partitionBy("query_id", "copy").orderBy(F.desc("over"), F.desc("score"), "vec_id")
+            scores, over = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int32)
+            asks = {size: (rows, block) for size, rows, block in by_length(batch.column(2))}
+            for size, rows, block in by_length(batch.column(3)):  # both sides have the same length
+                q = asks[size][1]
+                fits = np.abs(q.astype(np.float64)).sum(axis=1) * np.abs(block.astype(np.float64)).max(axis=1, initial=0) < SAFE
+                scores[rows[fits]] = np.einsum("ij,ij->i", q[fits], block[fits])
+                for i in np.flatnonzero(~fits).tolist():
+                    s = sum(a * b for a, b in zip(q[i].tolist(), block[i].tolist(), strict=True))
+                    scores[rows[i]], over[rows[i]] = min(max(s, -LONG), LONG - 1), (s >= LONG) - (s < -LONG)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array(over)], ["qkey", "cid", "score", "over"])
+
+    small_batches(both)
+    return both.mapInArrow(run, "qkey long, cid long, score long, over int")
+
+
+def _kth(rows: DataFrame, value: Column, k: int) -> DataFrame:
+    """(qkey, floor): the k-th greatest value of every query; minus infinity if there are fewer."""
+    best = rows.select("qkey", value.cast("double").alias("x")).withColumn("i", F.row_number().over(Window.partitionBy("qkey").orderBy(F.desc("x")))).where(F.col("i") <= k)
+    return best.groupBy("qkey").agg(F.when(F.count(F.lit(1)) == k, F.min("x")).otherwise(F.lit(float("-inf"))).alias("floor"))
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = SCALE) -> DataFrame:
+    """query_id, rank, vec_id, score: the k rows of ``vectors`` with the greatest product with each query row, except rows of its own id."""
+    shelf = Shelf(vectors.sparkSession, "vectors")
+    classes = distinct_vectors(usable(vectors, id_col, vec_col, scale), k)
+    classes = shelf.put(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    asked = usable(queries, id_col, vec_col, scale).groupBy("id", "v").agg(F.count(F.lit(1)).alias("n"))
+    asked = shelf.put(asked.withColumn("qkey", F.monotonically_increasing_id()), "asked")
+    edges = fit_edges(classes)
+    cells = shelf.put(approximations(classes, edges), "cells")
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
+    left: DataFrame | None = None
+    for block in query_blocks(asked, size["n"], size["width"] or 0):
+        part = shelf.put(bounds(cells, block, edges, k), "bounds")
+        left = part if left is None else left.unionByName(part)
+    if left is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    left = left.join(_kth(left, F.col("lower"), k), "qkey").where("upper >= floor").drop("floor")
+    left = shelf.put(left.withColumn("i", F.row_number().over(Window.partitionBy("qkey").orderBy(F.desc("upper"), "cid"))), "left")
+    near = shelf.put(exact_scores(left.where(F.col("i") <= k), asked, classes), "near")
+    open_ = left.where(F.col("i") > k).join(_kth(near, F.when(F.col("over") == 0, F.col("score")).otherwise(F.col("over") * float("inf")), k), "qkey").where("upper >= floor")
+    far = exact_scores(open_, asked, classes)
+    scored = shelf.put(near.unionByName(far), "scored")
+    shelf.clear("classes", "asked", "scored")
+    rows = scored.join(classes.select("cid", "ids"), "cid").join(asked.select("qkey", F.col("id").alias("query_id"), "n"), "qkey")
+    rows = rows.select("qkey", "query_id", "n", "score", "over", F.explode("ids").alias("c")).where(F.col("c.id") != F.col("query_id"))
+    rows = rows.select("*", F.col("c.id").alias("vec_id"), F.explode(F.sequence(F.lit(1).cast("long"), "c.n")))
+    order = Window.partitionBy("qkey").orderBy(F.desc("over"), F.desc("score"), "vec_id")
     score = F.when(F.col("over") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score is beyond a long")).cast("long"))
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    again = best.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    best = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    again = best.select("query_id", "rank", "vec_id", "score", "over", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     return again.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))
 
 

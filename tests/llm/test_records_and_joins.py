@@ -90,7 +90,7 @@ def test_salvage_of_other_archives():
 # ---------------------------------------------------------------- 4
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(300, 8)) / 3
     base[100:200] = base[100]  # a third are one vector
@@ -98,10 +98,11 @@ def test_top_k(spark):
     rows += [(900, None, "b"), (901, [None] * 8, "b"), (902, [float("nan")] * 8, "b"), (903, [float("inf")] * 8, "b"), (904, [1.0] * 3, "b"), (905, [0.5] * 3, "b"), (None, [1.0] * 8, "b"), (906, [1e30] * 8, "b"), (907, [], "b"), (7, [0.1] * 8, "b"), (908, [30000.5] * 8, "b")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block string")
     asked = table.where("vec_id % 20 = 0 OR vec_id IN (904, 7)")
-    ints = [(i, np.floor(64 * np.array(v, float)).astype(np.int64)) for i, v, _ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and np.abs(np.array(v, float)).max(initial=0) < 1e6]
-    for block in (1024, 4):
+    ints = [(i, np.floor(64 * np.array(v, float)).astype(np.int64)) for i, v, _ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and max(map(abs, v), default=0) < 1e17]
+    for block in (1 << 24, 300):  # bytes: one block of queries, and many
+        monkeypatch.setattr(va_topk, "BLOCK_BYTES", block)
         got: dict = {}
-        for r in va_topk.top_k(table, asked, k=20, query_block=block).collect():
+        for r in va_topk.top_k(table, asked, k=20).collect():
             got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
         for q, v in ints:
             if (q % 20 == 0 or q == 904) and q != 7:
@@ -110,7 +111,7 @@ def test_top_k(spark):
     assert va_topk.top_k(table.where("false"), asked.where("false")).count() == 0
 
 
-def test_top_k_of_large_vectors(spark):
+def test_top_k_of_large_vectors(spark, monkeypatch):
     """Finite vectors of any size take part, exactly; a result beyond a long is an error."""
     rng = np.random.default_rng(4)
     base = rng.normal(size=(120, 4))
@@ -120,9 +121,10 @@ def test_top_k_of_large_vectors(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     exact = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows}
     asked = [0, 20, 40, 60, 80, 100, 200, 201, 202]
-    for block in (1024, 3):
+    for block in (1 << 24, 100):
+        monkeypatch.setattr(va_topk, "BLOCK_BYTES", block)
         got: dict = {}
-        for r in va_topk.top_k(table.where("vec_id <> 203"), table.where(f"vec_id IN ({', '.join(map(str, asked))})"), k=10, query_block=block).collect():
+        for r in va_topk.top_k(table.where("vec_id <> 203"), table.where(f"vec_id IN ({', '.join(map(str, asked))})"), k=10).collect():
             got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
         for q in asked:
             best = sorted((-sum(a * b for a, b in zip(exact[q], exact[j], strict=True)), j) for j in exact if j not in (q, 203))[:10]
@@ -135,7 +137,7 @@ def test_top_k_of_large_vectors(spark):
 
 
 
-def test_top_k_of_repeated_queries(spark):
+def test_top_k_of_repeated_queries(spark, monkeypatch):
     """Every query row has its own ranking, equal copies and other vectors of one id alike."""
     rng = np.random.default_rng(5)
     base = rng.normal(size=(60, 4))
@@ -147,21 +149,61 @@ def test_top_k_of_repeated_queries(spark):
         if q % 20 == 0:
             best = sorted((-int(v @ w), j) for j, w in ints if j != q)[:5]
             want += [(q, k + 1, j, -s) for k, (s, j) in enumerate(best)]
-    for block in (1024, 2):
-        got = va_topk.top_k(table, table.where("vec_id % 20 = 0"), k=5, query_block=block).collect()
+    for block in (1 << 24, 100):
+        monkeypatch.setattr(va_topk, "BLOCK_BYTES", block)
+        got = va_topk.top_k(table, table.where("vec_id % 20 = 0"), k=5).collect()
         assert sorted(map(tuple, got)) == sorted(want)
     assert len(want) == 7 * 5
 
 
+def test_top_k_of_long_vectors(spark):
+    """512 components whose products might add up beyond 2**63, and a component of 5e6: scores are those of Python's integers."""
+    rng = np.random.default_rng(6)
+    base = (rng.integers(-(1 << 28), 1 << 28, (60, 512)) / 64).tolist()
+    base[2], base[3] = [5e6] * 4 + [0.0] * 508, [-5e6] + [0.0] * 511
+    table = spark.createDataFrame(list(enumerate(base)), "vec_id long, embedding array<double>")
+    exact = [[int(np.floor(64 * x)) for x in v] for v in base]
+    got: dict = {}
+    for r in va_topk.top_k(table, table.where("vec_id IN (0, 2, 20)"), k=5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in (0, 2, 20):
+        best = sorted((-sum(a * b for a, b in zip(exact[q], exact[j], strict=True)), j) for j in range(60) if j != q)[:5]
+        assert sorted(got[q]) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
+
+
+def test_top_k_with_copies(spark):
+    """A vector that a third of all ids hold, ids given many times, and lengths without marks."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(100)] + [(i, [2.0, 2.0, 2.0, 2.0]) for i in range(200, 260)]
+    rows += [(200, [2.0, 2.0, 2.0, 2.0])] * 30 + [(300, [float(x) for x in range(n)]) for n in range(5, 90)] + [(340, [1.0] * 5), (360, [1.0] * 5)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = [(i, np.floor(64 * np.array(v)).astype(np.int64)) for i, v in rows]
+    want = []
+    for q, v in ints:
+        if q in (20, 220, 200, 340):
+            best = sorted((-int(v @ w), j) for j, w in ints if j != q and len(w) == len(v))[:7]
+            want += [(q, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    got = va_topk.top_k(table, table.where("vec_id IN (20, 200, 220, 340)"), k=7).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    classes = va_topk.distinct_vectors(va_topk.usable(table, "vec_id", "embedding"), 7)
+    assert classes.selectExpr("max(size(ids))").first()[0] == 8
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(3)
-    block, queries = rng.integers(-60, 60, (500, 16)), rng.integers(-60, 60, (20, 16))
+    block, queries = rng.integers(-60, 60, (2000, 16)), rng.integers(-60, 60, (20, 16))
     marks = np.quantile(block[:50], np.arange(1, 32) / 32, axis=0, method="nearest").astype(np.int64)
-    best = va_topk.Best(np.arange(20), queries, 5)
-    best.meet(np.arange(100, 600), block, marks)
+    edges = (marks, np.vstack([block.min(axis=0), marks]), np.vstack([marks - 1, block.max(axis=0)]))
+    scan = va_topk.Scan(np.arange(20), np.arange(20), queries, edges, 5)
+    none = np.zeros(2000, np.int64)
+    scan.meet(np.arange(2000), none, none.astype(bool), va_topk.approximate(block, marks))
+    got = scan.flush()
     exact = queries @ block.T
-    assert [[-s for s, _ in x] for x in best.scores] == np.sort(exact, axis=1)[:, ::-1][:, :5].tolist()
-    assert best.read < 0.6 * exact.size  # bounds pass most vectors over
+    for q, c, lower, upper in zip(*(x.to_pylist() for x in got.columns), strict=True):
+        assert lower <= exact[q, c] <= upper
+    left = {(q, c) for q, c in zip(got["qkey"].to_pylist(), got["cid"].to_pylist(), strict=True)}
+    assert all((q, c) in left for q in range(20) for c in np.argsort(-exact[q], kind="stable")[:5])
+    assert len(left) < 0.1 * exact.size  # bounds pass most vectors over
 
 
 # ---------------------------------------------------------------- 5
