@@ -44,7 +44,8 @@ from pyspark.sql import functions as F
 from .common import Shelf, small_batches, table
 
 SCALE = 64.0
-CELLS = 32
+#: Cells of a component: their numbers fill a byte.
+CELLS = 256
 LONG = 1 << 63
 #: Sums of products below this, in doubles, fit a long.
 SAFE = float(1 << 62)
