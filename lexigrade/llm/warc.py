@@ -11,7 +11,11 @@ are kept that inflate and that a digest proves. An HTTP length unlike the
 payload's is a note in ``reason``.
 
 Both sides go through Spark's own readers and writers, so archives may lie in
-any store that Spark reaches and a lost executor costs a task's retry.
+any store that Spark reaches and a lost executor costs a task's retry. The
+writer bounds the bytes of a file; the reader takes a file as one value, so of a
+file beyond Spark's bound of a value (``READ_BYTES``) it logs one gap: such a
+file is to be cut first, at any place. Salvaging is linear in the file: places of
+patterns are searched once.
 
 Defined cases: a null html is an empty payload; a null url leaves out the
 target URI; rows that repeat page_id and payload are all responses; null
@@ -35,10 +39,12 @@ from .common import scratch, small_batches, table, written
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
-#: Records of one archive file at most.
-RECORDS_PER_FILE = 2000
-#: Largest record block that the reader accepts, against damaged lengths.
-MAX_BLOCK = 1 << 31
+#: Bytes of one archive file, unless a single record has more.
+FILE_BYTES = 32 << 20
+#: Longest name and comment of a gzip member; longer ones are taken for a false start.
+NAME_BYTES = 1 << 12
+#: Largest file that Spark hands over as one value.
+READ_BYTES = 2_000_000_000
 
 RECORD_FIELDS = (
     "file string, offset long, length long, kind string, reason string, record_type string, record_id string, "
@@ -124,28 +130,38 @@ def gzip_member(data: bytes, level: int = 1) -> bytes:
     return MAGIC + b"\0" * 5 + b"\x04\xff" + body + zlib.crc32(data).to_bytes(4, "little") + size
 
 
-def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", per_file: int = RECORDS_PER_FILE) -> str:
+def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> str:
     """Writes pages (page_id, url, html) as WARC files into path and returns it.
 
-    The text writer puts its separator, here one zero byte, after each value.
-    A member's last byte is the top byte of its length, which is zero below
-    16 MB: that byte is left to the writer. Longer members get the zero byte as
-    the padding that gzip allows.
+    Members are gathered up to ``file_bytes``, a file each. The text writer puts
+    its separator, here one zero byte, after each value. A member's last byte is
+    the top byte of its length, which is zero below 16 MB: that byte is left to
+    the writer. Longer members get the zero byte as the padding that gzip allows.
     """
     rows = with_roles(pages, min_bytes)
     small_batches(rows)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def packed() -> pa.RecordBatch:
+            whole = b"".join(held)
+            return pa.RecordBatch.from_arrays([pa.array([whole[:-1] if whole[-1] == 0 else whole], pa.binary())], ["value"])
+
         for batch in batches:
-            out = []
             for i in range(batch.num_rows):
                 page, url, payload, refers = (batch.column(k)[i].as_py() for k in range(4))
                 member = gzip_member(record_bytes(page, url, payload, refers, date))
-                out.append(member[:-1] if member[-1] == 0 else member)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                if held and size + len(member) > file_bytes:
+                    yield packed()
+                    held, size = [], 0
+                held.append(member)
+                size += len(member)
+        if held:
+            yield packed()
 
     members = rows.mapInArrow(pack, "value binary").select(F.col("value").cast("string"))
-    members.write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
+    members.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -163,13 +179,45 @@ def digest_holds(told: str, data: bytes) -> bool | None:
     return bare.upper() == base64.b32encode(raw).decode().rstrip("=") or value.lower() == raw.hex() or bare in (base64.b64encode(raw).decode().rstrip("="), base64.urlsafe_b64encode(raw).decode().rstrip("="))
 
 
-def _headers(head: bytes) -> dict[str, str]:
+class Ahead:
+    """The next place of a pattern, or the end. As long as places are asked for in ascending order, the data are searched once."""
+
+    def __init__(self, data: bytes, pattern: bytes | re.Pattern):
+        self.data, self.pattern, self.since, self.place = data, pattern, 0, -1
+
+    def _find(self, at: int, to: int) -> int:
+        if isinstance(self.pattern, bytes):
+            return self.data.find(self.pattern, at, to)
+        found = self.pattern.search(self.data, at, to)
+        return found.start() if found else -1
+
+    def after(self, at: int) -> int:
+        n = len(self.data)
+        if self.place < at:
+            self.since, self.place = at, self._find(at, n)
+            if self.place < 0:
+                self.place = n
+        elif at < self.since:  # a step back: what lies before the last search
+            found = self._find(at, min(n, self.since + 64))
+            return found if 0 <= found < self.place else self.place
+        return self.place
+
+
+def _headers(data: bytes, at: int) -> tuple[dict[str, str], int]:
+    """The header lines from data[at:] by name, and where the empty line after them ends. A line that is none is an error."""
     out: dict[str, str] = {}
-    for line in head.split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    while True:
+        end = data.find(b"\r\n", at)
+        if end < 0:
+            raise ValueError("header does not end")
+        if end == at:
+            return out, end + 2
+        name, colon, value = data[at:end].partition(b":")
         if colon:
             out[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
-    return out
+        elif data[at] not in b" \t":
+            raise ValueError("bad header line")
+        at = end + 2
 
 
 def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
@@ -180,17 +228,14 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     found = VERSION.match(data, at)
     if not found:
         raise ValueError("no version line")
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0:
-        raise ValueError("header does not end")
-    head = _headers(data[at:end])
+    head, start = _headers(data, found.end())
     length = head.get("content-length", "")
-    if not length.isdigit() or int(length) > MAX_BLOCK:
+    if not re.fullmatch("[0-9]{1,18}", length):
         raise ValueError("bad content length")
-    block = data[end + 4 : end + 4 + int(length)]
-    stop = end + 4 + int(length)
-    if len(block) < int(length) or data[stop : stop + 4] != b"\r\n\r\n":
+    stop = start + int(length)
+    if data[stop : stop + 4] != b"\r\n\r\n":
         raise ValueError("block is cut short")
+    block = data[start:stop]
     proven = digest_holds(head.get("warc-block-digest", ""), block)
     if proven is False:
         raise ValueError("block digest differs")
@@ -198,7 +243,7 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     digest = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
     if head.get("content-type", "").startswith("application/http"):
         http, _, payload = block.partition(b"\r\n\r\n")
-        told = _headers(http).get("content-length", "")
+        told = _http_length(http)
         size = int(told) if told.isdigit() else len(payload)
     else:
         payload, size = block, len(block)
@@ -218,6 +263,29 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     }, stop + 4
 
 
+def _http_length(http: bytes) -> str:
+    """The last Content-Length of an HTTP head, whatever its other lines are."""
+    told = [x.partition(b":")[2].strip() for x in http.split(b"\r\n")[1:] if x.partition(b":")[0].strip().lower() == b"content-length"]
+    return told[-1].decode("utf-8", "replace") if told else ""
+
+
+def _deflated(data: bytes, at: int, ends: tuple[Ahead, Ahead]) -> int:
+    """Where the deflated data of the gzip member at data[at:] start; ``ends`` look for the ends of names and of comments."""
+    flags, p = data[at + 3 : at + 4], at + 10
+    if not flags or flags[0] & 0xE0:
+        raise ValueError("gzip: bad header")
+    if flags[0] & 4:
+        p += 2 + int.from_bytes(data[p : p + 2], "little")
+    start = p
+    for bit, zeros in zip((8, 16), ends, strict=True):
+        if flags[0] & bit:
+            p = zeros.after(p) + 1
+    p += flags[0] & 2
+    if p >= len(data) or p - start > NAME_BYTES:
+        raise ValueError("gzip: header does not end")
+    return p
+
+
 def _member(data: bytes, at: int, window: int) -> tuple[bytes, int]:
     """The inflated gzip member at data[at:at + window], its CRC checked, and its length."""
     unpack = zlib.decompressobj(31)
@@ -253,7 +321,7 @@ def _records(text: bytes, damaged: bool = False, torn: bool = False) -> list[dic
     Of a damaged member only proven records count, and only such as another one
     follows or, if the stream is not torn, its end: else the damage hits them.
     """
-    out, at, gap = [], 0, ""
+    out, at, gap, versions = [], 0, "", Ahead(text, VERSION)
     while at < len(text):
         if text[at] in b"\r\n":
             at += 1
@@ -270,8 +338,7 @@ def _records(text: bytes, damaged: bool = False, torn: bool = False) -> list[dic
             out.append({"kind": "record"} | record)
         except ValueError as e:
             gap = gap or f"in a member: {e}"
-            found = VERSION.search(text, at + 1)
-            at = found.start() if found else len(text)
+            at = versions.after(at + 1)
     return out + ([{"kind": "gap", "reason": gap}] if gap else [])
 
 
@@ -284,10 +351,15 @@ def salvage(data: bytes) -> Iterator[dict]:
     damaged member, whose bytes are a gap.
     """
     at, gap, why, n = 0, None, "", len(data)
+    versions, members, ends = Ahead(data, VERSION), Ahead(data, MAGIC), (Ahead(data, b"\0"), Ahead(data, b"\0"))
+    bad: dict[int, str] = {}  # starts of deflated data that are none; many headers may lead to one
     while at < n:
         saved: list[dict] = []
         try:
             if data.startswith(MAGIC, at):
+                body = _deflated(data, at, ends)
+                if body in bad:
+                    raise ValueError(bad[body])
                 # Inflating works on windows, so a damaged start costs no copy of the rest of the file.
                 window = 1 << 16
                 while True:
@@ -296,6 +368,8 @@ def salvage(data: bytes) -> Iterator[dict]:
                         break
                     except ValueError as e:
                         if "cut short" not in str(e) or at + window >= n:
+                            if "header crc" not in str(e):
+                                bad[body] = str(e)
                             text, torn = _inflated(data, at, window)
                             saved = [r for r in _records(text, True, torn) if r["kind"] == "record"]
                             raise
@@ -315,9 +389,7 @@ def salvage(data: bytes) -> Iterator[dict]:
                 gap, why = at, str(e)
             if gap is None:
                 gap, why = at, str(e)
-            found = VERSION.search(data, at + 1)
-            member = data.find(MAGIC, at + 1)
-            at = min((x for x in (found.start() if found else -1, member) if x >= 0), default=n)
+            at = min(versions.after(at + 1), members.after(at + 1))
             continue
         if gap is not None:
             yield {"kind": "gap", "offset": gap, "length": at - gap, "reason": why}
@@ -334,10 +406,12 @@ def salvage(data: bytes) -> Iterator[dict]:
 def read_archives(spark: SparkSession, path: str, *, with_payload: bool = True) -> DataFrame:
     """One row per record or quarantined gap (``kind``) of the archives in a folder.
 
-    A file is a row of Spark's binary reader; the writer bounds files by their
-    number of records, and Spark the bytes of a task's files.
+    A file is a row of Spark's binary reader; the writer bounds the bytes of
+    files, and Spark those of a task's files.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    every = spark.read.format("binaryFile").load(path)
+    files = every.where(F.col("length") <= READ_BYTES).select("path", "content")
+    small_batches(files)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,7 +427,10 @@ def read_archives(spark: SparkSession, path: str, *, with_payload: bool = True)
                         rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, _RECORD_SCHEMA)
 
-    return files.mapInArrow(read, RECORD_FIELDS)
+    known = {"file": F.col("path"), "offset": F.lit(0), "length": F.col("length"), "kind": F.lit("gap"), "reason": F.lit("the file is too long to be read as one value")}
+    fields = [f.split() for f in RECORD_FIELDS.split(", ")]
+    beyond = every.where(F.col("length") > READ_BYTES).select(*[known.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in fields])
+    return files.mapInArrow(read, RECORD_FIELDS).unionByName(beyond)
 
 
 # ---------------------------------------------------------------- query

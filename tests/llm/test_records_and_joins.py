@@ -1,7 +1,10 @@
 """WARC, exact search, the n-gram join, components and the pipeline."""
 
+import glob
 import gzip
+import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -59,6 +62,28 @@ def test_salvage(packed):
     assert rows[0]["length"] == 4 and list(warc.salvage(b"")) == [] and [r["kind"] for r in warc.salvage(b"xyz")] == ["gap"]
 
 
+@pytest.mark.parametrize("junk", [b"WARC/1.1\r\n", b"WARC/1.1\r\nContent-Length: 99999999999\r\n\r\n", b"WARC/1.0\r\nX", b"\x1f\x8b\x08", b"\x1f\x8b\x08WARC/1.1\r\n"])
+def test_salvage_is_linear(junk):
+    """4 MB of false starts, between sound records, are passed over within seconds."""
+    record = warc.record_bytes(1, "u", b"<p>x</p>" * 30, None, "2024-01-01T00:00:00Z")
+    data = record + b"\0" + junk * (4_000_000 // len(junk)) + warc.gzip_member(record)
+    began = time.process_time()
+    rows = list(warc.salvage(data))
+    assert [(r["kind"], r.get("page_id")) for r in rows] == [("record", 1), ("gap", None), ("record", 1)]
+    assert time.process_time() - began < 40
+
+
+def test_files_are_bounded(spark, tmp_path, monkeypatch):
+    """Files hold as many records as fit; a file too long to be one value is a gap of its length."""
+    rows = spark.createDataFrame([(i, "u", random.Random(i).randbytes(3000).hex(), "x") for i in range(40)], PAGES).coalesce(1)
+    path = warc.write_archives(rows, str(tmp_path / "w"), file_bytes=20_000)
+    sizes = [os.path.getsize(f) for f in glob.glob(path + "/part-*")]
+    assert len(sizes) > 5 and max(sizes) <= 20_000 and warc.read_archives(spark, path).where("kind = 'record'").count() == 40
+    monkeypatch.setattr(warc, "READ_BYTES", max(sizes) - 1)
+    got = warc.read_archives(spark, path).collect()
+    assert sum(r.length for r in got if r.kind == "gap") == sum(x for x in sizes if x == max(sizes))
+
+
 def test_salvage_of_other_archives():
     """Whole-file gzip, damage within it, other digests, and HTTP lengths that are not the payload's."""
     plain = [warc.record_bytes(i, f"http://x/{i}", random.Random(i).randbytes(3000), None, "2024-01-01T00:00:00Z") for i in range(8)]
