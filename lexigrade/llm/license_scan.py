@@ -17,6 +17,7 @@ play no part; a text's length is bounded by nothing but memory for that text.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -140,6 +141,7 @@ def detect(words: str, book: list[tuple[Rule, re.Pattern]]) -> list[Found]:
     """What the rules find in words that are joined by single spaces, after suppression."""
     hits, base = [], []
     seen: dict[str, bool] = {}
+    places: list[int] | None = None  # where words start
     for rule, regex in book:
         for k in rule.keywords:
             if k not in seen:
@@ -147,18 +149,44 @@ def detect(words: str, book: list[tuple[Rule, re.Pattern]]) -> list[Found]:
         if all(seen[k] for k in rule.keywords):
             at = 0
             while m := regex.search(words, at):
-                first = words.count(" ", 0, m.start())
+                if places is None:
+                    places = [0, *(x.end() for x in re.finditer(" ", words))]
+                first = bisect_left(places, m.start())
                 found = Found(first, first + m[0].count(" ") + 1, rule.label, rule.priority, rule.confidence)
                 (base if rule.priority >= 1000 else hits).append(found)
                 at = m.start() + 1 if rule.priority >= 1000 else m.end()
     hits.sort(key=lambda h: (-h.priority, h.start - h.end, h.start, h.label))
+    outer = Intervals()
+    for h in base:
+        outer.add(h.start, h.end)
     kept = list(base)
     for h in hits:
-        if not any(k.start <= h.start and h.end <= k.end for k in kept):
+        if not outer.holds(h.start, h.end):
+            outer.add(h.start, h.end)
             kept.append(h)
     return kept
 
 
+class Intervals:
+    """Intervals of which none lies within another: starts and ends both ascend, so a binary search tells whether one holds another."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def holds(self, start: int, end: int) -> bool:
+        k = bisect_right(self.starts, start) - 1
+        return k >= 0 and self.ends[k] >= end
+
+    def add(self, start: int, end: int) -> None:
+        if self.holds(start, end):
+            return
+        k = bisect_left(self.starts, start)
+        to = bisect_right(self.ends, end, lo=k)  # those within the new one
+        self.starts[k:to] = [start]
+        self.ends[k:to] = [end]
+
+
 def book_of(rule_list: list[Rule]) -> list[tuple[Rule, re.Pattern]]:
     return [(r, re.compile(rf"(?<![^ ])(?:{r.regex})(?![^ ])")) for r in rule_list]
 
@@ -214,3 +242,24 @@ _GATE_CC_BYTES = re.compile(GATE_CC.pattern.replace("a-z0-9", r"a-z0-9\x80-\xff"
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents under all rules."""
     return scan(table(spark, sf_dir, "documents"))
+
+
+def fixed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that the contract fixes."""
+    return op10_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def _facts_sql() -> str:
+    phrases = " UNION ALL ".join(
+        f"SELECT doc_id, '{label}' AS label, k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS k FROM w) WHERE ws[k:k + {len(phrase.split()) - 1}] = [{', '.join(repr(x) for x in phrase.split())}]" for phrase, label in BASE
+    )
+    return f"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents
+), p AS ({phrases}),
+a AS (SELECT doc_id, count(*) AS n, min(k) - 1 AS lo, max(k) - 1 AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN a USING (doc_id)
+"""
+
+
+FACTS_SQL = _facts_sql()
