@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat, lower_table, mixed, ragged, range_hashes, shuffle_partitions, slices, small_batches, space_mask, spans, table, written
+from .common import flat, fresh, lower_table, mixed, ragged, range_hashes, shuffle_partitions, slices, small_batches, space_mask, spans, table, written
 from .components import components
 
 WORDS = 5
@@ -514,17 +514,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the least id. Their columns are their own."""
+    """docs with one row of each component: that of the least id. Their columns are their own, whatever their names are."""
+    keep, keep_mark, mark, key, key_mark = fresh(docs.columns, "keep", "keep_mark", "mark", "key", "key_mark")
     keepers = join(docs, id_col, text_col).where("keeper").groupBy("id", "mark").agg(F.count(F.lit(1)).alias("n"))
-    keepers = written(keepers.select(F.col("id").alias("__keep"), F.col("mark").alias("__keep_mark"), "n"), "keepers")
-    rows = docs.withColumn("__mark", F.xxhash64(text_col))
-    stay = rows.join(keepers, (F.col("__mark") == F.col("__keep_mark")) & F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
-    again = rows.groupBy(id_col, "__mark").count().where("count > 1")
+    keepers = written(keepers.select(F.col("id").alias(keep), F.col("mark").alias(keep_mark), "n"), "keepers")
+    rows = docs.withColumn(mark, F.xxhash64(text_col))
+    stay = rows.join(keepers, (F.col(mark) == F.col(keep_mark)) & F.col(id_col).eqNullSafe(F.col(keep)), "left_semi")
+    again = rows.groupBy(id_col, mark).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not again.isEmpty():  # repeated rows: of those alike in id and text, as many stay as are keepers, one or all without words
-        alone = keepers.where("n > 1").select(F.col("__keep").alias("__k"), F.col("__keep_mark").alias("__m"))
-        many = stay.join(alone, (F.col("__mark") == F.col("__m")) & F.col(id_col).eqNullSafe(F.col("__k")), "left_semi")
-        few = stay.join(alone, (F.col("__mark") == F.col("__m")) & F.col(id_col).eqNullSafe(F.col("__k")), "left_anti")
-        stay = few.dropDuplicates([id_col, "__mark"]).unionByName(many)
+        alone = keepers.where("n > 1").select(F.col(keep).alias(key), F.col(keep_mark).alias(key_mark))
+        many = stay.join(alone, (F.col(mark) == F.col(key_mark)) & F.col(id_col).eqNullSafe(F.col(key)), "left_semi")
+        few = stay.join(alone, (F.col(mark) == F.col(key_mark)) & F.col(id_col).eqNullSafe(F.col(key)), "left_anti")
+        stay = few.dropDuplicates([id_col, mark]).unionByName(many)
     return stay.select(*docs.columns)
 
 

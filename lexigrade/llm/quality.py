@@ -16,8 +16,8 @@ Defined cases: a null or empty text has the bins alone; labels that are null or
 outside 0 and 1 are not used; a text with several labels counts for each, equal
 ones as a weight; with
 no labelled rows every text has the neutral score and is kept; repeated rows
-are scored each; an empty table gives no rows; columns of the table pass through
-and must not be named as the added ones are (``prefix`` renames those).
+are scored each; an empty table gives no rows; columns of the table pass through,
+and an added one whose name is taken has underscores before it.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_mask, flat, lower_table, mixed, range_hashes, slices, small_batches, spans, table
+from .common import alnum_mask, flat, fresh, lower_table, mixed, range_hashes, slices, small_batches, spans, table
 
 #: log2 of the number of weights, and the most labelled rows that are fitted on.
 WIDTH, SAMPLE = 18, 12_000
@@ -194,10 +194,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(*rows, counts=counts)
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """docs with expected_grade, tail (of the best grade), p_above_0 and keep added."""
-    added = [("expected_grade", T.DoubleType(), pa.float64()), ("tail", T.DoubleType(), pa.float64()), ("p_above_0", T.DoubleType(), pa.float64()), ("keep", T.BooleanType(), pa.bool_())]
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(prefix + name, kind) for name, kind, _ in added)])
+ADDED = ("expected_grade", "tail", "p_above_0", "keep")
+
+
+def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with expected_grade, tail (of the best grade), p_above_0 and keep added, by names that docs leaves free."""
+    names = fresh(docs.columns, *ADDED)
+    kinds = [(T.DoubleType(), pa.float64())] * 3 + [(T.BooleanType(), pa.bool_())]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, kind) for n, (kind, _) in zip(names, kinds, strict=True))])
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))  # 2**WIDTH weights
     place = docs.columns.index(text_col)
     small_batches(docs)
@@ -207,7 +211,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", prefix: str =
         for batch in batches:
             tails = own.tails(*features(batch.column(place)))
             values = [tails.sum(axis=1), tails[:, -1], tails[:, 0], tails[:, -1] >= KEEP]
-            arrays = [*batch.columns, *(pa.array(v, kind) for v, (_, _, kind) in zip(values, added, strict=True))]
+            arrays = [*batch.columns, *(pa.array(v, kind) for v, (_, kind) in zip(values, kinds, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, [f.name for f in schema.fields])
 
     return docs.mapInArrow(run, schema)
@@ -215,8 +219,8 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", prefix: str =
 
 def selected(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs that the model keeps, with their own columns."""
-    mark = "__quality_"
-    return scored(docs, model, text_col, mark).where(F.col(mark + "keep")).select(*docs.columns)
+    keep = fresh(docs.columns, *ADDED)[-1]
+    return scored(docs, model, text_col).where(F.col(keep)).select(*docs.columns)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
