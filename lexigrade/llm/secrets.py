@@ -3,10 +3,11 @@
 1. From every rule's regular expression a Boolean query over trigrams is
    derived: an OR of ANDs that any matching text satisfies. A rule without
    mandatory trigrams has none and scans every text.
-2. The index has a posting (trigram, row) for every trigram of the rules that
-   occurs in a text; the texts are matched in lower case.
-3. Postings meet the clauses; a row that has all trigrams of a clause is a
-   candidate of its rule.
+2. One pass over a text, in lower case, finds the rules' trigrams that it holds;
+   these are its postings (trigram, id) of the index.
+3. The postings are looked up by trigram for each clause and intersected: an id
+   that has as many of a clause's trigrams as it has is a candidate of its rule.
+   The candidates are written, so that they are broadcast only if found small.
 4. Candidates meet their texts again, which the rule's expression verifies.
    Matches are the leftmost non-overlapping ones; their places follow from the
    lengths of the matches and of the pieces between them, in code points.
@@ -16,11 +17,12 @@ holds, per text, at most as many postings as the rules have trigrams.
 
 Defined cases: a null or empty text has no spans; a null id is a key like any
 other; rows that repeat an id are verified each by its own text; an empty table
-gives no rows; other columns play no part.
+gives no rows; other columns play no part, whatever their names are.
 """
 
 from __future__ import annotations
 
+import re
 import re._constants as sre
 import re._parser as sre_parser
 from collections.abc import Sequence
@@ -29,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table, written
 
 
 @dataclass(frozen=True)
@@ -144,48 +146,36 @@ def _lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def postings(docs: DataFrame, trigrams: Sequence[str]) -> DataFrame:
-    """The inverted index: (trigram, id) for every trigram asked for and every text that holds it.
+def _trie(words: Sequence[str]) -> str:
+    """An expression for any of some words of one length, by their first characters."""
+    if not words[0]:
+        return ""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[0], []).append(w[1:])
+    parts = [re.escape(c) + _trie(rest) for c, rest in sorted(heads.items())]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
 
-    trigram is the place in ``trigrams``; a text's postings are made in one pass over it.
-    """
-    low = docs.select("id", _lower(F.coalesce("text", F.lit(""))).alias("low"))
-    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
-    return low.select("id", F.explode(held).alias("trigram"))
+
+def postings(docs: DataFrame, trigrams: Sequence[str]) -> DataFrame:
+    """The inverted index: (trigram, id) for every trigram asked for and every text that holds it, by one pass over the texts."""
+    low = _lower(F.coalesce("text", F.lit("")))
+    heads = "".join(re.escape(c) for c in sorted({t[0] for t in trigrams}))
+    found = F.regexp_extract_all(low, F.lit(f"(?=[{heads}])(?=({_trie(trigrams)}))"), F.lit(1))
+    return docs.select("id", F.explode(F.array_distinct(found)).alias("trigram"))
 
 
 def candidates(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(id, kinds) of the rows that satisfy a clause of a rule. Postings of a row are intersected as bits."""
+    """(cand_id, kinds) of the ids whose texts satisfy a clause of a rule: the index is looked up by each clause's trigrams."""
     clauses = [(r.kind, c) for r in rules for c in trigram_query(r.regex)]
     trigrams = sorted({t for _, c in clauses for t in c})
     if not trigrams:
-        return docs.sparkSession.createDataFrame([], "cand_id long, kinds array<string>")
-    width = 62  # bits in a long
-    words = -(-len(trigrams) // width)
-    index = postings(docs, trigrams)
-    bit = F.expr(f"shiftleft(1L, trigram % {width})")
-    per_row = index.groupBy("id").agg(*[F.bit_or(F.when(F.expr(f"trigram div {width}") == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(words)])
-
-    def holds(clause: frozenset[str]) -> Column:
-        masks = [0] * words
-        for t in clause:
-            i = trigrams.index(t)
-            masks[i // width] |= 1 << i % width
-        out = F.lit(True)
-        for w, m in enumerate(masks):
-            if m:
-                out = out & (F.col(f"w{w}").bitwiseAND(F.lit(m).cast("long")) == F.lit(m).cast("long"))
-        return out
-
-    found = []
-    for r in rules:
-        own = [holds(c) for k, c in clauses if k == r.kind]
-        if own:
-            any_of = own[0]
-            for x in own[1:]:
-                any_of = any_of | x
-            found.append(F.when(any_of, F.lit(r.kind)))
-    return per_row.select(F.col("id").alias("cand_id"), F.array_compact(F.array(*found)).alias("kinds")).where(F.size("kinds") > 0)
+        return docs.select(F.col("id").alias("cand_id"), F.array().cast("array<string>").alias("kinds")).where("false")
+    asked = [(t, n, kind, len(c)) for n, (kind, c) in enumerate(clauses) for t in sorted(c)]
+    lookup = docs.sparkSession.createDataFrame(asked, "trigram string, clause int, kind string, size int")  # as many rows as the rules have trigrams
+    met = postings(docs, trigrams).join(F.broadcast(lookup), "trigram")
+    whole = met.groupBy("id", "clause", "kind", "size").agg(F.countDistinct("trigram").alias("n")).where("n = size")
+    return whole.groupBy(F.col("id").alias("cand_id")).agg(F.collect_set("kind").alias("kinds"))
 
 
 # ---------------------------------------------------------------- verification
@@ -209,28 +199,32 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     return F.aggregate(both, zero, step, lambda acc: acc["out"])
 
 
-def with_found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """docs with __text, its text or an empty one, and __found: an array of (start, kind, end), by start and then by the rules' order."""
-    rows = docs.withColumns({"__id": F.col(id_col), "__text": F.coalesce(F.col(text_col), F.lit(""))})
-    keys = candidates(rows.select(F.col("__id").alias("id"), F.col("__text").alias("text")), rules)
-    keys = keys.select(F.col("cand_id").alias("__cand"), F.col("kinds").alias("__kinds"))
-    joined = rows.join(keys, F.col("__id").eqNullSafe(F.col("__cand")), "left")
+def with_found(docs: DataFrame, id_col: str, text_col: str, rules: Sequence[Rule], text: str, found: str) -> DataFrame:
+    """docs with ``text``, its text or an empty one, and ``found``: an array of (start, kind, end), by start and then by the rules' order.
+
+    Names of the columns added on the way are such as docs has not.
+    """
+    key, cand, kinds, *parts = fresh([*docs.columns, text, found], "key", "cand", "kinds", *(f"part{k}" for k in range(len(rules))))
+    rows = docs.withColumns({key: F.col(id_col), text: F.coalesce(F.col(text_col), F.lit(""))})
+    keys = written(candidates(rows.select(F.col(key).alias("id"), F.col(text).alias("text")), rules), "candidates")
+    keys = keys.select(F.col("cand_id").alias(cand), F.col("kinds").alias(kinds))
+    joined = rows.join(keys, F.col(key).eqNullSafe(F.col(cand)), "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    parts = []
+    spans = []
     for k, rule in enumerate(rules):
         if trigram_query(rule.regex):
-            gate = F.coalesce(F.array_contains("__kinds", rule.kind), F.lit(False))
+            gate = F.coalesce(F.array_contains(kinds, rule.kind), F.lit(False))
         else:
-            gate = F.col("__text").rlike(rule.regex)
-        parts.append(F.when(gate, _spans(F.col("__text"), rule, k)).otherwise(none).alias(f"__p{k}"))
-    found = joined.select(*docs.columns, "__text", *parts)
-    return found.select(*docs.columns, "__text", F.array_sort(F.concat(*[F.col(f"__p{k}") for k in range(len(rules))])).alias("__found"))
+            gate = F.col(text).rlike(rule.regex)
+        spans.append(F.when(gate, _spans(F.col(text), rule, k)).otherwise(none).alias(parts[k]))
+    every = joined.select(*docs.columns, text, *spans)
+    return every.select(*docs.columns, text, F.array_sort(F.concat(*map(F.col, parts))).alias(found))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """id, text and the spans found in every row."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return with_found(narrow, "id", "t", rules).select("id", F.col("__text").alias("text"), F.col("__found").alias("found"))
+    return with_found(narrow, "id", "t", rules, "text", "found").select("id", "text", "found")
 
 
 def _joined(found: Column, rules: Sequence[Rule]) -> Column:
@@ -240,8 +234,9 @@ def _joined(found: Column, rules: Sequence[Rule]) -> Column:
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = MASK_RULES, mask: str = "[SECRET]") -> DataFrame:
     """docs with every secret of a text replaced by a mask, overlapping ones by one; rows without any are unchanged."""
-    rows = with_found(docs, id_col, text_col, rules)
-    text = F.col("__text")
+    own, found = fresh(docs.columns, "own_text", "found")
+    rows = with_found(docs, id_col, text_col, rules, own, found)
+    text = F.col(own)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -249,8 +244,8 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
         piece = F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
 
-    whole = F.aggregate("__found", zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
-    new = F.when(F.size("__found") > 0, whole).otherwise(F.col(text_col))
+    whole = F.aggregate(found, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
+    new = F.when(F.size(found) > 0, whole).otherwise(F.col(text_col))
     return rows.withColumn(text_col, new).select(*docs.columns)
 
 
