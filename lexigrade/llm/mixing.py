@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import int_words, table, written
+from .common import Shelf, fresh, int_words, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
@@ -39,25 +39,6 @@ BLOCK = 4096
 HELD = 10
 
 
-def targets(sizes: Sequence[int], weights: Sequence[float], cap: float = CAP) -> list[float]:
-    """Words to take of each source: shares of the sum by weight, none above cap times its size."""
-    total, out = float(sum(sizes)), [0.0] * len(sizes)
-    free, left = [i for i, s in enumerate(sizes) if s > 0], float(sum(sizes))
-    while free:
-        unit = left / sum(weights[i] for i in free)
-        over = [i for i in free if weights[i] * unit > cap * sizes[i]]
-        if not over:
-            for i in free:
-                out[i] = weights[i] * unit
-            break
-        for i in over:
-            out[i] = cap * sizes[i]
-            left -= out[i]
-        free = [i for i in free if i not in over]
-    assert sum(out) <= total * (1 + 1e-9)
-    return out
-
-
 def flight(probs: list[float], sizes: list[float], rng: np.random.Generator) -> list[float]:
     """Moves probabilities to 0 or 1 while their sum and their sum of sizes hold; at most 2 stay fractional.
 
@@ -119,11 +100,11 @@ _UNIT = "source string, id long, size long, mark long, prob double"
 
 
 def _round(units: DataFrame, blocks: DataFrame | None, seed: int, level: int) -> DataFrame:
-    """One round of flights in blocks of each source; ``blocks`` has the number of blocks of each source, None means one (and the landing)."""
+    """One round of flights in blocks of each source; ``blocks`` (of, parts) has the number of blocks of each source, None means one (and the landing)."""
     if blocks is None:
         dealt = units.withColumn("part", F.lit(0))
     else:
-        dealt = units.join(F.broadcast(blocks), units["source"].eqNullSafe(blocks["of"])).drop("of")
+        dealt = units.join(blocks, units["source"].eqNullSafe(blocks["of"])).drop("of")
         dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id", "mark", F.lit(seed + level)), F.col("parts")).cast("int")).drop("parts")
     last = blocks is None
 
@@ -147,81 +128,128 @@ def _round(units: DataFrame, blocks: DataFrame | None, seed: int, level: int) ->
     return dealt.groupBy("source", "part").applyInArrow(run, _UNIT)
 
 
-def source_table(sized: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP) -> list[dict]:
-    """Per source its documents, words and target, by code point, null last. A row per source comes to the driver."""
-    rows = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")).collect()
-    rows = sorted(rows, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    aims = targets([r["words"] for r in rows], [weights[i % len(weights)] for i in range(len(rows))], cap)
-    return [{"source": r["source"], "words": r["words"], "docs": r["docs"], "target": t} for r, t in zip(rows, aims, strict=True)]
+def ranked_sources(sized: DataFrame, shelf: Shelf, weights: Sequence[float] = WEIGHTS) -> DataFrame:
+    """(of, words, docs, weight) per source; weights repeat in the order of the sources, by code point, null last.
 
-
-_SOURCES = "of string, words long, target double, whole long, prob double, parts long"
+    Sources are numbered within ranges of names; only the number of sources of each range comes to the driver.
+    """
+    order = F.col("source").asc_nulls_last()
+    rows = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"))
+    rows = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("n", F.monotonically_increasing_id())
+    rows = shelf.put(rows, "names").withColumns({"range": F.shiftrightunsigned("n", 33), "n": F.col("n").bitwiseAND(F.lit((1 << 33) - 1))})
+    before, at = [], 0
+    for r in rows.groupBy("range").count().orderBy("range").collect():
+        before.append((r["range"], at))
+        at += r["count"]
+    starts = sized.sparkSession.createDataFrame(before, "range long, start long")  # a row per range
+    rank = (F.col("start") + F.col("n")) % len(weights)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank + 1).cast("int"))
+    return rows.join(F.broadcast(starts), "range").select(F.col("source").alias("of"), "words", "docs", weight.alias("weight"))
+
+
+def with_targets(sources: DataFrame, cap: float = CAP) -> DataFrame:
+    """sources (words, weight, ...) with target: shares of all words by weight, none above cap times a source's words.
+
+    A word of weight is worth ``unit`` words. What targets above the cap lose
+    raises it, and more targets may pass the cap; so aggregates over the sources
+    repeat until no more do.
+    """
+    unit, capped = 0.0, -1
+    while True:
+        over = (F.col("words") > 0) & (F.col("weight") * F.lit(unit) > cap * F.col("words"))
+        free = (F.col("words") > 0) & ~over
+        got = sources.agg(
+            F.sum("words").alias("total"), F.count(F.when(over, 1)).alias("capped"), F.coalesce(F.sum(F.when(over, F.col("words"))), F.lit(0)).alias("words"), F.sum(F.when(free, F.col("weight"))).alias("weight")
+        ).first()
+        if got["capped"] == capped or not got["weight"]:
+            break
+        unit, capped = (got["total"] - cap * got["words"]) / got["weight"], got["capped"]
+    target = F.when(F.col("words") == 0, F.lit(0.0)).when(over, cap * F.col("words")).otherwise(F.col("weight") * F.lit(unit))
+    return sources.withColumn("target", target.cast("double"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, cap: float = CAP, seed: int = 7, block: int = BLOCK) -> DataFrame:
     """(source, id, size, mark, source_size, target, copies) of every row; mark is a hash of its text.
 
-    The only shuffle is of these narrow rows. The levels after the first hold
-    two rows per block of the one before.
+    Words are counted once; from there on rows are narrow. The levels after the
+    first hold two rows per block of the one before.
     """
-    spark = docs.sparkSession
-    sized = docs.select(F.col(source_col).alias("source"), F.col(id_col).cast("long").alias("id"), int_words(text_col).alias("size"), F.xxhash64(text_col).alias("mark"))
-    known = source_table(sized, weights, cap)
-    facts = []
-    for s in known:
-        ratio = s["target"] / s["words"] if s["words"] else 0.0
-        if abs(ratio - round(ratio)) < 1e-9:
-            ratio = float(round(ratio))
-        facts.append((s["source"], s["words"], s["target"], int(ratio), ratio - int(ratio), max(1, -(-s["docs"] // block))))
-    sources = F.broadcast(spark.createDataFrame(facts, _SOURCES))  # a row per source
-    units = sized.join(sources, sized["source"].eqNullSafe(sources["of"])).select("source", "id", "size", "mark", "prob")
-    done, level, parts = [], 0, {f[0]: f[5] for f in facts}
+    shelf = Shelf(docs.sparkSession, "mix")
+    sized = shelf.put(docs.select(F.col(source_col).alias("source"), F.col(id_col).cast("long").alias("id"), int_words(text_col).alias("size"), F.xxhash64(text_col).alias("mark")), "sized")
+    sources = shelf.put(with_targets(shelf.put(ranked_sources(sized, shelf, weights), "ranked"), cap), "sources")
+    ratio = F.when(F.col("words") > 0, F.col("target") / F.col("words")).otherwise(F.lit(0.0))
+    ratio = F.when(F.abs(ratio - F.round(ratio)) < 1e-9, F.round(ratio)).otherwise(ratio)
+    facts = shelf.put(
+        sources.select("of", "words", "target", F.floor(ratio).cast("long").alias("whole"), (ratio - F.floor(ratio)).alias("prob"), F.ceil(F.col("docs") / block).cast("long").alias("parts")), "facts"
+    )  # a row per source: Spark broadcasts it if it finds it small
+    units = sized.join(facts, sized["source"].eqNullSafe(facts["of"])).select("source", "id", "size", "mark", "prob")
+    done, level, parts = [], 0, facts.select("of", "parts")
     while True:
-        most = max(parts.values(), default=1)
-        blocks = spark.createDataFrame(list(parts.items()), "of string, parts long") if most > 1 else None
-        out = written(_round(units, blocks, seed, level), f"mix{level}")
-        if blocks is None:
+        most = parts.agg(F.max("parts")).first()[0] or 1
+        out = shelf.put(_round(units, parts if most > 1 else None, seed, level), f"round{level}")
+        if most <= 1:
             done.append(out)
             break
         done.append(out.where("prob = 0 OR prob = 1"))
         units = out.where("prob > 0 AND prob < 1")
-        parts = {s: -(-2 * n // block) for s, n in parts.items()}
+        parts = parts.select("of", F.ceil(2 * F.col("parts") / block).cast("long").alias("parts"))
         level += 1
+    shelf.clear("facts", *(f"round{k}" for k in range(level + 1)))
     drawn = done[0]
     for d in done[1:]:
         drawn = drawn.unionByName(d)
-    return drawn.join(sources, drawn["source"].eqNullSafe(sources["of"])).select(
+    return drawn.join(facts, drawn["source"].eqNullSafe(facts["of"])).select(
         "source", "id", "size", "mark", F.col("words").alias("source_size"), "target", (F.col("whole") + drawn["prob"].cast("long")).alias("copies")
     )
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object) -> DataFrame:
-    """docs as the mix takes them: each row as many times as it was drawn, with its own columns.
+    """docs as the mix takes them: each row as many times as it was drawn, with its own columns, whatever their names are.
 
-    Rows and draws meet by id, source, size and hash of the text; rows that
-    agree in all of these are alike, and the n-th of them gets the n-th draw.
+    Rows and draws meet by id, source and hash of the text; rows that agree in
+    all of these are alike, and the n-th of them gets the n-th draw.
     """
-    drawn = mix(docs, id_col, text_col, source_col, **options)
-    keys = ["__id", "__source", "__size", "__mark"]
-    drawn = drawn.select(*(F.col(c).alias(k) for c, k in zip(("id", "source", "size", "mark"), keys, strict=True)), "copies")
-    drawn = drawn.groupBy(*keys).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    drawn = drawn.select(*(F.col(k).alias("r" + k) for k in keys), "__copies", "__rows")
-    rows = docs.withColumns({"__id": F.col(id_col).cast("long"), "__source": F.col(source_col), "__size": int_words(text_col), "__mark": F.xxhash64(text_col)})
-    # The hash and size alone would do for the join; the null-safe rest tells rows with one text apart.
-    on = (F.col("__mark") == F.col("r__mark")) & (F.col("__size") == F.col("r__size")) & F.col("__id").eqNullSafe(F.col("r__id")) & F.col("__source").eqNullSafe(F.col("r__source"))
-    both = rows.join(drawn, on)
+    names = fresh(docs.columns, "own_id", "own_source", "own_mark", "drawn_id", "drawn_source", "drawn_mark", "copies", "alike", "times", "turn")
+    own, of, (copies, alike, times, turn) = names[:3], names[3:6], names[6:]
+    drawn = mix(docs, id_col, text_col, source_col, **options).groupBy("id", "source", "mark").agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(alike))
+    drawn = drawn.select(*(F.col(c).alias(k) for c, k in zip(("id", "source", "mark"), of, strict=True)), copies, alike)
+    rows = docs.withColumns(dict(zip(own, (F.col(id_col).cast("long"), F.col(source_col), F.xxhash64(text_col)), strict=True)))
+    # The hash alone would do for the join; the null-safe rest tells rows with one text apart.
+    both = rows.join(drawn, (F.col(own[2]) == F.col(of[2])) & F.col(own[0]).eqNullSafe(F.col(of[0])) & F.col(own[1]).eqNullSafe(F.col(of[1])))
     # Among k alike rows with c copies in all, each is taken c // k times and the rest falls to the first of them.
-    each = F.floor(F.col("__copies") / F.col("__rows"))
-    if drawn.where("__rows > 1").isEmpty():
-        times = F.col("__copies")
+    each = F.floor(F.col(copies) / F.col(alike))
+    if drawn.where(F.col(alike) > 1).isEmpty():
+        count = F.col(copies)
     else:
-        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
-        times = each + F.when(nth <= F.col("__copies") - each * F.col("__rows"), 1).otherwise(0)
-    taken = both.withColumn("__n", times.cast("int")).where("__n > 0")
-    return taken.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+        nth = F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(0)))
+        count = each + F.when(nth <= F.col(copies) - each * F.col(alike), 1).otherwise(0)
+    taken = both.withColumn(times, count.cast("int")).where(F.col(times) > 0)
+    return taken.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by the contract's weights."""
     out = mix(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+#: The columns that the contract fixes; which documents are drawn is no SQL.
+FACTS_SQL = """
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS words, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS INT)]::DOUBLE AS weight FROM d GROUP BY source
+), t AS (SELECT sum(words) AS total FROM s),
+-- The unit is where all words are spent: sources by words per weight, the first k of them at the cap.
+o AS (
+  SELECT *, coalesce(sum(words) OVER w, 0) AS capped, sum(weight) OVER (ORDER BY words / weight DESC, source NULLS LAST ROWS UNBOUNDED PRECEDING) AS free, row_number() OVER (ORDER BY words / weight, source NULLS FIRST) AS k
+  FROM s WHERE words > 0 WINDOW w AS (ORDER BY words / weight, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), u AS (SELECT min_by((total - 3 * capped) / free, k) AS unit FROM o, t WHERE (total - 3 * capped) / free * weight <= 3 * words)
+SELECT d.doc_id, d.size, s.words AS source_size, CASE WHEN s.words = 0 THEN 0 ELSE least(3 * s.words, s.weight * u.unit) END::DOUBLE AS target
+FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, u
+"""
+
+
+def fixed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that the contract fixes."""
+    return op6_mixing(spark, sf_dir).select("doc_id", "size", "source_size", "target")
