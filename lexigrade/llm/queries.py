@@ -23,8 +23,21 @@ def queries() -> dict[str, Query]:
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_quality": quality.op9_quality,
         "op10_license_scan": license_scan.op10_license_scan,
+        # What SQL can say of operators that it cannot express as a whole.
+        "fixed_mixing": mixing.fixed_columns,
+        "fixed_fingerprints": winnow.fixed_columns,
+        "fixed_license_scan": license_scan.fixed_columns,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.ORACLE_SQL, "op3_secret_scan": secrets.oracle_sql(), "op4_va_topk": va_topk.ORACLE_SQL, "op5_ngram_join": ngram_join.ORACLE_SQL, "op8_url_filter": url_filter.oracle_sql()}
+    return {
+        "op2_warc": warc.ORACLE_SQL,
+        "op3_secret_scan": secrets.oracle_sql(),
+        "op4_va_topk": va_topk.ORACLE_SQL,
+        "op5_ngram_join": ngram_join.ORACLE_SQL,
+        "op8_url_filter": url_filter.oracle_sql(),
+        "fixed_mixing": mixing.FACTS_SQL,
+        "fixed_fingerprints": winnow.FACTS_SQL,
+        "fixed_license_scan": license_scan.FACTS_SQL,
+    }

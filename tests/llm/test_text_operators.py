@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from compare import check
 
-from lexigrade.llm import common, license_scan, mixing, quality, queries, secrets, sentencepieces, url_filter, winnow
+from lexigrade.llm import common, license_scan, mixing, ngram_join, quality, queries, secrets, sentencepieces, url_filter, winnow
 
 DOCS = "doc_id long, text string, source string, extra string"
 EDGE = [
@@ -161,10 +162,45 @@ def test_redaction_of_private_keys(spark):
 # ---------------------------------------------------------------- 6
 
 
-def test_targets():
-    assert mixing.targets([10, 10, 10], [5, 2, 1]) == pytest.approx([18.75, 7.5, 3.75])
-    assert mixing.targets([1, 100], [5, 2]) == pytest.approx([3, 98])
-    assert mixing.targets([0, 0], [5, 2]) == [0, 0] and mixing.targets([], []) == []
+def brute_targets(sizes, weights, cap=3.0):
+    """Words to take of each source: shares of the sum by weight, none above cap times its size."""
+    left, out = float(sum(sizes)), [0.0] * len(sizes)
+    free = [i for i, s in enumerate(sizes) if s > 0]
+    while free:
+        unit = left / sum(weights[i] for i in free)
+        over = [i for i in free if weights[i] * unit > cap * sizes[i]]
+        for i in over or free:
+            out[i] = cap * sizes[i] if over else weights[i] * unit
+            left -= out[i]
+        free = [i for i in free if i not in over] if over else []
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[10, 10, 10], [1, 100], [0, 0], [], [1, 2, 4, 8, 900, 3, 0, 50, 6], [7] * 40 + [1] * 30 + [5000]])
+def test_targets(spark, sizes):
+    """Sources beyond ASCII, by code point, null last."""
+    names = sorted({f"s{i}" for i in range(len(sizes) - 3)} | {"é", "\U00010400", "\uffee"}, key=lambda x: x.encode())[: max(0, len(sizes) - 1)] + [None] * bool(sizes)
+    rows = [(n, i, s, 0) for i, (n, s) in enumerate(zip(names, sizes, strict=True))]
+    shelf = common.Shelf(spark, "test")
+    found = mixing.with_targets(mixing.ranked_sources(spark.createDataFrame(rows, "source string, id long, size long, mark long"), shelf)).collect()
+    want = brute_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))])
+    got = {r.of: r.target for r in found}
+    assert [got[n] for n in names] == pytest.approx(want)
+
+
+def test_clashing_names(spark):
+    """Columns named as those that operators add on the way come back as they were."""
+    names = ["found", "own_text", "key", "cand", "kinds", "part0", "own_id", "own_source", "own_mark", "drawn_mark", "copies", "alike", "times", "turn", "mark", "keep", "keep_mark", "n", "id", "size", "tail", "KEEP", "_keep", "count", "prob", "component", "nid"]
+    names = [n for n in names if n != "KEEP"]  # Spark ignores case
+    rows = [(i, f"some words of text {i} password=abcdefgh{i} and then some more", "s") + tuple(f"{c}{i}" for c in names) for i in range(6)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *(f"`{c}` string" for c in names)]))
+    same = {r.doc_id: tuple(r)[3:] for r in docs.collect()}
+    model = quality.neutral()
+    for out in (secrets.redacted(docs), mixing.mixed(docs), ngram_join.representatives(docs), quality.selected(docs, model)):
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(tuple(r)[3:] == same[r.doc_id] for r in got)
+    assert quality.scored(docs, model).columns == [*docs.columns, "expected_grade", "_tail", "p_above_0", "__keep"]
 
 
 def test_flight_keeps_the_totals():
@@ -211,9 +247,45 @@ def test_winnowing_brute_force():
     assert len(np.intersect1d(a[0], b[0]))
 
 
+def in_order(rows, spark):
+    """(last, id, text) in the order of the operator: by id, hash of the text, text."""
+    table = spark.createDataFrame([(i, t or "") for i, t in rows], "i long, t string").selectExpr("i", "t", "xxhash64(t) AS h")
+    return [(r.i is None, r.i, r.t) for r in sorted(table.collect(), key=lambda r: (r.i is None, r.i or 0, r.h, r.t))]
+
+
+def brute_likeness(a, b, k=32, w=64):
+    """Jaccard likeness of the sets of winnowed hashes, by plain loops."""
+    sets = []
+    for t in (a, b):
+        points = winnow.code_points(t)
+        grams = [int(common.range_hashes(points[i : i + k].copy(), np.array([0]), np.array([min(k, len(t))]))[0]) >> 32 for i in range(max(1, len(t) - k + 1))] if t else []
+        sets.append({min(grams[i : i + w]) for i in range(max(1, len(grams) - w + 1))} if grams else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+@pytest.mark.parametrize("hot", [None, 7, "copies"])
+def test_fingerprints_of_hot_ids(spark, hot):
+    """Most rows share an id, or have none, or are all alike: no bucket holds them all, and the results are those of the order."""
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("abc ") for _ in range(rng.randint(0, 150)))) for i in range(60)]
+    rows += [(7 if hot else None, "the same text " * 9 if hot == "copies" and j < 120 else f"text {j} " * rng.randint(1, 4)) for j in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in winnow.with_next(docs).collect())
+    order = [(i, t) for _, i, t in in_order(rows, spark)]
+    want = []
+    for j, (i, t) in enumerate(order):
+        following = order[(j + 1) % len(order)][1]
+        new = t[: len(t) - len(t) // 4] + following[: len(t) // 4]
+        want.append((str(i), len(t), hashlib.sha256(new.encode()).hexdigest(), round(brute_likeness(t, new), 9), round(brute_likeness(t, following), 9)))
+    assert got == sorted(want)
+    dealt, buckets = winnow.in_order(docs, "doc_id", "text")
+    sizes = [r["count"] for r in dealt.groupBy("bucket").count().collect()]
+    assert buckets > 4 and max(sizes) < 80
+
+
 def test_fingerprints_with_next(spark, edge, empty):
     got = winnow.with_next(edge).collect()
-    order = sorted([(i is None, i or 0, t or "") for i, t, _, _ in EDGE])
+    order = in_order([(i, t) for i, t, _, _ in EDGE], spark)
     texts = [t for _, _, t in order]
     want = sorted((len(t), hashlib.sha256(winnow.edited(t, texts[(i + 1) % len(texts)]).encode()).hexdigest()) for i, t in enumerate(texts))
     assert sorted((r.n_chars, r.edited_sha256) for r in got) == want
@@ -320,6 +392,26 @@ def test_suppression():
     assert len(book) > 200 and labels("plain words") == []
 
 
+def test_long_license_texts_are_linear():
+    """A megabyte of license phrases, every interval against brute-force containment on a part of it."""
+    book = license_scan.book_of(license_scan.rules())
+    text = "licensed under the gnu general public license version 3 and under the mit license or all rights reserved cc by nc 4 0 apache license version 2 "
+    began = time.process_time()
+    found = license_scan.detect((text * (1_000_000 // len(text))).strip(), book)
+    assert time.process_time() - began < 20 and len(found) > 30_000
+    rng = random.Random(1)
+    for _ in range(300):
+        outer, kept = license_scan.Intervals(), []
+        for _ in range(30):
+            a = rng.randrange(20)
+            z = a + rng.randrange(1, 8)
+            inside = any(s <= a and z <= e for s, e in kept)
+            assert outer.holds(a, z) == inside
+            if not inside:
+                outer.add(a, z)
+                kept.append((a, z))
+
+
 def test_texts_of_licenses(spark):
     """Pasted texts and notices have their label without the license's name; a longer form hides the shorter one and 'all rights reserved'."""
     bsd = "(c) 2020 X. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met: 1. ... "
