@@ -23,7 +23,9 @@ Two documents link when 100 * intersection >= 80 * union. The join is exact:
 
 Tables that grow with the data are joined by merging, at every size.
 Hence no link between different texts is lost, and a group of near copies costs
-about its size, not its square.
+about its size, not its square. What does cost more is a key whose many rows
+stay in many components after the first links: each of their tiles meets the
+others of its sizes, as narrow rows, of which few remain.
 
 Defined cases: a null or empty text, or one without words, has an empty set
 and links with nothing; fewer than five words are one shingle; repeated rows
@@ -40,16 +42,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat, fresh, lower_table, mixed, ragged, range_hashes, shuffle_partitions, slices, small_batches, space_mask, spans, table, written
+from .common import Shelf, flat, fresh, lower_table, mixed, ragged, range_hashes, shuffle_partitions, slices, small_batches, space_mask, spans, table, written
 from .components import components
 
 WORDS = 5
 #: The threshold as a fraction.
 NUM, DEN = 80, 100
-#: log2 of the counters of the frequency table.
-SKETCH = 18
-#: Rows of a band up to which all pairs are candidates, rows under one leader, rows of a key's salt, rows of a tile's side.
-NARROW, LEADER, SALT, TILE = 6, 64, 8192, 256
+#: log2 of the counters of the frequency table, at least and at most; a document has four counters or more up to there.
+SKETCH, SKETCH_MOST = 18, 22
+#: log2 of the bits by which texts that no candidate needs are left out, at least and at most.
+WANTED, WANTED_MOST = 20, 24
+#: Rows of a band up to which all pairs are candidates, rows under one leader, rows of a key's salt, rows of a tile's side, partners of a unit, parts of a row's partners in tiles.
+NARROW, LEADER, SALT, TILE, PARTNERS, SPLIT = 6, 64, 8192, 128, 32, 16
 
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -112,28 +116,34 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
-def frequency_table(docs: DataFrame) -> np.ndarray:
-    """Counters of shingles by their leading bits, over all texts. Its size is fixed, so it may travel to the driver and back."""
+def bits_for(n: int, least: int, most: int) -> int:
+    """log2 of a table's size for n rows, four or more entries each within the limits."""
+    return min(most, max(least, (4 * max(1, n) - 1).bit_length()))
+
+
+def frequency_table(docs: DataFrame, bits: int) -> np.ndarray:
+    """Counters of shingles by their leading bits, over all texts. Its size is bounded, so it may travel to the driver and back."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            slots = [(s >> np.uint64(64 - SKETCH)).astype(np.int64) for s in shingle_sets(batch.column(0))]
-            total += np.bincount(np.concatenate([*slots, np.zeros(0, np.int64)]), minlength=1 << SKETCH)
+            slots = [(s >> np.uint64(64 - bits)).astype(np.int64) for s in shingle_sets(batch.column(0))]
+            total += np.bincount(np.concatenate([*slots, np.zeros(0, np.int64)]), minlength=1 << bits)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
 
     rows = docs.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     got = rows.toArrow()
-    out = np.zeros(1 << SKETCH, np.int64)
+    out = np.zeros(1 << bits, np.int64)
     out[got["slot"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
-def _prepared(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
+def _prepared(docs: DataFrame, sketch: np.ndarray, shelf: Shelf) -> DataFrame:
     """nid, id, mark (a hash of the text), n, sid, bits and, for the first row of a set within its task, the keys in order."""
     kind = dict(docs.dtypes)["id"]
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    shift = np.uint64(64 - (len(sketch) - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
@@ -151,7 +161,7 @@ def _prepared(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 if len(seen) >= 1 << 19:
                     seen.clear()
                 seen.add(sid)
-                order = np.lexsort((s, counts[(s >> np.uint64(64 - SKETCH)).astype(np.int64)]))
+                order = np.lexsort((s, counts[(s >> shift).astype(np.int64)]))
                 keys.append(s[order[: prefix_length(n)]].view(np.int64))
                 bits.append(bitmap(s).tobytes())
             first = np.cumsum([0, *map(len, keys)])
@@ -162,7 +172,7 @@ def _prepared(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
             )
 
     out = docs.select("id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, f"id {kind}, mark long, n int, sid binary, bits binary, keys array<long>")
-    return written(out.withColumn("nid", F.monotonically_increasing_id()), "sets")
+    return shelf.put(out.withColumn("nid", F.monotonically_increasing_id()), "sets")
 
 
 def _key_rows(reps: DataFrame, sketch: np.ndarray) -> DataFrame:
@@ -177,7 +187,7 @@ def _key_rows(reps: DataFrame, sketch: np.ndarray) -> DataFrame:
     if not len(hot):
         return rows.select("key", F.lit(0).alias("salt"), "pos", "n", "nid")
     known = reps.sparkSession.createDataFrame([(int(h), int(parts[h])) for h in hot], "slot long, parts int")
-    rows = rows.join(F.broadcast(known), F.shiftrightunsigned("key", 64 - SKETCH) == F.col("slot"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.join(F.broadcast(known), F.shiftrightunsigned("key", 64 - (len(sketch) - 1).bit_length()) == F.col("slot"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     salt = F.when(F.col("parts") == 1, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
     bridge = (F.col("parts") > 1) & (F.pmod(F.xxhash64("nid", F.lit(7)), F.col("parts")) == 0)
     return rows.withColumn("salt", F.explode(F.when(bridge, F.array(salt, F.lit(-1))).otherwise(F.array(salt)))).select("key", "salt", "pos", "n", "nid")
@@ -343,13 +353,15 @@ def _alive(units: DataFrame, sets: DataFrame) -> DataFrame:
 def _with_arrays(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows (unit, side, comp, nid, shingles) of rows (unit, side, comp, nid, id, sid).
 
-    Texts whose id is wanted by no row are left out by a bitmap of fixed size
-    over hashes of the ids, so their sets are not shuffled. Rows that repeat an
-    id are told apart by their digest.
+    Texts whose id is wanted by no row are left out by a bitmap over hashes of
+    the ids, so their sets are not shuffled; beyond its greatest size it lets
+    more of them pass, and the join drops them. Rows that repeat an id are told
+    apart by their digest.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 20)).cast("int")
+    width = 1 << bits_for(rows.count(), WANTED, WANTED_MOST)
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(width)).cast("int")
     got = rows.select(slot("id").alias("slot")).distinct().toArrow()  # bounded by the bitmap's size
-    wanted = np.zeros(1 << 20, bool)
+    wanted = np.zeros(width, bool)
     wanted[got["slot"].to_numpy()] = True
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
     kind = dict(docs.dtypes)["id"]
@@ -398,30 +410,45 @@ def _settled(rows: DataFrame) -> DataFrame:
     return _dealt(rows).mapInArrow(run, "a long, b long")
 
 
-def _links(docs: DataFrame, sets: DataFrame, units: DataFrame) -> DataFrame:
+def _led(pairs: DataFrame) -> DataFrame:
+    """Units (unit, side, comp, nid) of pairs (a, b): each row that leads pairs, with PARTNERS of its partners or so at a time."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("units"))
+    part = F.pmod(F.xxhash64("b", F.lit(3)), F.col("units")).cast("int")
+    unit = F.xxhash64("a", "part").alias("unit")  # should two units fall together, their rows meet too, which does no harm
+    both = pairs.join(many, "a").withColumn("part", part).select(unit, F.lit(1).alias("side"), F.col("b").alias("nid"))
+    lead = many.select("a", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("part")).select(unit, F.lit(0).alias("side"), F.col("a").alias("nid"))
+    return both.unionByName(lead).select("unit", "side", F.col("nid").alias("comp"), "nid")
+
+
+def _links(docs: DataFrame, sets: DataFrame, units: DataFrame, shelf: Shelf) -> DataFrame:
     """The links that units (unit, side, comp, nid) hold."""
-    return written(_settled(_with_arrays(docs, written(_alive(units, sets), "alive"))), "links")
+    return shelf.put(_settled(_with_arrays(docs, shelf.put(_alive(units, sets), "alive"))), "links")
 
 
-def _rest(swept: DataFrame, comps: DataFrame) -> DataFrame:
+def _rest(swept: DataFrame, comps: DataFrame, shelf: Shelf) -> DataFrame:
     """Units (unit, side, comp, nid, n, pos) of the rows (key, nid, n, pos) of keys that were swept in part and still join several components.
 
     A key of few rows is a unit. The rows of others form bands of sizes, a band
     tiles of some TILE rows; a tile meets the tiles of its band and of the next.
-    Rows are narrow: sizes and places alone.
+    Rows of the key's greatest component have tiles of their own, which do not
+    meet each other. So a row is copied as often as there are tiles of rows
+    outside that component; only a key whose rows are in many components has
+    copies beyond their number. Rows are narrow: sizes and places alone.
     """
     rows = swept.join(comps.select(F.col("node").alias("nid"), "comp"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
-    rows = written(rows, "rest")
-    keys = written(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi").select("key", "rows"), "keys")
-    small = rows.join(keys.where("rows <= 512").select("key"), "key", "left_semi").select(F.col("key").alias("unit"), F.lit(2).alias("side"), "comp", "nid", "n", "pos")
-    rows = rows.join(keys.where("rows > 512").select("key"), "key", "left_semi")
+    rows = shelf.put(rows, "rest")
+    parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    keys = parts.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "comp")).alias("great"), F.sum("c").alias("rows")).where("comps > 1")
+    keys = shelf.put(keys.select("key", "rows", F.col("great.comp").alias("great")), "keys")
+    small = rows.join(keys.where(F.col("rows") <= 2 * TILE).select("key"), "key", "left_semi").select(F.col("key").alias("unit"), F.lit(2).alias("side"), "comp", "nid", "n", "pos")
+    rows = rows.join(keys.where(F.col("rows") > 2 * TILE).select("key", "great"), "key").withColumn("great", (F.col("great") == F.col("comp")).cast("int"))
     rows = rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(DEN / NUM)) + F.lit(1e-9)).cast("int"))
-    sizes = written(rows.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")), "bands")
-    around = sizes.select("key", "tiles", F.explode(F.array(*[(F.col("band") + d).alias("d") for d in (-1, 0, 1)])).alias("of"), F.col("band").alias("other"))
-    rows = rows.join(sizes, ["key", "band"]).withColumn("tile", F.pmod(F.xxhash64("nid"), F.col("tiles")).cast("int")).drop("tiles")
-    met = rows.join(around, (rows["key"] == around["key"]) & (rows["band"] == around["of"])).select(rows["key"], "band", "tile", "other", "tiles", "nid", "comp", "n", "pos")
-    met = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    mine, theirs = F.struct("band", "tile"), F.struct(F.col("other").alias("band"), F.col("j").alias("tile"))
+    sizes = shelf.put(rows.groupBy("key", "band", "great").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")), "bands")
+    around = sizes.select(F.col("key").alias("near"), "tiles", F.explode(F.array(*[(F.col("band") + d).alias("d") for d in (-1, 0, 1)])).alias("of"), F.col("band").alias("other"), F.col("great").alias("too"))
+    rows = rows.join(sizes, ["key", "band", "great"]).withColumn("tile", F.pmod(F.xxhash64("nid"), F.col("tiles")).cast("int")).drop("tiles")
+    met = rows.join(around, (F.col("key") == F.col("near")) & (F.col("band") == F.col("of")) & (F.col("great") + F.col("too") < 2))
+    met = met.select("key", "band", "great", "tile", "other", "too", "nid", "comp", "n", "pos", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("j"))
+    mine, theirs = F.struct("band", "great", "tile"), F.struct(F.col("other").alias("band"), F.col("too").alias("great"), F.col("j").alias("tile"))
     # A hash names the pair of tiles; should two pairs fall together, their rows meet too, which does no harm.
     unit = F.xxhash64("key", F.least(mine, theirs), F.greatest(mine, theirs))
     side = F.when(mine == theirs, 2).when(mine < theirs, 0).otherwise(1)
@@ -436,7 +463,7 @@ def _sifted(units: DataFrame, most: int | None) -> DataFrame:
     the round without ``most`` settles what is left.
 
     Where few pairs of a tile remain, each pair's rows meet under the pair's
-    first; where many do, the tile stays as it is. Of all keys that a pair
+    first, with one of SPLIT parts of its partners; where many do, the tile stays as it is. Of all keys that a pair
     shares, the bound by places holds at the first, so no link is lost.
     """
 
@@ -467,8 +494,10 @@ def _sifted(units: DataFrame, most: int | None) -> DataFrame:
             if len(found) <= 64 * len(tile):
                 for i, j in found:
                     a, b = (tile[i], tile[j]) if tile[i][3] < tile[j][3] else (tile[j], tile[i])
-                    out[a[3], 0, a[2], a[3]] = None
-                    out[a[3], 1, b[2], b[3]] = None
+                    unit = (a[3] * SPLIT + b[3] % SPLIT) * 2 + 1  # odd: apart from most tiles' names; rows of two units that fall together meet too
+                    unit = (unit + (1 << 63)) % (1 << 64) - (1 << 63)
+                    out[unit, 0, a[2], a[3]] = None
+                    out[unit, 1, b[2], b[3]] = None
             else:
                 for k in {x for p in found for x in p}:
                     out[tile[k][:4]] = None
@@ -488,27 +517,27 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     small_batches(docs)
-    sketch = frequency_table(docs)
-    sets = _prepared(docs, sketch)
-    first = written(sets.where("n > 0").groupBy("sid").agg(F.min("nid").alias("rep")), "reps")
+    shelf = Shelf(docs.sparkSession, "ngrams")
+    sketch = frequency_table(docs, bits_for(docs.count(), SKETCH, SKETCH_MOST))
+    sets = _prepared(docs, sketch, shelf)
+    first = shelf.put(sets.where("n > 0").groupBy("sid").agg(F.min("nid").alias("rep")), "reps")
     reps = sets.join(first.select(F.col("rep").alias("nid")).hint("merge"), "nid", "left_semi")
-    found = written(_candidates(_key_rows(reps, sketch)), "found")
-    pairs = written(found.where("b IS NOT NULL").select("a", "b").distinct(), "pairs")
-    both = pairs.select(F.col("a").alias("unit"), F.lit(1).alias("side"), F.col("b").alias("nid"))
-    lead = pairs.select(F.col("a").alias("unit"), F.lit(0).alias("side"), F.col("a").alias("nid")).distinct()
-    links = _links(docs, sets, both.unionByName(lead).select("unit", "side", F.col("nid").alias("comp"), "nid"))
-    comps = components(links)
+    found = shelf.put(_candidates(_key_rows(reps, sketch)), "found")
+    pairs = shelf.put(found.where("b IS NOT NULL").select("a", "b").distinct(), "pairs")
+    links = _links(docs, sets, _led(pairs), shelf)
+    comps = components(links, shelf)
     swept = found.where("key IS NOT NULL").select("key", F.col("a").alias("nid"), "n", "pos")
     for most in (3, None):
-        more = _links(docs, sets, written(_sifted(_rest(swept, comps), most), "sifted"))
+        more = _links(docs, sets, shelf.put(_sifted(_rest(swept, comps, shelf), most), "sifted"), shelf)
         if not more.isEmpty():
-            links = written(links.unionByName(more), "links")
-            comps = components(links)
+            links = shelf.put(links.unionByName(more), "every")
+            comps = components(links, shelf)
     groups = first.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("sid", F.coalesce("comp", "rep").alias("comp"))
-    rows = sets.select("nid", "id", "mark", "n", "sid").join(written(groups, "groups").hint("merge"), "sid", "left")
-    rows = written(rows.select("nid", "id", "mark", "n", F.coalesce("comp", "nid").alias("comp")), "rows")
+    rows = sets.select("nid", "id", "mark", "n", "sid").join(shelf.put(groups, "groups").hint("merge"), "sid", "left")
+    rows = shelf.put(rows.select("nid", "id", "mark", "n", F.coalesce("comp", "nid").alias("comp")), "rows")
     names = rows.groupBy("comp").agg(F.min("id").alias("name"), F.min(F.struct(F.col("id").isNull(), "id", "nid")).alias("k"), F.count(F.lit(1)).alias("size"))
-    names = written(names.select("comp", "name", F.col("k.nid").alias("keep"), "size").where("size > 1"), "names")
+    names = shelf.put(names.select("comp", "name", F.col("k.nid").alias("keep"), "size").where("size > 1"), "names")
+    shelf.clear("rows", "names")
     out = rows.join(names, "comp", "left")
     return out.select("nid", "id", "mark", F.col("n").cast("long").alias("n_shingles"), F.coalesce("name", "id").alias("component"), (F.coalesce("keep", "nid") == F.col("nid")).alias("keeper"), F.coalesce("size", F.lit(1)).alias("group_size"))
 
