@@ -41,16 +41,37 @@ HOST_RULES = (
     ("block", "net", "/fr/"),
 )
 
-#: Pattern rules for URLs that no host rule fits, in a small pattern language:
-#: ``*`` is any run of characters, ``^`` one separator or the end, ``||`` the
-#: start of a host or of one of its labels. ``@@`` marks an exception.
-PATTERN_RULES = (
-    "||doubleclick.*/", "||adserver.", "^ads^banner^", "^banner^ad^", "^popunder^", "^affiliate^click^", "^clickid^",
-    "^casino^", "^poker^online^", "^payday^loan", "^viagra^", "^xxx^", "^porn^", "^adult^video", "^torrent^download",
-    "^wp-login.php", "^cgi-bin^", "^phpmyadmin^", "^sessionid^", "^jsessionid^", "^phpsessid^", "^replytocom^",
-    "^add-to-cart^", "^checkout^payment", "^password^reset", "^account^login", "^user^register",
-    "^search^results^page^", "^calendar^day^", "@@^docs^", "@@^wiki^",
+#: What the pattern rules block, in a small pattern language: ``*`` is any run of
+#: characters, ``^`` one separator or the end, ``||`` the start of a host or of
+#: one of its labels. ``@@`` marks an exception. Each topic is blocked as a
+#: label of a host, as the first or last word of one, and as a part of a path.
+TOPICS = (
+    "casino", "poker", "bets", "betting", "slots", "jackpot", "roulette", "blackjack", "lottery", "gambling", "pills", "pharma", "viagra", "cialis", "tramadol", "payday", "loans", "porn",
+    "xxx", "adult", "sex", "escort", "escorts", "webcams", "hentai", "nude", "warez", "torrent", "torrents", "keygen", "cracks", "spam", "malware", "phishing", "clickbait", "replica", "replicas",
+    "adserver", "adservers", "doubleclick", "popunder", "popads", "adclick", "adtrack", "doorway", "linkfarm", "botnet", "proxies",
 )
+TOPIC_FORMS = ("||{}-", "-{}.", "||{}.", "^{}^")
+#: Words of a label that mean nothing in a path.
+LABELS = ("ads", "ad", "banner", "banners", "track", "tracker", "tracking", "click", "clicks", "pixel", "affiliate", "cheap", "free", "farm")
+LABEL_FORMS = ("||{0}-track", "||{0}-server", "||{0}-network", "||cheap-{0}", "||spam-{0}")
+#: Parts of paths of machinery, logins and traps, and of sessions and shops.
+PATHS = (
+    "wp-login.php", "wp-admin", "wp-json", "xmlrpc.php", "cgi-bin", "phpmyadmin", "administrator^index", "server-status", "ads^banner", "banner^ad", "affiliate^click", "click^track", "out^redirect",
+    "account^login", "user^login", "user^register", "password^reset", "checkout^payment", "cart^add", "add-to-cart", "search^results^page", "calendar^day", "print^page", "payday^loan", "adult^video",
+)
+PARAMETERS = ("sessionid", "jsessionid", "phpsessid", "aspsessionid", "replytocom", "clickid", "gclid", "fbclid", "msclkid", "add-to-cart", "affid", "affiliate_id", "redirect_url")
+PORTS = (1080, 3128, 6667, 6881, 8118, 9050)
+EXCEPTIONS = ("@@^docs^", "@@^wiki^", "@@||docs.", "@@||wiki.", "@@||help.")
+
+
+def pattern_rules() -> tuple[str, ...]:
+    """All pattern rules, in order."""
+    rules = [form.format(t) for t in TOPICS for form in TOPIC_FORMS] + [form.format(t) for t in LABELS for form in LABEL_FORMS]
+    rules += [f"^{p}^" for p in PATHS] + [f"^{p}=" for p in PARAMETERS] + [f":{p}^" for p in PORTS]
+    return tuple(dict.fromkeys([*rules, *EXCEPTIONS]))
+
+
+PATTERN_RULES = pattern_rules()
 
 
 @dataclass(frozen=True)
