@@ -20,6 +20,11 @@ takes whole texts.
 Decoding joins the pieces' bytes. It gives the text back exactly: a literal
 U+2581 is written in bytes, apart from the space mark.
 
+Models whose normaliser changes texts, or with pieces of kinds that this does
+not handle (defined by the user, unused), are refused; control pieces are no
+text. Characters that are no pieces, in a row, are one unknown where a model
+has no bytes for them.
+
 Defined cases: a null or empty text has no ids and decodes to an empty text;
 repeated rows are encoded each; an empty table gives no rows; other columns
 play no part.
@@ -44,7 +49,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Chunks that the cache of a task holds, and their greatest length.
 CACHE, CACHED = 1 << 18, 48
-_NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
+_NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _CHUNK = re.compile(" *[^ ]+| +")
 
 
@@ -54,7 +59,10 @@ class Pieces:
     def __init__(self, model: bytes):
         proto = model_pb2.ModelProto()
         proto.ParseFromString(model)
-        self.dummy = proto.normalizer_spec.add_dummy_prefix
+        spec = proto.normalizer_spec
+        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("the model's normaliser changes texts")
+        self.dummy = spec.add_dummy_prefix
         self.automaton = ahocorasick.Automaton()
         self.single: set[str] = set()
         self.bytes_of: list[bytes] = []
@@ -79,6 +87,8 @@ class Pieces:
                 split &= MARK not in p.piece.lstrip(MARK)
                 if len(p.piece) == 1:
                     self.single.add(p.piece)
+            elif p.type != _CONTROL:
+                raise ValueError(f"piece {k} is of a kind that is not handled")
         self.automaton.make_automaton()
         self.unknown_score = least - 10
         self.fallback = proto.trainer_spec.byte_fallback
@@ -116,7 +126,7 @@ class Pieces:
                 out.append(k)
             elif self.fallback:
                 out.extend(self.byte_ids[b] for b in reversed(chunk[at - 1].encode("utf-8", "surrogatepass")))
-            else:
+            elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
             at -= length
         out.reverse()

@@ -307,6 +307,34 @@ def test_urls(spark):
     assert url_filter.judge_urls(rows.where("false"), "page_id", "url").count() == 0
 
 
+def test_every_pattern_rule_fires(spark):
+    """Each rule on a URL made for it, found by its token; and on the pages at hand some do."""
+    rules = url_filter.compiled(url_filter.HOST_RULES, url_filter.PATTERN_RULES)
+    regexes = [re.compile(r.regex, re.S) for r in rules]
+    by, always = url_filter.index_rules(rules, {})
+    assert len(url_filter.PATTERN_RULES) > 300 and not always
+    for text in url_filter.PATTERN_RULES:
+        body = text.removeprefix("@@")
+        host = body.startswith("||")
+        body = body.removeprefix("||").replace("^", "/")
+        url = f"http://a.{body}b.example.org/x" if host else f"http://a.example.org{body}/x" if body[0] == ":" else f"http://a{body}example.org/x" if body[0] == "-" else f"http://example.org/?x{body[1:]}"
+        if body.endswith("=") and not host:
+            url = f"http://example.org/x?{body[1:]}1"
+        elif not host and body[0] == "/":
+            url = f"http://example.org{body}x"
+        assert any(rules[i].name == text and regexes[i].search(url) for t in url_filter.TOKEN.findall(url) for i in by.get(t, ())), (text, url)
+    pages = spark.createDataFrame([(i, f"http://{h}.example.org/en/{i}?utm_source=feed") for i, h in enumerate(["m.casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills", "blog.adult-x", "www.theory", "badass-x", "m.there"])], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(pages, "page_id", "url").collect()}
+    assert [got[i] for i in range(9)] == ["block"] * 6 + ["allow"] * 3
+
+
+def test_long_and_repeated_urls(spark):
+    long = "http://x.example.org/" + "a-b/" * 60_000
+    rows = spark.createDataFrame([(1, long + "casino/"), (1, long + "casino/"), (2, long), (None, "http://casino-x.example.org/"), (3, "http://" + "sub." * 5000 + "net/es/1")], "page_id long, url string")
+    got = sorted((str(r.page_id), r.rule, r.verdict) for r in url_filter.judge_urls(rows, "page_id", "url").collect())
+    assert got == [("1", None, "block"), ("1", None, "block"), ("2", None, "allow"), ("3", "net/es/", "block"), ("None", None, "block")]
+
+
 def test_rules_by_token_lose_nothing():
     """Every rule runs on every URL: the same verdicts."""
     rules = url_filter.compiled(url_filter.HOST_RULES, url_filter.PATTERN_RULES)
