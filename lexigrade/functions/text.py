@@ -1,4 +1,4 @@
-"""Text functions, Column to Column. All but ``unicode_form`` stay in the JVM.
+"""Text functions, Column to Column. All but ``unescape`` stay in the JVM.
 
 Patterns spell out character classes that mean the same in Java, Python and
 RE2: Java's ``\\s`` is ASCII unless told otherwise.
@@ -6,7 +6,8 @@ RE2: Java's ``\\s`` is ASCII unless told otherwise.
 
 from __future__ import annotations
 
-import unicodedata
+import html
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,19 +27,20 @@ def col(c: Text) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def unicode_form(c: Text, form: str = "NFC") -> Column:
-    """Unicode normalisation; Spark has none built in. Skip it where the data are known to be normalised."""
+#: A character that may change under a normal form, alone or after another one.
+_UNSTABLE = {"NFC": r"[^\x{0}-\x{2FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}]", "NFKC": r"[^\x{0}-\x{7F}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}]"}
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize(form, x))
 
-    return run(col(c))
+def unicode_form(c: Text, form: str = "NFC") -> Column:
+    """Unicode normalisation by the ICU library that Spark brings along, for texts that may need it."""
+    text = col(c)
+    compose = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(form == "NFKC"))
+    return F.when(text.rlike(_UNSTABLE[form]), compose).otherwise(text)
 
 
-def no_space(c: Text) -> Column:
-    """The text without any white space: the key by which document names and questions are compared."""
-    return F.regexp_replace(col(c), WS + "+", "")
+def no_space(c: Text, form: str = "NFC") -> Column:
+    """The normalised text without any white space: the key by which document names and questions are compared."""
+    return F.regexp_replace(unicode_form(c, form), WS + "+", "")
 
 
 def one_space(c: Text) -> Column:
@@ -46,20 +48,34 @@ def one_space(c: Text) -> Column:
     return F.trim(F.regexp_replace(col(c), WS + "+", " "))
 
 
-#: Entities that one_line resolves, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&amp;", "&"))
+_REFERENCE = re.compile(r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+_LINE_ENDS = dict.fromkeys(map(ord, "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"), " ")
+
+
+def unescape(c: Text, within_lines: bool = False) -> Column:
+    """Character references resolved, all that HTML knows by name or number; texts without an ampersand do not reach Python.
+
+    within_lines: one that stands for a line's end is a space, so lines stay as they are.
+    """
+    text = col(c)
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        one = (lambda m: html.unescape(m[0]).translate(_LINE_ENDS)) if within_lines else (lambda m: html.unescape(m[0]))
+        return s.map(lambda x: None if x is None else _REFERENCE.sub(one, x))
+
+    return F.coalesce(run(F.when(F.contains(text, F.lit("&")), text)), text)
 
 
-def unescape(c: Text) -> Column:
-    out = col(c)
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+def one_line(c: Text, resolved: bool = False) -> Column:
+    """Normalised, references resolved (unless they are), zero-width spaces gone, white space collapsed."""
+    text = unicode_form(c)
+    return one_space(F.regexp_replace(text if resolved else unescape(text), "\u200b", ""))
 
 
-def one_line(c: Text) -> Column:
-    """Entities resolved, zero-width spaces gone, white space collapsed."""
-    return one_space(F.regexp_replace(unescape(c), "\u200b", ""))
+def resolved_lines(c: Text) -> Column:
+    """The lines of a text as an array, normalised and with references resolved."""
+    return F.split(unescape(unicode_form(c), within_lines=True), r"\r\n|[\n\x0b\f\r\x1c-\x1e\x{85}\x{2028}\x{2029}]", -1)
 
 
 def first_number(c: Text) -> Column:
@@ -74,9 +90,9 @@ def safe_number(c: Text) -> Column:
 
 
 
-def heading(c: Text) -> Column:
+def heading(c: Text, resolved: bool = False) -> Column:
     """(article_no, title) of a line that is an article's heading, in parentheses or bare; null otherwise."""
-    line = one_line(c)
+    line = one_line(c, resolved)
     bracket = r"^제 ?([0-9]+) ?조 ?[（(] ?([^）)]*?) ?[）)]$"
     bare = r"^제 ?([0-9]+) ?조 (.+)$"
     by = lambda p: F.struct(F.regexp_extract(line, p, 1).cast("int").alias("article_no"), F.regexp_extract(line, p, 2).alias("title"))
@@ -96,7 +112,7 @@ STOP_LINE = "^(?:공고일자|시행일자) ?:.*$"
 
 def clean_lines(c: Text, stop: str = STOP_LINE, chrome: tuple[str, ...] = CHROME_LINES) -> Column:
     """The lines of a text, normalised, up to the first stop line, without blank and chrome lines."""
-    lines = F.filter(F.transform(F.split(col(c), r"\r\n|[\n\x0b\f\r\x1c-\x1e\x{85}\x{2028}\x{2029}]", -1), one_line), lambda x: x != "")
+    lines = F.filter(F.transform(resolved_lines(c), lambda x: one_line(x, True)), lambda x: x != "")
     at = F.array_position(F.transform(lines, lambda x: x.rlike(stop)), True)
     kept = F.when(at > 0, F.slice(lines, F.lit(1), (at - 1).cast("int"))).otherwise(lines)
     return F.array_join(F.filter(kept, lambda x: ~F.array_contains(F.array(*map(F.lit, chrome)), x)), "\n")
@@ -141,39 +157,37 @@ def hybrid_tokens(c: Text) -> Column:
     return F.concat(word_tokens(c), ngram_tokens(c))
 
 
-def _stem(word: Column, suffixes: tuple[str, ...]) -> Column:
-    """A Hangul word without its longest suffix, if two syllables stay. The lazy head leaves the longest one."""
-    return F.regexp_replace(word, f"^([가-힣]{{2,}}?)(?:{'|'.join(suffixes)})$", "$1")
-
-
 def particle_tokens(c: Text, particles: bool = True, bigrams: bool = True) -> Column:
-    """Words, and of Hangul words also the form without its particle and all syllable pairs."""
-    none = F.array().cast(NONE)
+    """Words, and of Hangul words also the form without its particle and all syllable pairs.
 
-    def parts(w: Column) -> Column:
-        hangul = w.rlike(f"^{HANGUL}$")
-        out = [F.array(w)]
-        if particles:
-            stem = _stem(w, PARTICLES)
-            out.append(F.when(hangul & (F.char_length(w) > 2) & (stem != w), F.array(stem)).otherwise(none))
-        if bigrams:
-            out.append(F.when(hangul, grams(w, 2)).otherwise(none))
-        return F.concat(*out)
-
-    return F.flatten(F.transform(words(c, "[0-9A-Za-z가-힣]+"), parts))
+    The whole text is rewritten: a Hangul word is followed by copies of it, of
+    which one is cut to its stem and one spread into pairs; then all words are
+    taken in order. Marks that the copies carry are no part of words.
+    """
+    text = F.translate(unicode_form(c), "\x03\x04\x05\x06", "    ")
+    alone = r"(?<![0-9A-Za-z가-힣])([가-힣]{2,})(?![0-9A-Za-z가-힣])"
+    text = F.regexp_replace(text, alone, "$1" + (" \x03$1\x04" if particles else "") + (" \x05$1\x06" if bigrams else ""))
+    if particles:
+        # The lazy head leaves the longest particle; without one the copy goes.
+        text = F.regexp_replace(text, f"\x03(?:([가-힣]{{2,}}?)(?:{'|'.join(PARTICLES)})|[가-힣]+)\x04", "$1")
+    if bigrams:
+        text = F.regexp_replace(text, "([가-힣])(?=([가-힣])[가-힣]*\x06)", "$1$2 ")
+        text = F.regexp_replace(text, "[가-힣]\x06", "")
+    return words(text, "[0-9A-Za-z가-힣]+")
 
 
 def set_tokens(c: Text, digits: bool = False) -> Column:
-    """Distinct words; those of digits alone only if asked for."""
-    found = F.array_distinct(words(c, "[0-9A-Za-z가-힣]+"))
+    """Distinct words of the text in NFC; with those of digits alone, in NFKC."""
+    found = F.array_distinct(words(unicode_form(c, "NFKC" if digits else "NFC"), "[0-9A-Za-z가-힣]+"))
     return found if digits else F.filter(found, lambda w: ~w.rlike("^[0-9]+$"))
 
 
 def content_tokens(c: Text) -> Column:
     """Runs of digits, of Latin letters or of Hangul without their endings; short words and stop words go."""
-    stems = F.transform(words(c, "[0-9]+|[A-Za-z]+|[가-힣]+"), lambda w: F.lower(_stem(w, SUFFIXES)))
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(stems, lambda w: (F.char_length(w) >= 2) & ~F.array_contains(stop, w))
+    text = F.translate(unicode_form(c), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    text = F.regexp_replace(text, f"(?<![가-힣])([가-힣]{{2,}}?)(?:{'|'.join(SUFFIXES)})(?![가-힣])", "$1 ")
+    stop = "|".join(w for w in STOPWORDS if len(w) > 1)
+    return words(text, f"[0-9]{{2,}}|[a-z]{{2,}}|(?<![가-힣])(?!(?:{stop})(?![가-힣]))[가-힣]{{2,}}")
 
 
 def char_bigrams(c: Text) -> Column:

@@ -1,7 +1,7 @@
 """Chunking: documents to articles, clauses and spans.
 
-Lines of a document stay in one row as an array until they are grouped, so
-splitting needs no shuffle: a fold over the array of a row builds its articles.
+Splitting needs no shuffle: a row's lines are marked where a part begins, joined
+again and split at the marks, so the work is linear in the text.
 """
 
 from __future__ import annotations
@@ -16,21 +16,24 @@ MARKDOWN_ARTICLE = r"^#{1,6}[\t-\r\x20]*(제[\t-\r\x20]*([0-9]+)[\t-\r\x20]*조[
 PLAIN_ARTICLE = r"^제[\t-\r\x20]*([0-9]+)[\t-\r\x20]*조[\t-\r\x20]*(.{0,40})$"
 CHAPTER = r"^제[\t-\r\x20]*[0-9]+[\t-\r\x20]*장(?![0-9A-Za-z_가-힣])"
 
-_PART = "array<struct<no:int,head:string,lines:array<string>>>"
+#: Begins a part; a character that no text holds.
+PART_MARK = "\ufdd0"
 
 
-def _grouped(lines: Column, is_head: Column | object, number: object, title: object) -> Column:
-    """Groups the lines after each heading; lines before the first one go."""
-    zero = F.array().cast(_PART)
+def _parts(lines: Column, is_head: object) -> Column:
+    """The text from each heading to the next one, heading first; lines before the first heading go."""
+    marked = F.array_join(F.transform(lines, lambda x: F.when(is_head(x), F.concat(F.lit(PART_MARK), x)).otherwise(x)), "\n")
+    parts = F.split(marked, PART_MARK, -1)
+    return F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.regexp_replace(x, "\n$", ""))
+
+
+def _head(part: str = "p") -> Column:
+    return F.substring_index(part, "\n", 1)
 
-    def step(acc: Column, line: Column) -> Column:
-        new = F.struct(number(line).alias("no"), title(line).alias("head"), F.array().cast("array<string>").alias("lines"))
-        last = F.element_at(acc, -1)
-        grown = F.struct(last["no"].alias("no"), last["head"].alias("head"), F.concat(last["lines"], F.array(line)).alias("lines"))
-        longer = F.when(F.size(acc) > 0, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(acc)
-        return F.when(is_head(line), F.concat(acc, F.array(new))).otherwise(longer)
 
-    return F.aggregate(lines, zero, step)
+def _body(part: str = "p") -> Column:
+    """What follows the heading's line; null if nothing does."""
+    return F.when(F.contains(F.col(part), F.lit("\n")), F.regexp_replace(part, "^[^\n]*\n", ""))
 
 
 def articles(docs: DataFrame, doc_col: str, text_col: str, head: str = MARKDOWN_ARTICLE, number_group: int = 2, title_group: int = 1, required: bool = True) -> DataFrame:
@@ -40,17 +43,15 @@ def articles(docs: DataFrame, doc_col: str, text_col: str, head: str = MARKDOWN_
     end; articles without a body go. content carries document and heading. A
     document without any heading is an error, unless ``required`` is False.
     """
-    lines = F.split(F.col(text_col), "\n")
-    parts = _grouped(
-        lines, lambda x: x.rlike(head), lambda x: F.regexp_extract(x, head, number_group).try_cast("int"), lambda x: F.trim(F.regexp_extract(x, head, title_group))
-    )
+    parts = _parts(F.split(F.col(text_col), "\n"), lambda x: x.rlike(head))
     rows = docs.select(F.col(doc_col).alias("doc"), parts.alias("parts"))
     if required:
-        problem = F.raise_error(F.concat(F.col("doc").cast("string"), F.lit(": no article heading"))).cast(_PART)
+        problem = F.raise_error(F.concat(F.col("doc").cast("string"), F.lit(": no article heading"))).cast("array<string>")
         rows = rows.withColumn("parts", F.when(F.size("parts") > 0, F.col("parts")).otherwise(problem))
     rows = rows.select("doc", F.posexplode("parts").alias("ord", "p"))
-    body = F.regexp_replace(F.array_join("p.lines", "\n"), rf"^{T.WS}+|{T.WS}+$", "")
-    rows = rows.select("doc", F.col("p.no").alias("article_no"), F.col("p.head").alias("heading"), body.alias("body"), "ord").where("body <> ''")
+    body = F.regexp_replace(F.coalesce(_body(), F.lit("")), rf"^{T.WS}+|{T.WS}+$", "")
+    number, title = F.regexp_extract(_head(), head, number_group).try_cast("int"), F.trim(F.regexp_extract(_head(), head, title_group))
+    rows = rows.select("doc", number.alias("article_no"), title.alias("heading"), body.alias("body"), "ord").where("body <> ''")
     content = F.concat(F.lit("["), F.col("doc").cast("string"), F.lit(" "), F.col("heading"), F.lit("]\n"), F.col("body"))
     return rows.select("doc", "article_no", "heading", "body", content.alias("content"), "ord")
 
@@ -61,9 +62,10 @@ def plain_articles(docs: DataFrame, doc_col: str, text_col: str, vocabulary: Dat
     ``vocabulary`` (word) is small: the words of the clean documents.
     """
     lines = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(CHAPTER))
-    parts = _grouped(lines, lambda x: x.rlike(PLAIN_ARTICLE), lambda x: F.regexp_extract(x, PLAIN_ARTICLE, 1).cast("int"), lambda x: F.trim(F.regexp_extract(x, PLAIN_ARTICLE, 2)))
-    rows = docs.select(F.col(doc_col).alias("doc"), F.posexplode(parts).alias("ord", "p")).where(F.size("p.lines") > 0)
-    rows = rows.select("doc", F.col("p.no").alias("article_no"), F.col("p.head").alias("title"), F.col("p.lines").alias("lines"), "ord")
+    rows = docs.select(F.col(doc_col).alias("doc"), F.posexplode(_parts(lines, lambda x: x.rlike(PLAIN_ARTICLE))).alias("ord", "p"))
+    rows = rows.withColumn("body", _body()).where("body IS NOT NULL")
+    number, title = F.regexp_extract(_head(), PLAIN_ARTICLE, 1).cast("int"), F.trim(F.regexp_extract(_head(), PLAIN_ARTICLE, 2))
+    rows = rows.select("doc", number.alias("article_no"), title.alias("title"), F.split("body", "\n").alias("lines"), "ord")
     return repaired(rows, "lines", vocabulary).withColumnRenamed("repaired", "text").drop("lines")
 
 
@@ -125,14 +127,8 @@ def clause_parts(c: T.Text) -> Column:
     """Pieces of a text that begin with a circled digit 1 to 10, or with ``N.`` at a line's start; shorter than 40 characters join the piece before."""
     marked = F.regexp_replace(F.regexp_replace(T.col(c), "([①-⑩])", CLAUSE_MARK + "$1"), r"(?m)^([\t-\r\x20]*[0-9]+[\t-\r\x20]*\.)", CLAUSE_MARK + "$1")
     parts = F.filter(F.transform(F.split(marked, CLAUSE_MARK), lambda x: F.regexp_replace(x, rf"^{T.WS}+|{T.WS}+$", "")), lambda x: x != "")
-    parts = F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit("")))
-
-    def step(acc: Column, part: Column) -> Column:
-        last = F.concat(F.element_at(acc, -1), F.lit("\n"), part)
-        longer = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(last))
-        return F.when((F.char_length(part) < 40) & (F.size(acc) > 0), longer).otherwise(F.concat(acc, F.array(part)))
-
-    return F.aggregate(parts, F.array().cast("array<string>"), step)
+    # A mark goes where fewer than 40 characters follow it up to the next one.
+    return F.split(F.regexp_replace(F.array_join(parts, CLAUSE_MARK), f"{CLAUSE_MARK}(?=[^{CLAUSE_MARK}]{{0,39}}(?:{CLAUSE_MARK}|\\z))", "\n"), CLAUSE_MARK, -1)
 
 
 def units(rows: DataFrame, granularity: str = "article", title_col: str = "title", text_col: str = "text") -> DataFrame:
@@ -207,7 +203,7 @@ def html_articles(docs: DataFrame, doc_col: str, html_col: str) -> DataFrame:
 
 def docx_articles(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
     """(doc, article_no, title, text, ord) of plain lines, from heading to heading."""
-    lines = F.transform(F.split(F.col(text_col), "\n"), T.one_line)
-    parts = _grouped(lines, lambda x: T.heading(x).isNotNull(), lambda x: T.heading(x)["article_no"], lambda x: T.heading(x)["title"])
-    rows = docs.select(F.col(doc_col).alias("doc"), F.posexplode(parts).alias("ord", "p"))
-    return rows.select("doc", F.col("p.no").alias("article_no"), F.col("p.head").alias("title"), T.clean_lines(F.array_join("p.lines", "\n")).alias("text"), "ord")
+    lines = F.transform(F.split(T.unescape(T.unicode_form(text_col), within_lines=True), "\n"), lambda x: T.one_line(x, True))
+    rows = docs.select(F.col(doc_col).alias("doc"), F.posexplode(_parts(lines, lambda x: T.heading(x, True).isNotNull())).alias("ord", "p"))
+    rows = rows.select("doc", "ord", T.heading(_head(), True).alias("h"), T.clean_lines(F.coalesce(_body(), F.lit(""))).alias("text"))
+    return rows.select("doc", F.col("h.article_no").alias("article_no"), F.col("h.title").alias("title"), "text", "ord")

@@ -105,7 +105,7 @@ def hard_covered(answer: T.Text, fact: T.Text, n: int = 8) -> Column:
 
 def fact_found(fact: T.Text, text: T.Text, n: int = 12) -> Column:
     """The same with white space collapsed."""
-    return T.window_inside(T.one_line(fact), T.one_line(text), n)
+    return T.window_inside(T.one_space(fact), T.one_space(text), n)
 
 
 # ---------------------------------------------------------------- judge and totals

