@@ -30,20 +30,50 @@ def question_terms(questions: DataFrame, id_col: str, text_col: str, tokeniser:
     return rows.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+#: Most rows of question terms that are broadcast; they do not grow with the corpus, and beyond this they are joined otherwise.
+FEW_TERMS = 1 << 18
+#: A token that no text has: a unit's row of itself.
+_UNIT = "\x00"
+
+
 def bm25(units: DataFrame, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """Scores of the units that share a term with a question.
+    """Scores of the units (unit, toks, dl) that share a term with a question, for terms (qid, term, qtf).
 
-    Tokens meet the questions' vocabulary before postings are built; the join of
-    postings and question terms is partially aggregated, and statistics are one row.
+    Units are tokenised once. Tokens meet the questions' vocabulary before
+    anything is shuffled; the shuffle by unit then serves the counts of terms,
+    the statistics, the document frequencies and the sums of scores alike.
     """
-    posts = index.postings(units, terms)
-    freq = index.document_frequency(posts)
-    scored = posts.join(freq, "term").join(terms, "term").crossJoin(F.broadcast(index.corpus_stats(units)))
+    vocabulary = terms.select("term").distinct()
+    few = terms.count() <= FEW_TERMS
+    small = F.broadcast if few else (lambda df: df)
+    own = terms.sparkSession.createDataFrame([(_UNIT,)], "term string")
+    found = units.select("unit", "dl", F.explode(F.concat(F.array(F.lit(_UNIT)), "toks")).alias("term"))
+    found = found.join(small(vocabulary.unionByName(own)), "term", "left_semi").repartition("unit")
+    posts = found.groupBy("unit", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    stats = posts.where(F.col("term") == _UNIT).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    freq = index.document_frequency(posts.where(F.col("term") != _UNIT))
+    weights = terms.join(freq, "term").crossJoin(F.broadcast(stats))  # statistics are one row
+    weights = weights.select("term", "qid", "avgdl", (F.col("qtf") * index.idf(F.col("n"), F.col("df"))).alias("w"))
+    scored = posts.join(small(weights), "term")
     ratio = F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(F.lit(0.0))
-    part = F.col("qtf") * index.idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * ratio))
+    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * ratio))
     return scored.groupBy("qid", "unit").agg(F.sum(part).alias("score"))
 
 
+def topped(scores: DataFrame, questions: DataFrame, units: DataFrame, k: int, order: str = "unit") -> DataFrame:
+    """The first k of the ranking in which every unit has a score, 0 where nothing matched: (qid, unit, score, rank).
+
+    Of the units that match nothing only the first ones in order can be among
+    them, as many as a question has matches too few; the first 2 k units hold
+    them. So nothing is paired but the questions that fall short and 2 k units.
+    """
+    best = ranked(scores, k=k).select("qid", "unit", "score")
+    short = questions.select("qid").distinct().join(best.groupBy("qid").agg(F.count(F.lit(1)).alias("have")), "qid", "left").where(F.coalesce("have", F.lit(0)) < k)
+    early = units.select("unit").orderBy(order).limit(2 * k)
+    fill = short.select("qid").crossJoin(F.broadcast(early)).join(best.select("qid", "unit"), ["qid", "unit"], "left_anti")
+    return ranked(best.unionByName(fill.select("qid", "unit", F.lit(0.0).alias("score"))), k=k)
+
+
 def completed(scores: DataFrame, questions: DataFrame, units: DataFrame) -> DataFrame:
     """Scores of every question and unit, 0 where nothing matched. Of |questions| x |units| rows: for rankings of whole small corpora."""
     every = questions.select("qid").distinct().crossJoin(units.select("unit"))
@@ -68,20 +98,54 @@ def max_pool(scores: DataFrame, parents: DataFrame) -> DataFrame:
 def named_document(questions: DataFrame, id_col: str, text_col: str, names: DataFrame) -> DataFrame:
     """(qid, named): the longest of the names (name) that a question contains, white space aside.
 
-    Names are few (a row per document collection); the join is a nested loop over them.
+    A question's parts of the lengths that names have meet the names by equality.
     """
+    n = names.select("name", T.no_space("name").alias("key")).where("key <> ''")
+    sizes = [r[0] for r in n.select(F.char_length("key")).distinct().collect()]  # lengths of names
+    if not sizes:
+        return questions.select(F.col(id_col).alias("qid"), F.lit(None).cast("string").alias("named")).where("false")
     q = questions.select(F.col(id_col).alias("qid"), T.no_space(text_col).alias("q"))
-    n = names.select("name", T.no_space("name").alias("key"))
-    hits = q.join(F.broadcast(n), F.contains("q", "key"))
-    return hits.groupBy("qid").agg(F.max_by("name", F.struct(F.char_length("name"), "name")).alias("named"))
+    parts = q.select("qid", F.explode(F.array_distinct(F.concat(*[T.grams("q", size) for size in sorted(sizes)]))).alias("key"))
+    return parts.join(n, "key").groupBy("qid").agg(F.max_by("name", F.struct(F.char_length("name"), "name")).alias("named"))
+
 
+def boosted(scores: DataFrame, docs_of: DataFrame, named: DataFrame, boost: float = 0.5, k: int = CUTOFF) -> DataFrame:
+    """The first k with boost times the spread of a question's scores added to the units (unit, doc) of the document that it names.
 
-def boosted(scores: DataFrame, docs_of: DataFrame, named: DataFrame, boost: float = 0.5) -> DataFrame:
-    """Adds boost times the spread of a question's scores to the units (unit, doc) of the document that it names."""
-    rows = scores.join(docs_of, "unit").join(named, "qid", "left")
-    spread = rows.groupBy("qid").agg((F.max("score") - F.min("score")).alias("spread"))
+    scores has the units that match; all others score 0, and of these only the
+    first ones in order, of the named document and of all, can be among the first k.
+    """
+    n = docs_of.agg(F.count(F.lit(1)).alias("units"))
+    spread = scores.groupBy("qid").agg(F.max("score").alias("hi"), F.min("score").alias("lo"), F.count(F.lit(1)).alias("have")).crossJoin(F.broadcast(n))
+    spread = spread.select("qid", (F.col("hi") - F.when(F.col("have") < F.col("units"), F.least("lo", F.lit(0.0))).otherwise(F.col("lo"))).alias("spread"))
+    asked = spread.join(named, "qid", "left")
+    own = scores.join(docs_of, "unit").join(asked, "qid")
     bonus = F.when(F.col("doc") == F.col("named"), boost * F.col("spread")).otherwise(F.lit(0.0))
-    return rows.join(spread, "qid").select("qid", "unit", (F.col("score") + bonus).alias("score"))
+    best = ranked(own.select("qid", "unit", (F.col("score") + bonus).alias("score")), k=2 * k).select("qid", "unit", "score")
+    early = docs_of.withColumn("i", F.row_number().over(Window.partitionBy("doc").orderBy("unit"))).where(F.col("i") <= 2 * k)
+    fill = asked.join(early, F.col("named") == F.col("doc")).select("qid", "unit", (boost * F.col("spread")).alias("score"))
+    first = asked.crossJoin(F.broadcast(docs_of.orderBy("unit").limit(2 * k))).where(~F.coalesce(F.col("doc") == F.col("named"), F.lit(False))).select("qid", "unit", F.lit(0.0).alias("score"))
+    fill = fill.unionByName(first).join(scores.select("qid", "unit"), ["qid", "unit"], "left_anti")
+    return ranked(best.unionByName(fill), k=k)
+
+
+def holding(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, part_col: str) -> DataFrame:
+    """(qid, unit): the documents whose text holds an item's text.
+
+    A text that holds another one also holds, between spaces, each of its words
+    but the first and the last. Items meet documents by the longest of these,
+    and the pairs are checked. Items of one or two words have none and meet all.
+    """
+    inner = lambda c: F.slice(F.split(c, " "), F.lit(2), F.greatest(F.size(F.split(c, " ")) - 2, F.lit(0)))
+    q = items.select(F.col(item_col).alias("qid"), F.col(part_col).alias("part"))
+    longest = F.array_max(F.transform(inner(F.col("part")), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))
+    q = q.withColumn("word", F.nullif(longest["w"], F.lit("")))
+    d = docs.select(F.col(id_col).alias("unit"), F.col(text_col).alias("text"))
+    words = d.select("unit", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    pairs = words.join(q.where("word IS NOT NULL").select("qid", "word"), "word").select("qid", "unit")
+    near = pairs.join(d, "unit").join(q.select("qid", "part"), "qid").where(F.contains("text", "part")).select("qid", "unit")
+    bare = q.where("word IS NULL").select("qid", "part")
+    return near.unionByName(d.join(bare, F.contains("text", "part")).select("qid", "unit"))
 
 
 def dot(a: T.Text, b: T.Text) -> Column:
@@ -147,6 +211,7 @@ class Retriever:
     def __init__(self, corpus: DataFrame, vectors: DataFrame | None = None, question_vectors: DataFrame | None = None, pool: int = POOL):
         self.corpus, self.vectors, self.question_vectors, self.pool = corpus, vectors, question_vectors, pool
         self._indexes: dict[tuple[str, str], DataFrame] = {}
+        self.checked, self.failure = False, ""
 
     def units(self, granularity: str, tokeniser: str) -> DataFrame:
         key = (granularity, tokeniser)
@@ -159,8 +224,7 @@ class Retriever:
         units = self.units(granularity, tokeniser)
         scores = bm25(units, question_terms(questions, "qid", "question", tokeniser, query_tf))
         scores = max_pool(scores, units.select("unit", F.col("unit.ord").alias("parent")))
-        every = completed(scores, questions, self.corpus.select(F.col("ord").alias("unit")))
-        return ranked(every, k=top_k)
+        return topped(scores, questions, self.corpus.select(F.col("ord").alias("unit")), top_k)
 
     def by_vectors(self, top_k: int) -> DataFrame:
         if self.vectors is None or self.question_vectors is None:
@@ -168,21 +232,36 @@ class Retriever:
         return ranked(dense(self.question_vectors, self.vectors, same=True), k=top_k)
 
     def search(self, questions: DataFrame, top_k: int = CUTOFF, mode: str = "rrf", granularity: str = "article", tokeniser: str = "word", dense_weight: float = 1.0) -> DataFrame:
-        """(qid, doc, article_no, score, rank). Without vectors every mode is lexical."""
+        """(qid, doc, article_no, score, rank). Without vectors, or once their making has failed, every mode is lexical."""
         if top_k < 1:
             raise ValueError("top_k must be positive")
-        if mode == "bm25" or self.vectors is None:
+        if mode not in ("bm25", "dense", "rrf"):
+            raise ValueError("mode must be one of: bm25, dense, rrf")
+        near = None if mode == "bm25" else self.checked_vectors(top_k if mode == "dense" else self.pool)
+        if near is None:
             best = self.lexical(questions, top_k, granularity, tokeniser)
         elif mode == "dense":
-            best = self.by_vectors(top_k)
-        elif mode == "rrf":
-            lists = [(self.lexical(questions, self.pool, granularity, tokeniser), 1.0), (self.by_vectors(self.pool), dense_weight)]
-            best = ranked(fused(lists), "first", k=top_k)
+            best = near
         else:
-            raise ValueError("mode must be one of: bm25, dense, rrf")
+            lists = [(self.lexical(questions, self.pool, granularity, tokeniser), 1.0), (near, dense_weight)]
+            best = ranked(fused(lists), "first", k=top_k)
         names = self.corpus.select(F.col("ord").alias("unit"), "doc", "article_no")
         return best.join(names, "unit").select("qid", "doc", "article_no", "score", "rank")
 
+    def checked_vectors(self, top_k: int) -> DataFrame | None:
+        """by_vectors, or None if there are none. An encoder that fails, which only reading its vectors shows, is given up for good."""
+        if self.vectors is None or self.question_vectors is None:
+            return None
+        if not self.checked:
+            try:
+                self.question_vectors, self.vectors = self.question_vectors.cache(), self.vectors.cache()
+                self.question_vectors.count(), self.vectors.count()
+                self.checked = True
+            except Exception as e:  # noqa: BLE001  whatever a model raises
+                self.failure, self.vectors, self.question_vectors = str(e), None, None
+                return None
+        return self.by_vectors(top_k)
+
 
 def reranked(candidates: DataFrame, score: Column, k: int = CUTOFF) -> DataFrame:
     """Candidates (qid, unit, rank, ...) in the order of another score, a Column or a pandas UDF's; ties keep the old order."""

@@ -7,7 +7,7 @@ have one; a question's vector is the one of its own id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import chunking, index, metrics, retrieval
@@ -40,9 +40,8 @@ def out(df: DataFrame, *more: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
-    """(qid, unit): the benchmark is a small table, by which every document passes."""
-    docs, q = table(spark, sf, "documents"), questions(spark, sf)
-    return docs.join(F.broadcast(q), F.contains("text", "question")).select("qid", F.col("doc_id").alias("unit"))
+    """(qid, unit): the documents that hold a question's text."""
+    return retrieval.holding(table(spark, sf, "documents"), "doc_id", "text", questions(spark, sf), "qid", "question")
 
 
 def sql_bm25(qtf: str = "count(*)", toks: str = sql_words("text")) -> str:
@@ -129,8 +128,7 @@ _add("f5_named_document", f5_named_document, f"WITH {_NAMED} SELECT b.item_id, n
 def f6_doc_boost(spark: SparkSession, sf: str) -> DataFrame:
     q, names = naming(spark, sf)
     docs_of = table(spark, sf, "documents").select(F.col("doc_id").alias("unit"), F.col("source").alias("doc"))
-    scores = retrieval.boosted(full(spark, sf), docs_of, retrieval.named_document(q, "qid", "question", names))
-    return out(retrieval.ranked(scores, k=4), "rank")
+    return out(retrieval.boosted(bm25(spark, sf), docs_of, retrieval.named_document(q, "qid", "question", names)), "rank")
 
 
 _add(
@@ -166,10 +164,13 @@ def both_rankings(spark: SparkSession, sf: str, k: int | None = None) -> tuple[D
     own = table(spark, sf, "documents")
     toks = index.tokenised(own, "doc_id", "text")
     q = questions(spark, sf)
-    lexical = retrieval.completed(retrieval.bm25(toks, retrieval.question_terms(q, "qid", "question")), q, toks)
+    scores = retrieval.bm25(toks, retrieval.question_terms(q, "qid", "question"))
     asked = e.join(q.select(F.col("qid").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
     vectors = vectors.join(own.select(F.col("doc_id").alias("unit")), "unit", "left_semi")
-    return retrieval.ranked(lexical, k=k), retrieval.ranked(retrieval.dense(asked, vectors, same=True), k=k)
+    dense = retrieval.ranked(retrieval.dense(asked, vectors, same=True), k=k)
+    if k is None:
+        return retrieval.ranked(retrieval.completed(scores, q, toks)), dense
+    return retrieval.topped(scores, q, toks, k), dense
 
 
 def dynamic(lexical: DataFrame, dense: DataFrame) -> DataFrame:
@@ -177,9 +178,9 @@ def dynamic(lexical: DataFrame, dense: DataFrame) -> DataFrame:
     return retrieval.fused([(lexical, weights[0]), (dense, weights[1])])
 
 
-_HYBRID = f"""dd AS (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)), {sql_bm25().replace('FROM documents)', 'FROM dd)', 1)},
-    fu AS (SELECT b.item_id, d.doc_id, coalesce(sc.s, 0) AS s FROM benchmark b CROSS JOIN dd d LEFT JOIN sc ON sc.item_id = b.item_id AND sc.doc_id = d.doc_id),
-    de AS (SELECT a.vec_id AS item_id, b.vec_id AS doc_id, {_DOT} AS s FROM embeddings a JOIN benchmark q ON q.item_id = a.vec_id, embeddings b JOIN dd ON dd.doc_id = b.vec_id),
+_HYBRID = f"""{sql_bm25()},
+    fu AS (SELECT b.item_id, d.doc_id, coalesce(sc.s, 0) AS s FROM benchmark b CROSS JOIN documents d LEFT JOIN sc ON sc.item_id = b.item_id AND sc.doc_id = d.doc_id),
+    de AS (SELECT a.vec_id AS item_id, b.vec_id AS doc_id, {_DOT} AS s FROM embeddings a JOIN benchmark q ON q.item_id = a.vec_id, embeddings b JOIN documents dd ON dd.doc_id = b.vec_id),
     l1 AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM fu),
     l2 AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM de)"""
 _CONF = """{n} AS (SELECT item_id, max(s) FILTER (rank = 1) AS top, list_sort(list(s) FILTER (rank > 1 AND rank <= 11)) AS tl FROM {l} WHERE rank <= 11 GROUP BY item_id),
@@ -198,7 +199,7 @@ _add(
     "f10_confidence",
     f10_confidence,
     f"""WITH {_HYBRID}, {_CONFS} SELECT item_id, round(k1c.c, 6) AS c_lexical, round(1 + 0.6::DOUBLE * k1c.c, 6) AS w_lexical, round(k2c.c, 6) AS c_dense, round(1 + 0.6::DOUBLE * k2c.c, 6) AS w_dense
-    FROM k1c JOIN k2c USING (item_id)""",
+    FROM k1c LEFT JOIN k2c USING (item_id)""",
 )
 
 
@@ -308,19 +309,26 @@ _TOKS = {"word": sql_words("text"), "plain": "flatten(list_transform(regexp_extr
 
 
 def h22_config_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """All configurations in one job, each with its means and its place."""
+    """All configurations, each with its means and its place. A tokeniser's units are scored once, for both kinds of query weights."""
+    g = gold(spark, sf)
     parts = []
-    for i, (tok, tf) in enumerate(CONFIGS):
-        hits = retrieval.ranked(bm25(spark, sf, tok, tf), k=4)
-        scores = metrics.retrieval_scores(hits, gold(spark, sf))
-        parts.append(scores.withColumns({"ord": F.lit(i), "config": F.lit(f"{tok}/{tf}")}))
-    rows = parts[0]
+    for tok in dict.fromkeys(t for t, _ in CONFIGS):
+        kinds = [tf for t, tf in CONFIGS if t == tok]
+        terms = [retrieval.question_terms(questions(spark, sf), "qid", "question", tok, tf).select(F.struct("qid", F.lit(f"{tok}/{tf}").alias("config")).alias("qid"), "term", "qtf") for tf in kinds]
+        every = terms[0]
+        for t in terms[1:]:
+            every = every.unionByName(t)
+        parts.append(retrieval.ranked(retrieval.bm25(units(spark, sf, tok), every), k=4).select(F.col("qid.qid").alias("qid"), "qid.config", "unit", "rank"))
+    hits = parts[0]
     for p in parts[1:]:
-        rows = rows.unionByName(p)
-    means = _means(metrics.retrieval_means(rows, "config").join(rows.select("config", "ord").distinct(), "config"))
-    order = F.struct((-F.col("recall")).alias("a"), (-F.col("full")).alias("b"), (-F.col("rr")).alias("c"), (-F.col("hit1")).alias("d"), "ord")
-    every = means.agg(F.array_sort(F.collect_list(order)).alias("o"))  # a row per configuration
-    return means.crossJoin(F.broadcast(every)).select("config", "n", "recall", "full", "rr", "hit1", F.array_position("o", order).cast("int").alias("place"))
+        hits = hits.unionByName(p)
+    order = {f"{tok}/{tf}": i for i, (tok, tf) in enumerate(CONFIGS)}
+    config = F.explode(F.array(*[F.lit(c) for c in order])).alias("config")
+    keyed = lambda df, *more: df.select(F.struct("qid", "config").alias("qid"), "unit", *more)
+    scores = metrics.retrieval_scores(keyed(hits, "rank"), keyed(g.select("qid", "unit", config))).withColumn("config", F.col("qid.config"))
+    means = _means(metrics.retrieval_means(scores, "config")).withColumn("ord", F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("config")))
+    place = Window.orderBy(F.desc("recall"), F.desc("full"), F.desc("rr"), F.desc("hit1"), "ord")  # as many rows as configurations
+    return means.select("config", "n", "recall", "full", "rr", "hit1", F.row_number().over(place).alias("place"))
 
 
 def _sql_grid() -> str:
