@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.fixed import CHROME_LINES, PARTICLES, STOPWORDS, SUFFIXES
 from ..operators import chunking, index
-from ..sources import readers, sinks
+from ..sources import readers
 from .base import digest, hangul, sql_digest, sql_grams, sql_hangul, sql_no_space, sql_one_line, sql_stem, sql_trim, sql_unescape, sql_words, table
 
 _DOCS = "documents"
@@ -296,54 +296,11 @@ for _name, _n in (("d10_trigram_set", 3), ("d11_fivegram_set", 5)):
 # ---------------------------------------------------------------- sources and sinks that are relational
 
 
-def a12_embedded_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, _DOCS).groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.char_length("text")).alias("chars"))
-
-
-_add("a12_documents", a12_embedded_documents, "SELECT lang, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang")
-_add(
-    "a11_html_pages",
-    lambda s, d: table(s, d, "pages").select("page_id", F.char_length("html").alias("n"), F.contains("html", F.lit("<article>")).alias("has_article")),
-    "SELECT page_id, CAST(length(html) AS INT) AS n, contains(html, '<article>') AS has_article FROM pages",
-)
 _add(
     "a13_blob_round_trip",
     lambda s, d: table(s, d, "benchmark").select("item_id", readers.blob_text(readers.blob("text")).alias("text"), F.md5(F.regexp_replace(F.base64(F.col("text").cast("binary")), "[\r\n]", "").cast("binary")).alias("plain")),
     "SELECT item_id, text, md5(base64(encode(text))) AS plain FROM benchmark",
 )
-_TOTALS = "SELECT source AS blind_id, CASE WHEN count(*) % 2 = 0 THEN CAST(avg(doc_id % 100) AS DOUBLE) END AS total, CASE WHEN count(*) % 2 = 0 THEN 'completed' ELSE 'failed' END AS status FROM documents GROUP BY source"
-
-
-def a14_results_sink(spark: SparkSession, sf: str) -> DataFrame:
-    """What the results sink writes, read back from its JSON."""
-    docs = table(spark, sf, _DOCS).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("doc_id") % 100).alias("t"))
-    even = F.col("n") % 2 == 0
-    results = docs.select(F.col("source").alias("blind_id"), F.when(even, F.col("t")).alias("total"), F.when(even, "completed").otherwise("failed").alias("status"))
-    parsed = F.from_json("value", "struct<results:array<struct<blind_id:string,total:double,status:string>>>")
-    return sinks.results_json(results).select(F.inline(parsed["results"]))
-
-
-_add("a14_results_sink", a14_results_sink, _TOTALS)
-
-
-def a16_submission_sink(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("answer"), F.array(F.struct(F.lit("d").alias("doc"), F.col("item_id").alias("article"))).alias("retrieved"), F.lit(None).cast("string").alias("error"))
-    out = sinks.submission_json(F.lit("7"), rows, F.struct(F.lit(0).alias("violations")))
-    parsed = F.from_json("value", "struct<team:string,answers:array<struct<qid:long,answer:string,retrieved:array<struct<doc:string,article:long>>>>>")
-    return out.select(parsed["team"].alias("team"), F.explode(parsed["answers"]).alias("a")).select("team", F.col("a.qid").alias("qid"), F.col("a.answer").alias("answer"), F.col("a.retrieved")[0]["article"].alias("article"))
-
-
-_add("a16_submission_sink", a16_submission_sink, "SELECT '7' AS team, item_id AS qid, text AS answer, item_id AS article FROM benchmark")
-
-
-def a18_pending_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs that a cache of the labelled documents still lacks."""
-    asked = table(spark, sf, _DOCS).select(F.col("source").alias("blind_id"), F.col("doc_id").alias("qid"))
-    have = table(spark, sf, "labels").select(F.col("doc_id").alias("qid")).distinct()
-    return asked.join(have, "qid", "left_anti").select("blind_id", "qid")
-
-
-_add("a18_judge_cache", a18_pending_pairs, "SELECT source AS blind_id, doc_id AS qid FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 _add(
     "a10_page_numbers",
     lambda s, d: table(s, d, _DOCS).select("doc_id", readers.page_text(F.regexp_replace("text", "\n", "\n 12 \n")).alias("t")).select("doc_id", F.md5(F.col("t").cast("binary")).alias("digest")),

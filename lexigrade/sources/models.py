@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A failure that another payload may cure, so that it is not retried with the same one.
@@ -71,3 +72,46 @@ def scorer(function: Callable[[pd.Series, pd.Series], pd.Series]) -> Callable[[C
 def encoder(function: Callable[[pd.Series], pd.Series]) -> Callable[[Column], Column]:
     """An embedding model as a Column function; vectors are to be normalised by index.unit_vector."""
     return F.pandas_udf(function, "array<float>")
+
+
+def first_that_loads(loaders: Sequence[Callable[[], Call]], warm_up: str | None = None) -> Call:
+    """The call of the first loader that loads, and answers a prompt if one is given: a smaller model stands in for one that does not fit."""
+    last: Exception | None = None
+    for load in loaders:
+        try:
+            call = load()
+            if warm_up is not None:
+                call(warm_up)
+            return call
+        except Exception as e:  # noqa: BLE001  any failure of a model
+            last = e
+    raise RuntimeError(f"no model loads: {last}")
+
+
+def closed_loop(spark: SparkSession, call: Call, prompts: Sequence[str], rounds: int = 3, warm_up: int = 2, concurrency: int = 2, clock: Callable[[], float] = time.monotonic) -> DataFrame:
+    """(repetition, request, ok, latency_s, wall_s) of a load test: each worker sends its next request when it has the last one's reply.
+
+    Round 0 is the warm-up. The load is the driver's own: it measures a server, not Spark.
+    """
+
+    def one(prompt: str) -> tuple[bool, float]:
+        began = clock()
+        try:
+            call(prompt)
+            return True, clock() - began
+        except Exception:  # noqa: BLE001  a failed request is a row
+            return False, clock() - began
+
+    rows = []
+    with ThreadPoolExecutor(concurrency) as workers:
+        for r in range(rounds + 1):
+            began = clock()
+            done = list(workers.map(one, prompts if r else prompts[:warm_up]))
+            wall = clock() - began
+            rows += [(r, i, ok, latency, wall) for i, (ok, latency) in enumerate(done)]
+    return spark.createDataFrame(rows, "repetition int, request int, ok boolean, latency_s double, wall_s double")
+
+
+def timeouts(requests: DataFrame, limit_s: float) -> DataFrame:
+    """Requests (..., ok, latency_s) that took longer than the limit, with over_s; failed ones count if they took as long."""
+    return requests.where(F.col("latency_s") > limit_s).withColumn("over_s", F.col("latency_s") - limit_s)

@@ -6,9 +6,7 @@ may be of several shapes stay JSON text until an operator parses them.
 
 from __future__ import annotations
 
-import html
 import io
-import re
 import zipfile
 from collections.abc import Iterator
 
@@ -149,28 +147,45 @@ def terms(files: DataFrame) -> DataFrame:
     return out.where("doc <> '' AND article IS NOT NULL AND text <> ''")
 
 
+def stem(path: Column) -> Column:
+    return F.regexp_replace(file_name(path), r"\.[^.]*$", "")
+
+
+def named(files: DataFrame) -> DataFrame:
+    """(doc, text) of text files (path, raw), each named by its stem."""
+    return files.select(stem(F.col("path")).alias("doc"), F.col("raw").alias("text"))
+
+
 def markdown(spark: SparkSession, *paths: str) -> DataFrame:
     """(doc, text): a row per file, named by its stem."""
-    rows = whole_files(spark, *paths)
-    return rows.select(F.regexp_replace(file_name(F.col("path")), r"\.[^.]*$", "").alias("doc"), F.col("raw").alias("text"))
+    return named(whole_files(spark, *paths))
+
+
+def html_texts(files: DataFrame) -> DataFrame:
+    """(doc, title, text) of HTML files (path, raw): the page's title, and its text by cleaned lines."""
+    title = F.regexp_extract("raw", r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
+    return files.select(stem(F.col("path")).alias("doc"), T.one_line(title).alias("title"), T.clean_lines(T.strip_html("raw")).alias("text"))
 
 
 def docx(spark: SparkSession, *paths: str) -> DataFrame:
-    """(doc, text) of Word files: paragraphs end lines, tabs are spaces, other tags go. Unpacking needs Python; a row is a file."""
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
+    """docx_texts of the Word files in some paths."""
+    return docx_texts(spark.read.format("binaryFile").load(list(paths)).select("path", "content"))
+
+
+def docx_texts(files: DataFrame) -> DataFrame:
+    """(doc, text) of Word files (path, content): paragraphs end lines, tabs are spaces, other tags go. Unpacking needs Python; a row is a file."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    text = z.read("word/document.xml").decode("utf-8")
-                for pattern, by in ((r"</w:p\s*>", "\n"), (r"<w:tab\s*/?>", " "), (r"<[^>]+>", "")):
-                    text = re.sub(pattern, by, text)
-                out.append((path.rsplit("/", 1)[-1].rsplit(".", 1)[0], html.unescape(text)))
-            yield pd.DataFrame(out, columns=["doc", "text"])
+                    out.append((path, z.read("word/document.xml").decode("utf-8")))
+            yield pd.DataFrame(out, columns=["path", "xml"])
 
-    return files.mapInPandas(run, "doc string, text string")
+    xml = F.regexp_replace("xml", r"</w:p\s*>", "\n")
+    text = T.unescape(F.regexp_replace(F.regexp_replace(xml, r"<w:tab\s*/?>", " "), "<[^>]+>", ""))
+    return files.select("path", "content").mapInPandas(run, "path string, xml string").select(stem(F.col("path")).alias("doc"), text.alias("text"))
 
 
 def page_text(c: T.Text) -> Column:

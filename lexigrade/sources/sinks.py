@@ -7,14 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 
-def results_json(results: DataFrame) -> DataFrame:
-    """(value): one JSON object with all results (blind_id, total, status), by id. Candidates are few."""
-    rows = F.array_sort(F.collect_list(F.struct("blind_id", "total", "status")))
-    return results.agg(F.to_json(F.struct(rows.alias("results")), {"ignoreNullFields": "false"}).alias("value"))
+def json_lines_of(rows: DataFrame, order: str, head: Column, tail: Column) -> DataFrame:
+    """(part, key, value): the lines of one JSON object whose list has a row to a line; head and tail are what stands around the list.
+
+    A row's comma stands before it, but for the first one's. No row holds the list.
+    """
+    first = rows.agg(F.min(order).alias("first"))  # one row
+    line = F.concat(F.when(F.col(order) == F.col("first"), F.lit("")).otherwise(F.lit(",")), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}))
+    body = rows.crossJoin(F.broadcast(first)).select(F.lit(1).alias("part"), F.col(order).cast("string").alias("key"), line.alias("value"))
+    ends = first.select(F.explode(F.array(F.struct(F.lit(0).alias("part"), F.lit("").alias("key"), head.alias("value")), F.struct(F.lit(2).alias("part"), F.lit("").alias("key"), tail.alias("value")))).alias("x"))
+    return body.unionByName(ends.select("x.*"))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Lines (part, key, value) as one text file: they are sorted in parallel, and one task writes them as they come."""
+    lines.orderBy("part", "key").select("value").coalesce(1).write.mode("overwrite").text(path)
+
+
+def results_lines(results: DataFrame) -> DataFrame:
+    """The lines of an object with all results (blind_id, total, status), by id."""
+    return json_lines_of(results.select("blind_id", "total", "status"), "blind_id", F.lit('{"results":['), F.lit("]}"))
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    results_json(results).write.mode("overwrite").text(path)
+    write_lines(results_lines(results), path)
 
 
 def write_details(details: DataFrame, path: str, key: str = "blind_id") -> None:
@@ -22,10 +38,16 @@ def write_details(details: DataFrame, path: str, key: str = "blind_id") -> None:
     details.write.mode("overwrite").partitionBy(key).json(path)
 
 
-def submission_json(team: Column, answers: DataFrame, meta: Column) -> DataFrame:
-    """(value): one JSON object with team, answers (qid, answer, retrieved, error) and meta."""
-    rows = F.array_sort(F.collect_list(F.struct("qid", "answer", "retrieved", "error")))
-    return answers.agg(rows.alias("answers")).select(F.to_json(F.struct(team.alias("team"), "answers", meta.alias("meta"))).alias("value"))
+def submission_lines(team: Column, answers: DataFrame, meta: Column) -> DataFrame:
+    """The lines of an object with team, answers (qid, answer, retrieved, error) and meta. team and meta are literals."""
+    whole = F.to_json(F.struct(team.alias("team"), meta.alias("meta")))
+    head = F.concat(F.regexp_replace(F.to_json(F.struct(team.alias("team"))), r"\}$", ""), F.lit(',"answers":['))
+    tail = F.concat(F.lit('],"meta":'), F.get_json_object(whole, "$.meta"), F.lit("}"))
+    return json_lines_of(answers.select("qid", "answer", "retrieved", "error"), "qid", head, tail)
+
+
+def write_submission(team: Column, answers: DataFrame, meta: Column, path: str) -> None:
+    write_lines(submission_lines(team, answers, meta), path)
 
 
 def write_corpus(articles: DataFrame, path: str, doc: str = "doc") -> None:
