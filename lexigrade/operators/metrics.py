@@ -185,8 +185,13 @@ def agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """
 
     def ranks(c: str) -> DataFrame:
-        counts = pairs.groupBy(c).agg(F.count(F.lit(1)).alias("k"))
-        return counts.select(c, (1 + F.sum("k").over(Window.orderBy(F.desc(c)).rowsBetween(Window.unboundedPreceding, 0)) - F.col("k")).alias(f"r_{c}"))
+        # Distinct scores in ranges: a running sum within each, and the sums of the ranges above it.
+        counts = pairs.groupBy(c).agg(F.count(F.lit(1)).alias("k")).repartitionByRange(F.desc(c)).withColumn("range", F.spark_partition_id())
+        own = Window.partitionBy("range")
+        within = F.sum("k").over(own.orderBy(F.desc(c)).rowsBetween(Window.unboundedPreceding, 0)) - F.col("k")
+        ranges = counts.groupBy("range").agg(F.max(c).alias("top"), F.sum("k").alias("all"))  # a row per range
+        above = ranges.alias("x").join(F.broadcast(ranges.alias("y")), F.col("y.top") > F.col("x.top"), "left").groupBy(F.col("x.range").alias("range")).agg(F.coalesce(F.sum("y.all"), F.lit(0)).alias("above"))
+        return counts.withColumn("w", within).join(F.broadcast(above), "range").select(c, (1 + F.col("w") + F.col("above")).alias(f"r_{c}"))
 
     r = pairs.select(a, b).join(ranks(a), a).join(ranks(b), b).select(a, b, F.col(f"r_{a}").alias("ra"), F.col(f"r_{b}").alias("rb"))
     d2 = F.sum((F.col("ra") - F.col("rb")) * (F.col("ra") - F.col("rb")))

@@ -272,7 +272,8 @@ _add("h30_objective_points", h30_objective_points, f"WITH {_SQL_ROWS} SELECT bli
 def h31_answer_report(spark: SparkSession, sf: str) -> DataFrame:
     """Hard and soft recall of answered questions only; labelled documents stand for them."""
     rows = facts(spark, sf).join(table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
-    per = rows.groupBy("doc_id").agg(F.avg(metrics.hard_covered("answer", "fact").cast("double")).alias("hard"), F.avg(metrics.soft_recall("answer", "fact")).alias("soft"), F.first(F.char_length("answer")).alias("chars"))
+    marked = rows.select("doc_id", metrics.hard_covered("answer", "fact").cast("double").alias("hard"), metrics.soft_recall("answer", "fact").alias("soft"), F.char_length("answer").alias("chars"))
+    per = marked.groupBy("doc_id").agg(F.avg("hard").alias("hard"), F.avg("soft").alias("soft"), F.max("chars").alias("chars"))
     return per.select("doc_id", F.round("hard", 6).alias("hard"), F.round("soft", 6).alias("soft"), "chars")
 
 
