@@ -178,6 +178,10 @@ def leaderboard(rows: DataFrame, key: str, extra: tuple[str, ...] = ()) -> DataF
     return out.withColumn("score", TOTAL_WEIGHTS["mrr"] * F.col("rr") + TOTAL_WEIGHTS["keyfact"] * F.col("f1"))
 
 
+#: Ranges of scores that are ranked apart.
+RANGES = 64
+
+
 def agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(n, mae, max_err, spearman) of two scores; ranks are 1 + the number of greater scores.
 
@@ -185,12 +189,14 @@ def agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """
 
     def ranks(c: str) -> DataFrame:
-        # Distinct scores in ranges: a running sum within each, and the sums of the ranges above it.
-        counts = pairs.groupBy(c).agg(F.count(F.lit(1)).alias("k")).repartitionByRange(F.desc(c)).withColumn("range", F.spark_partition_id())
+        # Distinct scores in ranges between quantiles: a running sum within each, and the sums of the ranges above it.
+        cuts = sorted(set(pairs.approxQuantile(c, [i / RANGES for i in range(1, RANGES)], 0.001)))
+        place = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda x: x <= F.col(c).cast("double")))
+        counts = pairs.groupBy(c).agg(F.count(F.lit(1)).alias("k")).withColumn("range", place)
         own = Window.partitionBy("range")
         within = F.sum("k").over(own.orderBy(F.desc(c)).rowsBetween(Window.unboundedPreceding, 0)) - F.col("k")
-        ranges = counts.groupBy("range").agg(F.max(c).alias("top"), F.sum("k").alias("all"))  # a row per range
-        above = ranges.alias("x").join(F.broadcast(ranges.alias("y")), F.col("y.top") > F.col("x.top"), "left").groupBy(F.col("x.range").alias("range")).agg(F.coalesce(F.sum("y.all"), F.lit(0)).alias("above"))
+        ranges = counts.groupBy("range").agg(F.sum("k").alias("all"))  # a row per range
+        above = ranges.alias("x").join(F.broadcast(ranges.alias("y")), F.col("y.range") > F.col("x.range"), "left").groupBy(F.col("x.range").alias("range")).agg(F.coalesce(F.sum("y.all"), F.lit(0)).alias("above"))
         return counts.withColumn("w", within).join(F.broadcast(above), "range").select(c, (1 + F.col("w") + F.col("above")).alias(f"r_{c}"))
 
     r = pairs.select(a, b).join(ranks(a), a).join(ranks(b), b).select(a, b, F.col(f"r_{a}").alias("ra"), F.col(f"r_{b}").alias("rb"))
