@@ -473,3 +473,29 @@ def test_sample_under_repeated_labels(spark):
     parts = [ids[first[i] : first[i + 1]] for i in again]
     one, other = quality.fit(*rows, counts=counts), quality.fit(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]), grades[again])
     assert np.allclose(one.thresholds, other.thresholds) and np.allclose(one.weights, other.weights, atol=1e-4)
+
+
+def test_models_that_are_not_handled(model):
+    """Pieces of other kinds and normalisers that change texts are refused; unknowns in a row are one where a model has no bytes."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    def changed(change):
+        proto = pb.ModelProto()
+        proto.ParseFromString(model)
+        change(proto)
+        return proto.SerializeToString()
+
+    for change in (lambda m: setattr(m.pieces[300], "type", 4), lambda m: setattr(m.normalizer_spec, "precompiled_charsmap", b"x"), lambda m: setattr(m.normalizer_spec, "remove_extra_whitespaces", True)):
+        with pytest.raises(ValueError):
+            sentencepieces.Pieces(changed(change))
+    bare = sentencepieces.Pieces(changed(lambda m: setattr(m.trainer_spec, "byte_fallback", False)))
+    assert bare.encode("\U00010400\U00010401").tolist().count(bare.unknown) == 1
+
+
+def test_quality_of_odd_rows(spark, edge):
+    """A fitted model scores null, empty, long and repeated rows; equal texts have equal scores."""
+    docs = spark.createDataFrame([(i, f"good text number {i}" if i % 2 else f"@@ bad {i}") for i in range(200)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) AS quality", "0 AS toxic")
+    rows = quality.scored(edge, quality.train(docs, labels)).collect()
+    assert len(rows) == len(EDGE) and all(0 < r.tail < 1 and np.isfinite(r.expected_grade) for r in rows)
+    assert len({r.tail for r in rows if r.doc_id == 5}) == 1 and len({r.tail for r in rows if not (r.text or "").strip()}) == 1

@@ -239,3 +239,89 @@ def test_dense_ties_take_the_lower_position(spark):
     q = v.where("unit = 2").selectExpr("unit AS qid", "v AS q")
     got = retrieval.ranked(retrieval.dense(q, v, same=True)).orderBy("rank").collect()
     assert [r.unit for r in got] == [2, 0, 1] and not any(math.isnan(r.score) for r in got)
+
+
+def test_decomposed_hangul_is_not_lost(spark):
+    """Text in NFD gives the tokens and keys of its NFC form; NFKC folds wide letters."""
+    import unicodedata
+
+    nfc = "위치정보를 이용 café"
+    row = spark.createDataFrame([(unicodedata.normalize("NFD", nfc), nfc, "ＡＢ１ ①")], "d string, c string, w string")
+    for f in (T.content_tokens, T.particle_tokens, T.no_space, T.one_line, T.set_tokens):
+        got = row.select(f("d").alias("d"), f("c").alias("c")).first()
+        assert got.d == got.c and len(got.d) > 0
+    assert row.select(T.set_tokens("w", digits=True).alias("w")).first().w == ["AB1", "1"]
+
+
+@pytest.mark.parametrize("form", ["NFC", "NFKC"])
+def test_normal_forms_of_all_characters(spark, form):
+    """Every character between a letter and a mark, against Python's tables where both know the character."""
+    import unicodedata
+
+    chars = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    texts = ["".join("a" + x + "\u0301 " for x in chars[i : i + 50]) for i in range(0, len(chars), 50)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.unicode_form("t", form).alias("u")).collect()
+    assert all(r.u == unicodedata.normalize(form, r.t) for r in rows)
+
+
+def test_all_character_references(spark):
+    import html
+
+    texts = ["&#8226;&ndash;&hellip;&#x27;&nbsp;x", "a&amp;lt;b &copy 2 &ampfoo; &notit; &#0; &#128; &#xD800;", "no reference", "&", "a &bogus; &lt", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.unescape("t").alias("u")).collect()
+    assert [r.u for r in rows] == [t and html.unescape(t) for t in texts]
+    line = spark.createDataFrame([("a&#10;b\u200b\u00a0c &bull;\nKOR\n제1조 x",)], "t string").select(T.clean_lines("t").alias("l")).first().l
+    assert line == "a b c •\n제1조 x"
+
+
+def test_refined_against_all_moves(spark):
+    """Every start and end within the margin, one fact after the other, by plain sets."""
+    import random
+    import re
+
+    def f1(a, g):
+        return round(2 * len(a & g) / (len(a) + len(g)), 4) if a & g else 0.0
+
+    for seed in range(4):
+        rng = random.Random(seed)
+        words = [[rng.choice(["ab", "cd,", "ef", "12", "gh", "가나", "x-y"]) + str(rng.choice(["", "q", "r"])) for _ in range(rng.randint(6, 14))] for _ in range(2)]
+        spans = [(k, rng.randrange(2), lo, lo + rng.randint(1, 4)) for k, lo in enumerate(rng.randrange(3) for _ in range(3))]
+        seen = [(" ".join(rng.sample(words[0] + words[1], 5)), rng.random()) for _ in range(3)]
+        tokens = lambda a, lo, hi: {t for w in words[a][lo:hi] for t in re.findall("[0-9A-Za-z가-힣]+", w) if not t.isdigit()}
+        answers = [({t for t in re.findall("[0-9A-Za-z가-힣]+", x) if not t.isdigit()}, y) for x, y in seen]
+        miss = lambda now: sum(abs(f1(a, set().union(*(tokens(*s[1:]) for s in now))) - y) for a, y in answers) / len(answers)
+        now = list(spans)
+        for _ in range(2):
+            old = miss(now)
+            for k, (fact, art, lo0, hi0) in enumerate(list(now)):
+                n = len(words[art])
+                moves = [(fact, art, lo, hi) for lo in range(max(0, lo0 - 3), min(n, lo0 + 3) + 1) for hi in range(max(lo + 1, hi0 - 3), min(n, hi0 + 3) + 1)]
+                best = min(moves, key=lambda m: round(miss([*now[:k], m, *now[k + 1 :]]), 9))
+                if miss([*now[:k], best, *now[k + 1 :]]) < miss(now) - 1e-9:
+                    now[k] = best
+            if miss(now) == old:
+                break
+        table = lambda rows, schema: spark.createDataFrame(rows, schema)
+        got = fitting.refined(
+            table([("q", *s) for s in spans], "qid string, fact_no int, article int, start int, end int"),
+            table([("q", a, w) for a, w in enumerate(words)], "qid string, article int, words array<string>"),
+            table([("q", f"t{i}", x, y) for i, (x, y) in enumerate(seen)], "qid string, team string, answer string, f1 double"), margin=3, rounds=2,
+        ).collect()
+        assert sorted((r.fact_no, r.article, r.start, r.end) for r in got) == sorted(now) and got[0].mae == pytest.approx(miss(now))
+
+
+def test_retriever_without_vectors_of_a_failing_model(spark):
+    """topped, boosted and holding against all pairs."""
+    units = spark.createDataFrame([(i, "d" + str(i % 3)) for i in range(12)], "unit long, doc string")
+    scores = spark.createDataFrame([("q", 5, 2.0), ("q", 9, 1.0), ("r", 1, 1.0)], "qid string, unit long, score double")
+    asked = spark.createDataFrame([("q",), ("r",), ("s",)], "qid string")
+    every = retrieval.ranked(retrieval.completed(scores, asked, units), k=5)
+    few = retrieval.topped(scores, asked, units, 5)
+    key = lambda df: sorted((r.qid, r["rank"], r.unit, r.score) for r in df.collect())
+    assert key(few) == key(every)
+    named = spark.createDataFrame([("q", "d1"), ("r", None)], "qid string, named string")
+    got = key(retrieval.boosted(scores, units, named, k=4))
+    assert got == [("q", 1, 5, 2.0), ("q", 2, 1, 1.0), ("q", 3, 4, 1.0), ("q", 4, 7, 1.0), ("r", 1, 1, 1.0), ("r", 2, 0, 0.0), ("r", 3, 2, 0.0), ("r", 4, 3, 0.0)]
+    docs = spark.createDataFrame([(1, "xx the red fox sleeps yy"), (2, "the red\nfox"), (3, "a b"), (4, "fox")], "i long, t string")
+    items = spark.createDataFrame([(1, "e red fox s"), (2, "fox"), (3, "a b"), (4, "red fox")], "q long, p string")
+    assert sorted(map(tuple, retrieval.holding(docs, "i", "t", items, "q", "p").collect())) == [(1, 1), (2, 1), (2, 2), (2, 4), (3, 3), (4, 1)]
