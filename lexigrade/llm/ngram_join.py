@@ -48,8 +48,8 @@ from .components import components
 WORDS = 5
 #: The threshold as a fraction.
 NUM, DEN = 80, 100
-#: log2 of the counters of the frequency table, at least and at most; a document has four counters or more up to there.
-SKETCH, SKETCH_MOST = 18, 22
+#: log2 of the counters of the frequency table. Every task sends its counters, so their number does not grow with the rows.
+SKETCH = 18
 #: log2 of the bits by which texts that no candidate needs are left out, at least and at most.
 WANTED, WANTED_MOST = 20, 24
 #: Rows of a band up to which all pairs are candidates, rows under one leader, rows of a key's salt, rows of a tile's side, partners of a unit, parts of a row's partners in tiles.
@@ -122,7 +122,7 @@ def bits_for(n: int, least: int, most: int) -> int:
 
 
 def frequency_table(docs: DataFrame, bits: int) -> np.ndarray:
-    """Counters of shingles by their leading bits, over all texts. Its size is bounded, so it may travel to the driver and back."""
+    """Counters of shingles by their leading bits, over all texts. Its size is fixed, so it may travel to the driver and back."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
@@ -518,7 +518,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     small_batches(docs)
     shelf = Shelf(docs.sparkSession, "ngrams")
-    sketch = frequency_table(docs, bits_for(docs.count(), SKETCH, SKETCH_MOST))
+    sketch = frequency_table(docs, SKETCH)
     sets = _prepared(docs, sketch, shelf)
     first = shelf.put(sets.where("n > 0").groupBy("sid").agg(F.min("nid").alias("rep")), "reps")
     reps = sets.join(first.select(F.col("rep").alias("nid")).hint("merge"), "nid", "left_semi")
