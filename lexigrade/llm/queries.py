@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing, ngram_join, quality, secrets, sentencepieces, url_filter, va_topk, warc, winnow
+from . import collocations, kd_shards, license_scan, mixing, ngram_join, quality, secrets, sentencepieces, url_filter, va_topk, warc, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,10 +23,13 @@ def queries() -> dict[str, Query]:
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_quality": quality.op9_quality,
         "op10_license_scan": license_scan.op10_license_scan,
+        "op11_collocations": collocations.op11_collocations,
+        "op12_kd_shards": kd_shards.op12_kd_shards,
         # What SQL can say of operators that it cannot express as a whole.
         "fixed_mixing": mixing.fixed_columns,
         "fixed_fingerprints": winnow.fixed_columns,
         "fixed_license_scan": license_scan.fixed_columns,
+        "fixed_sharding": kd_shards.fixed_columns,
     }
 
 
@@ -37,7 +40,9 @@ def oracle_sql() -> dict[str, str]:
         "op4_va_topk": va_topk.ORACLE_SQL,
         "op5_ngram_join": ngram_join.ORACLE_SQL,
         "op8_url_filter": url_filter.oracle_sql(),
+        "op11_collocations": collocations.ORACLE_SQL,
         "fixed_mixing": mixing.FACTS_SQL,
         "fixed_fingerprints": winnow.FACTS_SQL,
         "fixed_license_scan": license_scan.FACTS_SQL,
+        "fixed_sharding": kd_shards.FACTS_SQL,
     }
