@@ -52,13 +52,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
 class Shelf:
     """The tables that one run of an operator writes; ``clear`` deletes those that its result does not read."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.count = spark, scratch(spark, name), 0
+    def __init__(self, spark: SparkSession, name: str, codec: str = "zstd"):
+        """zstd makes the smaller files; its buffers lie outside the heap, where tasks that write many small files heap them up."""
+        self.spark, self.root, self.count, self.codec = spark, scratch(spark, name), 0, codec
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """df as a table, in folders by some columns."""
         self.count += 1
         path = f"{self.root}/{self.count:03}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", self.codec).partitionBy(*by).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def add(self, df: DataFrame, name: str) -> DataFrame:
+        """Appends df to the table of this name, and returns it as it is then."""
+        path = f"{self.root}/000-{name}"
+        df.write.option("compression", self.codec).mode("append").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self, *keep: str) -> None:

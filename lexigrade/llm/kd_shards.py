@@ -214,7 +214,7 @@ def sharded(
     if (shards is None) == (target_bytes is None) or (shards or target_bytes) < 1:
         raise ValueError("either shards or target_bytes must be given, and positive")
     dims = dims or metadata()
-    shelf = Shelf(docs.sparkSession, "shards")
+    shelf = Shelf(docs.sparkSession, "shards", "snappy")  # a dozen narrow tables
     rows = shelf.put(reduced(docs, id_col, text_col, source_col, lang_col), "reduced")
     if shards is None:
         shards = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // target_bytes))
