@@ -173,9 +173,14 @@ def chosen_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Features, offsets, grades and counts of at most about ``sample`` labelled texts, chosen by a hash of their ids."""
+    """Features, offsets, grades and counts of at most about ``sample`` labelled texts, chosen by a hash of their ids.
+
+    Of rows that share an id one stands for it, that with the least hash of its
+    text, so an id that many rows have weighs no more than another one.
+    """
     chosen = chosen_labels(labels, sample)
     texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "key")  # of bounded size
+    texts = texts.groupBy("key", "grade", "count").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("key", "text", "grade", "count")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

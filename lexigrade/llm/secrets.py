@@ -9,8 +9,9 @@
    that has as many of a clause's trigrams as it has is a candidate of its rule.
    The candidates are written, so that they are broadcast only if found small.
 4. Candidates meet their texts again, which the rule's expression verifies.
-   Matches are the leftmost non-overlapping ones; their places follow from the
-   lengths of the matches and of the pieces between them, in code points.
+   Matches are the leftmost non-overlapping ones; their places are running sums
+   of the lengths of the matches and of the pieces between them, in code points,
+   in n log n steps for n matches.
 
 Rules and clauses are part of the job and do not grow with the data. The index
 holds, per text, at most as many postings as the rules have trigrams.
@@ -25,7 +26,7 @@ from __future__ import annotations
 import re
 import re._constants as sre
 import re._parser as sre_parser
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -181,22 +182,34 @@ def candidates(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 # ---------------------------------------------------------------- verification
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """An array's running sums, or what else ``join`` makes of two values, in n log n steps: after step k each place holds 2**k values' join."""
+    steps = F.when(F.size(values) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(values).cast("double"))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+    def step(acc: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(acc, lambda x, i: F.when(i < back, x).otherwise(join(x, F.get(acc, i - back))))
+
+    return F.aggregate(steps, values, step)
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, order, end) of a rule's matches in code points, end exclusive."""
-    pattern = F.lit(rule.regex)
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
+    matches = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
     pieces = F.split(text, rule.regex, -1)
-    both = F.arrays_zip(matches.alias("m"), F.slice(pieces, 1, F.size(matches)).alias("g"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
+    both = F.zip_with(matches, F.slice(pieces, F.lit(1), F.size(matches)), lambda m, g: F.struct(F.char_length(m).alias("n"), (F.char_length(g) + F.char_length(m)).alias("step"), (m.rlike(rule.keep) if rule.keep else F.lit(True)).alias("keep")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["g"])
-        end = start + F.char_length(x["m"])
-        span = F.array(F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end")))
-        keep = x["m"].rlike(rule.keep) if rule.keep else F.lit(True)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def placed(x: Column) -> Column:
+        ends = running(F.transform(x, lambda e: e["step"]), lambda p, q: p + q)
+        spans = F.zip_with(x, ends, lambda e, end: F.struct((end - e["n"]).alias("start"), F.lit(order).alias("kind"), end.alias("end"), e["keep"].alias("keep")))
+        return F.transform(F.filter(spans, lambda e: e["keep"]), lambda e: F.struct(e["start"].alias("start"), e["kind"].alias("kind"), e["end"].alias("end")))
 
-    return F.aggregate(both, zero, step, lambda acc: acc["out"])
+    return bound(both, placed)
 
 
 def with_found(docs: DataFrame, id_col: str, text_col: str, rules: Sequence[Rule], text: str, found: str) -> DataFrame:
@@ -218,7 +231,7 @@ def with_found(docs: DataFrame, id_col: str, text_col: str, rules: Sequence[Rule
             gate = F.col(text).rlike(rule.regex)
         spans.append(F.when(gate, _spans(F.col(text), rule, k)).otherwise(none).alias(parts[k]))
     every = joined.select(*docs.columns, text, *spans)
-    return every.select(*docs.columns, text, F.array_sort(F.concat(*map(F.col, parts))).alias(found))
+    return every.select(*docs.columns, text, F.sort_array(F.concat(*map(F.col, parts))).alias(found))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -232,20 +245,42 @@ def _joined(found: Column, rules: Sequence[Rule]) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
 
 
+#: Characters of the chunks in which a text is cut up.
+CHUNK = 1024
+
+
+def masked(text: Column, found: Column, mask: str) -> Column:
+    """The text with every span (start, kind, end) replaced by the mask, overlapping ones by one.
+
+    The text is cut into chunks once; a piece between spans is made of the ends of
+    two chunks and the whole ones between them, so the work does not grow with the
+    product of text and spans.
+    """
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    reach = running(F.transform(found, lambda s: s["end"]), lambda p, q: F.greatest(p, q))
+    known = F.struct(chunks.alias("chunks"), found.alias("found"), reach.alias("reach"), F.char_length(text).alias("n"))
+
+    def whole(x: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            first, last = F.floor(a / CHUNK).cast("int"), F.floor((b - 1) / CHUNK).cast("int")
+            head = F.substring(F.get(x["chunks"], first), a % CHUNK + 1, F.when(first == last, b - a).otherwise(F.lit(CHUNK)))
+            inner = F.array_join(F.slice(x["chunks"], first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+            tail = F.substring(F.get(x["chunks"], last), F.lit(1), (b - 1) % CHUNK + 1)
+            return F.when(b <= a, F.lit("")).when(first == last, head).otherwise(F.concat(head, inner, tail))
+
+        before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(x["reach"], i - 1))
+        apart = F.filter(F.transform(x["found"], lambda s, i: F.when(s["start"] >= before(i), i)), lambda i: i.isNotNull())
+        parts = F.transform(apart, lambda i: F.concat(piece(before(i), F.get(x["found"], i)["start"]), F.lit(mask)))
+        return F.concat(F.array_join(parts, ""), piece(F.element_at(x["reach"], -1), x["n"]))
+
+    return bound(known, whole)
+
+
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = MASK_RULES, mask: str = "[SECRET]") -> DataFrame:
     """docs with every secret of a text replaced by a mask, overlapping ones by one; rows without any are unchanged."""
     own, found = fresh(docs.columns, "own_text", "found")
     rows = with_found(docs, id_col, text_col, rules, own, found)
-    text = F.col(own)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        piece = F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
-
-    whole = F.aggregate(found, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
-    new = F.when(F.size(found) > 0, whole).otherwise(F.col(text_col))
+    new = F.when(F.size(found) > 0, masked(F.col(own), F.col(found), mask)).otherwise(F.col(text_col))
     return rows.withColumn(text_col, new).select(*docs.columns)
 
 

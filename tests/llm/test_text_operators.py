@@ -8,6 +8,7 @@ import time
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from compare import check
 
 from lexigrade.llm import common, license_scan, mixing, ngram_join, quality, queries, secrets, sentencepieces, url_filter, winnow
@@ -144,6 +145,44 @@ def test_redaction(spark):
     assert (got[1].text, got[2].text, got[3].text, got[1].kinds) == ("a [SECRET] b", None, "[SECRET]", "c")
 
 
+def masked_by_hand(text, rules=secrets.MASK_RULES):
+    """Overlapping spans are one; spans that touch are two."""
+    spans = sorted(m.span() for r in rules for m in re.finditer(r.regex, text) if not r.keep or re.search(r.keep, m[0]))
+    out, at = [], 0
+    for a, b in spans:
+        if a >= at:
+            out += [text[at:a], "[SECRET]"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def test_redaction_by_hand(spark):
+    """Chunks of few characters, characters beyond the first plane, and spans that overlap, touch or cover others."""
+    rng = random.Random(7)
+    bits = ["token=" + "ab" * 4, "0123456789abcdef" * 2, "password: AKIA" + "Z" * 20, "é", "😀😀", " ", "\n", "x" * 30, "gh" + "p_" + "A1" * 20, "api_key=" + "f" * 24, "AKIA" + "0" * 16]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(150)] + ["", "a" * 24, "a" * 2048 + " " + "b" * 1024]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redacted(docs, rules=secrets.RULES).collect()}
+    assert got == {i: masked_by_hand(t, secrets.RULES) for i, t in enumerate(texts)}
+    found = {r.id: [tuple(x) for x in r.found] for r in secrets.scan(docs).collect()}
+    for i, t in enumerate(texts):
+        assert found[i] == sorted((m.start(), k, m.end()) for k, r in enumerate(secrets.RULES) for m in re.finditer(r.regex, t) if not r.keep or re.search(r.keep, m[0]))
+
+
+def test_many_secrets_in_a_long_text(spark):
+    """The work grows with the text, not with text times secrets."""
+    word = "0123456789abcdef01234567"
+    text = "é " + f"{word} " * 200_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    (row,) = secrets.redacted(docs).collect()
+    (spans,) = secrets.scan(docs).select("found").collect()
+    took = time.perf_counter() - began
+    assert row.text == "é " + "[SECRET] " * 200_000
+    assert [tuple(x) for x in spans.found] == [(2 + 25 * i, 2, 26 + 25 * i) for i in range(200_000)]
+    assert took < 60
+
+
 def test_redaction_of_private_keys(spark):
     """Key bodies go with their header, of any label, with or without END, also on one line or escaped."""
     body = ["MIIEowIBAAKCAQEA" + "Ab9+/" * 9, "q" * 64, "Zm9v" * 4 + "Zg=="]
@@ -499,3 +538,14 @@ def test_quality_of_odd_rows(spark, edge):
     rows = quality.scored(edge, quality.train(docs, labels)).collect()
     assert len(rows) == len(EDGE) and all(0 < r.tail < 1 and np.isfinite(r.expected_grade) for r in rows)
     assert len({r.tail for r in rows if r.doc_id == 5}) == 1 and len({r.tail for r in rows if not (r.text or "").strip()}) == 1
+
+
+def test_one_id_of_many_rows_is_one_training_row(spark):
+    """A labelled id that most rows carry brings one of them to the fit, the same one each time."""
+    docs = spark.range(50_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(i, f"other {i}") for i in range(2, 60)] + [(1, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 60)] + [(1, 0, 1)], "doc_id long, quality int, toxic int")
+    ids, first, grades, counts = quality.training_rows(docs, labels, sample=100)
+    assert len(grades) == 60 and sorted(grades.tolist()) == sorted([i % 2 + 1 for i in range(1, 60)] + [0]) and set(counts.tolist()) == {1.0}
+    again = quality.training_rows(docs.repartition(7), labels, sample=100)
+    assert all(np.array_equal(a, b) for a, b in zip((ids, first, grades, counts), again, strict=True))
