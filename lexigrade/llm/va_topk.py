@@ -1,10 +1,14 @@
 """Exact top-k search with vector-approximation files.
 
-A vector is turned into integers floor(scale * x). Equal vectors fall together
-with the smallest ids that hold them, so a very common vector is searched once.
-The approximation file, written once, has a byte per component: the number of
-its cell. The marks between cells are quantiles of a bounded sample, the
-outermost cells end at the least and the greatest component of all vectors.
+A vector is turned into integers floor(scale * x), kept as doubles in units of
+UNIT: a double beyond 2**53 is an integer already, so none loses a digit however
+large it is. Equal vectors fall together with the smallest ids that hold them, so a
+very common vector is searched once. The approximation file, written once, has a
+byte per component: the number of its cell. The marks between cells are quantiles
+of a bounded sample, the outermost cells end at the least and the greatest
+component of all vectors. Vectors with a component from WIDE on have no cells, as
+one of them would stretch the outermost cells of all: every query reads them
+exactly.
 
 1. A query's product with a vector lies between bounds that follow from the
    cells alone; two matrix products give them for a block of queries and a batch
@@ -19,11 +23,11 @@ outermost cells end at the least and the greatest component of all vectors.
 
 Scores are exact: products are summed in 64 bits where they provably fit, and
 in Python's integers where they might not. A score among the results that is
-beyond a long is an error, as it is in SQL.
+beyond a long is an error, as it is in SQL; scores beyond a long that are not among
+the results do no harm.
 
-Defined cases: vectors that are null, hold nulls or non-finite components, or
-components whose integer is beyond a long take no part; vectors of other
-lengths than the query's are no candidates (of very many lengths, only the most
+Defined cases: vectors that are null or hold nulls or non-finite components take no
+part, all others do; vectors of other lengths than the query's are no candidates (of very many lengths, only the most
 frequent ones have cells; vectors of others are all read exactly); equal scores
 go to the smaller id; query rows that repeat an id are ranked each by its own
 vector, so an id given n times has n results of each rank; a row is never its
@@ -44,6 +48,8 @@ from pyspark.sql import functions as F
 from .common import Shelf, small_batches, table
 
 SCALE = 64.0
+#: What a stored component of 1 stands for, and the least stored component, in absolute terms, of a vector without cells.
+UNIT, WIDE = 2.0**64, 2.0**-19
 #: Cells of a component: their numbers fill a byte.
 CELLS = 256
 LONG = 1 << 63
@@ -56,14 +62,22 @@ BLOCK_BYTES, CHUNK, HELD = 16 << 20, 256, 1 << 20
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, scale: float = SCALE) -> DataFrame:
-    """(id, v): ids and integer vectors of the rows that take part."""
+    """(id, v): ids and integer vectors, in units of UNIT, of the rows that take part."""
     x = F.col(vec_col).cast("array<double>")
     ok = F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()
-    good = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (e * scale >= float(-LONG)) & (e * scale < float(LONG)))
-    ints = F.transform(x, lambda e: F.floor(e * scale).cast("long"))
+    good = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+    # Doubles from 2**53 on are integers; floor() would turn them into longs.
+    ints = F.transform(x, lambda e: F.when(F.abs(e) < 2.0**52 / scale, F.floor(e * scale).cast("double") / UNIT).otherwise(_whole(e, scale)))
     return vectors.where(ok).where(F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), ints.alias("v"))
 
 
+def _whole(e: Column, scale: float) -> Column:
+    """floor(e * scale) / UNIT of a large e: e * scale may be beyond doubles, and below 2**53 it has a fraction at most."""
+    product = e * scale
+    small = F.abs(product) < 2.0**53
+    return F.when(small, F.floor(F.when(small, product).otherwise(F.lit(0.0))).cast("double") / UNIT).otherwise(e * (scale / UNIT))
+
+
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     """(v, ids, sole): every different vector with the k + 1 smallest ids that hold it, each with its number of rows.
 
@@ -88,7 +102,8 @@ def ranges(classes: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         seen: dict[int, np.ndarray] = {}
         for batch in batches:
             for size, _, block in by_length(batch.column(0)):
-                if size in sizes and size:
+                block = block[~is_wide(block)]
+                if size in sizes and size and len(block):
                     both = np.stack([block.min(axis=0), block.max(axis=0)])
                     old = seen.get(size, both)
                     seen[size] = np.stack([np.minimum(old[0], both[0]), np.maximum(old[1], both[1])])
@@ -96,7 +111,7 @@ def ranges(classes: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
             yield pa.RecordBatch.from_arrays([pa.array([size] * size, pa.int32()), pa.array(range(size), pa.int32()), pa.array(low), pa.array(high)], ["size", "at", "low", "high"])
 
     small_batches(classes)
-    got = classes.select("v").mapInArrow(run, "size int, at int, low long, high long").groupBy("size", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    got = classes.select("v").mapInArrow(run, "size int, at int, low double, high double").groupBy("size", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     got = got.orderBy("size", "at").toArrow()  # as many rows as these lengths have components
     size, low, high = (got[c].to_numpy() for c in ("size", "low", "high"))
     return {int(s): (low[size == s], high[size == s]) for s in np.unique(size)}
@@ -111,8 +126,9 @@ def fit_edges(classes: DataFrame, cells: int = CELLS, sample: int = SAMPLE) -> d
     blocks = {size: block for size, _, block in by_length(some["v"].combine_chunks())} if some.num_rows else {}
     for size, (low, high) in limits.items():
         block = blocks.get(size, np.stack([low, high]))
-        marks = np.quantile(block, np.arange(1, cells) / cells, axis=0, method="nearest").astype(np.int64)
-        out[size] = (marks, np.vstack([low[None], marks]), np.vstack([marks - 1, high[None]]))  # cells without vectors may cross; nothing reads them
+        block = block[~is_wide(block)] if not is_wide(block).all() else np.stack([low, high])
+        marks = np.quantile(block, np.arange(1, cells) / cells, axis=0, method="nearest")
+        out[size] = (marks, np.vstack([low[None], marks]), np.vstack([marks - 1 / UNIT, high[None]]))  # cells without vectors may cross; nothing reads them
     return out
 
 
@@ -120,13 +136,18 @@ def by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """The vectors of a list column by their length: the length, the rows, a matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    starts, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+    starts, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
     sizes = np.diff(starts)
     for size in np.unique(sizes).tolist():
         rows = np.flatnonzero(sizes == size)
         yield size, rows, values[starts[rows][:, None] + np.arange(size)]
 
 
+def is_wide(block: np.ndarray) -> np.ndarray:
+    """Which vectors have no cells."""
+    return (np.abs(block) >= WIDE).any(axis=1)
+
+
 def approximate(block: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """The cell of every component."""
     out = np.empty(block.shape, np.uint8)
@@ -136,7 +157,7 @@ def approximate(block: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 
 def approximations(classes: DataFrame, edges: dict) -> DataFrame:
-    """(cid, sole, size, cells) of classes (cid, v, sole, ...); cells are null for lengths without marks."""
+    """(cid, sole, size, cells) of classes (cid, v, sole, ...); cells are null for lengths without marks, and for wide vectors."""
     marks = {size: e[0] for size, e in edges.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +166,8 @@ def approximations(classes: DataFrame, edges: dict) -> DataFrame:
             for size, rows, block in by_length(batch.column(2)):
                 sizes[rows] = size
                 if size in marks:
-                    for r, c in zip(rows.tolist(), approximate(block, marks[size]), strict=True):
+                    near = ~is_wide(block)
+                    for r, c in zip(rows[near].tolist(), approximate(block[near], marks[size]), strict=True):
                         cells[r] = c.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(cells, pa.binary())], ["cid", "sole", "size", "cells"])
 
@@ -161,17 +183,17 @@ class Scan:
 
     def __init__(self, keys: np.ndarray, ids: np.ndarray, vectors: np.ndarray, edges: tuple | None, k: int):
         self.keys, self.ids, self.k = keys, ids, k
-        self.q = vectors.astype(np.float64)
+        self.q = vectors
         self.abs = np.abs(self.q)
         self.best = np.full((len(ids), k), -np.inf)
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         self.held = 0
         if edges is not None:
-            low, high = edges[1].astype(np.float64), edges[2].astype(np.float64)
+            low, high = edges[1], edges[2]
             self.mid, self.half = (low + high) / 2, (high - low) / 2
             # Doubles round sums of large products: the bounds are widened by more than that.
             top = np.maximum(np.abs(low), np.abs(high)).max(axis=0)
-            self.slack = (self.abs @ top) * max(1e-12, 4e-16 * vectors.shape[1]) + 1e-6
+            self.slack = (self.abs @ top) * max(1e-12, 4e-16 * vectors.shape[1]) + 1e-6 / UNIT**2
 
     def meet(self, cids: np.ndarray, sole: np.ndarray, alone: np.ndarray, cells: np.ndarray) -> None:
         """Takes a batch of approximations into account; a vector that the query's id alone has is left out."""
@@ -217,15 +239,16 @@ def bounds(cells: DataFrame, block: list[tuple[int, np.ndarray, np.ndarray, np.n
         queries, marks = sent.value
         scans = {size: Scan(keys, ids, vectors, marks[size], k) for size, keys, ids, vectors in queries}
         for batch in batches:
-            alone = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            alone, bounded = (batch.column(k).is_valid().to_numpy(zero_copy_only=False) for k in (1, 3))
             cids, sole, sizes = batch.column(0).to_numpy(), batch.column(1).fill_null(0).to_numpy(), batch.column(2).to_numpy()
             for size, scan in scans.items():
                 rows = np.flatnonzero(sizes == size)
                 for s in range(0, len(rows), 4096):
                     part = rows[s : s + 4096]
-                    if marks[size] is None:
-                        scan.unbounded(cids[part], sole[part], alone[part])
-                    else:
+                    bare, part = part[~bounded[part]], part[bounded[part]]
+                    if len(bare):
+                        scan.unbounded(cids[bare], sole[bare], alone[bare])
+                    if len(part):
                         raw = b"".join(batch.column(3).take(pa.array(part)).to_pylist())
                         scan.meet(cids[part], sole[part], alone[part], np.frombuffer(raw, np.uint8).reshape(len(part), size))
                     if scan.held > HELD:
@@ -236,11 +259,10 @@ def bounds(cells: DataFrame, block: list[tuple[int, np.ndarray, np.ndarray, np.n
     return cells.mapInArrow(run, "qkey long, cid long, lower double, upper double")
 
 
-def query_blocks(asked: DataFrame, n: int, width: int) -> Iterator[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
-    """Blocks of the queries (qkey, id, v), each of about BLOCK_BYTES; ``width`` is the greatest length."""
-    blocks = max(1, -(-n * max(1, width) * 8 // BLOCK_BYTES))
+def query_blocks(asked: DataFrame, blocks: int) -> Iterator[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """The blocks of the queries (block, qkey, id, v), a folder each."""
     for b in range(blocks):
-        got = asked.where(F.pmod(F.xxhash64("qkey"), F.lit(blocks)) == b).select("qkey", "id", "v").toArrow()
+        got = asked.where(F.col("block") == b).select("qkey", "id", "v").toArrow()
         if got.num_rows:
             keys, ids = got["qkey"].to_numpy(), got["id"].to_numpy()
             yield [(size, keys[rows], ids[rows], block) for size, rows, block in by_length(got["v"])]
@@ -249,6 +271,12 @@ def query_blocks(asked: DataFrame, n: int, width: int) -> Iterator[list[tuple[in
 # ---------------------------------------------------------------- exact scores
 
 
+def integer(x: float) -> int:
+    """The integer that a stored component stands for."""
+    a, b = x.as_integer_ratio()
+    return (a << 64) // b
+
+
 def exact_scores(pairs: DataFrame, asked: DataFrame, classes: DataFrame) -> DataFrame:
     """(qkey, cid, score, over) of pairs (qkey, cid), by the exact vectors. over says that a score is beyond a long, and on which side."""
     both = pairs.select("qkey", "cid").join(classes.select("cid", "v"), "cid").join(asked.select("qkey", F.col("v").alias("q")), "qkey").select("qkey", "cid", "q", "v")
@@ -259,10 +287,11 @@ def exact_scores(pairs: DataFrame, asked: DataFrame, classes: DataFrame) -> Data
             asks = {size: (rows, block) for size, rows, block in by_length(batch.column(2))}
             for size, rows, block in by_length(batch.column(3)):  # both sides have the same length
                 q = asks[size][1]
-                fits = np.abs(q.astype(np.float64)).sum(axis=1) * np.abs(block.astype(np.float64)).max(axis=1, initial=0) < SAFE
-                scores[rows[fits]] = np.einsum("ij,ij->i", q[fits], block[fits])
+                fits = ~is_wide(q) & ~is_wide(block)
+                fits[fits] = np.abs(q[fits] * UNIT).sum(axis=1) * np.abs(block[fits] * UNIT).max(axis=1, initial=0) < SAFE
+                scores[rows[fits]] = np.einsum("ij,ij->i", (q[fits] * UNIT).astype(np.int64), (block[fits] * UNIT).astype(np.int64))
                 for i in np.flatnonzero(~fits).tolist():
-                    s = sum(a * b for a, b in zip(q[i].tolist(), block[i].tolist(), strict=True))
+                    s = sum(integer(a) * integer(b) for a, b in zip(q[i].tolist(), block[i].tolist(), strict=True))
                     scores[rows[i]], over[rows[i]] = min(max(s, -LONG), LONG - 1), (s >= LONG) - (s < -LONG)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array(over)], ["qkey", "cid", "score", "over"])
 
@@ -283,19 +312,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     classes = shelf.put(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     asked = usable(queries, id_col, vec_col, scale).groupBy("id", "v").agg(F.count(F.lit(1)).alias("n"))
     asked = shelf.put(asked.withColumn("qkey", F.monotonically_increasing_id()), "asked")
-    edges = fit_edges(classes)
-    cells = shelf.put(approximations(classes, edges), "cells")
     size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
-    left: DataFrame | None = None
-    for block in query_blocks(asked, size["n"], size["width"] or 0):
-        part = shelf.put(bounds(cells, block, edges, k), "bounds")
-        left = part if left is None else left.unionByName(part)
-    if left is None:
+    if not size["n"]:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    blocks = max(1, -(-size["n"] * max(1, size["width"] or 0) * 8 // BLOCK_BYTES))
+    dealt = shelf.put(asked.withColumn("block", F.pmod(F.xxhash64("qkey"), F.lit(blocks)).cast("int")), "dealt", "block")
+    edges = fit_edges(classes)
+    cells = shelf.put(approximations(classes, edges), "cells")
+    for block in query_blocks(dealt, blocks):
+        left = shelf.add(bounds(cells, block, edges, k), "bounds")
     left = left.join(_kth(left, F.col("lower"), k), "qkey").where("upper >= floor").drop("floor")
     left = shelf.put(left.withColumn("i", F.row_number().over(Window.partitionBy("qkey").orderBy(F.desc("upper"), "cid"))), "left")
     near = shelf.put(exact_scores(left.where(F.col("i") <= k), asked, classes), "near")
-    open_ = left.where(F.col("i") > k).join(_kth(near, F.when(F.col("over") == 0, F.col("score")).otherwise(F.col("over") * float("inf")), k), "qkey").where("upper >= floor")
+    open_ = left.where(F.col("i") > k).join(_kth(near, F.when(F.col("over") == 0, F.col("score") / UNIT**2).otherwise(F.col("over") * float("inf")), k), "qkey").where("upper >= floor")
     far = exact_scores(open_, asked, classes)
     scored = shelf.put(near.unionByName(far), "scored")
     shelf.clear("classes", "asked", "scored")
