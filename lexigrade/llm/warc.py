@@ -41,8 +41,6 @@ MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
 #: Bytes of one archive file, unless a single record has more.
 FILE_BYTES = 32 << 20
-#: Longest name and comment of a gzip member; longer ones are taken for a false start.
-NAME_BYTES = 1 << 12
 #: Largest file that Spark hands over as one value.
 READ_BYTES = 2_000_000_000
 
@@ -269,6 +267,10 @@ def _http_length(http: bytes) -> str:
     return told[-1].decode("utf-8", "replace") if told else ""
 
 
+#: Longest gzip header whose own checksum is compared; behind longer ones, those of the data are.
+CHECKED_HEADER = 1 << 16
+
+
 def _deflated(data: bytes, at: int, ends: tuple[Ahead, Ahead]) -> int:
     """Where the deflated data of the gzip member at data[at:] start; ``ends`` look for the ends of names and of comments."""
     flags, p = data[at + 3 : at + 4], at + 10
@@ -276,43 +278,50 @@ def _deflated(data: bytes, at: int, ends: tuple[Ahead, Ahead]) -> int:
         raise ValueError("gzip: bad header")
     if flags[0] & 4:
         p += 2 + int.from_bytes(data[p : p + 2], "little")
-    start = p
     for bit, zeros in zip((8, 16), ends, strict=True):
         if flags[0] & bit:
             p = zeros.after(p) + 1
-    p += flags[0] & 2
-    if p >= len(data) or p - start > NAME_BYTES:
+    if flags[0] & 2:
+        if p - at <= CHECKED_HEADER and zlib.crc32(data[at:p]) & 0xFFFF != int.from_bytes(data[p : p + 2], "little"):
+            raise ValueError("gzip: header crc mismatch")
+        p += 2
+    if p >= len(data):
         raise ValueError("gzip: header does not end")
     return p
 
 
-def _member(data: bytes, at: int, window: int) -> tuple[bytes, int]:
-    """The inflated gzip member at data[at:at + window], its CRC checked, and its length."""
-    unpack = zlib.decompressobj(31)
-    part = memoryview(data)[at : at + window]
+def _member(data: bytes, body: int, window: int) -> tuple[bytes, int]:
+    """The deflated data at data[body:body + window] of a gzip member, inflated, its CRC and length checked, and where the member ends."""
+    unpack = zlib.decompressobj(-15)
+    part = memoryview(data)[body : body + window]
     try:
         out = unpack.decompress(part)
     except zlib.error as e:
         raise ValueError(f"gzip: {e}") from None
-    if not unpack.eof:
+    stop = body + len(part) - len(unpack.unused_data)
+    if not unpack.eof or len(data) < stop + 8:
         raise ValueError("gzip member is cut short")
-    return out, len(part) - len(unpack.unused_data)
+    if zlib.crc32(out) != int.from_bytes(data[stop : stop + 4], "little"):
+        raise ValueError("gzip: incorrect data check")
+    if len(out) & 0xFFFFFFFF != int.from_bytes(data[stop + 4 : stop + 8], "little"):
+        raise ValueError("gzip: incorrect length check")
+    return out, stop + 8
 
 
 def _inflated(data: bytes, at: int, window: int) -> tuple[bytes, bool]:
-    """What can be inflated of a damaged gzip member at data[at:at + window], and whether its stream breaks off there."""
-    unpack, out, to = zlib.decompressobj(31), [], min(at + window, len(data))
+    """What can be inflated of the damaged deflated data at data[at:at + window], and whether the stream breaks off there."""
+    unpack, out, to = zlib.decompressobj(-15), [], min(at + window, len(data))
     step = 1 << 12
     while at < to and not unpack.eof:
         before = unpack.copy()
         try:
             out.append(unpack.decompress(data[at : min(at + step, to)]))
             at += step
-        except zlib.error as e:
+        except zlib.error:
             if step == 1:
-                return b"".join(out), "incorrect" not in str(e)  # data check or length check
+                return b"".join(out), True
             unpack, step = before, 1  # up to the byte at fault
-    return b"".join(out), True
+    return b"".join(out), not unpack.eof
 
 
 def _records(text: bytes, damaged: bool = False, torn: bool = False) -> list[dict]:
@@ -364,20 +373,18 @@ def salvage(data: bytes) -> Iterator[dict]:
                 window = 1 << 16
                 while True:
                     try:
-                        text, used = _member(data, at, window)
+                        text, stop = _member(data, body, window)
                         break
                     except ValueError as e:
-                        if "cut short" not in str(e) or at + window >= n:
-                            if "header crc" not in str(e):
-                                bad[body] = str(e)
-                            text, torn = _inflated(data, at, window)
+                        if "cut short" not in str(e) or body + window >= n:
+                            bad[body] = str(e)
+                            text, torn = _inflated(data, body, window)
                             saved = [r for r in _records(text, True, torn) if r["kind"] == "record"]
                             raise
                         window *= 8
                 rows = _records(text)
                 if all(r["kind"] == "gap" for r in rows):
                     raise ValueError(rows[0]["reason"].removeprefix("in a member: ") if rows else "no version line")
-                stop = at + used
             else:
                 record, stop = parse_record(data, at)
                 rows = [{"kind": "record"} | record]

@@ -84,6 +84,20 @@ def test_files_are_bounded(spark, tmp_path, monkeypatch):
     assert sum(r.length for r in got if r.kind == "gap") == sum(x for x in sizes if x == max(sizes))
 
 
+def test_long_gzip_names():
+    """A member's name and comment may have any length; false starts whose names lead nowhere cost one look."""
+    record = warc.record_bytes(1, "http://x/", b"body", None, "2024-01-01T00:00:00Z")
+    plain = warc.gzip_member(record)
+    for name in (b"n" * 5000, b"n" * 3_000_000):
+        named = plain[:3] + bytes([8 | 16]) + plain[4:10] + name + b"\0" + name[:70_000] + b"\0" + plain[10:]
+        rows = list(warc.salvage(plain + named + plain))
+        assert [(r["kind"], r["page_id"]) for r in rows] == [("record", 1)] * 3 and sum(r["length"] for r in rows) == 2 * len(plain) + len(named)
+    began = time.perf_counter()
+    false = (plain[:3] + b"\x08" + b"\1" * 20) * 20_000
+    rows = list(warc.salvage(false + plain))
+    assert [r["kind"] for r in rows] == ["gap", "record"] and time.perf_counter() - began < 20
+
+
 def test_salvage_of_other_archives():
     """Whole-file gzip, damage within it, other digests, and HTTP lengths that are not the payload's."""
     plain = [warc.record_bytes(i, f"http://x/{i}", random.Random(i).randbytes(3000), None, "2024-01-01T00:00:00Z") for i in range(8)]
@@ -120,10 +134,10 @@ def test_top_k(spark, monkeypatch):
     base = rng.normal(size=(300, 8)) / 3
     base[100:200] = base[100]  # a third are one vector
     rows = [(i, [float(x) for x in v], "b") for i, v in enumerate(base)]
-    rows += [(900, None, "b"), (901, [None] * 8, "b"), (902, [float("nan")] * 8, "b"), (903, [float("inf")] * 8, "b"), (904, [1.0] * 3, "b"), (905, [0.5] * 3, "b"), (None, [1.0] * 8, "b"), (906, [1e30] * 8, "b"), (907, [], "b"), (7, [0.1] * 8, "b"), (908, [30000.5] * 8, "b")]
+    rows += [(900, None, "b"), (901, [None] * 8, "b"), (902, [float("nan")] * 8, "b"), (903, [float("inf")] * 8, "b"), (904, [1.0] * 3, "b"), (905, [0.5] * 3, "b"), (None, [1.0] * 8, "b"), (907, [], "b"), (7, [0.1] * 8, "b"), (908, [30000.5] * 8, "b")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block string")
     asked = table.where("vec_id % 20 = 0 OR vec_id IN (904, 7)")
-    ints = [(i, np.floor(64 * np.array(v, float)).astype(np.int64)) for i, v, _ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and max(map(abs, v), default=0) < 1e17]
+    ints = [(i, np.floor(64 * np.array(v, float)).astype(np.int64)) for i, v, _ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     for block in (1 << 24, 300):  # bytes: one block of queries, and many
         monkeypatch.setattr(va_topk, "BLOCK_BYTES", block)
         got: dict = {}
@@ -161,6 +175,31 @@ def test_top_k_of_large_vectors(spark, monkeypatch):
         va_topk.top_k(far, one, k=2).collect()
 
 
+def test_top_k_of_vectors_beyond_longs(spark, monkeypatch):
+    """Components of any finite size: they are ranked where their scores are, and only a result beyond a long is an error."""
+    small = [(i, [0.0, i / 7, -i / 3]) for i in range(60)]
+    huge = [(200, [1e18, 0.0, 0.0]), (220, [-1e30, 0.0, 0.0]), (201, [1.7e308, 0.0, 0.0]), (203, [2.0**52 + 0.5, 0.0, 0.0]), (205, [-(2.0**46) - 1 / 64, 0.5, 0.0]), (206, [0.0, 5e-324, -5e-324])]
+    rows = small + huge
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = {i: [64 * a // b for a, b in (x.as_integer_ratio() for x in v)] for i, v in rows}
+    for block in (1 << 24, 50):
+        monkeypatch.setattr(va_topk, "BLOCK_BYTES", block)
+        got: dict = {}
+        for r in va_topk.top_k(table.where("vec_id < 60 OR vec_id IN (200, 205, 206)"), table.where("vec_id IN (20, 40)"), k=70).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+        for q in (20, 40):
+            best = sorted((-sum(a * b for a, b in zip(exact[q], exact[j], strict=True)), j) for j in exact if j != q and j in (*range(60), 200, 205, 206))
+            assert sorted(got[q]) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    # 200 meets 205 far below a long, and all others at 0: the first 60 are certain, the last is an error.
+    first = va_topk.top_k(table.where("vec_id < 60 OR vec_id IN (200, 205, 206)"), table.where("vec_id = 200"), k=61).collect()
+    assert [(r.vec_id, r.score) for r in first] == [(j, 0) for j in (*range(60), 206)]
+    for top, ask in (("vec_id IN (200, 205)", "vec_id = 200"), ("vec_id IN (200, 201)", "vec_id = 200"), ("vec_id IN (220, 201, 1)", "vec_id = 220")):
+        with pytest.raises(Exception, match="beyond a long"):
+            va_topk.top_k(table.where(top), table.where(ask), k=5).collect()
+    assert [tuple(r) for r in va_topk.top_k(table.where("vec_id IN (200, 1, 2, 40)"), table.where("vec_id = 40"), k=1).collect()] == [(40, 1, 2, sum(a * b for a, b in zip(exact[40], exact[2])))]
+    assert va_topk.integer(0.5) == 1 << 63 and va_topk.integer(-1.5 * 2.0**-64) == -2 and va_topk.integer(1.5) == 3 << 63
+
+
 
 def test_top_k_of_repeated_queries(spark, monkeypatch):
     """Every query row has its own ranking, equal copies and other vectors of one id alike."""
