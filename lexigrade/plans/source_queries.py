@@ -121,8 +121,7 @@ def a23_corpus_list(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_path(spark, "corpus")
     rows = table(spark, sf, "benchmark").select("item_id", "text")
     sinks.write_lines(sinks.json_lines_of(rows, "item_id", F.lit("["), F.lit("]")), path)
-    item = F.from_json("item", "item_id long, text string")
-    return readers.json_list(spark, path).select(item["item_id"].alias("item_id"), item["text"].alias("text"))
+    return readers.listed_lines(spark, path, "item_id long, text string")
 
 
 _add("a23_corpus_list", a23_corpus_list, "SELECT item_id, text FROM benchmark")
@@ -176,8 +175,7 @@ def a14_results_sink(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("doc_id") % 100).alias("t"))
     even, path = F.col("n") % 2 == 0, shared_path(spark, "results")
     sinks.write_results(docs.select(F.col("source").alias("blind_id"), F.when(even, F.col("t")).alias("total"), F.when(even, "completed").otherwise("failed").alias("status")), path)
-    parsed = F.from_json("raw", "struct<results:array<struct<blind_id:string,total:double,status:string>>>")
-    return readers.whole_files(spark, path).select(F.inline(parsed["results"]))
+    return readers.listed_lines(spark, path, "blind_id string, total double, status string")
 
 
 _add("a14_results_sink", a14_results_sink, _TOTALS)
@@ -187,9 +185,10 @@ def a16_submission_sink(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("answer"), F.array(F.struct(F.lit("d").alias("doc"), F.col("item_id").alias("article"))).alias("retrieved"), F.lit(None).cast("string").alias("error"))
     path = shared_path(spark, "submission")
     sinks.write_submission(F.lit("7"), rows, F.struct(F.lit(3).alias("violations")), path)
-    parsed = F.from_json("raw", "struct<team:string,answers:array<struct<qid:long,answer:string,retrieved:array<struct<doc:string,article:long>>>>,meta:struct<violations:int>>")
-    out = readers.whole_files(spark, path).select(parsed.alias("p")).select("p.team", F.col("p.meta.violations").alias("violations"), F.explode("p.answers").alias("a"))
-    return out.select("team", "violations", F.col("a.qid").alias("qid"), F.col("a.answer").alias("answer"), F.col("a.retrieved")[0]["article"].alias("article"))
+    around = readers.around_lines(spark, path, "team string, meta struct<violations:int>")
+    answers = readers.listed_lines(spark, path, "qid long, answer string, retrieved array<struct<doc:string,article:long>>")
+    out = answers.crossJoin(F.broadcast(around))  # one row
+    return out.select("team", "meta.violations", "qid", "answer", F.col("retrieved")[0]["article"].alias("article"))
 
 
 _add("a16_submission_sink", a16_submission_sink, "SELECT '7' AS team, 3 AS violations, item_id AS qid, text AS answer, item_id AS article FROM benchmark")

@@ -34,6 +34,19 @@ def json_list(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", F.posexplode(checked).alias("ord", "item"))
 
 
+def listed_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of an object's list that has a row to a line, as the sinks write it; files may be as many and as large as they are."""
+    lines = spark.read.text(path).where(F.col("value").rlike(r"^,?\{.*\}$"))
+    return lines.select(F.from_json(F.regexp_replace("value", "^,", ""), schema).alias("x")).select("x.*")
+
+
+def around_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row: what stands around that list, which is empty here."""
+    ends = spark.read.text(path).where(~F.col("value").rlike(r"^,?\{.*\}$"))  # two lines
+    whole = ends.agg(F.array_join(F.sort_array(F.collect_list(F.struct(F.col("value").startswith("]").alias("k"), "value")))["value"], "").alias("raw"))
+    return whole.select(F.from_json("raw", schema).alias("x")).select("x.*")
+
+
 def _kind(raw: Column) -> Column:
     """What a file is, by its structure: gold, answers, terms, or null."""
     is_object = F.trim(raw).startswith("{")

@@ -10,18 +10,26 @@ from pyspark.sql.utils import AnalysisException
 def json_lines_of(rows: DataFrame, order: str, head: Column, tail: Column) -> DataFrame:
     """(part, key, value): the lines of one JSON object whose list has a row to a line; head and tail are what stands around the list.
 
-    A row's comma stands before it, but for the first one's. No row holds the list.
+    The first row by order and text is a line of its own; all others, and the
+    rows that are like it, have a comma before them. No row holds the list.
     """
-    first = rows.agg(F.min(order).alias("first"))  # one row
-    line = F.concat(F.when(F.col(order) == F.col("first"), F.lit("")).otherwise(F.lit(",")), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}))
-    body = rows.crossJoin(F.broadcast(first)).select(F.lit(1).alias("part"), F.col(order).cast("string").alias("key"), line.alias("value"))
-    ends = first.select(F.explode(F.array(F.struct(F.lit(0).alias("part"), F.lit("").alias("key"), head.alias("value")), F.struct(F.lit(2).alias("part"), F.lit("").alias("key"), tail.alias("value")))).alias("x"))
-    return body.unionByName(ends.select("x.*"))
+    made = rows.select(F.col(order).alias("key"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+    first = made.agg(F.min(F.struct("key", "value")).alias("first"))  # one row
+    marked = made.crossJoin(F.broadcast(first)).withColumn("same", F.struct("key", "value") == F.col("first"))
+    same = F.coalesce("same", F.struct("key", "value").eqNullSafe(F.col("first")))
+    alike = marked.where(same).agg(F.count(F.lit(1)).cast("int").alias("n"), F.first("first").alias("x"))
+    ends = [F.struct(F.lit(0).alias("part"), F.lit(None).cast(made.schema["key"].dataType).alias("key"), head.alias("value"))]
+    ends.append(F.struct(F.lit(4).alias("part"), F.lit(None).cast(made.schema["key"].dataType).alias("key"), tail.alias("value")))
+    around = alike.select(F.explode(F.array(*ends)).alias("y")).select("y.*")
+    own = alike.where("n > 0").select(F.lit(1).alias("part"), "x.key", "x.value")
+    again = alike.where("n > 1").select("x", F.explode(F.sequence(F.lit(2), "n"))).select(F.lit(2).alias("part"), "x.key", F.concat(F.lit(","), "x.value").alias("value"))
+    body = marked.where(~same).select(F.lit(3).alias("part"), "key", F.concat(F.lit(","), "value").alias("value"))
+    return around.unionByName(own).unionByName(again).unionByName(body)
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """Lines (part, key, value) as one text file: they are sorted in parallel, and one task writes them as they come."""
-    lines.orderBy("part", "key").select("value").coalesce(1).write.mode("overwrite").text(path)
+    """Lines (part, key, value) as text files that, one after another by name, are the object: each task writes a range of the sorted lines."""
+    lines.orderBy("part", "key", "value").select("value").write.mode("overwrite").text(path)
 
 
 def results_lines(results: DataFrame) -> DataFrame:

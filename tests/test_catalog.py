@@ -5,6 +5,7 @@ import sys
 import pytest
 from compare import check
 
+from jobs import queries as jobs
 from lexigrade.plans import catalog
 
 QUICK = sorted(catalog.ORACLES)
@@ -23,7 +24,7 @@ def test_runs_without_sql(spark, sf, name):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert set(e.queries()) >= set(catalog.QUERIES) and set(e.oracle_sql()) <= set(e.queries())
+    assert set(e.queries()) >= set(catalog.QUERIES) | set(jobs.QUERIES) and set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).columns == ["item_id", "doc_id", "rank", "score"]
 
 
@@ -35,5 +36,5 @@ def test_entry_without_llm(monkeypatch):
     monkeypatch.setitem(sys.modules, "lexigrade.llm", None)
     import __spark_entry__ as e
 
-    assert set(e.queries()) == set(catalog.QUERIES)
+    assert set(e.queries()) == set(catalog.QUERIES) | set(jobs.QUERIES)
     monkeypatch.delitem(sys.modules, "__spark_entry__")

@@ -231,7 +231,35 @@ def test_models_and_cache(spark, tmp_path):
     cache.add(spark.createDataFrame([("c", "1", 1.0, 2.0, 3.0, 4.0)], cache.SCHEMA))
     assert [r.qid for r in cache.pending(rows).collect()] == ["2"]
     sinks.write_results(spark.createDataFrame([("a", None, "failed")], "blind_id string, total double, status string"), str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).first()["value"] == '{"results":[{"blind_id":"a","total":null,"status":"failed"}]}'
+    assert json_of(tmp_path / "out") == {"results": [{"blind_id": "a", "total": None, "status": "failed"}]}
+
+
+def json_of(folder):
+    """What the files of a folder are, one after another."""
+    import json
+
+    return json.loads("".join(p.read_text() for p in sorted(folder.glob("part-*"))))
+
+
+def test_written_lists_are_json(spark, tmp_path):
+    """Ids whose order as numbers is not that as text, repeated rows, no rows, and several files."""
+    rows = [{"qid": i, "answer": f"a{i % 3}", "retrieved": None, "error": None} for i in (9, 10, 100, 11, 9, 9)]
+    schema = "qid long, answer string, retrieved array<struct<doc:string,article:long>>, error string"
+    for n, part in enumerate((rows, rows[:1], [], rows * 40)):
+        df = spark.createDataFrame([tuple(r.values()) for r in part], schema).repartition(3)
+        path = tmp_path / str(n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            sinks.write_submission(F.lit("7"), df, F.struct(F.lit(3).alias("violations")), str(path))
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        got = json_of(path)
+        assert (got["team"], got["meta"]) == ("7", {"violations": 3})
+        assert got["answers"] == sorted(part, key=lambda r: (r["qid"], r["answer"]))
+        back = readers.listed_lines(spark, str(path), schema)
+        assert sorted(map(tuple, back.collect())) == sorted(tuple(r.values()) for r in part)
+        assert tuple(readers.around_lines(spark, str(path), "team string, meta struct<violations:int>").first()) == ("7", (3,))
+    assert len(list((tmp_path / "3").glob("part-*"))) > 1
 
 
 def test_dense_ties_take_the_lower_position(spark):
