@@ -15,7 +15,7 @@ def tokenised(rows: DataFrame, id_col: str, text_col: str, tokeniser: str = "wor
 
 def term_counts(toks: T.Text) -> Column:
     """(term, tf) of an array of tokens, within the row: sorted, a run of equal ones is a term and its length the count."""
-    s, n = F.array_sort(T.col(toks)), F.size(T.col(toks))
+    s, n = F.sort_array(T.col(toks)), F.size(T.col(toks))
     begins = F.transform(F.array(s), lambda a: F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get(a, i) != F.get(a, i - 1))))[0]
     ends = lambda b: F.concat(F.slice(b, F.lit(2), F.greatest(F.size(b) - 1, F.lit(0))), F.when(n > 0, F.array(n)).otherwise(F.array().cast("array<int>")))
     pairs = F.transform(F.array(F.struct(s.alias("s"), begins.alias("b"))), lambda x: F.zip_with(x["b"], ends(x["b"]), lambda i, j: F.struct(F.get(x["s"], i).alias("term"), (j - i).alias("tf"))))[0]

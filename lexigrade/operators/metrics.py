@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.fixed import AXIS_WEIGHTS, COST, CUTOFF, TOTAL_WEIGHTS
+from . import index
 
 # ---------------------------------------------------------------- retrieval
 
@@ -67,19 +68,15 @@ def set_f1(a: Column, b: Column) -> Column:
 
 
 def multiset_prf(rows: DataFrame, key: str, answer: str, facts: str) -> DataFrame:
-    """(key, overlap, precision, recall, f1) of two columns of token arrays, repeats counted.
-
-    Both sides are exploded with a sign, so one aggregate by key and token
-    counts them and no join is needed.
-    """
-    one = lambda c, side: rows.select(F.col(key).alias("k"), F.lit(side).alias("side"), F.explode(c).alias("tok"))
-    counts = one(answer, 0).unionByName(one(facts, 1)).groupBy("k", "tok").agg(F.sum(1 - F.col("side")).alias("a"), F.sum("side").alias("f"))
-    sums = counts.groupBy("k").agg(F.sum(F.least("a", "f")).alias("overlap"), F.sum("a").alias("na"), F.sum("f").alias("nf"))
-    out = rows.select(F.col(key).alias("k")).join(sums, "k", "left").na.fill(0, ["overlap", "na", "nf"])
+    """(key, overlap, precision, recall, f1) of two columns of token arrays, repeats counted. Tokens are counted within their row: nothing moves."""
+    counted = F.map_from_entries(index.term_counts(answer))
+    wanted = index.term_counts(facts)
+    both = F.transform(F.array(F.struct(counted.alias("a"), wanted.alias("f"))), lambda x: F.aggregate(x["f"], F.lit(0).cast("long"), lambda s, e: s + F.least(e["tf"], F.coalesce(F.try_element_at(x["a"], e["term"]), F.lit(0)))))[0]
+    out = rows.select(F.col(key), both.alias("overlap"), F.size(answer).alias("na"), F.size(facts).alias("nf"))
     p = F.when((F.col("na") > 0) & (F.col("nf") > 0), F.col("overlap") / F.col("na")).otherwise(F.lit(0.0))
     r = F.when((F.col("na") > 0) & (F.col("nf") > 0), F.col("overlap") / F.col("nf")).otherwise(F.lit(0.0))
     f1 = F.when(F.col("overlap") > 0, 2.0 * p * r / (p + r)).otherwise(F.lit(0.0))
-    return out.select(F.col("k").alias(key), F.col("overlap"), p.alias("precision"), r.alias("recall"), f1.alias("f1"))
+    return out.select(key, "overlap", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
 
 
 def covered(answer: Column, fact: Column, threshold: float) -> Column:

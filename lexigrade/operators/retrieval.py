@@ -7,6 +7,7 @@ order of addition is not fixed, from deciding ties.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.fixed import CUTOFF, RRF_K
+from ..sources.shared import shared_path
 from . import chunking, index
 
 K1, B = 1.2, 0.75
@@ -196,6 +198,23 @@ def fused(rankings: Sequence[tuple[DataFrame, float | DataFrame]], k: int = RRF_
     return rows.groupBy("qid", "unit").agg(F.sum("score").alias("score"), F.min("first").alias("first"))
 
 
+def fusion_depth(k: int, rrf_k: int = RRF_K, spread: float = 1.6) -> int:
+    """How far two rankings have to be known for the first k of their fusion to be certain.
+
+    ``spread`` is the greatest ratio of the second list's weight to the first one's.
+    The first list ranks all units, so its first k have w / (rrf_k + k) at least;
+    what is in neither list up to a depth has less than w * (1 + spread) / (rrf_k + depth).
+    """
+    return math.floor((rrf_k + k) * (1 + spread)) - rrf_k + 1
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, so that it is not computed again."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def first_refs(c: T.Text, k: int = CUTOFF) -> Column:
     """References without repeats, in order, k at most."""
     return F.slice(F.array_distinct(T.col(c)), 1, k)

@@ -19,11 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_path
 from . import index, retrieval
 
-#: Impact levels, units per block, and postings that a question's first pass reads unless its first term has more.
-LEVELS, UNITS, FIRST = 16, 1 << 16, 1 << 12
+#: Impact levels, units per block, postings that a question's first pass reads unless its first term has more, and how many times k units set the floor.
+LEVELS, UNITS, FIRST, LEAD = 16, 1 << 16, 1 << 11, 16
 #: What sums of doubles may be off by.
 SLACK = 1e-7
 COUNTS = "array<struct<term:string,tf:int>>"
@@ -98,64 +97,76 @@ class Segments:
         """The first k units of every question's terms (qid, term, qtf): (qid, unit, score, rank). Exact."""
         return retrieval.ranked(self.passes(asked, k, k1, b)["scores"], k=k)
 
+    def scores(self, asked: DataFrame, k1: float = retrieval.K1, b: float = retrieval.B) -> DataFrame:
+        """(qid, unit, score) of all units that have one of a question's terms (qid, term, qtf)."""
+        return self._sums(self.weighted(asked, k1, b), k1, b)
+
     def passes(self, asked: DataFrame, k: int, k1: float = retrieval.K1, b: float = retrieval.B) -> dict[str, DataFrame]:
         """The passes of a search, as tables.
 
         1. ``first``: a question's weightiest terms, which are rare, score their
-           units. The k-th best sum so far is a floor of the k-th score.
+           units. The best of these get all other terms, from the units' own
+           counts: the k-th best of them is a floor of the k-th score.
         2. ``second``: of the other terms those are left out that even together
            stay below the floor: a unit with no other term is not among the
            first k. Of the rest, blocks are left out that with the most that all
            other terms give stay below it.
-        3. ``third``: units that may still reach the floor get the terms that were left out.
+        3. ``hopeful``: units whose sum may still reach the floor get the terms
+           that were left out.
 
         A unit of the first k is in no block that was left out, so its sum is whole.
         """
-        known = _kept(self.weighted(asked, k1, b), "weights")
+        known = retrieval.kept(self.weighted(asked, k1, b), "weights")
         by_weight = Window.partitionBy("qid").orderBy(F.desc("w"), "term")  # the terms of a question
         before = F.sum("df").over(by_weight.rowsBetween(Window.unboundedPreceding, 0)) - F.col("df")
-        known = known.withColumn("early", before + F.col("df") <= FIRST).withColumn("early", F.col("early") | (F.row_number().over(by_weight) == 1))
-        first = _kept(self._sums(known.where("early"), k1, b), "first")
-        floor = _floor(first, k)
+        known = known.withColumn("early", (before + F.col("df") <= FIRST) | (F.row_number().over(by_weight) == 1))
+        first = retrieval.kept(self._sums(known.where("early"), k1, b), "first")
+        lead = retrieval.ranked(first, k=LEAD * k).select("qid", "unit", "score")
+        floor = _floor(self._completed(lead, known.where("NOT early"), k1, b), k)
         rest = known.where("NOT early").join(floor, "qid", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
         light = F.sum("most").over(Window.partitionBy("qid").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0))
-        rest = rest.withColumn("left_out", light < F.col("floor") - SLACK)
+        rest = retrieval.kept(rest.withColumn("left_out", light < F.col("floor") - SLACK), "rest")
         every = known.groupBy("qid").agg(F.sum("most").alias("every"))
         heavy = rest.where("NOT left_out").join(every, "qid").withColumn("least", F.col("floor") - SLACK - (F.col("every") - F.col("most")))
-        second = self._sums(heavy, k1, b)
-        sums = _kept(first.unionByName(second).groupBy("qid", "unit").agg(F.sum("score").alias("score")), "sums")
-        spare = rest.where("left_out").groupBy("qid").agg(F.sum("most").alias("spare"))
-        hopeful = sums.join(_floor(sums, k), "qid", "left").join(spare, "qid", "left")
-        hopeful = _kept(hopeful.where(F.col("score") + F.coalesce("spare", F.lit(0.0)) >= F.coalesce("floor", F.lit(0.0)) - SLACK).select("qid", "unit", "score"), "hopeful")
-        third = self._entries(rest.where("left_out"), k1, b).join(hopeful.select("qid", "unit"), ["qid", "unit"], "left_semi")
-        scores = hopeful.unionByName(third).groupBy("qid", "unit").agg(F.sum("score").alias("score"))
-        return {"weights": known, "first": first, "second": second, "third": third, "scores": scores}
+        second = self._entries(heavy, k1, b)
+        sums = first.unionByName(second).groupBy("qid", "unit").agg(F.sum("score").alias("score"))
+        spare = rest.groupBy("qid").agg(F.sum(F.when(F.col("left_out"), F.col("most")).otherwise(F.lit(0.0))).alias("spare"), F.first("floor").alias("floor"))
+        hopeful = sums.join(spare, "qid", "left").where(F.col("score") + F.coalesce("spare", F.lit(0.0)) >= F.coalesce("floor", F.lit(0.0)) - SLACK).select("qid", "unit", "score")
+        hopeful = retrieval.kept(hopeful, "hopeful")
+        # Left-out terms come from the units' counts, or, if those of the hopeful units are more, from their blocks.
+        light = rest.where("left_out")
+        cost = light.agg(F.sum("df").alias("entries"), F.max("avgdl").alias("avgdl")).first()
+        if hopeful.count() * (cost["avgdl"] or 0) <= (cost["entries"] or 0):
+            scores = self._completed(hopeful, light, k1, b)
+        else:
+            more = self._entries(light, k1, b).join(hopeful.select("qid", "unit"), ["qid", "unit"], "left_semi")
+            scores = hopeful.unionByName(more).groupBy("qid", "unit").agg(F.sum("score").alias("score"))
+        return {"weights": known, "first": first, "second": second, "hopeful": hopeful, "scores": scores}
+
+    def _completed(self, sums: DataFrame, terms: DataFrame, k1: float, b: float) -> DataFrame:
+        """Sums (qid, unit, score) with what the terms add to them, from the units' counts."""
+        rows = sums.select("qid", "unit").join(self.units().select("unit", "dl", "counts"), "unit").select("qid", "unit", "dl", F.inline("counts"))
+        more = rows.join(terms.select("qid", "term", "w", "avgdl"), ["qid", "term"]).select("qid", "unit", (F.col("w") * _part(F.col("tf"), F.col("dl"), k1, b)).alias("score"))
+        return sums.unionByName(more).groupBy("qid", "unit").agg(F.sum("score").alias("score"))
 
     def _entries(self, terms: DataFrame, k1: float, b: float) -> DataFrame:
         """(qid, unit, score): what each entry of the terms' blocks adds; with ``least``, blocks that can add no more than that are not opened."""
         blocks = self.postings().join(terms, ["bucket", "term"])
         if "least" in terms.columns:
-            blocks = blocks.where(F.col("w") * _part("tf", "dl", k1, b) >= F.col("least"))
+            blocks = blocks.where(F.col("w") * _part(F.col("tf"), F.col("dl"), k1, b) >= F.col("least"))
         rows = blocks.select("qid", "w", "avgdl", F.inline("entries"))
-        return rows.select("qid", "unit", (F.col("w") * _part("tf", "dl", k1, b)).alias("score"))
+        return rows.select("qid", "unit", (F.col("w") * _part(F.col("tf"), F.col("dl"), k1, b)).alias("score"))
 
     def _sums(self, terms: DataFrame, k1: float, b: float) -> DataFrame:
         return self._entries(terms, k1, b).groupBy("qid", "unit").agg(F.sum("score").alias("score"))
 
 
-def _part(tf: str, dl: str, k1: float, b: float) -> Column:
-    ratio = F.when(F.col("avgdl") > 0, F.col(dl) / F.col("avgdl")).otherwise(F.lit(0.0))
-    return F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * ratio))
+def _part(tf: Column, dl: Column, k1: float, b: float) -> Column:
+    ratio = F.when(F.col("avgdl") > 0, dl / F.col("avgdl")).otherwise(F.lit(0.0))
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * ratio))
 
 
 def _floor(sums: DataFrame, k: int) -> DataFrame:
     """(qid, floor): the k-th best sum of the questions that have so many."""
     best = retrieval.ranked(sums, k=k)
     return best.where(F.col("rank") == k).select("qid", F.col("score").alias("floor"))
-
-
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, so that later passes do not compute it again."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from ..operators import answers, index, metrics, quality, retrieval
+from ..operators import answers, index, metrics, quality, retrieval, segments
 from ..sources import models
+from ..sources.shared import shared_path
 from .base import sql_words, table
-from .retrieval_queries import _CONFS, _HYBRID, _TOP4, _TOP, bm25, both_rankings, out, questions, sql_bm25, units
+from .retrieval_queries import _CONFS, _HYBRID, _TOP4, _TOP, best, both_rankings, out, questions, sql_bm25, units
 
 QUERIES, ORACLES = {}, {}
 
@@ -35,13 +36,17 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def e8_index_cache(spark: SparkSession, sf: str) -> DataFrame:
-    """Lengths from an index that was asked for twice and made once."""
-    r = retrieval.Retriever(corpus(spark, sf))
-    first, again = r.units("article", "word"), r.units("article", "word")
-    return first.select(F.col("unit.ord").alias("doc_id"), "dl", F.lit(first is again).alias("same"), F.lit(r.units("article", "content") is first).alias("other"))
+    """Terms of an index that was written in two segments, and is read by another object from its folder alone."""
+    rows = units(spark, sf)
+    made = segments.Segments(spark, shared_path(spark, "segments"))
+    late = F.xxhash64("unit") < 0
+    made.add(rows.where(~late), 0)
+    made.add(rows.where(late), 1)
+    made.add(rows.where(late), 1)  # a segment that is written again is replaced
+    return segments.Segments(spark, made.path).terms()
 
 
-_add("e8_index_cache", e8_index_cache, f"SELECT doc_id, CAST(len({sql_words('text')}) AS INT) AS dl, true AS same, false AS other FROM documents")
+_add("e8_index_cache", e8_index_cache, f"SELECT t AS term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({sql_words('text')}) AS t FROM documents) GROUP BY t")
 
 
 @F.pandas_udf(DoubleType())
@@ -52,7 +57,7 @@ def _length_scorer(q: pd.Series, p: pd.Series) -> pd.Series:
 
 def f9_rerank(spark: SparkSession, sf: str) -> DataFrame:
     """The twelve best of BM25 in another order, four of which stay."""
-    hits = retrieval.ranked(bm25(spark, sf), k=12).select("qid", "unit", "rank")
+    hits = best(spark, sf, 12).select("qid", "unit", "rank")
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("unit"), "text")
     both = hits.join(docs, "unit").join(questions(spark, sf), "qid")
     return out(retrieval.reranked(both, _length_scorer("question", "text")), "rank")
@@ -76,19 +81,12 @@ _add("f11_dynamic_weights", f11_dynamic_weights, f"WITH {_HYBRID}, {_CONFS} SELE
 
 
 def f14_top_k(spark: SparkSession, sf: str) -> DataFrame:
-    """The first k of every question, for three k, and whether a k below 1 is refused."""
-    scores, parts = bm25(spark, sf), []
-    try:
-        retrieval.ranked(scores, k=0)
-        refused = False
-    except ValueError:
-        refused = True
-    for k in (1, 3, 7):
-        parts.append(retrieval.ranked(scores, k=k).select(F.lit(k).alias("k"), "qid", "unit", "rank", F.lit(refused).alias("refused")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumnsRenamed({"qid": "item_id", "unit": "doc_id"})
+    """The first k of every question, for three k, each by its own search of the index."""
+    parts = [best(spark, sf, k).select(F.lit(k).alias("k"), F.col("qid").alias("item_id"), F.col("unit").alias("doc_id"), "rank") for k in (1, 3, 7)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-_add("f14_top_k", f14_top_k, f"WITH {sql_bm25()}, {_TOP4} SELECT k, item_id, doc_id, rank, true AS refused FROM r, (VALUES (1), (3), (7)) v(k) WHERE rank <= k")
+_add("f14_top_k", f14_top_k, f"WITH {sql_bm25()}, {_TOP4} SELECT k, item_id, doc_id, rank FROM r, (VALUES (1), (3), (7)) v(k) WHERE rank <= k")
 
 
 def vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -289,7 +287,7 @@ _add(
 
 def k9_contract_run(spark: SparkSession, sf: str) -> DataFrame:
     """The whole run with a stand-in for the model: retrieval, answers, and what the contract says of each."""
-    hits = retrieval.ranked(bm25(spark, sf), k=4)
+    hits = best(spark, sf, 4)
     refs = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", F.lit("d").alias("doc"), F.col("unit").alias("article")))).alias("r"))  # four a question
     asked = models.replies(questions(spark, sf), "question", [_stub]).join(refs, "qid", "left")
     pairs = F.transform("r", lambda x: F.struct(x["doc"].alias("doc"), x["article"].cast("string").alias("article")))

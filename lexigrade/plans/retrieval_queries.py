@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import chunking, index, metrics, retrieval
+from ..operators import chunking, index, metrics, retrieval, segments, similarity
+from ..sources.shared import shared_path
 from .base import sql_words, table
 from .text_queries import SQL_CLAUSES, _CLAUSES
 
@@ -32,7 +33,34 @@ def units(spark: SparkSession, sf: str, tokeniser: str = "word") -> DataFrame:
 
 
 def bm25(spark: SparkSession, sf: str, tokeniser: str = "word", query_tf: str = "multiset") -> DataFrame:
-    return retrieval.bm25(units(spark, sf, tokeniser), retrieval.question_terms(questions(spark, sf), "qid", "question", tokeniser, query_tf))
+    """Scores of all documents that share a term with a question, from the index."""
+    return indexed(spark, sf, tokeniser).scores(retrieval.question_terms(questions(spark, sf), "qid", "question", tokeniser, query_tf))
+
+
+_KEPT: dict[tuple, str] = {}
+
+
+def indexed(spark: SparkSession, sf: str, tokeniser: str = "word") -> segments.Segments:
+    """The documents' index. It is built once per session and state of the files, and read from its folder after that."""
+    files = table(spark, sf, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first()
+    key = (spark.sparkContext.applicationId, sf, tokeniser, *state)
+    if key in _KEPT:
+        found = segments.Segments(spark, _KEPT[key])
+        try:
+            found.segments().first()
+            return found
+        except Exception:  # noqa: BLE001  the folder has been cleared
+            del _KEPT[key]
+    found = segments.Segments(spark, shared_path(spark, "index"))
+    found.add(units(spark, sf, tokeniser), 0)
+    _KEPT[key] = found.path
+    return found
+
+
+def best(spark: SparkSession, sf: str, k: int, query_tf: str = "multiset") -> DataFrame:
+    """The first k documents of every question, from the index: (qid, unit, score, rank)."""
+    return indexed(spark, sf).search(retrieval.question_terms(questions(spark, sf), "qid", "question", "word", query_tf), k)
 
 
 def out(df: DataFrame, *more: str) -> DataFrame:
@@ -62,13 +90,13 @@ _TOP4 = _TOP.format(x="sc")
 
 
 def f1_bm25_top4(spark: SparkSession, sf: str) -> DataFrame:
-    return out(retrieval.ranked(bm25(spark, sf), k=4), "rank")
+    return out(best(spark, sf, 4), "rank")
 
 
 _add("f1_bm25_top4", f1_bm25_top4, f"WITH {sql_bm25()}, {_TOP4} SELECT item_id, doc_id, rank, round(s, 6) AS score FROM r WHERE rank <= 4")
 _add(
     "f2_bm25_set_top4",
-    lambda s, d: out(retrieval.ranked(bm25(s, d, query_tf="set"), k=4), "rank"),
+    lambda s, d: out(best(s, d, 4, "set"), "rank"),
     f"WITH {sql_bm25('1')}, {_TOP4} SELECT item_id, doc_id, rank, round(s, 6) AS score FROM r WHERE rank <= 4",
 )
 
@@ -145,7 +173,7 @@ _add(
 def f7_dense_top4(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     queries, vectors = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("unit"), F.col("embedding").alias("v"))
-    return out(retrieval.ranked(retrieval.dense(queries, vectors), k=4), "rank").withColumnsRenamed({"item_id": "query_id", "doc_id": "vec_id"})
+    return out(similarity.top(queries, vectors, 4), "rank").withColumnsRenamed({"item_id": "query_id", "doc_id": "vec_id"})
 
 
 _DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -157,20 +185,18 @@ _add(
 )
 
 
-def both_rankings(spark: SparkSession, sf: str, k: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rankings of all documents by BM25, and of those that have a vector by dot product, whole or the first k."""
+def asked_vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(qid, q) of the questions that have a vector, and (unit, v) of the documents that have one."""
     e = table(spark, sf, "embeddings")
-    vectors = e.select(F.col("vec_id").alias("unit"), F.col("embedding").alias("v"))
-    own = table(spark, sf, "documents")
-    toks = index.tokenised(own, "doc_id", "text")
-    q = questions(spark, sf)
-    scores = retrieval.bm25(toks, retrieval.question_terms(q, "qid", "question"))
-    asked = e.join(q.select(F.col("qid").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    vectors = vectors.join(own.select(F.col("doc_id").alias("unit")), "unit", "left_semi")
-    dense = retrieval.ranked(retrieval.dense(asked, vectors, same=True), k=k)
-    if k is None:
-        return retrieval.ranked(retrieval.completed(scores, q, toks)), dense
-    return retrieval.topped(scores, q, toks, k), dense
+    asked = e.join(questions(spark, sf).select(F.col("qid").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    own = e.join(table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("unit"), F.col("embedding").alias("v"))
+    return asked, own
+
+
+def both_rankings(spark: SparkSession, sf: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """The first k of the rankings of all documents by BM25, and of those that have a vector by dot product."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("unit"))
+    return retrieval.topped(best(spark, sf, k).drop("rank"), questions(spark, sf), docs, k), similarity.top(*asked_vectors(spark, sf), k, same=True)
 
 
 def dynamic(lexical: DataFrame, dense: DataFrame) -> DataFrame:
@@ -204,7 +230,23 @@ _add(
 
 
 def f12_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    return out(retrieval.ranked(dynamic(*both_rankings(spark, sf)), k=4), "rank")
+    """Fusion of whole rankings, of which only the first ones are made: beyond them no document can be among the first four.
+
+    The four first by BM25 have w / (60 + 4) at least; what is in neither list's
+    first ``depth`` has less than (w + w') / (60 + depth). Those that are in one of
+    them are ranked in the other one by counting.
+    """
+    depth = retrieval.fusion_depth(4)
+    asked, own = asked_vectors(spark, sf)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("unit"))
+    scores = bm25(spark, sf)
+    lexical = retrieval.topped(scores, questions(spark, sf), docs, depth)
+    dense = similarity.top(asked, own, depth, same=True)
+    weights = [retrieval.weights_of(retrieval.confidence(x)) for x in (lexical, dense)]
+    pool = retrieval.kept(lexical.select("qid", "unit").unionByName(dense.select("qid", "unit")).distinct(), "pool")
+    first = similarity.ranks_by_counting(pool, scores, docs)
+    second = similarity.ranks_by_vectors(similarity.pair_scores(pool, asked, own), asked, own)
+    return out(retrieval.ranked(retrieval.fused([(first, weights[0]), (second, weights[1])]), k=4), "rank")
 
 
 _add(
@@ -264,7 +306,7 @@ _add(
 
 
 def hits4(spark: SparkSession, sf: str, query_tf: str = "multiset") -> DataFrame:
-    return retrieval.ranked(bm25(spark, sf, query_tf=query_tf), k=4).select("qid", "unit", "rank")
+    return best(spark, sf, 4, query_tf).select("qid", "unit", "rank")
 
 
 _SQL_TOP4 = f"{sql_bm25()}, {_TOP4}, h AS (SELECT item_id, doc_id, rank FROM r WHERE rank <= 4)"
@@ -276,8 +318,11 @@ _add(
 
 
 def h2_rr_no_cutoff(spark: SparkSession, sf: str) -> DataFrame:
-    ranks = retrieval.ranked(full(spark, sf)).select("qid", "unit", "rank")
-    return metrics.reciprocal_rank(ranks, gold(spark, sf), None).select(F.col("qid").alias("item_id"), F.round("rr", 6).alias("rr"))
+    """Gold documents are ranked by counting those that stand before them; nothing else is."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("unit"))
+    ranks = similarity.ranks_by_counting(gold(spark, sf), bm25(spark, sf), docs)
+    every = questions(spark, sf).select("qid").join(ranks.groupBy("qid").agg(F.min("rank").alias("r")), "qid", "left")
+    return every.select(F.col("qid").alias("item_id"), F.round(F.coalesce(1.0 / F.col("r"), F.lit(0.0)), 6).alias("rr"))
 
 
 _add(
