@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -157,23 +158,27 @@ def hybrid_tokens(c: Text) -> Column:
     return F.concat(word_tokens(c), ngram_tokens(c))
 
 
+def without_ending(w: Column, endings: Sequence[str]) -> Column:
+    """A word without the longest ending that leaves two characters, or null if it has none. Endings are looked up by length, not tried one by one."""
+    n, out = F.char_length(w), None
+    for size in sorted({len(e) for e in endings}, reverse=True):
+        found = (n >= size + 2) & F.substring(w, -size, size).isin([e for e in endings if len(e) == size])
+        cut = F.substring(w, F.lit(1), n - size)
+        out = F.when(found, cut) if out is None else out.when(found, cut)
+    return out
+
+
 def particle_tokens(c: Text, particles: bool = True, bigrams: bool = True) -> Column:
-    """Words, and of Hangul words also the form without its particle and all syllable pairs.
+    """Words, and of Hangul words also the form without its particle and all syllable pairs. Words are taken once."""
+    none = F.array().cast(NONE)
 
-    The whole text is rewritten: a Hangul word is followed by copies of it, of
-    which one is cut to its stem and one spread into pairs; then all words are
-    taken in order. Marks that the copies carry are no part of words.
-    """
-    text = F.translate(unicode_form(c), "\x03\x04\x05\x06", "    ")
-    alone = r"(?<![0-9A-Za-z가-힣])([가-힣]{2,})(?![0-9A-Za-z가-힣])"
-    text = F.regexp_replace(text, alone, "$1" + (" \x03$1\x04" if particles else "") + (" \x05$1\x06" if bigrams else ""))
-    if particles:
-        # The lazy head leaves the longest particle; without one the copy goes.
-        text = F.regexp_replace(text, f"\x03(?:([가-힣]{{2,}}?)(?:{'|'.join(PARTICLES)})|[가-힣]+)\x04", "$1")
-    if bigrams:
-        text = F.regexp_replace(text, "([가-힣])(?=([가-힣])[가-힣]*\x06)", "$1$2 ")
-        text = F.regexp_replace(text, "[가-힣]\x06", "")
-    return words(text, "[0-9A-Za-z가-힣]+")
+    def forms(w: Column) -> Column:
+        stem = without_ending(w, PARTICLES)
+        own = F.when(stem.isNotNull(), F.array(w, stem)).otherwise(F.array(w)) if particles else F.array(w)
+        pairs = F.regexp_extract_all(w, F.lit("(?=([가-힣]{2}))"), F.lit(1)) if bigrams else none
+        return F.when(w.rlike("^[가-힣]{2,}$"), F.concat(own, pairs)).otherwise(F.array(w))
+
+    return F.flatten(F.transform(words(unicode_form(c), "[0-9A-Za-z가-힣]+"), forms))
 
 
 def set_tokens(c: Text, digits: bool = False) -> Column:
@@ -185,9 +190,8 @@ def set_tokens(c: Text, digits: bool = False) -> Column:
 def content_tokens(c: Text) -> Column:
     """Runs of digits, of Latin letters or of Hangul without their endings; short words and stop words go."""
     text = F.translate(unicode_form(c), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    text = F.regexp_replace(text, f"(?<![가-힣])([가-힣]{{2,}}?)(?:{'|'.join(SUFFIXES)})(?![가-힣])", "$1 ")
-    stop = "|".join(w for w in STOPWORDS if len(w) > 1)
-    return words(text, f"[0-9]{{2,}}|[a-z]{{2,}}|(?<![가-힣])(?!(?:{stop})(?![가-힣]))[가-힣]{{2,}}")
+    stems = F.transform(words(text, "[0-9]{2,}|[a-z]{2,}|[가-힣]{2,}"), lambda w: F.coalesce(without_ending(w, SUFFIXES), w))
+    return F.filter(stems, lambda w: ~w.isin(list(STOPWORDS)))
 
 
 def char_bigrams(c: Text) -> Column:
