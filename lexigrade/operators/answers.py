@@ -126,6 +126,17 @@ def copy_rate(answer: T.Text, contexts: Column, n: int = 5) -> Column:
     return F.when(F.size(a) > 0, F.size(F.array_intersect(a, source)) / F.size(a)).otherwise(F.lit(0.0))
 
 
+def copy_rates(pairs: DataFrame, key: str, answer: T.Text, context: T.Text, n: int = 5) -> DataFrame:
+    """(key, copy): the share of an answer's distinct n-grams that any of its contexts has, for a row per answer and context.
+
+    Only n-grams that both have leave their row, so contexts may be as many as they are.
+    """
+    a = T.gram_set(answer, n)
+    rows = pairs.select(F.col(key), a.alias("a"), F.array_intersect(a, T.gram_set(context, n)).alias("both"))
+    found = rows.select(key, F.size("a").alias("n"), F.explode_outer("both").alias("gram")).groupBy(key).agg(F.max("n").alias("n"), F.countDistinct("gram").alias("k"))
+    return found.select(key, F.when(F.col("n") > 0, F.col("k") / F.col("n")).otherwise(F.lit(0.0)).alias("copy"))
+
+
 def grounding(answer: T.Text, text: T.Text) -> Column:
     return copy_rate(answer, F.array(T.col(text)), 3)
 

@@ -211,12 +211,43 @@ def floor_percentile(values: Column, ratio: float) -> Column:
     return F.when(F.size(values) > 0, F.bround(F.element_at(values, F.greatest(at, F.lit(1))), 4))
 
 
+#: How far from a percentile its bracket reaches, as a part of the rows, and the sketch's accuracy.
+BRACKET, ACCURACY = 0.002, 10_000
+
+
 def exact_percentiles(rows: DataFrame, keys: list[str], value: str, ratios: dict[str, float]) -> DataFrame:
-    """floor_percentile of groups of any size: ranks by a window per group, no array."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    numbered = rows.where(F.col(value).isNotNull()).select(*keys, value, F.row_number().over(order).alias("i"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n"))
-    picks = [F.bround(F.max(F.when(F.col("i") == F.floor((F.col("n") - 1) * F.lit(r)) + 1, F.col(value))), 4).alias(name) for name, r in ratios.items()]
-    return numbered.groupBy(*keys).agg(*picks)
+    """floor_percentile of groups of any size, exactly, without sorting a group.
+
+    A mergeable sketch gives each percentile a bracket of two values. Then the rows
+    below a bracket are counted, and of the values within it, each with its number of
+    rows, the one that holds the rank is taken. Should a rank be outside its bracket,
+    its group is taken whole.
+    """
+    known = rows.where(F.col(value).isNotNull()).select(F.struct(*[F.col(k).alias(f"key{i}") for i, k in enumerate(keys)]).alias("key"), F.col(value).alias("x"))  # a struct of nulls equals another
+    own = ["key"]
+    at = [p for r in ratios.values() for p in (max(0.0, r - BRACKET), min(1.0, r + BRACKET))]
+    sketch = known.groupBy(*own).agg(F.percentile_approx("x", F.array(*map(F.lit, at)), F.lit(ACCURACY)).alias("marks"), F.count(F.lit(1)).alias("n"))
+    rank = lambda r: F.floor((F.col("n") - 1) * F.lit(r)).cast("long")
+    one = [F.struct(F.lit(name).alias("name"), rank(r).alias("rank"), F.col("marks")[2 * i].alias("low"), F.col("marks")[2 * i + 1].alias("high")) for i, (name, r) in enumerate(ratios.items())]
+    brackets = sketch.select(*own, F.explode(F.array(*one)).alias("b")).select(*own, "b.*")  # a row per group and percentile
+    found = _in_brackets(known, brackets, own)
+    missed = brackets.join(found, [*own, "name"], "left_anti")
+    if not missed.isEmpty():
+        ends = known.groupBy(*own).agg(F.min("x").alias("low"), F.max("x").alias("high"))
+        found = found.unionByName(_in_brackets(known, missed.drop("low", "high").join(ends, own), own))
+    wide = found.groupBy(*own).agg(*[F.max(F.when(F.col("name") == name, F.bround("x", 4))).alias(name) for name in ratios])
+    return wide.select(*[F.col(f"key.key{i}").alias(k) for i, k in enumerate(keys)], *ratios)
+
+
+def _in_brackets(known: DataFrame, brackets: DataFrame, own: list[str]) -> DataFrame:
+    """(keys, name, x): the values of the ranks that are within their brackets."""
+    met = known.join(brackets, own)
+    place = [*own, "name", "rank"]
+    below = met.where("x < low").groupBy(*place).agg(F.count(F.lit(1)).alias("below"))
+    inside = met.where("x BETWEEN low AND high").groupBy(*place, "x").agg(F.count(F.lit(1)).alias("k"))
+    inside = inside.withColumn("upto", F.sum("k").over(Window.partitionBy(*place).orderBy("x")))  # the distinct values of a bracket
+    both = inside.join(below, place, "left").withColumn("upto", F.col("upto") + F.coalesce("below", F.lit(0)))
+    return both.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("k"))).select(*own, "name", "x")
 
 
 def latency_rounds(requests: DataFrame, key: str = "repetition") -> DataFrame:

@@ -137,9 +137,8 @@ _add("g9_evasion", lambda s, d: table(s, d, "documents").select("doc_id", answer
 
 def g10_copy_rate(spark: SparkSession, sf: str) -> DataFrame:
     """Each item's text against all documents that it is paired with."""
-    texts = pairs(spark, sf).groupBy("item_id").agg(F.collect_list("answer").alias("texts"))
-    items = table(spark, sf, "benchmark").join(texts, "item_id")
-    return items.select("item_id", F.round(answers.copy_rate("text", F.col("texts")), 6).alias("copy"))
+    both = pairs(spark, sf).select("item_id", "answer").join(table(spark, sf, "benchmark").select("item_id", "text"), "item_id")
+    return answers.copy_rates(both, "item_id", "text", "answer").select("item_id", F.round("copy", 6).alias("copy"))
 
 
 _add(

@@ -113,3 +113,23 @@ def test_fusion_depth():
     for k in (1, 4, 12):
         d = retrieval.fusion_depth(k)
         assert (1 + 1.6) / (retrieval.RRF_K + d + 1) < 1 / (retrieval.RRF_K + k)
+
+
+@pytest.mark.parametrize("bracket", [0.002, 0.0])
+def test_percentiles_of_large_and_odd_groups(spark, monkeypatch, bracket):
+    """Against sorting, for groups of one value, of many equal ones, of few rows, and with nulls; too narrow brackets are mended."""
+    from lexigrade.operators import metrics
+
+    monkeypatch.setattr(metrics, "BRACKET", bracket)
+    monkeypatch.setattr(metrics, "ACCURACY", 10_000 if bracket else 5)
+    rng = random.Random(3)
+    groups = {"hot": [rng.lognormvariate(0, 1) for _ in range(5000)], "one": [0.25], "same": [2.0] * 900 + [3.0] * 100, "few": [3.0, 1.0, 2.0], "none": [None], "mixed": [None, 1.0, None, 2.0], None: [7.0, 8.0]}
+    rows = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").repartition(4)
+    ratios = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r.g: tuple(r)[1:] for r in metrics.exact_percentiles(rows, ["g"], "v", ratios).collect()}
+    want = {}
+    for g, vs in groups.items():
+        s = sorted(v for v in vs if v is not None)
+        if s:
+            want[g] = tuple(round(s[int((len(s) - 1) * r)], 4) for r in ratios.values())
+    assert got == want
