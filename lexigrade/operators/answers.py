@@ -12,16 +12,16 @@ from .chunking import sentences, source_spans
 _STRINGS = "array<string>"
 
 
-def _space(pattern: str) -> str:
+def pattern(text: str) -> str:
     """A pattern whose white space is Python's."""
-    return pattern.replace(r"\s", T.WS)
+    return text.replace(r"\s", T.WS)
 
 
 def question_form(c: T.Text, enumeration: str = ENUMERATION, yes_no: str = YES_NO, wh: str = WH_WORDS) -> Column:
     """enum, multi (two different question words), yesno (no question word) or single."""
     text = F.trim(T.col(c))
     n = F.size(F.array_distinct(T.words(text, wh)))
-    return F.when(text.rlike(_space(enumeration)), "enum").when(n >= 2, "multi").when(text.rlike(_space(yes_no)) & (n == 0), "yesno").otherwise("single")
+    return F.when(text.rlike(pattern(enumeration)), "enum").when(n >= 2, "multi").when(text.rlike(pattern(yes_no)) & (n == 0), "yesno").otherwise("single")
 
 
 def token_budget(form: Column, budgets: dict[str, int] | None = None) -> Column:
@@ -91,13 +91,13 @@ def best_spans(hits: DataFrame, questions: DataFrame, tokeniser: str = "plain")
 
 def postprocessed(c: T.Text) -> Column:
     """An answer without label, filler and foreign script, each sentence once, blanks collapsed."""
-    out = F.regexp_replace(F.trim(T.col(c)), _space(PREAMBLE), "")
-    out = F.regexp_replace(F.regexp_replace(out, _space(FILLER), ""), FOREIGN, "")
+    out = F.regexp_replace(F.trim(T.col(c)), pattern(PREAMBLE), "")
+    out = F.regexp_replace(F.regexp_replace(out, pattern(FILLER), ""), FOREIGN, "")
     parts = sentences(out, lines=True)
     zero = F.struct(F.array().cast(_STRINGS).alias("seen"), F.array().cast(_STRINGS).alias("kept"))
 
     def step(acc: Column, x: Column) -> Column:
-        key = T.no_space(x)
+        key = T.nopattern(x)
         new = ~F.array_contains(acc["seen"], key)
         return F.when(new, F.struct(F.concat(acc["seen"], F.array(key)).alias("seen"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
 
@@ -116,7 +116,7 @@ def cleaned(c: T.Text) -> Column:
 def evades(c: T.Text) -> Column:
     """Whether an answer is empty or says that it does not know."""
     text = F.coalesce(T.col(c), F.lit(""))
-    return (F.trim(text) == "") | text.rlike(_space(REFUSAL))
+    return (F.trim(text) == "") | text.rlike(pattern(REFUSAL))
 
 
 def copy_rate(answer: T.Text, contexts: Column, n: int = 5) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.fixed import ENUMERATION, REFUSAL, WH_WORDS, YES_NO
 from ..operators import answers, fitting, metrics, quality, retrieval
 from .base import WS, sql_grams, sql_no_space, sql_trim, table
 from .metric_queries import _SQL_AXES, _SQL_SETS, SQL_PAIRS, axes, pairs, set_pairs
@@ -21,7 +22,9 @@ def _add(name: str, query: object, sql: str | None = None) -> None:
 
 # ---------------------------------------------------------------- answers
 
-_Q = "concat(text, CASE doc_id % 6 WHEN 0 THEN ' 항목 3가지는 무엇인가요?' WHEN 1 THEN ' 누가 무엇을 하나요?' WHEN 2 THEN ' 공유는 허용되나요? ' WHEN 3 THEN ' 기간은 얼마인가요?' WHEN 4 THEN ' 되나요? 왜' ELSE '' END)"
+#: Questions of many makings: whole, cut, with blanks within, with question words once, twice or not at all.
+_Q = """concat(CASE WHEN length(text) % 3 = 0 THEN text ELSE substr(text, 1, 15) END, CASE (doc_id + length(text)) % 11 WHEN 0 THEN ' 항목 3가지는 무엇인가요?' WHEN 1 THEN ' 누가 무엇을 하나요?' WHEN 2 THEN ' 공유는 허용되나요? '
+  WHEN 3 THEN ' 기간은 얼마인가요?' WHEN 4 THEN ' 되나요? 왜' WHEN 5 THEN ' 몇  가지' WHEN 6 THEN ' 무엇 무엇' WHEN 7 THEN ' 언제 어디' WHEN 8 THEN ' 가능한가요?' WHEN 9 THEN ' 맞나요 아닌가' ELSE '' END)"""
 
 
 def g1_classify(spark: SparkSession, sf: str) -> DataFrame:
@@ -29,7 +32,8 @@ def g1_classify(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "form", answers.token_budget(F.col("form")).alias("budget"))
 
 
-_SQL_FORM = "CASE doc_id % 6 WHEN 0 THEN 'enum' WHEN 1 THEN 'multi' WHEN 2 THEN 'yesno' ELSE 'single' END"
+_SQL_FORM = f"""CASE WHEN regexp_matches(trim({_Q}), '{answers.pattern(ENUMERATION)}') THEN 'enum' WHEN len(list_distinct(regexp_extract_all({_Q}, '{WH_WORDS}'))) >= 2 THEN 'multi'
+  WHEN regexp_matches(trim({_Q}), '{answers.pattern(YES_NO)}') AND NOT regexp_matches({_Q}, '{WH_WORDS}') THEN 'yesno' ELSE 'single' END"""
 _add("g1_classify", g1_classify, f"WITH f AS (SELECT doc_id, {_SQL_FORM} AS form FROM documents) SELECT doc_id, form, CASE form WHEN 'yesno' THEN 256 WHEN 'single' THEN 288 WHEN 'multi' THEN 384 ELSE 512 END AS budget FROM f")
 
 
@@ -131,8 +135,13 @@ _add(
     f"""WITH b AS (SELECT doc_id, replace(replace(regexp_replace('- ' || replace(text, ',', ' ，'), '(?m)^[\\t-\\r\\x20]*(?:[-*•]|#+)[\\t-\\r\\x20]*', '', 'g'), '。', '. '), '，', ', ') AS x FROM documents)
     SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(regexp_replace(x, '{WS}+([.,])', '\\1', 'g'), chr(10)), lambda y: trim(y)), lambda y: y <> ''), ' ')) AS digest FROM b""",
 )
-_EVADE = "CASE doc_id % 4 WHEN 0 THEN text || ' 확인할 수 없습니다' WHEN 1 THEN ' ' WHEN 2 THEN '알  수 없음' ELSE text END"
-_add("g9_evasion", lambda s, d: table(s, d, "documents").select("doc_id", answers.evades(F.expr(_EVADE)).alias("evades")), "SELECT doc_id, doc_id % 4 <> 3 AS evades FROM documents")
+_EVADE = """CASE (doc_id + length(text)) % 10 WHEN 0 THEN text || ' 확인할 수 없습니다' WHEN 1 THEN ' ' WHEN 2 THEN '알  수 없음' WHEN 3 THEN text || ' 확인할 수 있습니다' WHEN 4 THEN '찾을' || chr(10) || '수 없'
+  WHEN 5 THEN '명시되어있지않음' WHEN 6 THEN '명시 되어 있지 않음' WHEN 7 THEN substr(text, 1, 20) || '확인되지   않' WHEN 8 THEN chr(10) ELSE text END"""
+_add(
+    "g9_evasion",
+    lambda s, d: table(s, d, "documents").select("doc_id", answers.evades(F.expr(_EVADE)).alias("evades")),
+    f"SELECT doc_id, trim({_EVADE}) = '' OR regexp_matches({_EVADE}, '{answers.pattern(REFUSAL)}') AS evades FROM documents",
+)
 
 
 def g10_copy_rate(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,8 +164,17 @@ _add(
     f"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace({_ENDS}, '(다\\.){WS}+', '\\1' || chr(2), 'g'), '[\\x02\\n]'), lambda y: {sql_trim('y')}), lambda y: length(y) >= 10) AS ss FROM documents)
     SELECT doc_id, round(CASE WHEN len(ss) > 0 THEN 1 - len(list_filter(ss, lambda y: regexp_matches(regexp_replace(y, '[.\\t-\\r\\x20\\p{{Z}}]+$', ''), '(음|함|임|됨|짐|옴|기)$')))::DOUBLE / len(ss) ELSE 0 END, 6) AS rate FROM s""",
 )
-_HARD = "CASE doc_id % 5 WHEN 0 THEN 'short.' WHEN 1 THEN text || ' 漢.' WHEN 2 THEN substr(lang || ' and more words than that', 1, 30) WHEN 3 THEN '이것은 두 번 말하는 문장입니다. 이것은 두 번 말하는 문장입니다.' ELSE '이것은 한 번만 말하는 ' || source || ' 문장입니다.' END"
-_add("g12_unusable", lambda s, d: table(s, d, "documents").select("doc_id", answers.unusable(F.expr(_HARD)).alias("bad")), "SELECT doc_id, doc_id % 5 <> 4 AS bad FROM documents")
+_HARD = """CASE (doc_id + length(text)) % 12 WHEN 0 THEN 'short.' WHEN 1 THEN text || ' 漢.' WHEN 2 THEN substr(lang || ' and more words than that', 1, 30) WHEN 3 THEN '이것은 두 번 말하는 문장입니다. 이것은 두 번 말하는 문장입니다.'
+  WHEN 4 THEN '이것은 한 번만 말하는 ' || source || ' 문장입니다.' WHEN 5 THEN text || chr(10) || '1) ' || source WHEN 6 THEN text || chr(10) || '1) ' WHEN 7 THEN '이것은 두 번 말하는 ' || source || ' 문장입니다.' || chr(10) || '이것은 두 번 말하는 ' || source || ' 문장입니다.  '
+  WHEN 8 THEN substr(text, 1, 14) WHEN 9 THEN substr(text, 1, 40) || '요' WHEN 10 THEN text || chr(10) || '  - ' || lang || '  ' ELSE text END"""
+_add(
+    "g12_unusable",
+    lambda s, d: table(s, d, "documents").select("doc_id", answers.unusable(F.expr(_HARD)).alias("bad")),
+    f"""WITH t AS (SELECT doc_id, {_HARD} AS t FROM documents), l AS (SELECT doc_id, t, trim(string_split(regexp_replace(t, '{WS}+$', ''), chr(10))[-1]) AS last,
+      list_filter(list_transform(regexp_split_to_array(regexp_replace(t, '(다\\.){WS}*', '\\1' || chr(2), 'g'), '[\\x02\\n]'), lambda x: trim(x)), lambda x: length(x) >= 15) AS ps FROM t)
+    SELECT doc_id, length(t) < 15 OR regexp_matches(t, '[一-鿿぀-ヿ]') OR (NOT regexp_matches(last, '^{WS}*(?:[0-9]+[.)]|[-*·]){WS}*[^\\t-\\r\\x20\\p{{Z}}]') AND NOT regexp_matches(last, '(다\\.|\\.|요\\.|!|\\?|다|요|:)$'))
+      OR len(ps) <> len(list_distinct(ps)) AS bad FROM l""",
+)
 
 
 def g13_best_of_n(spark: SparkSession, sf: str) -> DataFrame:
@@ -249,20 +267,25 @@ _add(
 
 # ---------------------------------------------------------------- constraints
 
-_IREFS = "CASE doc_id % 5 WHEN 0 THEN cast(array() AS array<struct<doc:string,article:string>>) WHEN 1 THEN array(named_struct('doc', 'src0', 'article', '3')) WHEN 2 THEN array(named_struct('doc', 'nowhere', 'article', 'x')) WHEN 3 THEN array(named_struct('doc', 'src1', 'article', '1'), cast(NULL AS struct<doc:string,article:string>)) ELSE array_repeat(named_struct('doc', 'src1', 'article', '1'), 5) END"
+#: References of all makings: none, too many, no pair, numbers with blanks, letters, unknown documents, and null.
+_IREF = {"none": "", "one": "src0:3", "far": "nowhere:x", "gap": "src1:1,-", "many": "src1:1," * 4 + "src1:1", "blank": "src1: 7 ", "mixed": "src0:3,elsewhere:4,src1:제5조", "four": "src0:1,src1:2,src0:3,src1:4", "empty": "src0:"}
+_ITEXT = "CASE (doc_id + length(text)) % 10 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_IREF.values())) + " END"
+_IANSWER = "CASE length(text) % 7 WHEN 0 THEN ' ' WHEN 1 THEN chr(9) ELSE text END"
+_IREFS = f"transform(filter(split({_ITEXT}, ','), x -> x <> ''), x -> CASE WHEN x <> '-' THEN named_struct('doc', split(x, ':')[0], 'article', split(x, ':')[1]) END)"
 
 
 def i1_contract(spark: SparkSession, sf: str) -> DataFrame:
-    answer = F.expr("CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE text END")
-    rows = table(spark, sf, "documents").select("doc_id", quality.contract_problems(answer, F.expr(_IREFS), ["src0", "src1"]).alias("p"))
+    rows = table(spark, sf, "documents").select("doc_id", quality.contract_problems(F.expr(_IANSWER), F.expr(_IREFS), ["src0", "src1"]).alias("p"))
     return rows.select("doc_id", F.array_join("p", "; ").alias("problems"))
 
 
 _add(
     "i1_contract",
     i1_contract,
-    """SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 7 = 0 THEN 'answer is blank' END, CASE WHEN doc_id % 5 IN (0, 4) THEN '1 to 4 references' END, CASE WHEN doc_id % 5 = 3 THEN 'reference is no pair' END,
-    CASE WHEN doc_id % 5 = 2 THEN 'article is no number' END, CASE WHEN doc_id % 5 = 2 THEN 'unknown document' END], lambda x: x IS NOT NULL), '; ') AS problems FROM documents""",
+    f"""WITH r AS (SELECT doc_id, {_IANSWER} AS a, {_ITEXT} AS t, CASE WHEN {_ITEXT} = '' THEN [] ELSE string_split({_ITEXT}, ',') END AS rs FROM documents)
+    SELECT doc_id, array_to_string(list_filter([CASE WHEN trim(a) = '' THEN 'answer is blank' END, CASE WHEN t IS NULL OR len(rs) NOT BETWEEN 1 AND 4 THEN '1 to 4 references' END, CASE WHEN list_contains(rs, '-') THEN 'reference is no pair' END,
+      CASE WHEN len(list_filter(rs, lambda x: x <> '-' AND NOT regexp_full_match(trim(split_part(x, ':', 2)), '[0-9]+'))) > 0 THEN 'article is no number' END,
+      CASE WHEN len(list_filter(rs, lambda x: x <> '-' AND split_part(x, ':', 1) NOT IN ('src0', 'src1'))) > 0 THEN 'unknown document' END], lambda x: x IS NOT NULL), '; ') AS problems FROM r""",
 )
 
 

@@ -75,7 +75,9 @@ def b5_strip_html(spark: SparkSession, sf: str) -> DataFrame:
 
 _add("b5_strip_html", b5_strip_html, f"WITH s AS (SELECT page_id, {sql_unescape(_SQL_STRIP.format(x='html'))} AS t FROM pages) SELECT page_id, CAST(length(t) AS INT) AS n, md5(t) AS digest FROM s")
 
-_LINE = "CASE WHEN doc_id % 3 = 0 THEN '제 ' || doc_id || ' 조 (' || lang || ')' WHEN doc_id % 3 = 1 THEN ' 제' || doc_id || '조  ' || source ELSE '제1조에 따라' END"
+#: Lines that are headings in parentheses or bare, of either width, with blanks and references, and lines that only look like one.
+_LINE = """CASE (doc_id + length(text)) % 12 WHEN 0 THEN '제 ' || doc_id || ' 조 (' || lang || ')' WHEN 1 THEN ' 제' || doc_id || '조  ' || source WHEN 2 THEN '제1조에 따라' WHEN 3 THEN '제' || doc_id || '조（ ' || source || ' ）' WHEN 4 THEN '제 ' || doc_id || '조의2 (' || lang || ')'
+  WHEN 5 THEN '제' || doc_id || '조(' || lang || ') ' || source WHEN 6 THEN '제 ' || doc_id || ' 조()' WHEN 7 THEN '제' || doc_id || '조' WHEN 8 THEN substr(text, 1, 30) WHEN 9 THEN '  제  ' || doc_id || '  조  ' || substr(text, 1, 9) || ' ' WHEN 10 THEN '제' || doc_id || '조 (a&amp;b' || lang || ')' ELSE '제 일 조 (' || lang || ')' END"""
 
 
 def b6_parse_heading(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,7 +88,9 @@ def b6_parse_heading(spark: SparkSession, sf: str) -> DataFrame:
 _add(
     "b6_parse_heading",
     b6_parse_heading,
-    "SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN CAST(doc_id AS INT) END AS article_no, CASE WHEN doc_id % 3 = 0 THEN lang WHEN doc_id % 3 = 1 THEN source END AS title FROM documents",
+    f"""WITH l AS (SELECT doc_id, {sql_one_line(_LINE)} AS x FROM documents), b AS (SELECT *, '^제 ?([0-9]+) ?조 ?[（(] ?([^）)]*?) ?[）)]$' AS p, '^제 ?([0-9]+) ?조 (.+)$' AS q FROM l)
+    SELECT doc_id, CASE WHEN regexp_matches(x, p) THEN CAST(regexp_extract(x, '^제 ?([0-9]+) ?조 ?[（(] ?([^）)]*?) ?[）)]$', 1) AS INT) WHEN regexp_matches(x, q) THEN CAST(regexp_extract(x, '^제 ?([0-9]+) ?조 (.+)$', 1) AS INT) END AS article_no,
+      CASE WHEN regexp_matches(x, p) THEN regexp_extract(x, '^제 ?([0-9]+) ?조 ?[（(] ?([^）)]*?) ?[）)]$', 2) WHEN regexp_matches(x, q) THEN regexp_extract(x, '^제 ?([0-9]+) ?조 (.+)$', 2) END AS title FROM b""",
 )
 _add(
     "b7_article_no",
@@ -127,10 +131,13 @@ _add(
       UNION ALL SELECT doc_id, '' FROM l WHERE len(ls) = 0
     ) SELECT doc_id, CAST(length(t) AS INT) AS n, md5(t) AS digest FROM r""",
 )
+_TEAM = """CASE (doc_id + length(text)) % 9 WHEN 0 THEN cast(doc_id AS varchar(20)) WHEN 1 THEN source WHEN 2 THEN ' ' WHEN 3 THEN ' ' || (doc_id + 1) || '  ' WHEN 4 THEN '0' || doc_id WHEN 5 THEN '1' || repeat('7', 25 + cast(doc_id % 12 AS int))
+  WHEN 6 THEN '12 ' || doc_id WHEN 7 THEN substr(text, 1, 3) ELSE '-' || doc_id END"""
 _add(
     "b12_team_id",
-    lambda s, d: table(s, d, _DOCS).select("doc_id", readers.team_problem(F.expr("CASE doc_id % 4 WHEN 0 THEN cast(doc_id AS string) WHEN 1 THEN source WHEN 2 THEN ' ' ELSE cast(doc_id + 1 AS string) END")).alias("problem")),
-    "SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN 'empty' WHEN doc_id % 4 = 1 OR doc_id = 0 THEN 'not a number' END AS problem FROM documents",
+    lambda s, d: table(s, d, _DOCS).select("doc_id", readers.team_problem(F.expr(_TEAM)).alias("problem"), readers.team_problem(F.expr(_TEAM), numeric=False).alias("named")),
+    f"""WITH t AS (SELECT doc_id, trim({_TEAM}) AS t FROM documents), r AS (SELECT doc_id, t, CASE WHEN length(t) > 32 THEN 'too long' WHEN NOT regexp_full_match(t, '[0-9A-Za-z_가-힣-]+') THEN 'character' END AS rest FROM t)
+    SELECT doc_id, CASE WHEN t = '' THEN 'empty' WHEN NOT regexp_full_match(t, '[1-9][0-9]*') THEN 'not a number' ELSE rest END AS problem, CASE WHEN t = '' THEN 'empty' ELSE rest END AS named FROM r""",
 )
 _FILE = "CASE doc_id % 3 WHEN 0 THEN 'file:/x/answers_BLIND' || doc_id || '.json' WHEN 1 THEN '/x/blind 0' || doc_id || '.json' ELSE '/x/' || source || '.json' END"
 _BODY = "CASE WHEN doc_id % 5 = 0 THEN '{\"meta\":{\"blind_id\":\" b' || doc_id || '\"}}' ELSE '{}' END"
@@ -139,10 +146,14 @@ _add(
     lambda s, d: table(s, d, _DOCS).select("doc_id", readers.blind_id(F.expr(_FILE), F.expr(_BODY)).alias("blind_id")),
     """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'B' || doc_id WHEN doc_id % 3 < 2 THEN 'BLIND' || CASE WHEN doc_id < 10 THEN '0' || doc_id ELSE CAST(doc_id AS VARCHAR) END ELSE source END AS blind_id FROM documents""",
 )
+_NAME = """CASE (doc_id + length(text)) % 6 WHEN 0 THEN 'answers_BLIND' || doc_id WHEN 1 THEN 'blind0' || doc_id || 'x' WHEN 2 THEN 'blind ' || doc_id WHEN 3 THEN source || '.v2' WHEN 4 THEN 'BLIND' ELSE 'xBlInD' || doc_id || '_BLIND1' END"""
+_FIELDS = """CASE length(text) % 5 WHEN 0 THEN '{"team":"t' || doc_id || '"}' WHEN 1 THEN '{"blindId":" b' || doc_id || ' ","team":"t"}' WHEN 2 THEN '{"id":"i' || doc_id || '","blind_id":" "}' WHEN 3 THEN '{"blind_id":"c' || doc_id || '","id":"x"}' ELSE '{}' END"""
 _add(
     "b14_blind_id_dev",
-    lambda s, d: table(s, d, _DOCS).select("doc_id", readers.blind_id(F.expr(_FILE), F.expr("'{\"team\":\"t' || doc_id || '\"}'"), "dev").alias("blind_id")),
-    "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'BLIND' || doc_id ELSE 't' || doc_id END AS blind_id FROM documents",
+    lambda s, d: table(s, d, _DOCS).select("doc_id", readers.blind_id(F.expr(f"concat('/x/', {_NAME}, '.json')"), F.expr(_FIELDS), "dev").alias("blind_id")),
+    f"""WITH r AS (SELECT doc_id, {_NAME} AS name, {_FIELDS} AS raw FROM documents), f AS (SELECT doc_id, name, upper(regexp_extract(name, '(?i)(BLIND[0-9]+)', 1)) AS b,
+      [nullif(trim(json_extract_string(raw, k)), '') FOR k IN ['$.blind_id', '$.blindId', '$.id', '$.team']] AS given FROM r)
+    SELECT doc_id, coalesce(nullif(b, ''), given[1], given[2], given[3], given[4], name) AS blind_id FROM f""",
 )
 
 # ---------------------------------------------------------------- chunking

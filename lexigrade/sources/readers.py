@@ -148,7 +148,7 @@ def team_problem(c: T.Text, numeric: bool = True, most: int = 32, allowed: str =
     out = F.when(team == "", "empty")
     if numeric:
         out = out.when(~team.rlike("^[1-9][0-9]*$"), "not a number")
-    return out.when(F.char_length(team) > most, "too long").when(~team.rlike(f"^[{allowed}가-힣]+$"), "character")
+    return out.when(F.char_length(team) > most, "too long").when(~team.rlike(f"^[가-힣{allowed}]+$"), "character")
 
 
 def terms(files: DataFrame) -> DataFrame:
