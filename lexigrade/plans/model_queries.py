@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -205,35 +208,69 @@ _add("a20_judge", a20_judge, "SELECT item_id, round(10 * (0.40::DOUBLE * (length
 
 
 class Flaky:
-    """A remote model that fails a prompt's first tries, as many as its length says; ``waits`` holds what was slept."""
+    """A remote model that fails a prompt's first tries, as many as its length says."""
 
-    def __init__(self, fails: int):
-        self.fails, self.tries, self.waits = fails, 0, []
+    def __init__(self) -> None:
+        self.tries: dict[str, int] = {}
 
     def __call__(self, prompt: str) -> str:
-        self.tries += 1
-        if self.tries <= self.fails:
+        self.tries[prompt] = self.tries.get(prompt, 0) + 1
+        if self.tries[prompt] <= len(prompt) % 5:
             raise TimeoutError("busy")
+        del self.tries[prompt]
         return _stub(prompt)
 
 
 def k1_retries(spark: SparkSession, sf: str) -> DataFrame:
-    """What each prompt's retries were: tries, seconds waited, and whether a reply came, for 0 to 4 failures."""
-    rows = []
-    for r in table(spark, sf, "benchmark").select("item_id", "text").collect():  # a benchmark is small
-        model, waits = Flaky(r["item_id"] % 5), []
-        try:
-            reply = models.with_retries([model], r["text"], tries=3, base_wait=0.5, sleep=waits.append)
-        except RuntimeError:
-            reply = None
-        rows.append((r["item_id"], model.tries, float(sum(waits)), reply))
-    return spark.createDataFrame(rows, "item_id long, tries int, waited double, reply string")
+    """What each document's retries in its task were: tries, seconds waited, and whether a reply came, for 0 to 4 failures."""
+    rows = table(spark, sf, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(" "), "text").alias("prompt"))
+    got = models.called(rows, "prompt", f"flaky {uuid.uuid4().hex}", [Flaky], base_wait=0.0005)
+    return got.select("doc_id", "tries", F.round("waited", 6).alias("waited"), F.md5(F.col("reply").cast("binary")).alias("reply"), "error")
 
 
 _add(
     "k1_retries",
     k1_retries,
-    "SELECT item_id, CAST(least(item_id % 5 + 1, 3) AS INT) AS tries, CASE item_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 0.5 ELSE 1.5 END::DOUBLE AS waited, CASE WHEN item_id % 5 < 3 THEN string_split(text, '. ')[1] END AS reply FROM benchmark",
+    """WITH p AS (SELECT doc_id, doc_id || ' ' || text AS t, length(doc_id || ' ' || text) % 5 AS f FROM documents)
+    SELECT doc_id, CAST(least(f + 1, 3) AS INT) AS tries, CASE f WHEN 0 THEN 0 WHEN 1 THEN 0.0005 ELSE 0.0015 END::DOUBLE AS waited, CASE WHEN f < 3 THEN md5(string_split(t, '. ')[1]) END AS reply, CASE WHEN f >= 3 THEN 'no reply: busy' END AS error FROM p""",
+)
+
+
+def _slow() -> models.Call:
+    def call(prompt: str) -> str:
+        if len(prompt) % 9 == 2:
+            time.sleep(30)
+        return _stub(prompt)
+
+    return call
+
+
+_add(
+    "k4_deadlines",
+    lambda s, d: models.called(_prompts(s, d), "prompt", "slow", [_slow], deadline_s=0.3).select("item_id", "reply", "error", "late"),
+    f"SELECT item_id, CASE WHEN length(text) % 9 <> 2 THEN {_SQL_REPLY} END AS reply, CASE WHEN item_id % 9 <> 4 AND length(text) % 9 = 2 THEN 'no reply within 0.3 s' END AS error, item_id % 9 <> 4 AND length(text) % 9 = 2 AS late FROM benchmark",
+)
+
+
+class Warm:
+    """A model that is slow until it has been called once, and says so."""
+
+    def __init__(self) -> None:
+        self.calls = 0
+
+    def __call__(self, prompt: str) -> str:
+        self.calls += 1
+        return f"{'cold' if self.calls == 1 else 'warm'} {_stub(prompt)}"
+
+
+def _too_large() -> models.Call:
+    raise MemoryError("does not fit")
+
+
+_add(
+    "k8_warm_up",
+    lambda s, d: models.called(table(s, d, "documents").select("doc_id", "text"), "text", f"warm {uuid.uuid4().hex}", [_too_large, Warm], warm_up="hello").select("doc_id", F.md5(F.col("reply").cast("binary")).alias("reply")),
+    "SELECT doc_id, CASE WHEN trim(text) <> '' THEN md5('warm ' || string_split(text, '. ')[1]) END AS reply FROM documents",
 )
 
 
@@ -250,13 +287,18 @@ _add(
 )
 
 
+GAP = 0.002
+
+
 def k2_sequential_pacing(spark: SparkSession, sf: str) -> DataFrame:
-    """Calls one after the other with a pause in between: all in one partition."""
-    got = models.replies(_prompts(spark, sf).repartition(4), "prompt", [_stub], parallel=1, gap=0.001)
-    return got.withColumn("part", F.spark_partition_id()).select("item_id", "reply", "part")
+    """Calls in four lanes that start one every GAP seconds together: each lane's starts are four gaps apart at least."""
+    got = models.called(_prompts(spark, sf), "prompt", "clock", [lambda: lambda prompt: repr(time.monotonic())], gap=GAP, lanes=4)
+    starts = Window.partitionBy(F.spark_partition_id()).orderBy("at")
+    rows = got.select("item_id", F.col("reply").cast("double").alias("at")).withColumn("since", F.col("at") - F.lag("at").over(starts))
+    return rows.select("item_id", F.col("at").isNotNull().alias("sent"), F.coalesce(F.col("since") > 3.5 * GAP, F.lit(True)).alias("paced"))
 
 
-_add("k2_sequential_pacing", k2_sequential_pacing, f"SELECT item_id, {_SQL_REPLY} AS reply, 0 AS part FROM benchmark")
+_add("k2_sequential_pacing", k2_sequential_pacing, "SELECT item_id, item_id % 9 <> 4 AS sent, true AS paced FROM benchmark")
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,11 +7,13 @@ of partitions is the number of calls at a time. Stubs make tests deterministic.
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,98 @@ def replies(rows: DataFrame, prompt_col: str, variants: Sequence[Call], parallel
     return dealt.mapInPandas(run, schema)
 
 
+_LOADED: dict[str, Call] = {}
+_LOADING = threading.Lock()
+
+
+def loaded(name: str, loaders: Sequence[Callable[[], Call]], warm_up: str | None = None) -> Call:
+    """This worker process's model of a name: the first caller loads and warms it, all others, in this and in later tasks, get the same one."""
+    with _LOADING:
+        if name not in _LOADED:
+            _LOADED[name] = first_that_loads(loaders, warm_up)
+        return _LOADED[name]
+
+
+class Late(Exception):
+    """A call that took longer than its deadline."""
+
+
+def within(call: Call, prompt: str, deadline_s: float | None) -> str:
+    """The call's reply if it comes in time; a late call is left to itself, in a thread that ends with the process."""
+    if deadline_s is None:
+        return call(prompt)
+    said: list[str] = []
+    wrong: list[BaseException] = []
+
+    def run() -> None:
+        try:
+            said.append(call(prompt))
+        except BaseException as e:  # noqa: BLE001  whatever a model raises is the caller's to see
+            wrong.append(e)
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(deadline_s)
+    if thread.is_alive():
+        raise Late(f"no reply within {deadline_s} s")
+    if wrong:
+        raise wrong[0]
+    return said[0]
+
+
+def called(
+    rows: DataFrame, prompt_col: str, name: str, loaders: Sequence[Callable[[], Call]], *, warm_up: str | None = None, tries: int = 3, base_wait: float = 1.0,
+    deadline_s: float | None = None, gap: float = 0.0, lanes: int | None = None, profile: ResourceProfile | None = None,
+) -> DataFrame:
+    """rows with reply, error, tries, waited (seconds) and late, by a model that each worker process loads once.
+
+    Each row's call has its own retries and its own deadline, which ends its
+    retries, too; a failed or late one is a row like the others. With ``lanes``
+    rows are dealt over so many tasks, and a lane waits ``lanes * gap`` between the
+    starts of two calls, so that all together start one a ``gap``. ``profile`` asks for
+    what a task needs of an executor: one that takes a whole device leaves room
+    for a single model there. A job tag on the session's context cancels the run.
+    """
+    added = {"reply": "string", "error": "string", "tries": "int", "waited": "double", "late": "boolean"}
+    schema = rows.withColumns({k: F.lit(None).cast(v) for k, v in added.items()}).schema
+    dealt = rows if lanes is None else rows.repartition(lanes)
+    pause = gap * (lanes or 1)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        began = None
+        for frame in frames:
+            out = []
+            for prompt in frame[prompt_col]:
+                if prompt is None or not str(prompt).strip():
+                    out.append((None, None, 0, 0.0, False))
+                    continue
+                if pause and began is not None:
+                    time.sleep(max(0.0, began + pause - time.monotonic()))
+                began = time.monotonic()
+                counted, waits = [0], []
+
+                def once(text: str, counted: list[int] = counted) -> str:
+                    counted[0] += 1
+                    return loaded(name, loaders, warm_up)(text)
+
+                def wait(seconds: float, waits: list[float] = waits) -> None:
+                    waits.append(seconds)
+                    time.sleep(seconds)
+
+                reply = error = None
+                late = False
+                try:
+                    reply = within(lambda text: with_retries([once], text, tries, base_wait, wait), prompt, deadline_s)  # noqa: B023  called before the next row
+                except Late as e:
+                    error, late = str(e), True
+                except RuntimeError as e:
+                    error = str(e)
+                out.append((reply, error, counted[0], float(sum(waits)), late))
+            yield frame.assign(**{k: [x[i] for x in out] for i, k in enumerate(added)})
+
+    return dealt.mapInPandas(run, schema, profile=profile)
+
+
 def scorer(function: Callable[[pd.Series, pd.Series], pd.Series]) -> Callable[[Column, Column], Column]:
     """A cross-encoder as a Column function of (query, passage)."""
     return F.pandas_udf(function, "double")

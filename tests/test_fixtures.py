@@ -234,6 +234,44 @@ def test_models_and_cache(spark, tmp_path):
     assert json_of(tmp_path / "out") == {"results": [{"blind_id": "a", "total": None, "status": "failed"}]}
 
 
+def test_calls_load_once_and_end_in_time(spark, tmp_path):
+    """Loads and overlapping calls as files that a stub writes; late calls do not hold their task."""
+    import os
+    import time
+
+    folder = str(tmp_path)
+
+    class Counting:
+        def __init__(self):
+            open(f"{folder}/load-{os.getpid()}-{time.monotonic_ns()}", "w").close()
+
+        def __call__(self, prompt):
+            if prompt == "sleep":
+                time.sleep(60)
+            if prompt == "fail":
+                raise ValueError("no")
+            return f"{os.getpid()} {prompt}"
+
+    prompts = ["a", "sleep", "", "b", "fail", None, "c"] * 3
+    rows = spark.createDataFrame(list(enumerate(prompts)), "id int, prompt string").repartition(2)
+    began = time.monotonic()
+    got = {r.id: r for r in models.called(rows, "prompt", "counting", [Counting], warm_up="w", tries=2, base_wait=0.001, deadline_s=0.5).collect()}
+    assert time.monotonic() - began < 30
+    for i, p in enumerate(prompts):
+        r = got[i]
+        if not p:
+            assert (r.reply, r.error, r.tries, r.late) == (None, None, 0, False)
+        elif p == "sleep":
+            assert r.late and r.reply is None and "0.5" in r.error
+        elif p == "fail":
+            assert (r.error, r.tries, r.late) == ("no reply: no", 2, False)
+        else:
+            assert r.reply.endswith(f" {p}") and r.tries == 1
+    workers = {r.reply.split()[0] for r in got.values() if r.reply}
+    loads = [f.split("-")[1] for f in os.listdir(folder) if f.startswith("load-")]
+    assert len(loads) == len(set(loads)) and workers <= set(loads)
+
+
 def json_of(folder):
     """What the files of a folder are, one after another."""
     import json
