@@ -94,14 +94,11 @@ def postprocessed(c: T.Text) -> Column:
     out = F.regexp_replace(F.trim(T.col(c)), pattern(PREAMBLE), "")
     out = F.regexp_replace(F.regexp_replace(out, pattern(FILLER), ""), FOREIGN, "")
     parts = sentences(out, lines=True)
-    zero = F.struct(F.array().cast(_STRINGS).alias("seen"), F.array().cast(_STRINGS).alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        key = T.nopattern(x)
-        new = ~F.array_contains(acc["seen"], key)
-        return F.when(new, F.struct(F.concat(acc["seen"], F.array(key)).alias("seen"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
-
-    return F.trim(F.regexp_replace(F.array_join(F.aggregate(parts, zero, step)["kept"], "\n"), "[ \t]+", " "))
+    # Of sentences alike the first stays: sorted, those alike lie together, the first one in front.
+    keyed = F.sort_array(F.transform(parts, lambda x, i: F.struct(T.no_space(x).alias("key"), i.alias("i"), x.alias("x"))))
+    first = lambda s: F.filter(F.transform(s, lambda e, i: F.when((i == 0) | (F.get(s, i - 1)["key"] != e["key"]), F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e.isNotNull())
+    kept = F.transform(F.sort_array(F.transform(F.array(keyed), first)[0]), lambda e: e["x"])
+    return F.trim(F.regexp_replace(F.array_join(kept, "\n"), "[ \t]+", " "))
 
 
 def cleaned(c: T.Text) -> Column:

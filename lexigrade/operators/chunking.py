@@ -16,14 +16,25 @@ MARKDOWN_ARTICLE = r"^#{1,6}[\t-\r\x20]*(제[\t-\r\x20]*([0-9]+)[\t-\r\x20]*조[
 PLAIN_ARTICLE = r"^제[\t-\r\x20]*([0-9]+)[\t-\r\x20]*조[\t-\r\x20]*(.{0,40})$"
 CHAPTER = r"^제[\t-\r\x20]*[0-9]+[\t-\r\x20]*장(?![0-9A-Za-z_가-힣])"
 
-#: Begins a part; a character that no text holds.
-PART_MARK = "\ufdd0"
+#: Begins a part. A text that holds this or another mark has SPARE in its place until it is split.
+PART_MARK, SPARE = "\ufdd0", "\ufdef"
+
+
+def _free(text: Column, mark: str) -> Column:
+    return F.translate(text, mark, SPARE)
+
+
+def _back(parts: Column, text: Column, mark: str) -> Column:
+    """Parts of a text in which SPARE stands for a mark, as they were. Texts without the mark keep a SPARE of their own."""
+    known = F.struct(parts.alias("p"), F.contains(text, F.lit(mark)).alias("held"))
+    return F.transform(F.array(known), lambda x: F.when(x["held"], F.transform(x["p"], lambda y: F.translate(y, SPARE, mark))).otherwise(x["p"]))[0]
 
 
 def _parts(lines: Column, is_head: object) -> Column:
     """The text from each heading to the next one, heading first; lines before the first heading go."""
-    marked = F.array_join(F.transform(lines, lambda x: F.when(is_head(x), F.concat(F.lit(PART_MARK), x)).otherwise(x)), "\n")
-    parts = F.split(marked, PART_MARK, -1)
+    free = lambda x: _free(x, PART_MARK)
+    marked = F.array_join(F.transform(lines, lambda x: F.when(is_head(x), F.concat(F.lit(PART_MARK), free(x))).otherwise(free(x))), "\n")
+    parts = _back(F.split(marked, PART_MARK, -1), F.array_join(lines, ""), PART_MARK)
     return F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.regexp_replace(x, "\n$", ""))
 
 
@@ -125,10 +136,11 @@ CLAUSE_MARK = "\x01"
 
 def clause_parts(c: T.Text) -> Column:
     """Pieces of a text that begin with a circled digit 1 to 10, or with ``N.`` at a line's start; shorter than 40 characters join the piece before."""
-    marked = F.regexp_replace(F.regexp_replace(T.col(c), "([①-⑩])", CLAUSE_MARK + "$1"), r"(?m)^([\t-\r\x20]*[0-9]+[\t-\r\x20]*\.)", CLAUSE_MARK + "$1")
+    marked = F.regexp_replace(F.regexp_replace(_free(T.col(c), CLAUSE_MARK), "([①-⑩])", CLAUSE_MARK + "$1"), r"(?m)^([\t-\r\x20]*[0-9]+[\t-\r\x20]*\.)", CLAUSE_MARK + "$1")
     parts = F.filter(F.transform(F.split(marked, CLAUSE_MARK), lambda x: F.regexp_replace(x, rf"^{T.WS}+|{T.WS}+$", "")), lambda x: x != "")
     # A mark goes where fewer than 40 characters follow it up to the next one.
-    return F.split(F.regexp_replace(F.array_join(parts, CLAUSE_MARK), f"{CLAUSE_MARK}(?=[^{CLAUSE_MARK}]{{0,39}}(?:{CLAUSE_MARK}|\\z))", "\n"), CLAUSE_MARK, -1)
+    found = F.split(F.regexp_replace(F.array_join(parts, CLAUSE_MARK), f"{CLAUSE_MARK}(?=[^{CLAUSE_MARK}]{{0,39}}(?:{CLAUSE_MARK}|\\z))", "\n"), CLAUSE_MARK, -1)
+    return _back(found, T.col(c), CLAUSE_MARK)
 
 
 def units(rows: DataFrame, granularity: str = "article", title_col: str = "title", text_col: str = "text") -> DataFrame:
@@ -147,16 +159,16 @@ SENTENCE_MARK = "\x02"
 
 def sentences(c: T.Text, lines: bool = False) -> Column:
     """Sentences that end in the plain declarative form and a space, and lines if asked for; stripped, none empty."""
-    marked = F.regexp_replace(T.col(c), rf"(다\.){T.WS}+", "$1" + SENTENCE_MARK)
-    parts = F.split(marked, f"[{SENTENCE_MARK}\n]" if lines else SENTENCE_MARK)
+    marked = F.regexp_replace(_free(T.col(c), SENTENCE_MARK), rf"(다\.){T.WS}+", "$1" + SENTENCE_MARK)
+    parts = _back(F.split(marked, f"[{SENTENCE_MARK}\n]" if lines else SENTENCE_MARK), T.col(c), SENTENCE_MARK)
     return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, rf"^{T.WS}+|{T.WS}+$", "")), lambda x: x != "")
 
 
 def source_spans(c: T.Text, most: int = 260) -> Column:
     """Numbered or circled items of a text, long ones by sentence, without their circled digit."""
-    marked = F.regexp_replace(T.col(c), rf"(^|{T.WS})(?=[0-9]{{1,2}}\.{T.WS}|[①-⑳])", "$1" + CLAUSE_MARK)
+    marked = F.regexp_replace(_free(T.col(c), CLAUSE_MARK), rf"(^|{T.WS})(?=[0-9]{{1,2}}\.{T.WS}|[①-⑳])", "$1" + CLAUSE_MARK)
     trimmed = lambda x: F.regexp_replace(x, rf"^{T.WS}+|{T.WS}+$", "")
-    parts = F.filter(F.transform(F.split(marked, CLAUSE_MARK), trimmed), lambda x: x != "")
+    parts = F.filter(F.transform(_back(F.split(marked, CLAUSE_MARK), T.col(c), CLAUSE_MARK), trimmed), lambda x: x != "")
     spans = F.flatten(F.transform(parts, lambda x: F.when(F.char_length(x) <= most, F.array(x)).otherwise(sentences(x))))
     return F.transform(spans, lambda x: trimmed(F.regexp_replace(x, rf"^[①-⑳]{T.WS}*", "")))
 

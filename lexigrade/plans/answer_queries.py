@@ -194,7 +194,11 @@ def _sql_best() -> str:
 
 
 _add("g13_best_of_n", g13_best_of_n, _sql_best())
-_add("g14_question_seed", lambda s, d: table(s, d, "benchmark").select("item_id", answers.question_seed("text").alias("seed")))
+#: CRC-32 over the UTF-8 bytes: hex pairs of the text, and the table of the reflected polynomial by eight shifts a byte.
+_SQL_CRC = """WITH z AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(0, 256)) AS i))),
+    b AS (SELECT {id}, list_transform(range(0, strlen(x)), lambda k: CAST('0x' || substr(h, CAST(2 * k + 1 AS INT), 2) AS BIGINT)) AS bs FROM (SELECT {id}, {x} AS x, hex(encode({x})) AS h FROM {rows}))
+    SELECT {id}, CAST(42 + xor(list_reduce(list_prepend(4294967295::BIGINT, bs), lambda c, y: xor(c >> 8, z.t[CAST(xor(c, y) & 255 AS INT) + 1])), 4294967295) % 100000 AS BIGINT) AS seed FROM b, z"""
+_add("g14_question_seed", lambda s, d: table(s, d, "documents").select("doc_id", answers.question_seed("text").alias("seed")), _SQL_CRC.format(id="doc_id", x="text", rows="documents"))
 
 
 def g15_grounding(spark: SparkSession, sf: str) -> DataFrame:

@@ -391,3 +391,14 @@ def test_retriever_without_vectors_of_a_failing_model(spark):
     docs = spark.createDataFrame([(1, "xx the red fox sleeps yy"), (2, "the red\nfox"), (3, "a b"), (4, "fox")], "i long, t string")
     items = spark.createDataFrame([(1, "e red fox s"), (2, "fox"), (3, "a b"), (4, "red fox")], "q long, p string")
     assert sorted(map(tuple, retrieval.holding(docs, "i", "t", items, "q", "p").collect())) == [(1, 1), (2, 1), (2, 2), (2, 4), (3, 3), (4, 1)]
+
+
+def test_marks_in_texts_split_nothing(spark):
+    """Characters that splitting uses for itself stay where a text has them, also beside their stand-in."""
+    for mark in ("\x01", "\x02", "\ufdd0", "\ufdef", "\x01\ufdef"):
+        long = "a" * 60 + mark + "b" * 60
+        assert one(spark, chunking.clause_parts("t"), t=long) == [long.replace("\ufdef", "\x01") if "\x01" in mark else long]
+        got = one(spark, chunking.sentences("t"), t=f"x{mark}y다. z{mark}")
+        assert got == [f"x{mark}y다.", f"z{mark}"]
+        docs = spark.createDataFrame([("d", f"# 제1조 a\nx{mark}y\n# 제2조 b\nz")], "doc string, text string")
+        assert [(r.article_no, r.body) for r in chunking.articles(docs, "doc", "text").orderBy("ord").collect()] == [(1, f"x{mark}y"), (2, "z")]
