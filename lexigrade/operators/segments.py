@@ -94,8 +94,8 @@ class Segments:
         return asked.join(known, "term").select("qid", "term", "df", w.alias("w"), (w * F.col("top")).alias("most"), F.lit(avgdl).alias("avgdl"), self.bucket(F.col("term")).alias("bucket"))
 
     def search(self, asked: DataFrame, k: int, k1: float = retrieval.K1, b: float = retrieval.B) -> DataFrame:
-        """The first k units of every question's terms (qid, term, qtf): (qid, unit, score, rank). Exact."""
-        return retrieval.ranked(self.passes(asked, k, k1, b)["scores"], k=k)
+        """The first k units of every question's terms (qid, term, qtf): (qid, unit, score, rank). Exact, and a table: what uses it does not search again."""
+        return retrieval.kept(retrieval.ranked(self.passes(asked, k, k1, b)["scores"], k=k), "found")
 
     def scores(self, asked: DataFrame, k1: float = retrieval.K1, b: float = retrieval.B) -> DataFrame:
         """(qid, unit, score) of all units that have one of a question's terms (qid, term, qtf)."""
