@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,8 +44,6 @@ from .common import Shelf, flat, lower_table, ragged, small_batches, spans, tabl
 LEAST, MOST_WORDS, COVER, SCALE = 10, 3, 50, 1_000_000
 #: Words of a block.
 BLOCK_WORDS = 1 << 18
-#: log2 of the numbers of a block, and of the blocks of a task, that a place has room for.
-PLACE_BITS = 20
 #: What ends a piece, and what else ends a word.
 PIECE_ENDS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 
@@ -87,7 +86,7 @@ def blocks(docs: DataFrame, text_col: str, lang_col: str, most_words: int, block
     lower = lower_table()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = (TaskContext.get().partitionId() << PLACE_BITS) - 1
+        block = (TaskContext.get().partitionId() << 32) - 1
         for batch in batches:
             langs = batch.column(1).dictionary_encode()
             codes = langs.indices.to_numpy()
@@ -95,12 +94,22 @@ def blocks(docs: DataFrame, text_col: str, lang_col: str, most_words: int, block
                 data, offsets = flat(batch.column(0).take(pa.array(np.flatnonzero(codes == n))))
                 for words, counts, seq, own in cut_blocks(*words_of(lower[data], offsets), most_words - 1, block_words):
                     block += 1
-                    cols = [pa.array([block]), pa.array([lang]), pa.array([words], pa.list_(pa.string())), listed(counts, pa.int64()), listed(seq, pa.int32()), pa.array([own], pa.int32())]
+                    cols = [pa.array([block]), pa.array([lang]), pa.array([words], pa.list_(pa.string())), listed(counts, pa.int64()), pa.array([packed(seq)], pa.binary()), pa.array([own], pa.int32())]
                     yield pa.RecordBatch.from_arrays(cols, ["block", "lang", "words", "counts", "seq", "own"])
 
     small_batches(docs)
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"))
-    return rows.mapInArrow(run, "block long, lang string, words array<string>, counts array<long>, seq array<int>, own int")
+    return rows.mapInArrow(run, "block long, lang string, words array<string>, counts array<long>, seq binary, own int")
+
+
+def packed(seq: np.ndarray) -> bytes:
+    """Numbers of a block in few bytes: it is what is shuffled most. Bytes of equal weight lie together, so the high ones take no room."""
+    return zstandard.ZstdCompressor(level=1).compress(seq.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").ravel()
 
 
 def listed(values: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -137,35 +146,21 @@ def paired(named: DataFrame, last: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                seq = batch.column(2)[i].values.to_numpy(zero_copy_only=False)
+                seq = unpacked(batch.column(2)[i].as_py())
                 ids, given = np.full(batch.column(3)[i].as_py(), -1, np.int64), batch.column(4)[i].values
                 ids[given.field(0).to_numpy()] = given.field(1).to_numpy()
                 a, b, counts, out = pairs_of(seq, ids, batch.column(1)[i].as_py())
                 if last:
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(counts)], ["a", "b", "counts"])
                     continue
-                lists = [listed(a, pa.int64()), listed(b, pa.int64()), listed(counts, pa.int64()), listed(out, pa.int32())]
+                lists = [listed(a, pa.int64()), listed(b, pa.int64()), listed(counts, pa.int64()), pa.array([packed(out)], pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), *lists], ["block", "own", "a", "b", "counts", "seq"])
 
     small_batches(named)
-    schema = "a long, b long, counts long" if last else "block long, own int, a array<long>, b array<long>, counts array<long>, seq array<int>"
+    schema = "a long, b long, counts long" if last else "block long, own int, a array<long>, b array<long>, counts array<long>, seq binary"
     return named.select("block", "own", "seq", "size", "ids").mapInArrow(run, schema)
 
 
-def _named(rows: DataFrame, least: int) -> DataFrame:
-    """(block, no, id) of the blocks' frequent pairs, and with the first one of each pair its a, b and count.
-
-    A pair's rows, one a block at most, meet once: their sum is the count, and the
-    least of their places is the pair's id.
-    """
-    pairs = rows.select("block", F.posexplode(F.arrays_zip("a", "b", "counts")).alias("no", "x")).select("block", "no", "x.a", "x.b", "x.counts")
-    same = Window.partitionBy("a", "b")
-    place = F.shiftleft("block", PLACE_BITS) + F.col("no")
-    named = pairs.withColumns({"count": F.sum("counts").over(same), "id": F.min(place).over(same)}).where(F.col("count") >= least)
-    first = F.col("id") == place
-    return named.select("block", "no", "id", *[F.when(first, F.col(c)).alias(c) for c in ("a", "b", "count")])
-
-
 def _with_ids(rows: DataFrame, items: DataFrame) -> DataFrame:
     """Blocks (block, own, seq, size) with the ids of their numbers, from items (block, no, id). A block without any has no phrases either."""
     by_block = items.groupBy("block").agg(F.collect_list(F.struct("no", "id")).alias("ids"))  # the distinct words or pairs of a block at most
@@ -179,7 +174,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", mos
     count, first and last the ids of all but the last and all but the first word,
     heads and tails the counts of the first and of the last 1, 2, ... words.
     """
-    shelf = Shelf(docs.sparkSession, "phrases", "snappy")
+    shelf = Shelf(docs.sparkSession, "phrases")
     none, longs = F.lit(None).cast("long"), F.array().cast("array<long>")
     made = shelf.put(blocks(docs, text_col, lang_col, most_words, block_words), "blocks")
     words = made.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("no", "x")).select("block", "lang", "no", F.col("x.words").alias("word"), "x.counts")
@@ -192,12 +187,10 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", mos
     for k in range(2, most_words + 1):
         pairs = paired(_with_ids(rows, items.select("block", "no", "id")), k == most_words)
         if k < most_words:
-            rows = shelf.put(pairs, "pairs").select("block", "own", "seq", F.size("a").alias("size"), "a", "b", "counts")
-            items = shelf.put(_named(rows, least), "named")
-            often = items.where("a IS NOT NULL").select("a", "b", "count", "id")
-        else:
-            often = pairs.groupBy("a", "b").agg(F.sum("counts").alias("count")).where(F.col("count") >= least)
-            often = shelf.put(often.withColumn("id", F.monotonically_increasing_id()), "often")
+            rows = shelf.put(pairs, "pairs")
+            pairs = rows.select("block", F.posexplode(F.arrays_zip("a", "b", "counts")).alias("no", "x")).select("block", "no", "x.a", "x.b", "x.counts")
+        often = pairs.groupBy("a", "b").agg(F.sum("counts").alias("count")).where(F.col("count") >= least)
+        often = shelf.put(often.withColumn("id", F.monotonically_increasing_id()), "often")
         known = found[-1]
         heads = known.select("lang", F.col("id").alias("a"), F.col("words").alias("head"), F.concat("heads", F.array("a")).alias("heads"))
         tails = known.select(F.col("id").alias("b"), F.element_at("words", -1).alias("tail"), F.concat("tails", F.array("a")).alias("tails"))
@@ -206,6 +199,9 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", mos
             F.col("a").alias("first"), F.col("b").alias("last"), "heads", "tails",
         )
         found.append(shelf.put(level, f"level{k}"))
+        if k < most_words:
+            items = pairs.join(often, ["a", "b"])
+            rows = rows.select("block", "own", "seq", F.size("a").alias("size"))
     shelf.clear("sizes", *(f"level{k}" for k in range(1, most_words + 1)))
     out = found[0]
     for more in found[1:]:
