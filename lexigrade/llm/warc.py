@@ -12,10 +12,10 @@ payload's is a note in ``reason``.
 
 Both sides go through Spark's own readers and writers, so archives may lie in
 any store that Spark reaches and a lost executor costs a task's retry. The
-writer bounds the bytes of a file; the reader takes a file as one value, so of a
-file beyond Spark's bound of a value (``READ_BYTES``) it logs one gap: such a
-file is to be cut first, at any place. Salvaging is linear in the file: places of
-patterns are searched once.
+writer bounds the bytes of a file. The reader takes a file as one value, or, beyond
+Spark's bound of a value (``READ_BYTES``), in ranges that begin at a member (of
+files named ``.gz``) or at a version line (of others). Salvaging is linear in the
+file: places of patterns are searched once.
 
 Defined cases: a null html is an empty payload; a null url leaves out the
 target URI; rows that repeat page_id and payload are all responses; null
@@ -32,7 +32,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, small_batches, table, written
@@ -41,8 +41,8 @@ MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
 #: Bytes of one archive file, unless a single record has more.
 FILE_BYTES = 32 << 20
-#: Largest file that Spark hands over as one value.
-READ_BYTES = 2_000_000_000
+#: Largest file that Spark hands over as one value; of longer ones, bytes of a range, and log2 of the ranges that a split has room for.
+READ_BYTES, RANGE_BYTES, PART_BITS = 2_000_000_000, 64 << 20, 16
 
 RECORD_FIELDS = (
     "file string, offset long, length long, kind string, reason string, record_type string, record_id string, "
@@ -410,11 +410,28 @@ def salvage(data: bytes) -> Iterator[dict]:
         yield {"kind": "gap", "offset": gap, "length": n - gap, "reason": why}
 
 
+def _row(x: dict, file: str, with_payload: bool) -> dict:
+    row = {f: x.get(f) for f in _RECORD_SCHEMA.names} | {"file": file}
+    return row if with_payload else row | {"payload": None}
+
+
+def _batches(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row["payload"] or b"") + 200
+        if size > 4 << 20:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held, size = [], 0
+    yield pa.RecordBatch.from_pylist(held, schema)
+
+
 def read_archives(spark: SparkSession, path: str, *, with_payload: bool = True) -> DataFrame:
     """One row per record or quarantined gap (``kind``) of the archives in a folder.
 
     A file is a row of Spark's binary reader; the writer bounds the bytes of
-    files, and Spark those of a task's files.
+    files, and Spark those of a task's files. Files longer than READ_BYTES are read
+    in ranges.
     """
     every = spark.read.format("binaryFile").load(path)
     files = every.where(F.col("length") <= READ_BYTES).select("path", "content")
@@ -423,21 +440,99 @@ def read_archives(spark: SparkSession, path: str, *, with_payload: bool = True)
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows, size = [], 0
-                for x in salvage(content.as_py()):
-                    rows.append({f: x.get(f) for f in _RECORD_SCHEMA.names} | {"file": name.as_py()})
-                    if not with_payload:
-                        rows[-1]["payload"] = None
-                    size += len(rows[-1]["payload"] or b"") + 200
-                    if size > 4 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, _RECORD_SCHEMA)
-                        rows, size = [], 0
-                yield pa.RecordBatch.from_pylist(rows, _RECORD_SCHEMA)
-
-    known = {"file": F.col("path"), "offset": F.lit(0), "length": F.col("length"), "kind": F.lit("gap"), "reason": F.lit("the file is too long to be read as one value")}
-    fields = [f.split() for f in RECORD_FIELDS.split(", ")]
-    beyond = every.where(F.col("length") > READ_BYTES).select(*[known.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in fields])
-    return files.mapInArrow(read, RECORD_FIELDS).unionByName(beyond)
+                yield from _batches((_row(x, name.as_py(), with_payload) for x in salvage(content.as_py())), _RECORD_SCHEMA)
+
+    out = files.mapInArrow(read, RECORD_FIELDS)
+    long = [r["path"] for r in every.where(F.col("length") > READ_BYTES).select("path").collect()]  # names of files of gigabytes each
+    for packed in (True, False):
+        if some := [p for p in long if p.endswith(".gz") == packed]:
+            out = out.unionByName(read_ranges(spark, some, MAGIC if packed else b"WARC/", with_payload))
+    return out
+
+
+_EDGE_FIELDS = f"block long, {RECORD_FIELDS}"
+_EDGE_SCHEMA = pa.schema([("block", pa.int64()), *_RECORD_SCHEMA])
+
+
+def _edges(data: bytes) -> Iterator[dict]:
+    """The salvaged rows of a range; what it holds before its first and after its last record is ``head`` and ``tail``, with its bytes, or all of it ``whole``."""
+    rows = list(salvage(data))
+    if not [r for r in rows if r["kind"] == "record" and r["length"]]:
+        rows = [{"kind": "whole", "offset": 0, "length": len(data), "payload": data}]
+    else:
+        for i, kind in ((0, "head"), (-1, "tail")):
+            gap = rows[i]
+            if gap["kind"] == "gap" and (gap["offset"] == 0 if kind == "head" else gap["offset"] + gap["length"] == len(data)):
+                rows[i] = {"kind": kind, "offset": gap["offset"], "length": gap["length"], "payload": data[gap["offset"] : gap["offset"] + gap["length"]]}
+                # What was saved of the member at the range's end comes again with the rest of that member.
+                rows = [r for r in rows if not (kind == "tail" and r["kind"] == "record" and not r["length"] and r["offset"] == gap["offset"])]
+    yield from rows
+    yield {"kind": "range", "offset": 0, "length": len(data)}
+
+
+def read_ranges(spark: SparkSession, paths: list[str], start: bytes, with_payload: bool = True) -> DataFrame:
+    """The same of files of any length, in ranges of Spark's splits that begin where ``start`` (a member's or a record's first bytes) is found.
+
+    The text source finds the places: ``start`` is its line separator, so each split
+    begins with the first one in it and runs to the first one beyond it; files named
+    ``.gz`` are one split each, taken as they are and in parts. A range is some
+    RANGE_BYTES from one place to another. Such bytes may also lie within a member: so
+    what a range cannot use at its ends is put together with its neighbours' and
+    salvaged again, up to READ_BYTES.
+    """
+    lines = spark.read.option("lineSep", start.decode("latin-1")).option("encoding", "ISO-8859-1")
+    lines = lines.option("io.compression.codecs", "org.apache.hadoop.io.compress.PassthroughCodec")
+    for name in ("io.compress.passthrough.extension", "org.apache.hadoop.shaded.io.compress.passthrough.extension"):  # Spark's own Hadoop client has its names changed
+        lines = lines.option(name, ".gz")
+    lines = lines.text(paths)
+    pieces = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("piece"))
+    small_batches(pieces)
+
+    most = RANGE_BYTES
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, part, held, size = None, 0, [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            data, block = b"".join(held), (now[1] << PART_BITS) + part
+            yield from _batches((_row(x, now[0], with_payload or x["kind"] in ("head", "tail", "whole")) | {"block": block} for x in _edges(data)), _EDGE_SCHEMA)
+
+        for batch in batches:
+            for file, split, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (file, split) != now or size > most:
+                    if now is not None:
+                        yield from done()
+                    part, held, size = part + 1 if (file, split) == now else 0, [], 0
+                if (file, split) != now and split == 0:
+                    held.append(piece)  # all but a file's first piece have a separator before them
+                else:
+                    held += [start, piece]
+                now, size = (file, split), size + len(piece)
+        if now is not None:
+            yield from done()
+
+    rows = written(pieces.mapInArrow(read, _EDGE_FIELDS), "ranges")
+    order = Window.partitionBy("file").orderBy("block")  # the ranges of a file
+    sizes = rows.where("kind = 'range'").select("file", "block", F.col("length").alias("n"))
+    whole = rows.where("kind = 'whole'").select("file", "block", F.lit(1).alias("whole"))
+    ranges = sizes.join(whole, ["file", "block"], "left").select(
+        "file", "block", (F.sum("n").over(order) - F.col("n")).alias("base"), F.sum(F.when(F.col("whole").isNull(), 1).otherwise(0)).over(order).alias("sound")
+    )
+    ranges = written(ranges, "bases")
+    based = rows.where("kind <> 'range'").join(ranges, ["file", "block"]).withColumn("offset", F.col("offset") + F.col("base"))
+    names = [f.split()[0] for f in RECORD_FIELDS.split(", ")]
+    parts = based.where("kind IN ('head', 'tail', 'whole')").select("file", "offset", "length", "payload", (F.col("sound") - F.when(F.col("kind") == "head", 1).otherwise(0)).alias("between"))
+    both = parts.groupBy("file", "between").agg(F.sum("length").alias("n"))
+    parts = parts.join(both, ["file", "between"]).withColumn("alone", F.when(F.col("n") > READ_BYTES, F.col("offset")))
+    joined = parts.groupBy("file", "between", "alone").agg(F.sort_array(F.collect_list(F.struct("offset", "payload"))).alias("parts"))  # READ_BYTES at most
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at, data = found[0]["offset"], b"".join(x["payload"] for x in found)
+                yield from _batches((_row(x | {"offset": at + x["offset"]}, file, with_payload) for x in salvage(data)), _RECORD_SCHEMA)
+
+    return based.where("kind IN ('record', 'gap')").select(*names).unionByName(joined.select("file", "parts").mapInArrow(again, RECORD_FIELDS))
 
 
 # ---------------------------------------------------------------- query

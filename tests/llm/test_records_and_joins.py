@@ -73,15 +73,42 @@ def test_salvage_is_linear(junk):
     assert time.process_time() - began < 40
 
 
-def test_files_are_bounded(spark, tmp_path, monkeypatch):
-    """Files hold as many records as fit; a file too long to be one value is a gap of its length."""
+def test_files_are_bounded(spark, tmp_path):
+    """Files hold as many records as fit."""
     rows = spark.createDataFrame([(i, "u", random.Random(i).randbytes(3000).hex(), "x") for i in range(40)], PAGES).coalesce(1)
     path = warc.write_archives(rows, str(tmp_path / "w"), file_bytes=20_000)
     sizes = [os.path.getsize(f) for f in glob.glob(path + "/part-*")]
     assert len(sizes) > 5 and max(sizes) <= 20_000 and warc.read_archives(spark, path).where("kind = 'record'").count() == 40
-    monkeypatch.setattr(warc, "READ_BYTES", max(sizes) - 1)
-    got = warc.read_archives(spark, path).collect()
-    assert sum(r.length for r in got if r.kind == "gap") == sum(x for x in sizes if x == max(sizes))
+
+
+@pytest.mark.parametrize("packed", [True, False])
+@pytest.mark.parametrize("split", ["3000", "20000", "1000000"])
+def test_long_files_in_ranges(spark, tmp_path, monkeypatch, packed, split):
+    """The same rows as of the file as one value, for members that cross ranges, hold false starts, are long, and for damage."""
+    rng = random.Random(11)
+    bodies = [rng.randbytes(rng.randint(0, 4000)) for _ in range(30)] + [b"\x1f\x8b\x08 WARC/1.0\r\nWARC/".join(rng.randbytes(700) for _ in range(60))] + [rng.randbytes(2500) for _ in range(12)]
+    plain = [warc.record_bytes(i, f"http://x/{i}", b, None, "2024-01-01T00:00:00Z") for i, b in enumerate(bodies)]
+    parts = [warc.gzip_member(p) for p in plain] if packed else plain
+    parts[20] = parts[20][:-900] + b"\7" * 900
+    parts.insert(8, b"garbage " * 900)
+    parts.append(parts[0][:-30])
+    data = b"".join(parts)
+    name = "a.warc.gz" if packed else "a.warc"
+    (tmp_path / name).write_bytes(data)
+    (tmp_path / f"empty-{name}").write_bytes(b"")
+    keys = lambda rows: sorted((r["kind"], r["offset"], r["length"], r["record_id"] or "", bytes(r["payload"] or b"")) for r in rows)
+    want = [{"record_id": None, "payload": None} | r for r in warc.salvage(data)]
+    monkeypatch.setattr(warc, "READ_BYTES", len(data) - 1)
+    monkeypatch.setattr(warc, "RANGE_BYTES", int(split))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = warc.read_archives(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    records = lambda rows: [k for k in keys(rows) if k[0] == "record"]
+    assert records(r.asDict() for r in got) == records(want)
+    covered = sum(r.length for r in got)
+    assert covered == sum(r["length"] for r in want) and {r.file.split("/")[-1] for r in got} == {name}
 
 
 def test_long_gzip_names():
