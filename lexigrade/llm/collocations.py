@@ -188,6 +188,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", mos
         pairs = paired(_with_ids(rows, items.select("block", "no", "id")), k == most_words)
         if k < most_words:
             rows = shelf.put(pairs, "pairs")
+            shelf.drop("blocks", "counts")  # nothing reads them from here on
             pairs = rows.select("block", F.posexplode(F.arrays_zip("a", "b", "counts")).alias("no", "x")).select("block", "no", "x.a", "x.b", "x.counts")
         often = pairs.groupBy("a", "b").agg(F.sum("counts").alias("count")).where(F.col("count") >= least)
         often = shelf.put(often.withColumn("id", F.monotonically_increasing_id()), "often")

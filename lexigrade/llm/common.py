@@ -8,7 +8,7 @@ and the memory a task needs does not depend on the number of rows in a batch.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,16 +71,20 @@ class Shelf:
 
     def clear(self, *keep: str) -> None:
         """Deletes all tables but the latest of each name in ``keep``; a new run writes what it needs again."""
+        self._delete(lambda found: set(found) - {max(p for p in found if p[4:] == k) for k in keep if any(p[4:] == k for p in found)})
+
+    def drop(self, *names: str) -> None:
+        """Deletes the tables of some names: those that no later step, and no repeat of one, reads."""
+        self._delete(lambda found: {p for p in found if p[4:] in names})
+
+    def _delete(self, which: Callable[[list[str]], set[str]]) -> None:
         jvm = self.spark._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.root)
         files = root.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
         if not files.exists(root):
             return
-        found = sorted(s.getPath().getName() for s in files.listStatus(root))
-        stay = {max(p for p in found if p[4:] == k) for k in keep if any(p[4:] == k for p in found)}
-        for p in found:
-            if p not in stay:
-                files.delete(jvm.org.apache.hadoop.fs.Path(root, p), True)
+        for p in which([s.getPath().getName() for s in files.listStatus(root)]):
+            files.delete(jvm.org.apache.hadoop.fs.Path(root, p), True)
 
 
 def small_batches(df: DataFrame) -> None:
