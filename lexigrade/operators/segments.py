@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from . import index, retrieval
 
+#: Entries of all terms up to which a search is one sum.
+PLAIN = 1 << 24
 #: Impact levels, units per block, postings that a question's first pass reads unless its first term has more, and how many times k units set the floor.
 LEVELS, UNITS, FIRST, LEAD = 16, 1 << 16, 1 << 11, 16
 #: What sums of doubles may be off by.
@@ -94,15 +96,21 @@ class Segments:
         return asked.join(known, "term").select("qid", "term", "df", w.alias("w"), (w * F.col("top")).alias("most"), F.lit(avgdl).alias("avgdl"), self.bucket(F.col("term")).alias("bucket"))
 
     def search(self, asked: DataFrame, k: int, k1: float = retrieval.K1, b: float = retrieval.B) -> DataFrame:
-        """The first k units of every question's terms (qid, term, qtf): (qid, unit, score, rank). Exact, and a table: what uses it does not search again."""
-        return retrieval.kept(retrieval.ranked(self.passes(asked, k, k1, b)["scores"], k=k), "found")
+        """The first k units of every question's terms (qid, term, qtf): (qid, unit, score, rank). Exact, and a table: what uses it does not search again.
+
+        Where all terms have PLAIN entries or fewer together, one sum over them takes less than the passes do.
+        """
+        known = retrieval.kept(self.weighted(asked, k1, b), "weights")
+        few = (known.agg(F.sum("df")).first()[0] or 0) <= PLAIN
+        scores = self._sums(known, k1, b) if few else self.passes(known, k, k1, b)["scores"]
+        return retrieval.kept(retrieval.ranked(scores, k=k), "found")
 
     def scores(self, asked: DataFrame, k1: float = retrieval.K1, b: float = retrieval.B) -> DataFrame:
         """(qid, unit, score) of all units that have one of a question's terms (qid, term, qtf)."""
         return self._sums(self.weighted(asked, k1, b), k1, b)
 
-    def passes(self, asked: DataFrame, k: int, k1: float = retrieval.K1, b: float = retrieval.B) -> dict[str, DataFrame]:
-        """The passes of a search, as tables.
+    def passes(self, known: DataFrame, k: int, k1: float = retrieval.K1, b: float = retrieval.B) -> dict[str, DataFrame]:
+        """The passes of a search for ``weighted`` terms, as tables.
 
         1. ``first``: a question's weightiest terms, which are rare, score their
            units. The best of these get all other terms, from the units' own
@@ -116,7 +124,6 @@ class Segments:
 
         A unit of the first k is in no block that was left out, so its sum is whole.
         """
-        known = retrieval.kept(self.weighted(asked, k1, b), "weights")
         by_weight = Window.partitionBy("qid").orderBy(F.desc("w"), "term")  # the terms of a question
         before = F.sum("df").over(by_weight.rowsBetween(Window.unboundedPreceding, 0)) - F.col("df")
         known = known.withColumn("early", (before + F.col("df") <= FIRST) | (F.row_number().over(by_weight) == 1))
