@@ -517,7 +517,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     small_batches(docs)
-    shelf = Shelf(docs.sparkSession, "ngrams")
+    shelf = Shelf(docs.sparkSession, "ngrams", "snappy")  # over twenty tables
     sketch = frequency_table(docs, SKETCH)
     sets = _prepared(docs, sketch, shelf)
     first = shelf.put(sets.where("n > 0").groupBy("sid").agg(F.min("nid").alias("rep")), "reps")
