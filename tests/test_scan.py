@@ -117,3 +117,11 @@ def test_repair_folds_once(spark):
     got = chunking.repaired(docs, "ls", words)
     assert "aggregate(" not in plan(got)
     assert {r.id: r.repaired for r in got.collect()} == {0: "alphabet x y abcdef gh i", 1: "", 2: None, 3: "zz zz", 4: "a bc d e f"}
+
+
+def test_parts_of_the_table_that_match_nothing(spark):
+    """Sums of no entries are no doubles by themselves."""
+    units = index.tokenised(spark.createDataFrame([(i, "a b" if i == 7 else "c") for i in range(8)], "id long, t string").repartition(8), "id", "t")
+    questions = spark.createDataFrame([(1, "b")], "qid long, question string")
+    scan = lexical.Scan(units, retrieval.question_terms(questions, "qid", "question"), questions)
+    assert rows(scan.ranks(scan.all()), "qid", "unit", "rank") == [(1, i, i + 2) for i in range(7)] + [(1, 7, 1)]
