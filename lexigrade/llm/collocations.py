@@ -137,34 +137,31 @@ def pairs_of(seq: np.ndarray, ids: np.ndarray, own: int) -> tuple[np.ndarray, np
     return ids[keys // wide], ids[keys % wide], np.bincount(numbers[at < own], minlength=len(keys)), out
 
 
-def paired(named: DataFrame, last: bool = False) -> DataFrame:
-    """(block, own, a, b, counts, seq) of blocks (block, own, seq, size, ids): ids has (no, id) of those of the block's ``size`` numbers that are frequent.
+def paired(rows: DataFrame, items: DataFrame, last: bool = False) -> DataFrame:
+    """(block, own, a, b, counts, seq) of blocks (block, own, seq, size); items (block, no, id) are those of a block's ``size`` numbers that are frequent.
 
-    Of the last level only the pairs are wanted: (a, b, counts), a row each.
+    A block and its items meet as a group of its own after a sort by block, so a
+    task holds one block at a time, however many it gets. Of the last level only
+    the pairs are wanted: (a, b, counts), a row each.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                seq = unpacked(batch.column(2)[i].as_py())
-                ids, given = np.full(batch.column(3)[i].as_py(), -1, np.int64), batch.column(4)[i].values
-                ids[given.field(0).to_numpy()] = given.field(1).to_numpy()
-                a, b, counts, out = pairs_of(seq, ids, batch.column(1)[i].as_py())
-                if last:
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(counts)], ["a", "b", "counts"])
-                    continue
-                lists = [listed(a, pa.int64()), listed(b, pa.int64()), listed(counts, pa.int64()), pa.array([packed(out)], pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), *lists], ["block", "own", "a", "b", "counts", "seq"])
-
-    small_batches(named)
-    schema = "a long, b long, counts long" if last else "block long, own int, a array<long>, b array<long>, counts array<long>, seq binary"
-    return named.select("block", "own", "seq", "size", "ids").mapInArrow(run, schema)
+    def run(row: pa.Table, named: pa.Table) -> pa.Table:
+        if not row.num_rows or not named.num_rows:  # a block without frequent numbers has no phrases either
+            return kind.empty_table()
+        block, own, seq, size = (row.column(c)[0].as_py() for c in ("block", "own", "seq", "size"))
+        ids = np.full(size, -1, np.int64)
+        ids[named.column("no").to_numpy()] = named.column("id").to_numpy()
+        a, b, counts, out = pairs_of(unpacked(seq), ids, own)
+        if last:
+            return pa.table([pa.array(x) for x in (a, b, counts)], schema=kind)
+        return pa.table([pa.array([block]), pa.array([own], pa.int32()), *(listed(x, pa.int64()) for x in (a, b, counts)), pa.array([packed(out)], pa.binary())], schema=kind)
 
-
-def _with_ids(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """Blocks (block, own, seq, size) with the ids of their numbers, from items (block, no, id). A block without any has no phrases either."""
-    by_block = items.groupBy("block").agg(F.collect_list(F.struct("no", "id")).alias("ids"))  # the distinct words or pairs of a block at most
-    return rows.select("block", "own", "seq", "size").join(by_block, "block")
+    schema = "a long, b long, counts long" if last else "block long, own int, a array<long>, b array<long>, counts array<long>, seq binary"
+    long, longs = pa.int64(), pa.list_(pa.int64())
+    kind = pa.schema({"a": long, "b": long, "counts": long} if last else {"block": long, "own": pa.int32(), "a": longs, "b": longs, "counts": longs, "seq": pa.binary()})
+    small_batches(rows)
+    named = items.select(F.col("block").alias("of"), "no", "id").groupBy("of")
+    return rows.select("block", "own", "seq", "size").groupBy("block").cogroup(named).applyInArrow(run, schema)
 
 
 def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_words: int = MOST_WORDS, least: int = LEAST, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -176,7 +173,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", mos
     """
     shelf = Shelf(docs.sparkSession, "phrases")
     none, longs = F.lit(None).cast("long"), F.array().cast("array<long>")
-    made = shelf.put(blocks(docs, text_col, lang_col, most_words, block_words), "blocks")
+    made = shelf.put(blocks(docs, text_col, lang_col, most_words, block_words), "blocks", long_rows=True)
     words = made.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("no", "x")).select("block", "lang", "no", F.col("x.words").alias("word"), "x.counts")
     counted = shelf.put(words.groupBy("lang", "word").agg(F.sum("counts").alias("a")), "counts")
     sizes = shelf.put(counted.groupBy("lang").agg(F.sum("a").alias("n")), "sizes")
@@ -185,9 +182,9 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", mos
     items = words.join(found[0].select("lang", F.col("words")[0].alias("word"), "id"), ["lang", "word"])
     rows = made.select("block", "own", "seq", F.size("words").alias("size"))
     for k in range(2, most_words + 1):
-        pairs = paired(_with_ids(rows, items.select("block", "no", "id")), k == most_words)
+        pairs = paired(rows, items, k == most_words)
         if k < most_words:
-            rows = shelf.put(pairs, "pairs")
+            rows = shelf.put(pairs, "pairs", long_rows=True)
             shelf.drop("blocks", "counts")  # nothing reads them from here on
             pairs = rows.select("block", F.posexplode(F.arrays_zip("a", "b", "counts")).alias("no", "x")).select("block", "no", "x.a", "x.b", "x.counts")
         often = pairs.groupBy("a", "b").agg(F.sum("counts").alias("count")).where(F.col("count") >= least)

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 << 20
 #: Bytes of text that numpy handles at a time.
 SLICE_BYTES = 2 << 20
+#: Parquet's settings for tables of rows of MBs: bytes of a row group, and after how many rows sizes are looked at.
+LONG_ROWS = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 #: Word separators: space and \x09-\x0D.
 SPACES = (9, 10, 11, 12, 13, 32)
 
@@ -56,11 +58,16 @@ class Shelf:
         """zstd makes the smaller files; its buffers lie outside the heap, where tasks that write many small files heap them up."""
         self.spark, self.root, self.count, self.codec = spark, scratch(spark, name), 0, codec
 
-    def put(self, df: DataFrame, name: str, *by: str) -> DataFrame:
-        """df as a table, in folders by some columns."""
+    def put(self, df: DataFrame, name: str, *by: str, long_rows: bool = False) -> DataFrame:
+        """df as a table, in folders by some columns.
+
+        Parquet's writer looks at its buffers every 100 rows, and its reader takes up
+        to 4096 of a row group at once: with rows of MBs (``long_rows``) it looks at
+        each one, and row groups are small.
+        """
         self.count += 1
         path = f"{self.root}/{self.count:03}-{name}"
-        df.write.option("compression", self.codec).partitionBy(*by).parquet(path)
+        df.write.options(compression=self.codec, **(LONG_ROWS if long_rows else {})).partitionBy(*by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def add(self, df: DataFrame, name: str) -> DataFrame:

@@ -5,10 +5,12 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrade.llm import collocations, kd_shards
+from lexigrade.llm import collocations, common, kd_shards
 
 DOCS = "doc_id long, text string, lang string, source string, size string, shard int, `at` string"
 EDGE = [
@@ -153,3 +155,20 @@ def test_scores_are_exact(spark):
     got = {r.len: (r.l, r.r, r.score) for r in collocations.scored(known).collect()}
     assert got[2] == (big + 1, big + 2, 1_000_000 * big * big // ((big + 1) * (big + 2)))
     assert got[3] == (10**12, 10**12 + 1, 1_000_000 * 10**24 // (10**12 * (10**12 + 1)))
+
+
+def test_a_task_holds_one_block(spark, tmp_path, monkeypatch):
+    """Lists of up to 128 blocks' ids were held in a task at once, and tables of blocks were written and read 100 blocks at a time."""
+    rows = spark.createDataFrame([(i, 2, collocations.packed(np.array([0, 1])), 2) for i in range(3)], "block long, own int, seq binary, size int")
+    items = spark.createDataFrame([(0, 0, 7), (0, 1, 8), (1, 1, 8)], "block long, no int, id long")
+    for last in (False, True):
+        found = collocations.paired(rows, items, last)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CoGroups" in plan and "Aggregate" not in plan
+        flat = found if last else found.where("size(a) > 0").select(F.col("a")[0].alias("a"), F.col("b")[0].alias("b"), F.col("counts")[0].alias("counts"))
+        assert [tuple(r) for r in flat.collect()] == [(7, 8, 1)]
+    shelf = common.Shelf(spark, "rows")
+    monkeypatch.setattr(shelf, "root", str(tmp_path))
+    shelf.put(spark.range(20).selectExpr("id", "transform(sequence(1, 200000), x -> xxhash64(id, x)) AS xs").coalesce(1), "big", long_rows=True)
+    groups = [pq.ParquetFile(f).metadata.num_row_groups for f in tmp_path.glob("*/*.parquet")]
+    assert sum(groups) >= 3
