@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 << 20
 #: Bytes of text that numpy handles at a time.
 SLICE_BYTES = 2 << 20
-#: Parquet's settings for tables of rows of MBs: bytes of a row group, and after how many rows sizes are looked at.
-LONG_ROWS = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+#: Parquet's settings for tables of rows of MBs: bytes of a row group, and after how many rows, at least and at most, sizes are looked at.
+LONG_ROWS = {"parquet.block.size": str(4 << 20)} | {f"parquet.{x}.size.row.check.{y}": "1" for x in ("block", "page") for y in ("min", "max")}
 #: Word separators: space and \x09-\x0D.
 SPACES = (9, 10, 11, 12, 13, 32)
 
